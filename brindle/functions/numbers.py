@@ -23,6 +23,11 @@ def grid_by_length(start: float, stop: float, length: int) -> list[float]:
     return [start + (stop - start) * i / (length - 1) for i in range(length)]
 
 
+def double_array(values: list[float]) -> Column:
+    """A constant array, built in one expression however long it is."""
+    return F.expr("array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")")
+
+
 def numeric_grid(start: Column, stop: Column, step: float) -> Column:
     """The grid of :func:`grid_values` as an array column, for bounds held in the data."""
     steps = F.floor(F.round((stop - start) / F.lit(step), 9)).cast("int")

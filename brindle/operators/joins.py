@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from brindle.functions.numbers import double_array
+
 
 def join_fact_dim(facts: DataFrame, dim: DataFrame, key: str) -> DataFrame:
     """Left equi-join. No hint: the optimizer broadcasts ``dim`` when its known size allows."""
@@ -64,8 +66,7 @@ def attach_scalar(df: DataFrame, scalar: DataFrame, name: str) -> DataFrame:
 
 def grid_cross(df: DataFrame, grid: list[float], name: str = "lam", pos: str = "pos") -> DataFrame:
     """Every row at every grid value, with the 1-based position; meant for aggregates, not rows."""
-    values = F.array(*[F.lit(float(g)) for g in grid])
-    return df.select("*", F.posexplode(values).alias(pos, name)).withColumn(pos, F.col(pos) + 1)
+    return df.select("*", F.posexplode(double_array(grid)).alias(pos, name)).withColumn(pos, F.col(pos) + 1)
 
 
 def append_rows(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -1,9 +1,10 @@
-"""Exact quantiles with linear interpolation, without holding a group's values in one task.
+"""Exact quantiles with linear interpolation, without holding a large group's values in one task.
 
-The built-in exact percentile keeps every distinct value of a group in one buffer, which fails for
-a group with a third of a very large table. Here a sketch proposes narrow brackets around each
-wanted rank, the rows are counted per bracket, and only the brackets that hold a wanted rank are
-looked at value by value. The sketch decides how much work is left, never the result.
+The built-in exact percentile keeps every distinct value of a group in one buffer. It is used where
+a first pass finds that no group has many distinct values. Beyond that, a sketch from the same pass
+proposes narrow brackets around each wanted rank, the rows are counted per bracket, and only the
+brackets that hold a wanted rank are looked at value by value. The sketch decides how much work is
+left, never the result.
 """
 
 from __future__ import annotations
@@ -16,10 +17,13 @@ from brindle.operators.joins import null_safe_join
 from brindle.storage import write_out
 
 _ALL = "__all"
+# Distinct values per group up to which one buffer may hold them (about 5 MB).
+BUFFERED_VALUES = 100_000
 
 
 def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float],
-                    accuracy: int = 10000, name: str = "quantiles") -> DataFrame:
+                    accuracy: int = 10000, name: str = "quantiles",
+                    buffered: int = BUFFERED_VALUES) -> DataFrame:
     """Per group: ``n`` non-null values and the array of quantiles at ``probs``.
 
     Groups without a value are absent. Null group keys form a group.
@@ -35,9 +39,14 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float]
     marks = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-margin, margin)})
     sketch = write_out(
         rows.groupBy(*keys).agg(
-            F.count("__v").alias("n"),
+            F.count("__v").alias("n"), F.approx_count_distinct("__v").alias("__distinct"),
             F.array_distinct(F.percentile_approx("__v", marks, accuracy)).alias("__edges")),
         "sketch")
+    if (sketch.agg(F.max("__distinct")).first()[0] or 0) <= buffered:
+        direct = rows.groupBy(*by) if by else rows.groupBy()
+        direct = direct.agg(F.count("__v").alias("n"), F.percentile("__v", [float(p) for p in probs]).alias(name))
+        return direct if by else direct.filter("n > 0")
+    sketch = sketch.drop("__distinct")
     if whole:
         sketch = F.broadcast(sketch)  # one row
 

@@ -20,10 +20,12 @@ from brindle.storage import write_out
 _QUARTERS = [0.0, 0.25, 0.5, 0.75, 1.0]
 
 
-def hash_cuts(rows: DataFrame, strata: list[str], ranks: Callable[[Column], Column],
-              prefix_digits: int = 4) -> DataFrame:
-    """(strata, cuts): the hashes ``__h`` at the 1-based ``ranks(n)`` of every stratum, ascending."""
-    rows = rows.select(*strata, "__h", F.substring("__h", 1, prefix_digits).alias("__prefix"))
+# Strata up to which the cut hashes travel as literals; beyond, as a table joined to the rows.
+LITERAL_STRATA = 100
+
+
+def _prefix_ranks(rows: DataFrame, strata: list[str], ranks: Callable[[Column], Column]) -> DataFrame:
+    """(strata, __prefix, __pos): where in which prefix the wanted ranks lie; few rows per stratum."""
     stratum = W.partitionBy(*strata)
     upto = stratum.orderBy("__prefix").rowsBetween(W.unboundedPreceding, W.currentRow)
     per_prefix = (rows.groupBy(*strata, "__prefix").agg(F.count(F.lit(1)).alias("__rows"))
@@ -31,15 +33,20 @@ def hash_cuts(rows: DataFrame, strata: list[str], ranks: Callable[[Column], Colu
                   .withColumn("__end", F.sum("__rows").over(upto))
                   .withColumn("__before", F.col("__end") - F.col("__rows")))
     here = F.filter(ranks(F.col("__n")), lambda r: (r > F.col("__before")) & (r <= F.col("__end")))
-    wanted = write_out(
-        per_prefix.select(*strata, "__prefix",
-                          F.explode(F.transform(here, lambda r: r - F.col("__before"))).alias("__pos")),
-        "ranks")
+    return per_prefix.select(*strata, "__prefix",
+                             F.explode(F.transform(here, lambda r: r - F.col("__before"))).alias("__pos"))
+
+
+def hash_cuts(rows: DataFrame, strata: list[str], ranks: Callable[[Column], Column],
+              prefix_digits: int = 4) -> DataFrame:
+    """(strata, __cuts): the hashes ``__h`` at the 1-based ``ranks(n)`` of every stratum, ascending."""
+    rows = rows.select(*strata, "__h", F.substring("__h", 1, prefix_digits).alias("__prefix"))
+    wanted = write_out(_prefix_ranks(rows, strata, ranks), "ranks")
     near = null_safe_join(rows, wanted.select(*strata, "__prefix").distinct(), [*strata, "__prefix"], "left_semi")
-    ranked = near.withColumn(
-        "__pos", F.row_number().over(W.partitionBy(*strata, "__prefix").orderBy("__h")).cast("bigint"))
+    place = F.row_number().over(W.partitionBy(*strata, "__prefix").orderBy("__h"))
+    ranked = near.withColumn("__pos", place.cast("bigint"))
     hits = null_safe_join(ranked, wanted, [*strata, "__prefix", "__pos"], "inner")
-    return write_out(hits.groupBy(*strata).agg(F.sort_array(F.collect_list("__h")).alias("__cuts")), "cuts")
+    return hits.groupBy(*strata).agg(F.sort_array(F.collect_list("__h")).alias("__cuts"))
 
 
 def _held_out_rows(p: float) -> Callable[[Column], Column]:
@@ -51,24 +58,43 @@ def _fold_ends(k: int) -> Callable[[Column], Column]:
     return lambda n: F.array(*[F.floor((n * j + (k - 1)) / F.lit(k)).cast("bigint") for j in range(1, k)])
 
 
-def _stratified(df: DataFrame, strata: list[str], key: list[str], seed: int,
-                ranks: Callable[[Column], Column], result: Callable[[Column, Column], Column],
-                name: str, few_strata: bool) -> DataFrame:
+def _stratified(df: DataFrame, stratum: str, key: list[str], seed: int, cut_count: int,
+                ranks: Callable[[Column], Column], result: Callable[[Column, list[Column]], Column],
+                name: str) -> DataFrame:
+    """Add ``result(hash, cuts of the row's stratum)``.
+
+    The hash is compared with plain expressions, not inside a lambda: there it would be computed
+    again for every cut.
+    """
     hashed = df.withColumn("__h", row_hash(key, seed))
-    cuts = hash_cuts(hashed, strata, ranks)
-    cuts = F.broadcast(cuts) if few_strata else cuts
-    joined = null_safe_join(hashed, cuts, strata)
-    return joined.withColumn(name, result(F.col("__h"), F.col("__cuts"))).drop("__h", "__cuts")
+    cuts = hash_cuts(hashed, [stratum], ranks)
+    found = cuts.limit(LITERAL_STRATA + 1).collect()
+    if len(found) > LITERAL_STRATA:
+        joined = null_safe_join(hashed, write_out(cuts, "cuts"), [stratum])
+        ends = [F.get("__cuts", F.lit(j)) for j in range(cut_count)]
+        return joined.withColumn(name, result(F.col("__h"), ends)).drop("__h", "__cuts")
+    ends = []
+    for j in range(cut_count):
+        end = F.lit(None).cast("string")
+        for row in found:
+            if j < len(row["__cuts"]):
+                end = F.when(F.col(stratum).eqNullSafe(F.lit(row[stratum])), F.lit(row["__cuts"][j])).otherwise(end)
+        ends.append(end)
+    return hashed.withColumn(name, result(F.col("__h"), ends)).drop("__h")
+
+
+def _is_held_out(h: Column, ends: list[Column]) -> Column:
+    return F.coalesce(h <= ends[0], F.lit(False))
 
 
-def _is_held_out(h: Column, cuts: Column) -> Column:
-    return F.coalesce(h <= F.get(cuts, F.lit(0)), F.lit(False))
+def _fold(h: Column, ends: list[Column]) -> Column:
+    return sum((F.when(h > end, 1).otherwise(0) for end in ends), F.lit(1))
 
 
 def split_stratified_class(df: DataFrame, cls: str, p: float, key: list[str], seed: int,
                            name: str = "held_out") -> DataFrame:
     """Flag ``ceil(p * n)`` rows of every class. ``key`` must be unique per row."""
-    return _stratified(df, [cls], key, seed, _held_out_rows(p), _is_held_out, name, False)
+    return _stratified(df, cls, key, seed, 1, _held_out_rows(p), _is_held_out, name)
 
 
 def numeric_strata(df: DataFrame, y: str, name: str = "__stratum", groups: int = 5) -> DataFrame:
@@ -86,16 +112,15 @@ def split_stratified_numeric(df: DataFrame, y: str, p: float, key: list[str], se
                              groups: int = 5, name: str = "held_out") -> DataFrame:
     """Flag ``ceil(p * n)`` rows of every quantile bin of ``y``."""
     binned = numeric_strata(df, y, groups=groups)
-    return _stratified(binned, ["__stratum"], key, seed, _held_out_rows(p), _is_held_out, name,
-                       True).drop("__stratum")
+    return _stratified(binned, "__stratum", key, seed, 1, _held_out_rows(p), _is_held_out,
+                       name).drop("__stratum")
 
 
 def kfold_stratified(df: DataFrame, y: str, k: int, key: list[str], seed: int,
                      groups: int = 5, name: str = "fold") -> DataFrame:
     """Folds 1..k whose sizes within a bin differ by at most one: equal blocks of the hash order."""
     binned = numeric_strata(df, y, groups=groups)
-    fold = lambda h, cuts: F.lit(1) + F.coalesce(F.size(F.filter(cuts, lambda c: c < h)), F.lit(0))
-    return _stratified(binned, ["__stratum"], key, seed, _fold_ends(k), fold, name, True).drop("__stratum")
+    return _stratified(binned, "__stratum", key, seed, k - 1, _fold_ends(k), _fold, name).drop("__stratum")
 
 
 def hash_split(df: DataFrame, p: float, key: list[str], seed: int, name: str = "held_out") -> DataFrame:

@@ -7,10 +7,11 @@ outside a fold are totals minus the fold's own, and the grid is evaluated on gro
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from brindle.functions.numbers import grid_values
+from brindle.functions.numbers import double_array, grid_values
 from brindle.operators.aggregates import arg_min_per_group
+from brindle.operators.joins import grid_cross
 from brindle.plans.effects import Effect, fit_effect, next_cells
 from brindle.storage import write_out
 
@@ -65,22 +66,16 @@ def tune_penalty(cells: DataFrame, key: str, means: DataFrame, grid: list[float]
         (F.col("hs") - F.col("hn") * mu).alias("hs"),
         (F.col("hq") - 2 * mu * F.col("hs") + F.col("hn") * mu * mu).alias("hq"))
 
-    def squares(lam: float) -> Column:
-        b = F.when(F.col("unseen"), F.lit(0.0)).otherwise(F.col("cs") / (F.col("cn") + F.lit(float(lam))))
-        return F.sum(F.col("hq") - 2 * b * F.col("hs") + F.col("hn") * b * b)
-
-    names = [f"sse_{i}" for i in range(1, len(grid) + 1)]
-    sums = per.groupBy(fold).agg(F.sum("hn").alias("n"), F.max("unseen").alias("unseen"),
-                                 *[squares(lam).alias(c) for lam, c in zip(grid, names)])
-    reported = lookup_grid[:len(grid)] if lookup_grid else grid
+    gap = F.col("hq") - 2 * F.col("b") * F.col("hs") + F.col("hn") * F.col("b") * F.col("b")
+    errors = (grid_cross(per, grid)
+              .withColumn("b", F.when(F.col("unseen"), F.lit(0.0)).otherwise(F.col("cs") / (F.col("cn") + F.col("lam"))))
+              .groupBy(fold, "pos", "lam").agg(F.sum(gap).alias("sse"), F.sum("hn").alias("n"),
+                                               F.max("unseen").alias("unseen")))
     value = F.sqrt(F.greatest(F.col("sse"), F.lit(0.0)) / F.col("n"))
     if on_unseen == "propagate":
         value = F.when(~F.col("unseen"), value)
-    rows = F.array(*[F.struct(F.lit(i).cast("bigint").alias("pos"), F.lit(float(lam)).alias("lam"),
-                              F.col(c).alias("sse"))
-                     for i, (lam, c) in enumerate(zip(reported, names), start=1)])
-    return (sums.select(fold, "n", "unseen", F.inline(rows))
-            .select(fold, "pos", "lam", value.alias("rmse")))
+    lam = F.element_at(double_array(lookup_grid), F.col("pos").cast("int")) if lookup_grid else F.col("lam")
+    return errors.select(fold, F.col("pos").cast("bigint").alias("pos"), lam.alias("lam"), value.alias("rmse"))
 
 
 def best_penalties(errors: DataFrame, fold: str = "fold") -> DataFrame:

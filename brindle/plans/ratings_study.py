@@ -62,7 +62,12 @@ def rmse_ladder(ratings: DataFrame, seed: int = 2) -> DataFrame:
 
 def folded_training(ratings: DataFrame, seed: int = 2, fold_seed: int = 3, k: int = 10) -> DataFrame:
     train, _ = train_and_test(prepare(ratings), seed=seed)
-    return kfold_stratified(train, "rating", k, ["row_id"], fold_seed)
+    return with_folds(train, fold_seed, k)
+
+
+def with_folds(train: DataFrame, seed: int = 3, k: int = 10) -> DataFrame:
+    """Training rows with their fold, written because each tuned effect reads them twice."""
+    return write_out(kfold_stratified(train, "rating", k, ["row_id"], seed), "folds")
 
 
 def tuned_effects(ratings: DataFrame, **options) -> list[tuple[Effect, DataFrame]]:
@@ -84,7 +89,7 @@ def fit_final_and_validate(ratings: DataFrame, on_unseen: dict[str, str] | None
     """
     model, validation = model_and_validation(prepare(ratings))
     train, _ = train_and_test(model)
-    folded = kfold_stratified(train, "rating", 10, ["row_id"], 3)
+    folded = with_folds(train)
     mu_train, mu_model = mean_rating(train), mean_rating(model)
     tuned = tune_effects(folded, list(EFFECTS), mu_train)
     final = fit_effects(model, [e for e, _ in tuned], mu_model, first_mu=mu_train)

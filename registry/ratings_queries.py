@@ -16,8 +16,7 @@ from registry.sql import ORDER, RATED, RATINGS, r6, rounded, with_
 
 QUERIES: dict[str, tuple] = {}
 
-MAJOR = ["MEDIUM ANODIZED|Brand#11", "STANDARD BRUSHED|Brand#12", "PROMO BURNISHED|Brand#13",
-         "ECONOMY TIN|Brand#14", "LARGE STEEL|Brand#15"]
+MAJOR = ["ECONOMY|Brand#12", "ECONOMY|Brand#25", "LARGE|Brand#13", "MEDIUM|Brand#11", "MEDIUM|Brand#19"]
 FIXED = {"me": "2.0", "ue": "5.0", "ge": "4.0", "ye": "4.0"}
 
 
@@ -149,12 +148,12 @@ def _(spark, folder):
 
 
 @query("to_number", with_(RATINGS) + """SELECT row_id, try_cast(split_part(title, ' ', 1) AS bigint) AS bad,
-try_cast(substr(row_id, 1, 4) AS bigint) AS digits, try_cast(cast(rating AS varchar) AS double) AS back,
+try_cast(translate(substr(row_id, 1, 4), 'abcdef', 'zzzzzz') AS bigint) AS digits, try_cast(cast(rating AS varchar) AS double) AS back,
 cast(movieId AS varchar) AS item FROM ratings""")
 def _(spark, folder):
     return views.ratings(spark, folder).select(
         "row_id", text.to_integer(F.split_part("title", F.lit(" "), F.lit(1))).alias("bad"),
-        F.when(F.col("row_id").rlike("^[0-9]{4}"), text.to_integer(F.substring("row_id", 1, 4))).alias("digits"),
+        text.to_integer(F.translate(F.substring("row_id", 1, 4), "abcdef", "zzzzzz")).alias("digits"),
         text.to_number(text.to_text(F.col("rating"))).alias("back"), text.to_text(F.col("movieId")).alias("item"))
 
 
