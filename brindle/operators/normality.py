@@ -129,6 +129,7 @@ def _henze_zirkler_tail(statistic: float, b2: float, p: int) -> float:
     s2 = (2 * (1 + 4 * b2) ** (-p / 2)
           + 2 * a ** (-p) * (1 + 2 * p * b2 ** 2 / a ** 2 + 3 * p * (p + 2) * b2 ** 4 / (4 * a ** 4))
           - 4 * w ** (-p / 2) * (1 + 3 * p * b2 ** 2 / (2 * w) + p * (p + 2) * b2 ** 4 / (2 * w ** 2)))
-    location = math.log(math.sqrt(mu ** 4 / (s2 + mu ** 2)))
-    scale = math.sqrt(math.log((s2 + mu ** 2) / mu ** 2))
+    # With many columns the variance is far below one: log1p keeps it.
+    spread = math.log1p(s2 / mu ** 2)
+    location, scale = math.log(mu) - spread / 2, math.sqrt(spread)
     return normal_tail((math.log(statistic) - location) / scale)

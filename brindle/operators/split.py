@@ -24,8 +24,12 @@ _QUARTERS = [0.0, 0.25, 0.5, 0.75, 1.0]
 LITERAL_STRATA = 100
 
 
+# Rows of one hash prefix that a single task may sort; a longer prefix is tried beyond.
+PREFIX_ROWS = 5_000_000
+
+
 def _prefix_ranks(rows: DataFrame, strata: list[str], ranks: Callable[[Column], Column]) -> DataFrame:
-    """(strata, __prefix, __pos): where in which prefix the wanted ranks lie; few rows per stratum."""
+    """(strata, __prefix, __rows, __pos): where in which prefix the wanted ranks lie."""
     stratum = W.partitionBy(*strata)
     upto = stratum.orderBy("__prefix").rowsBetween(W.unboundedPreceding, W.currentRow)
     per_prefix = (rows.groupBy(*strata, "__prefix").agg(F.count(F.lit(1)).alias("__rows"))
@@ -33,15 +37,20 @@ def _prefix_ranks(rows: DataFrame, strata: list[str], ranks: Callable[[Column],
                   .withColumn("__end", F.sum("__rows").over(upto))
                   .withColumn("__before", F.col("__end") - F.col("__rows")))
     here = F.filter(ranks(F.col("__n")), lambda r: (r > F.col("__before")) & (r <= F.col("__end")))
-    return per_prefix.select(*strata, "__prefix",
+    return per_prefix.select(*strata, "__prefix", "__rows",
                              F.explode(F.transform(here, lambda r: r - F.col("__before"))).alias("__pos"))
 
 
-def hash_cuts(rows: DataFrame, strata: list[str], ranks: Callable[[Column], Column],
-              prefix_digits: int = 4) -> DataFrame:
+def hash_cuts(hashed: DataFrame, strata: list[str], ranks: Callable[[Column], Column],
+              prefix_digits: int = 3, prefix_rows: int = PREFIX_ROWS) -> DataFrame:
     """(strata, __cuts): the hashes ``__h`` at the 1-based ``ranks(n)`` of every stratum, ascending."""
-    rows = rows.select(*strata, "__h", F.substring("__h", 1, prefix_digits).alias("__prefix"))
-    wanted = write_out(_prefix_ranks(rows, strata, ranks), "ranks")
+    while True:
+        rows = hashed.select(*strata, "__h", F.substring("__h", 1, prefix_digits).alias("__prefix"))
+        wanted = write_out(_prefix_ranks(rows, strata, ranks), "ranks")
+        if (wanted.agg(F.max("__rows")).first()[0] or 0) <= prefix_rows or prefix_digits >= 12:
+            break
+        prefix_digits += 2
+    wanted = wanted.drop("__rows")
     near = null_safe_join(rows, wanted.select(*strata, "__prefix").distinct(), [*strata, "__prefix"], "left_semi")
     place = F.row_number().over(W.partitionBy(*strata, "__prefix").orderBy("__h"))
     ranked = near.withColumn("__pos", place.cast("bigint"))

@@ -24,8 +24,13 @@ def with_year(ratings: DataFrame) -> DataFrame:
 
 
 def prepare(ratings: DataFrame) -> DataFrame:
-    """Only the columns the models need, with the year, written once."""
-    return write_out(with_year(ratings).select(*COLUMNS), "ratings")
+    """Only the columns the models need, written once.
+
+    The year is read from the title unless the input has it. On a large table derive it on the items
+    before they are joined to the ratings.
+    """
+    dated = ratings if "year" in ratings.columns else with_year(ratings)
+    return write_out(dated.select(*COLUMNS), "ratings")
 
 
 def train_and_test(df: DataFrame, p: float = 0.2, seed: int = 2) -> tuple[DataFrame, DataFrame]:

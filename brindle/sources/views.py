@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from brindle.functions.text import extract_year
+
 PROTEINS = [f"p{i:02d}" for i in range(64)]
 FACTORS = ["Genotype", "Treatment", "Behavior", "class"]
 # Fixed positions of the columns with many nulls in the expression view.
@@ -14,25 +16,45 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def ratings(spark: SparkSession, folder: str) -> DataFrame:
-    """row_id, userId, movieId, rating, title, genres: one row per line item."""
-    lines, orders, parts = (table(spark, folder, t) for t in ("lineitem", "orders", "part"))
-    joined = (lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-              .join(parts, F.col("l_partkey") == F.col("p_partkey")))
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over the task slots when the input has fewer files than there are slots."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if len(df.inputFiles()) < slots else df
+
+
+def items(spark: SparkSession, folder: str) -> DataFrame:
+    """movieId, title, genres: the dimension behind the ratings."""
+    key = F.col("p_partkey")
+    year = (F.lit(1950) + key % 60).cast("int").cast("string")
+    title = F.when(key % 97 == 0, F.col("p_name")).otherwise(F.concat("p_name", F.lit(" ("), year, F.lit(")")))
+    return table(spark, folder, "part").select(key.alias("movieId"), title.alias("title"),
+                                               F.concat("p_type", F.lit("|"), "p_brand").alias("genres"))
+
+
+def ratings(spark: SparkSession, folder: str, dim: DataFrame | None = None) -> DataFrame:
+    """row_id, userId, movieId, rating and the columns of the dimension: one row per line item."""
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                                                    "l_quantity", "l_extendedprice")
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
     row_id = F.md5(F.concat_ws("-", *[F.col(c).cast("string") for c in
                                       ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")],
                                F.col("l_quantity").cast("int").cast("string"),
                                F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string")))
-    year = (F.lit(1950) + F.col("l_partkey") % 60).cast("int").cast("string")
-    title = F.when(F.col("l_partkey") % 97 == 0, F.col("p_name")).otherwise(
-        F.concat("p_name", F.lit(" ("), year, F.lit(")")))
-    return joined.select(
-        row_id.alias("row_id"), F.col("o_custkey").alias("userId"), F.col("l_partkey").alias("movieId"),
-        (F.ceil(F.col("l_quantity") / 5) / 2).alias("rating"), title.alias("title"),
-        F.concat("p_type", F.lit("|"), "p_brand").alias("genres"))
+    facts = (spread(lines).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+             .select(row_id.alias("row_id"), F.col("o_custkey").alias("userId"), F.col("l_partkey").alias("movieId"),
+                     (F.ceil(F.col("l_quantity") / 5) / 2).alias("rating")))
+    dim = items(spark, folder) if dim is None else dim
+    return facts.join(dim, "movieId").select("row_id", "userId", "movieId", "rating",
+                                             *[c for c in dim.columns if c != "movieId"])
+
+
+def rated(spark: SparkSession, folder: str) -> DataFrame:
+    """``ratings`` with the year, taken from the title once per item rather than once per row."""
+    return ratings(spark, folder, items(spark, folder).withColumn("year", extract_year(F.col("title"))))
 
 
 def movies(spark: SparkSession, folder: str) -> DataFrame:
+    """The items that have ratings."""
     return ratings(spark, folder).select("movieId", "title", "genres").distinct()
 
 

@@ -27,8 +27,7 @@ def query(name: str, oracle: str | None):
     return register
 
 
-def rated(spark, folder) -> DataFrame:
-    return study.with_year(views.ratings(spark, folder))
+rated = views.rated
 
 
 # ---------------------------------------------------------------- sources and sinks
@@ -137,7 +136,7 @@ def _(spark, folder):
 
 @query("extract_year", with_(RATED) + "SELECT row_id, title, cast(year AS bigint) AS year FROM rated")
 def _(spark, folder):
-    return rated(spark, folder).select("row_id", "title", "year")
+    return study.with_year(views.ratings(spark, folder)).select("row_id", "title", "year")
 
 
 @query("str_remove_first", with_(RATINGS) + r"""SELECT row_id, regexp_replace(title, '\(', '') AS no_open,
@@ -420,12 +419,12 @@ def _(spark, folder):
 @query("split_stratified_numeric", with_(RATINGS, sql.hold_out("ratings", "s", 0.1, "row_id", 1, sql.strata("ratings", "rating")))
        + "SELECT row_id, held_out FROM s")
 def _(spark, folder):
-    return split.split_stratified_numeric(views.ratings(spark, folder), "rating", 0.1, ["row_id"], 1).select("row_id", "held_out")
+    return split.split_stratified_numeric(study.prepare(rated(spark, folder)), "rating", 0.1, ["row_id"], 1).select("row_id", "held_out")
 
 
 @query("kfold_stratified", with_(RATINGS, sql.folds("ratings", "f", 10, "row_id", 3, "rating")) + "SELECT row_id, fold FROM f")
 def _(spark, folder):
-    return split.kfold_stratified(views.ratings(spark, folder), "rating", 10, ["row_id"], 3).select("row_id", "fold")
+    return split.kfold_stratified(study.prepare(rated(spark, folder)), "rating", 10, ["row_id"], 3).select("row_id", "fold")
 
 
 @query("holdout_known_keys", with_(RATINGS, sql.hold_out("ratings", "s", 0.1, "row_id", 1, sql.strata("ratings", "rating")),
@@ -433,7 +432,7 @@ def _(spark, folder):
 AND userId IN (SELECT userId FROM s WHERE NOT held_out))""")
        + "SELECT row_id, CASE WHEN row_id IN (SELECT row_id FROM kept) THEN 'validation' ELSE 'model' END AS part FROM s")
 def _(spark, folder):
-    flagged = write_out(split.split_stratified_numeric(views.ratings(spark, folder), "rating", 0.1, ["row_id"], 1), "parts")
+    flagged = write_out(split.split_stratified_numeric(study.prepare(rated(spark, folder)), "rating", 0.1, ["row_id"], 1), "parts")
     train, test = flagged.filter("not held_out"), flagged.filter("held_out")
     kept, model = split.holdout_known_keys(test, train, ["movieId", "userId"], return_removed=True)
     return joins.append_rows(kept.select("row_id", F.lit("validation").alias("part")),
@@ -458,7 +457,7 @@ def _model_sql(count: int) -> str:
 for _i, _name in enumerate(["model_global_mean", "model_item_effect", "model_item_user_effect",
                             "model_item_user_category_effect", "model_full_effects"]):
     def _model(spark, folder, count=_i):
-        test, fitted, mu = study.fixed_model(views.ratings(spark, folder), count)
+        test, fitted, mu = study.fixed_model(rated(spark, folder), count)
         return effects.model_rmse(test, fitted, mu)
     query(_name, _model_sql(_i))(_model)
 
@@ -468,13 +467,13 @@ for _i, _name in enumerate(["model_global_mean", "model_item_effect", "model_ite
     + r6(f"sqrt(avg(power(t.rating - ((SELECT avg(rating) FROM train){sql.total(ORDER[:i])}), 2)))")
     + f" AS rmse FROM test t {sql.chain(ORDER[:i])}" for i, label in enumerate(study.MODELS)))
 def _(spark, folder):
-    return study.rmse_ladder(views.ratings(spark, folder))
+    return study.rmse_ladder(rated(spark, folder))
 
 
 @query("predict_ratings", with_(RATED, sql.train_test("rated"), sql.effects("train", "(SELECT avg(rating) FROM train)", FIXED))
        + f"SELECT row_id, {r6(f'(SELECT avg(rating) FROM train){sql.total(ORDER)}')} AS predicted FROM test t {sql.chain(ORDER)}")
 def _(spark, folder):
-    test, fitted, mu = study.fixed_model(views.ratings(spark, folder), 4)
+    test, fitted, mu = study.fixed_model(rated(spark, folder), 4)
     return effects.predict_ratings(test, fitted, mu).select("row_id", "predicted")
 
 
@@ -494,7 +493,7 @@ FOLDED = sql.folds("train", "folded", 10, "row_id", 3, "rating")
 
 def _tuned(spark, folder, upto: int, errors_of: str):
     """Errors of one effect on every fold and grid value, the earlier effects tuned and fitted."""
-    train = study.folded_training(views.ratings(spark, folder))
+    train = study.folded_training(rated(spark, folder))
     chosen = list(effects.EFFECTS[:upto])
     mu = study.mean_rating(train)
     means = penalties.fold_means(train, "fold", "rating")
@@ -532,7 +531,7 @@ def _(spark, folder):
     f"SELECT {i}::bigint AS pos, '{study.EFFECT_LABELS[e]}' AS effect, {r6('lam')} AS penalty FROM pen_{e}"
     for i, e in enumerate(ORDER, start=1)))
 def _(spark, folder):
-    return study.penalty_table(study.tuned_effects(views.ratings(spark, folder)))
+    return study.penalty_table(study.tuned_effects(rated(spark, folder)))
 
 
 MODEL_SET = ",\n".join([
@@ -548,4 +547,4 @@ _FINAL_SUM = "(SELECT avg(rating) FROM modelling) + coalesce(final_me.me, 0) + f
 
 @query("fit_final_and_validate", FINAL + f"SELECT {r6(f'sqrt(avg(power(t.rating - ({_FINAL_SUM}), 2)))')} AS rmse FROM valid t {sql.chain(ORDER, 'final_')}")
 def _(spark, folder):
-    return study.fit_final_and_validate(views.ratings(spark, folder))["rmse"]
+    return study.fit_final_and_validate(rated(spark, folder))["rmse"]
