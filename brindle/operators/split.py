@@ -134,8 +134,8 @@ def kfold_stratified(df: DataFrame, y: str, k: int, key: list[str], seed: int,
 
 def hash_split(df: DataFrame, p: float, key: list[str], seed: int, name: str = "held_out") -> DataFrame:
     """Approximate share ``p`` from one expression per row: no job before, no shuffle."""
-    bucket = F.pmod(F.xxhash64(*[F.col(k) for k in key], F.lit(seed)), F.lit(1_000_000))
-    return df.withColumn(name, bucket < F.lit(int(round(p * 1_000_000))))
+    limit = min(int(round(p * 16**8)), 16**8 - 1)
+    return df.withColumn(name, F.substring(row_hash(key, seed), 1, 8) < F.lit(f"{limit:08x}"))
 
 
 def known_key_flag(df: DataFrame, held_out: str, keys: list[str], name: str = "known") -> DataFrame:

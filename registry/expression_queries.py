@@ -89,7 +89,8 @@ def _(spark, folder):
     return columns.across(df, CHOSEN, lambda c: F.coalesce(c, F.lit(0.0)) * 2)
 
 
-@query("features_to_vector", None)
+@query("features_to_vector", C + "\nUNION ALL ".join(
+    f"SELECT MouseID, {i}::bigint AS position, {r6(c)} AS value FROM complete" for i, c in enumerate(KEPT)))
 def _(spark, folder):
     from pyspark.ml.functions import vector_to_array
     vectors = columns.features_to_vector(clean(spark, folder), KEPT)
@@ -237,7 +238,19 @@ def _(spark, folder):
     return agg.accuracy(views.proteins(spark, folder), "Genotype", "Treatment")
 
 
-@query("bootstrap_weights", None)
+_WEIGHT = " + ".join(f"(u >= {c!r})::int" for c in split._POISSON_1)
+
+
+def _drawn_sql(source: str, key: str, resamples: int, seed: int) -> str:
+    """CTE ``drawn``: every row once per resample with its weight."""
+    digest = f"md5(concat_ws('#', {sql.hashed(key, seed)}, b))"
+    return f"""drawn AS MATERIALIZED (SELECT *, ({_WEIGHT})::double AS weight FROM (
+SELECT s.*, b::bigint AS resample, ('0x' || substr({digest}, 1, 8))::bigint / 4294967296.0::double AS u
+FROM {source} s, (SELECT unnest(range(1, {resamples + 1})) AS b)))"""
+
+
+@query("bootstrap_weights", with_(sql.proteins(), _drawn_sql("proteins", "MouseID", 25, 1986))
+       + "SELECT MouseID, class, resample, weight FROM drawn")
 def _(spark, folder):
     return split.bootstrap_weights(views.proteins(spark, folder).select("MouseID", "class"), 25, ["MouseID"], 1986)
 
@@ -358,7 +371,22 @@ def _(spark, folder):
                                lambda rows, gain: cls.fit_tree(rows, gain, "weight", 10), [0.0, 0.02, 0.05], resamples=3)
 
 
-@query("tune_classifier_knn", None)
+def _tune_knn_sql(cols: list[str], ks: list[int], resamples: int) -> str:
+    gap = " + ".join(f"power(a.{c} - b.{c}, 2)" for c in cols)
+    grid_k = ", ".join(f"({k})" for k in ks)
+    return with_(sql.proteins(), complete(), SPLIT, "train AS (SELECT * FROM parts WHERE NOT held_out)",
+                 _drawn_sql("train", "MouseID", resamples, 1986), f"grid_k(k) AS (VALUES {grid_k})", f"""ends AS MATERIALIZED (
+SELECT *, sum(weight) OVER (PARTITION BY resample, MouseID ORDER BY gap, near) AS fin FROM (
+SELECT a.resample, a.MouseID, a.class AS truth, b.class AS label, b.MouseID AS near, b.weight, {gap} AS gap
+FROM drawn a JOIN drawn b ON a.resample = b.resample AND a.weight = 0 AND b.weight > 0)),
+ballots AS (SELECT resample, k, MouseID, truth, label, sum(least(weight, k - (fin - weight))) AS n
+FROM ends, grid_k WHERE fin - weight < k GROUP BY ALL),
+chosen AS (SELECT *, row_number() OVER (PARTITION BY resample, k, MouseID ORDER BY n DESC, label) AS rn FROM ballots),
+per AS (SELECT resample, k, avg((truth = label)::int) AS a FROM chosen WHERE rn = 1 GROUP BY resample, k)""") + (
+        f"SELECT {len(cols)}::bigint AS size, k::bigint AS k, {r6('avg(a)')} AS accuracy FROM per GROUP BY k")
+
+
+@query("tune_classifier_knn", _tune_knn_sql(KEPT, list(range(2, 21)), 25))
 def _(spark, folder):
     train, _ = parts(spark, folder)
     return cls.tune_knn(columns.features_to_array(train, KEPT), "MouseID", "class", list(range(2, 21)), resamples=25)

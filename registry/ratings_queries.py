@@ -439,7 +439,7 @@ def _(spark, folder):
                              model.select("row_id", F.lit("model").alias("part")))
 
 
-@query("hash_split", None)
+@query("hash_split", with_(RATINGS) + f"SELECT row_id, substr({sql.hashed('row_id', 1)}, 1, 8) < '{round(0.1 * 16**8):08x}' AS held_out FROM ratings")
 def _(spark, folder):
     return split.hash_split(views.ratings(spark, folder), 0.1, ["row_id"], 1).select("row_id", "held_out")
 
