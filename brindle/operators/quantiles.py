@@ -13,6 +13,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from brindle.functions.numbers import double_array
 from brindle.operators.joins import null_safe_join
 from brindle.storage import write_out
 
@@ -37,21 +38,21 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float]
 
     margin = 2.0 / accuracy
     marks = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-margin, margin)})
-    sketch = write_out(
-        rows.groupBy(*keys).agg(
-            F.count("__v").alias("n"), F.approx_count_distinct("__v").alias("__distinct"),
-            F.array_distinct(F.percentile_approx("__v", marks, accuracy)).alias("__edges")),
-        "sketch")
-    if (sketch.agg(F.max("__distinct")).first()[0] or 0) <= buffered:
+    sketch = rows.groupBy(*keys).agg(
+        F.count("__v").alias("n"), F.approx_count_distinct("__v").alias("__distinct"),
+        F.array_distinct(F.percentile_approx("__v", marks, accuracy)).alias("__edges"))
+    one = sketch.first() if whole else None
+    sketch = sketch if whole else write_out(sketch, "sketch")
+    widest = one["__distinct"] if one else (None if whole else sketch.agg(F.max("__distinct")).first()[0])
+    if (widest or 0) <= buffered:
         direct = rows.groupBy(*by) if by else rows.groupBy()
         direct = direct.agg(F.count("__v").alias("n"), F.percentile("__v", [float(p) for p in probs]).alias(name))
         return direct if by else direct.filter("n > 0")
-    sketch = sketch.drop("__distinct")
     if whole:
-        sketch = F.broadcast(sketch)  # one row
-
-    binned = (null_safe_join(rows, sketch, keys, "inner")
-              .withColumn("__bin", F.size(F.filter("__edges", lambda e: e < F.col("__v")))))
+        joined = rows.withColumns({"n": F.lit(one["n"]), "__edges": double_array(one["__edges"])})
+    else:
+        joined = null_safe_join(rows, sketch.drop("__distinct"), keys, "inner")
+    binned = joined.withColumn("__bin", F.size(F.filter("__edges", lambda e: e < F.col("__v"))))
 
     # At most 2 * len(probs) + 1 brackets per group, so this window is short.
     per_bin = binned.groupBy(*keys, "n", "__bin").agg(F.count(F.lit(1)).alias("__rows"))

@@ -24,6 +24,8 @@ _QUARTERS = [0.0, 0.25, 0.5, 0.75, 1.0]
 LITERAL_STRATA = 100
 
 
+# Rows up to which the table of wanted ranks is broadcast.
+BROADCAST_RANKS = 5000
 # Rows of one hash prefix that a single task may sort; a longer prefix is tried beyond.
 PREFIX_ROWS = 5_000_000
 
@@ -41,13 +43,23 @@ def _prefix_ranks(rows: DataFrame, strata: list[str], ranks: Callable[[Column],
                              F.explode(F.transform(here, lambda r: r - F.col("__before"))).alias("__pos"))
 
 
+def _small_or_written(ranks: DataFrame) -> tuple[DataFrame, int]:
+    """The table as a broadcast of checked size, or else written out; and its largest prefix."""
+    found = ranks.limit(BROADCAST_RANKS + 1).collect()
+    if len(found) <= BROADCAST_RANKS:
+        table = ranks.sparkSession.createDataFrame(found, ranks.schema)
+        return F.broadcast(table), max((r["__rows"] for r in found), default=0)
+    table = write_out(ranks, "ranks")
+    return table, table.agg(F.max("__rows")).first()[0]
+
+
 def hash_cuts(hashed: DataFrame, strata: list[str], ranks: Callable[[Column], Column],
               prefix_digits: int = 3, prefix_rows: int = PREFIX_ROWS) -> DataFrame:
     """(strata, __cuts): the hashes ``__h`` at the 1-based ``ranks(n)`` of every stratum, ascending."""
     while True:
         rows = hashed.select(*strata, "__h", F.substring("__h", 1, prefix_digits).alias("__prefix"))
-        wanted = write_out(_prefix_ranks(rows, strata, ranks), "ranks")
-        if (wanted.agg(F.max("__rows")).first()[0] or 0) <= prefix_rows or prefix_digits >= 12:
+        wanted, largest = _small_or_written(_prefix_ranks(rows, strata, ranks))
+        if largest <= prefix_rows or prefix_digits >= 12:
             break
         prefix_digits += 2
     wanted = wanted.drop("__rows")
