@@ -12,10 +12,6 @@ from brindle.operators.quantiles import exact_quantiles
 from brindle.storage import write_out
 
 
-def _floating(df: DataFrame, col: str) -> bool:
-    return dict(df.dtypes)[col] in ("double", "float")
-
-
 def global_mean(df: DataFrame, col: str, na_rm: bool = False) -> DataFrame:
     return df.agg(strict_avg(F.col(col), na_rm).alias("mean"))
 
@@ -58,7 +54,8 @@ def two_level_stats(df: DataFrame, key: str, value: str) -> DataFrame:
 
 def null_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     """One row: missing cells per column."""
-    return df.agg(*[F.count_if(is_missing(F.col(c), _floating(df, c))).alias(c) for c in cols])
+    floating = {c for c, kind in df.dtypes if kind in ("double", "float")}
+    return df.agg(*[F.count_if(is_missing(F.col(c), c in floating)).alias(c) for c in cols])
 
 
 def shrunken_effect(df: DataFrame, key: str, residual: Column, penalty: float | Column,
@@ -162,7 +159,7 @@ def impute_group_median(df: DataFrame, group: str, cols: list[str], accuracy: in
     """Fill missing cells by the median of the same group; a group without values stays as it is."""
     medians = write_out(group_medians(df, group, cols, accuracy), "medians")
     joined = null_safe_join(df, medians, [group])
-    filled = {c: F.when(is_missing(F.col(c)), F.try_element_at("__medians", F.lit(c))).otherwise(F.col(c))
+    filled = {c: F.expr(f"CASE WHEN `{c}` IS NULL OR isnan(`{c}`) THEN try_element_at(__medians, '{c}') ELSE `{c}` END")
               for c in cols}
     return joined.withColumns(filled).drop("__medians")
 

@@ -63,10 +63,10 @@ def proteins(spark: SparkSession, folder: str) -> DataFrame:
     vec, label = F.col("vec_id"), F.col("label").cast("bigint")
 
     def level(i: int):
-        gap = (vec % 3 == 0) if i in SPARSE else ((vec * 31 + i * 7) % 53 == 0)
-        return F.when(~gap, F.col("embedding")[i].cast("double")).alias(PROTEINS[i])
+        gap = "vec_id % 3 = 0" if i in SPARSE else f"(vec_id * 31 + {i * 7}) % 53 = 0"
+        return F.expr(f"CASE WHEN NOT ({gap}) THEN cast(embedding[{i}] AS double) END AS {PROTEINS[i]}")
 
     return table(spark, folder, "embeddings").select(
-        vec.alias("MouseID"), *[level(i) for i in range(64)],
+        vec.alias("MouseID"), *[level(i) for i in range(len(PROTEINS))],
         (label % 2).alias("Genotype"), (F.floor(label / 2) % 2).alias("Treatment"),
         (F.floor(label / 4) % 2).alias("Behavior"), label.alias("class"))

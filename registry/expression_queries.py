@@ -392,6 +392,13 @@ def _(spark, folder):
     return cls.tune_knn(columns.features_to_array(train, KEPT), "MouseID", "class", list(range(2, 21)), resamples=25)
 
 
+@query("tune_classifier_forest", None)
+def _(spark, folder):
+    train, _ = parts(spark, folder)
+    return cls.tune_classifier(_indexed(train, CHOSEN), "MouseID",
+                               lambda rows, mtry: cls.fit_forest(rows, int(mtry), 10, "weight", 8), [2, 6], resamples=2)
+
+
 def _components(spark, folder):
     train, test = parts(spark, folder)
     scaled = [write_out(study.standardize(train, d, KEPT), "scaled") for d in (train, test)]
@@ -441,6 +448,14 @@ def _(spark, folder):
                                [2, 10, 30], [0.0], resamples=2)
 
 
+@query("tune_components_forest", None)
+def _(spark, folder):
+    found, train, _ = _components(spark, folder)
+    scores = cls.with_label_index(train, "class").transform(found.project(train))
+    return cls.tune_components(scores, "MouseID", lambda rows, mtry: cls.fit_forest(rows, int(mtry), 10, "weight", 8),
+                               [5, 20], [2], resamples=1)
+
+
 _KS = (2, 3, 5)
 
 

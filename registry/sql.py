@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from brindle.sources.views import PROTEINS, SPARSE
 
@@ -25,15 +25,12 @@ def r6(expr: str) -> str:
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """All doubles rounded, with no negative zero; integers widened."""
-    cols = []
-    for name, kind in df.dtypes:
-        c = F.col(f"`{name}`")
+    def column(name: str, kind: str) -> str:
         if kind in ("double", "float"):
-            c = F.round(c.cast("double"), digits) + F.lit(0.0)
-        elif kind in ("int", "smallint", "tinyint"):
-            c = c.cast("bigint")
-        cols.append(c.alias(name))
-    return df.select(*cols)
+            return f"round(cast(`{name}` AS double), {digits}) + 0.0D AS `{name}`"
+        return f"cast(`{name}` AS bigint) AS `{name}`" if kind in ("int", "smallint", "tinyint") else f"`{name}`"
+
+    return df.selectExpr(*[column(name, kind) for name, kind in df.dtypes])
 
 
 def proteins(name: str = "proteins") -> str:
