@@ -2,7 +2,6 @@
 
 import math
 
-import duckdb
 import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
