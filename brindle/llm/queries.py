@@ -4,8 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brindle.llm import exact_dedup as dedup, mixing
-from brindle.llm.tables import table
+from brindle.llm import exact_dedup as dedup, mixing, ngram_scores
+from brindle.llm.tables import hash_mod, table
+
+# crc32 of an id as text, which the SQL engine lacks: fold its bytes bit by bit.
+CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+    string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: [ascii(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END))"""
+
+
+def op1_ngram_scores(spark: SparkSession, folder: str) -> DataFrame:
+    scored = ngram_scores.score_texts(table(spark, folder, "documents"), hash_mod("doc_id", 5) == 1)
+    return scored.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
+
+
+OP1_SQL = rf"""
+WITH docs AS (SELECT doc_id, {CRC} % 5 = 1 AS held_out,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+tokens AS (SELECT doc_id, held_out, unnest(list_append(w, ' ')) AS w, generate_subscripts(list_append(w, ' '), 1) AS i FROM docs),
+grams AS (SELECT *, lag(w) OVER d AS v, lag(w, 2) OVER d AS u FROM tokens WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+c1 AS (SELECT w, count(*) AS n FROM grams WHERE NOT held_out GROUP BY ALL),
+c2 AS (SELECT v, w, count(*) AS n FROM grams WHERE NOT held_out AND v IS NOT NULL GROUP BY ALL),
+c3 AS (SELECT u, v, w, count(*) AS n FROM grams WHERE NOT held_out AND u IS NOT NULL GROUP BY ALL),
+size AS (SELECT CAST(sum(n) AS BIGINT) AS total, count(*) AS words FROM c1),
+counted AS (
+  SELECT doc_id, held_out, total, coalesce(c1.n, 0) AS n1, coalesce(c2.n, 0) AS n2, coalesce(c3.n, 0) AS n3,
+         coalesce(h1.n, 0) AS h1, coalesce(h2.n, 0) AS h2, (coalesce(c1.n, 0) + 0.5) / (total + 0.5 * (words + 1)) AS p1
+  FROM grams g CROSS JOIN size LEFT JOIN c1 ON c1.w = g.w LEFT JOIN c2 ON c2.v = g.v AND c2.w = g.w
+  LEFT JOIN c3 ON c3.u = g.u AND c3.v = g.v AND c3.w = g.w
+  LEFT JOIN c1 h1 ON h1.w = g.v LEFT JOIN c2 h2 ON h2.v = g.u AND h2.w = g.v),
+two AS (SELECT *, CASE WHEN h1 > 0 THEN (n2 + 4.0 * p1) / (h1 + 4.0) ELSE p1 END AS p2 FROM counted),
+three AS (SELECT *, CASE WHEN h2 > 0 THEN (n3 + 4.0 * p2) / (h2 + 4.0) ELSE p2 END AS p3 FROM two)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (WHERE n1 > 0) AS n_known, total AS train_tokens,
+       round(fsum(log10(p1::DOUBLE)), 6) AS base_score, round(fsum(log10(p3::DOUBLE)), 6) AS score FROM three GROUP BY doc_id, held_out, total
+"""
 
 
 def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -49,6 +81,7 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 """
 
 QUERIES = {
+    "op1_ngram_scores": (op1_ngram_scores, OP1_SQL),
     "op7_exact_dedup": (op7_exact_dedup, OP7_SQL),
     "op10_mixing": (op10_mixing, OP10_SQL),
 }
