@@ -2,9 +2,11 @@
 
 States are the contexts of up to two words that the training texts hold, arcs are n-grams with their
 smoothed probability, and a failure arc leads from a context to the one without its first word. The
-smoothing is the Dirichlet prior of MacKay and Peto (1995): with p(w) the unigram estimate,
+smoothing is a Dirichlet prior (MacKay and Peto 1995): with p(w) the unigram estimate,
 p(w|h) = (c(hw) + m p(w|h')) / (c(h) + m), so the failure arc of h weighs m / (c(h) + m) and every
-state's probabilities sum to one. Counts are exact over all training texts; nothing is pruned.
+state's probabilities sum to one. The mass m = a c(h)^b grows with the context as the number of its
+different continuations does (Heaps' law), so no such number has to be gathered. Counts are exact
+over all training texts; nothing is pruned.
 
 No model is held whole anywhere. Texts are cut into blocks of about a million words. A block sends the
 distinct n-grams it holds, with its own training counts, to buckets by their hash; a bucket adds them
@@ -154,7 +156,7 @@ def _total(group: pa.Table) -> pa.Table:
                      "totals": pa.array([_pack(totals[:0]), *out_totals], pa.binary())})
 
 
-def _traverse(n_train: int, n_words: int, prior: float):
+def _traverse(n_train: int, n_words: int, prior: tuple[float, float]):
     """Scores of the texts of one block, from its own counts and the totals that were sent back."""
 
     def sums(b: _Block, values: np.ndarray) -> np.ndarray:
@@ -180,8 +182,9 @@ def _traverse(n_train: int, n_words: int, prior: float):
                 context[b.place < order] = 0
                 known = context > 0
                 arc, fail = arcs[-1].copy(), np.zeros(n)
-                arc[known] = np.log10((count[order][known] + prior * 10.0 ** arcs[-1][known]) / (context[known] + prior))
-                fail[known] = np.log10(prior / (context[known] + prior))
+                mass = prior[0] * context[known] ** prior[1]
+                arc[known] = np.log10((count[order][known] + mass * 10.0 ** arcs[-1][known]) / (context[known] + mass))
+                fail[known] = np.log10(mass / (context[known] + mass))
                 arcs.append(arc)
                 fails.append(fail)
             state = np.where(fails[2] < 0, 2, np.where(fails[1] < 0, 1, 0))
@@ -208,8 +211,9 @@ _RESULT = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens",
                      ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def score_texts(docs: DataFrame, held_out: Column, *, key: str = "doc_id", text: str = "text", prior: float = 4.0) -> DataFrame:
-    """Score every text; those where ``held_out`` is not true are also learned from."""
+def score_texts(docs: DataFrame, held_out: Column, *, key: str = "doc_id", text: str = "text",
+                prior: tuple[float, float] = (4.0, 0.9)) -> DataFrame:
+    """Score every text; those where ``held_out`` is not true are also learned from. ``prior`` holds a and b."""
     blocks = stage(docs.select(F.col(key).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text).alias("body"))
                    .mapInArrow(_blocks, _BLOCK), "scores-blocks")
     n_train, tokens = blocks.agg(F.sum("train_tokens"), F.sum("n")).first()

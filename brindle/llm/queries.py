@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brindle.llm import exact_dedup as dedup, mixing, ngram_scores
+from brindle.llm import exact_dedup as dedup, mixing, ngram_scores, packing
 from brindle.llm.tables import hash_mod, table
 
 # crc32 of an id as text, which the SQL engine lacks: fold its bytes bit by bit.
@@ -33,13 +33,20 @@ counted AS (
   FROM grams g CROSS JOIN size LEFT JOIN c1 ON c1.w = g.w LEFT JOIN c2 ON c2.v = g.v AND c2.w = g.w
   LEFT JOIN c3 ON c3.u = g.u AND c3.v = g.v AND c3.w = g.w
   LEFT JOIN c1 h1 ON h1.w = g.v LEFT JOIN c2 h2 ON h2.v = g.u AND h2.w = g.v),
-two AS (SELECT *, CASE WHEN h1 > 0 THEN (n2 + 4.0 * p1) / (h1 + 4.0) ELSE p1 END AS p2 FROM counted),
-three AS (SELECT *, CASE WHEN h2 > 0 THEN (n3 + 4.0 * p2) / (h2 + 4.0) ELSE p2 END AS p3 FROM two)
+two AS (SELECT *, CASE WHEN h1 > 0 THEN (n2 + 4.0 * pow(h1, 0.9) * p1) / (h1 + 4.0 * pow(h1, 0.9)) ELSE p1 END AS p2 FROM counted),
+three AS (SELECT *, CASE WHEN h2 > 0 THEN (n3 + 4.0 * pow(h2, 0.9) * p2) / (h2 + 4.0 * pow(h2, 0.9)) ELSE p2 END AS p3 FROM two)
 SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (WHERE n1 > 0) AS n_known, total AS train_tokens,
        round(fsum(log10(p1::DOUBLE)), 6) AS base_score, round(fsum(log10(p3::DOUBLE)), 6) AS score FROM three GROUP BY doc_id, held_out, total
 """
 
 
+def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens")
+
+
 def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return dedup.exact_dedup(*dedup.split_by_hash(table(spark, folder, "documents")))
 
@@ -82,6 +89,7 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 
 QUERIES = {
     "op1_ngram_scores": (op1_ngram_scores, OP1_SQL),
+    "op4_packing": (op4_packing, None),
     "op7_exact_dedup": (op7_exact_dedup, OP7_SQL),
     "op10_mixing": (op10_mixing, OP10_SQL),
 }
