@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brindle.llm import exact_dedup as dedup, mixing, ngram_scores, packing
+from brindle.llm import exact_dedup as dedup, fingerprints, mixing, ngram_scores, packing, secret_scan as secrets
 from brindle.llm.tables import hash_mod, table
 
 # crc32 of an id as text, which the SQL engine lacks: fold its bytes bit by bit.
@@ -40,6 +40,38 @@ SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (WHERE n1 > 0) AS
 """
 
 
+def op2_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, folder, "documents"))
+
+
+def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, folder, "documents"))
+
+
+def _secrets_sql() -> str:
+    def spans(order: int, rule: secrets.Rule) -> str:
+        pattern = rule.pattern.replace("'", "''")
+        place = "list_sum(gaps[:i]) + coalesce(list_sum(found[:i - 1]), 0)"
+        return f"""(SELECT doc_id, {order} AS o, '{rule.kind}' AS kind, {place} AS s, {place} + found[i] AS e FROM (
+            SELECT *, unnest(range(1, len(found) + 1)) AS i FROM (SELECT doc_id,
+              list_transform(string_split_regex(body, '{pattern}'), lambda x: len(x)) AS gaps,
+              list_transform(regexp_extract_all(body, '{pattern}'), lambda x: len(x)) AS found,
+              list_transform(regexp_extract_all(body, '{pattern}', {rule.group}), lambda x: len(x)) AS valued FROM docs))
+          WHERE valued[i] >= {rule.least})"""
+
+    rules = secrets.BASE_RULES + secrets.MORE_RULES
+    counts = ", ".join(f"count(s) FILTER (WHERE kind = '{r.kind}') AS n_{r.kind}" for r in secrets.BASE_RULES)
+    text = "string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, o)"
+    return f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+      spans AS ({" UNION ALL ".join(spans(i, r) for i, r in enumerate(rules))})
+    SELECT d.doc_id, {counts}, sha256(coalesce({text} FILTER (WHERE o < {len(secrets.BASE_RULES)}), '')) AS base_sha256,
+           coalesce({text} FILTER (WHERE s IS NOT NULL), '') AS spans
+    FROM docs d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id"""
+
+
+OP3_SQL = _secrets_sql()
+
+
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -89,6 +121,8 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 
 QUERIES = {
     "op1_ngram_scores": (op1_ngram_scores, OP1_SQL),
+    "op2_fingerprints": (op2_fingerprints, None),
+    "op3_secrets": (op3_secrets, OP3_SQL),
     "op4_packing": (op4_packing, None),
     "op7_exact_dedup": (op7_exact_dedup, OP7_SQL),
     "op10_mixing": (op10_mixing, OP10_SQL),
