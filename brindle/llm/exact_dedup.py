@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from brindle.llm.tables import hash_mod, stage
+from brindle.llm.tables import hash_mod, join_spread, stage
 from brindle.llm.words import mix as mix64
 
 SHARD_KEYS = 200_000
@@ -142,7 +142,7 @@ def _with_text(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataF
             .where(F.unhex(F.sha2("body", 256)) == F.col("digest")).select("digest", "body"))
 
 
-def exact_dedup(snapshot: DataFrame, batch: DataFrame, *, key: str = "doc_id", text: str = "text", salts: int = 64) -> DataFrame:
+def exact_dedup(snapshot: DataFrame, batch: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``snapshot`` and ``batch``: key, keep_id, group_size, kept, text_sha256."""
     old_rows, new_rows = stage(digests(snapshot, key, text), "dedup-old-rows"), stage(digests(batch, key, text), "dedup-new-rows")
     old, new = groups(old_rows, "dedup-old"), groups(new_rows, "dedup-new")
@@ -161,11 +161,8 @@ def exact_dedup(snapshot: DataFrame, batch: DataFrame, *, key: str = "doc_id", t
 
     whole = (old.withColumn("apart", F.lit(0)).unionByName(marked(new)).groupBy("digest", "apart")
              .agg(F.min("keep").alias("keep_id"), F.sum("n").alias("group_size")))
-    rows = (old_rows.withColumn("apart", F.lit(0)).unionByName(marked(new_rows))
-            .withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts))))
-    # a digest is spread over the salts that its rows have, so a hot one is no single task
-    spread = rows.select("digest", "apart", "salt").distinct().join(whole, ["digest", "apart"])
-    return (rows.join(spread, ["digest", "apart", "salt"])
+    rows = (old_rows.withColumn("apart", F.lit(0)).unionByName(marked(new_rows)))
+    return (join_spread(rows, whole, ["digest", "apart"], "id")
             .select(F.col("id").alias(key), "keep_id", F.col("group_size").cast("long").alias("group_size"),
                     F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")))
 

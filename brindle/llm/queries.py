@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brindle.llm import exact_dedup as dedup, fingerprints, mixing, ngram_scores, packing, secret_scan as secrets
+from brindle.llm import exact_dedup as dedup, fingerprints, mixing, near_dedup, ngram_scores, packing, secret_scan as secrets
 from brindle.llm.tables import hash_mod, table
 
 # crc32 of an id as text, which the SQL engine lacks: fold its bytes bit by bit.
@@ -90,6 +90,25 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS keep_id, count(*) OVER (PART
 """
 
 
+def op8_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, folder, "documents"))
+
+
+# Exact: every pair of texts that share a shingle; the component is reached along links.
+OP8_SQL = r"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+runs AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END)) AS s FROM docs),
+sizes AS (SELECT d.doc_id, count(s) AS n FROM docs d LEFT JOIN runs r USING (doc_id) GROUP BY d.doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM runs x JOIN runs y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM docs UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
+SELECT s.doc_id, n AS n_shingles, min(other) AS component_id, s.doc_id = min(other) AS kept
+FROM sizes s JOIN reach r USING (doc_id) GROUP BY s.doc_id, n
+"""
+
+
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.take_plan(table(spark, folder, "documents")).drop("tie")
 
@@ -125,5 +144,6 @@ QUERIES = {
     "op3_secrets": (op3_secrets, OP3_SQL),
     "op4_packing": (op4_packing, None),
     "op7_exact_dedup": (op7_exact_dedup, OP7_SQL),
+    "op8_near_dedup": (op8_near_dedup, OP8_SQL),
     "op10_mixing": (op10_mixing, OP10_SQL),
 }

@@ -21,3 +21,12 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 def hash_mod(column: str, mod: int) -> Column:
     """crc32 of the value as text, modulo ``mod``; a null value counts as the text ``null``."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("null")).cast("binary")) % mod
+
+
+def join_spread(rows: DataFrame, table: DataFrame, keys: list[str], by: str, salts: int = 64) -> DataFrame:
+    """Inner join of ``rows`` with ``table`` (one row per key) that spreads a hot key over many tasks.
+
+    The table's rows are copied to the salts that a key's rows have, at most ``salts`` per key.
+    """
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)))
+    return salted.join(salted.select(*keys, "__salt").distinct().join(table, keys), [*keys, "__salt"]).drop("__salt")
