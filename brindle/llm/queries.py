@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brindle.llm import exact_dedup as dedup, fingerprints, mixing, near_dedup, ngram_scores, packing, secret_scan as secrets
+from brindle.llm import exact_dedup as dedup, fingerprints, language_id, mixing, near_dedup, ngram_scores, packing, secret_scan as secrets
 from brindle.llm.tables import hash_mod, table
 
 # crc32 of an id as text, which the SQL engine lacks: fold its bytes bit by bit.
@@ -109,6 +109,10 @@ FROM sizes s JOIN reach r USING (doc_id) GROUP BY s.doc_id, n
 """
 
 
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.identify(table(spark, folder, "documents"), hash_mod("doc_id", 3) == 1)
+
+
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.take_plan(table(spark, folder, "documents")).drop("tie")
 
@@ -145,5 +149,6 @@ QUERIES = {
     "op4_packing": (op4_packing, None),
     "op7_exact_dedup": (op7_exact_dedup, OP7_SQL),
     "op8_near_dedup": (op8_near_dedup, OP8_SQL),
+    "op9_language_id": (op9_language_id, None),
     "op10_mixing": (op10_mixing, OP10_SQL),
 }
