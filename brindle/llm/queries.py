@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brindle.llm import exact_dedup as dedup, fingerprints, language_id, mixing, near_dedup, ngram_scores, packing, secret_scan as secrets
+from brindle.llm import exact_dedup as dedup, fingerprints, language_id, mixing, near_dedup, ngram_scores, packing, quality, secret_scan as secrets
 from brindle.llm.tables import hash_mod, table
 
 # crc32 of an id as text, which the SQL engine lacks: fold its bytes bit by bit.
@@ -79,6 +79,10 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens")
 
 
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"), hash_mod("doc_id", 5) == 0)
+
+
 def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return dedup.exact_dedup(*dedup.split_by_hash(table(spark, folder, "documents")))
 
@@ -147,6 +151,7 @@ QUERIES = {
     "op2_fingerprints": (op2_fingerprints, None),
     "op3_secrets": (op3_secrets, OP3_SQL),
     "op4_packing": (op4_packing, None),
+    "op5_quality": (op5_quality, None),
     "op7_exact_dedup": (op7_exact_dedup, OP7_SQL),
     "op8_near_dedup": (op8_near_dedup, OP8_SQL),
     "op9_language_id": (op9_language_id, None),
