@@ -20,7 +20,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from brindle.llm.linear import hinge_fit
 from brindle.llm.words import buffer
@@ -169,8 +169,8 @@ def _predict(machines: Machines | None):
                     lettered = some.column(2).to_pylist()
                     langs = [x if ok else "und" for x, ok in zip(langs, lettered)]
                     scores = np.where(np.array(lettered, bool), scores, 0.0)
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(langs, pa.string()), pa.array(scores)],
-                                                 names=["id", "held_out", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(langs, pa.string()), pa.array(scores), *some.columns[4:]],
+                                                 names=["id", "held_out", "lang_pred", "score", *some.schema.names[4:]])
     return run
 
 
@@ -190,10 +190,12 @@ def fit(docs: DataFrame, held_out: Column, *, key: str, text: str, lang: str, pe
     return Machines([(a, np.frombuffer(b, np.int16).astype(np.int64), np.frombuffer(c, np.float32).astype(float)) for a, b, c in rows]) if rows else None
 
 
-def identify(docs: DataFrame, held_out: Column, *, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 400) -> DataFrame:
-    """One row per document: key, held_out, lang_pred, score."""
+def identify(docs: DataFrame, held_out: Column, *, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 400,
+             whole_rows: bool = False) -> DataFrame:
+    """One row per document: key, held_out, lang_pred, score; with ``whole_rows`` also ``row``, a struct of all columns."""
     held = F.coalesce(held_out, F.lit(False))
     machines = fit(docs, held, key=key, text=text, lang=lang, per_language=per_language)
+    out = T.StructType().add("id", "long").add("held_out", "boolean").add("lang_pred", "string").add("score", "double")
     rows = docs.select(F.col(key).cast("long").alias("id"), held.alias("held_out"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("lettered"),
-                       F.col(text).cast("string").alias("body"))
-    return rows.mapInArrow(_predict(machines), "id long, held_out boolean, lang_pred string, score double").withColumnRenamed("id", key)
+                       F.col(text).cast("string").alias("body"), *([F.struct(*docs.columns).alias("row")] if whole_rows else []))
+    return rows.mapInArrow(_predict(machines), out.add("row", docs.schema) if whole_rows else out).withColumnRenamed("id", key)

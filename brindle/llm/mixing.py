@@ -98,8 +98,9 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n_chars: st
     joined = one.join(plan, one[key].eqNullSafe(F.col("__k")) & (F.col("__tie") == F.col("__t")))
     pieces = F.expr("transform(sequence(1, cast(ceil(__taken / __size) as int)), i -> least(__size, __taken - (i - 1) * __size))")
     out = joined.withColumn("__words", F.explode(pieces))
-    head = F.regexp_extract(F.col(text), F.concat(F.lit(r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+[\x20\x09-\x0D]*){"),
-                                                  F.col("__words").cast("string"), F.lit("}")), 0)
+    # each word with the white space before it, so that the first of them make up a prefix of the text
+    steps = F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    head = F.array_join(F.slice(steps, F.lit(1), F.col("__words").cast("int")), "")
     cut = F.when(F.col("__words") < F.col("__size"), head).otherwise(F.col(text))
     out = out.withColumn(text, cut)
     if n_chars in cols:

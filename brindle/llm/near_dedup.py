@@ -139,7 +139,7 @@ def _ties(nodes: DataFrame) -> DataFrame:
     return join_spread(keys, buckets, ["key"], "id").where("a < id").select("a", F.col("id").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: key, n_shingles, component_id, kept."""
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).cast("string").alias("body"))
     signed = stage(rows.mapInArrow(_signatures(size), "id long, n long, d1 long, d2 long, a array<long>, b array<long>"), "near-signatures")

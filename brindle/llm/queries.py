@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brindle.llm import exact_dedup as dedup, fingerprints, language_id, mixing, near_dedup, ngram_scores, packing, quality, secret_scan as secrets
+from brindle.llm import exact_dedup as dedup, fingerprints, language_id, main_text, mixing, near_dedup, ngram_scores, packing, quality, secret_scan as secrets
 from brindle.llm.tables import hash_mod, table
 
 # crc32 of an id as text, which the SQL engine lacks: fold its bytes bit by bit.
@@ -83,6 +83,10 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"), hash_mod("doc_id", 5) == 0)
 
 
+def op6_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text.extract_main_text(table(spark, folder, "pages"))
+
+
 def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return dedup.exact_dedup(*dedup.split_by_hash(table(spark, folder, "documents")))
 
@@ -95,7 +99,7 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS keep_id, count(*) OVER (PART
 
 
 def op8_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, folder, "documents"))
+    return near_dedup.near_duplicates(table(spark, folder, "documents"), size=4)
 
 
 # Exact: every pair of texts that share a shingle; the component is reached along links.
@@ -152,6 +156,7 @@ QUERIES = {
     "op3_secrets": (op3_secrets, OP3_SQL),
     "op4_packing": (op4_packing, None),
     "op5_quality": (op5_quality, None),
+    "op6_main_text": (op6_main_text, None),
     "op7_exact_dedup": (op7_exact_dedup, OP7_SQL),
     "op8_near_dedup": (op8_near_dedup, OP8_SQL),
     "op9_language_id": (op9_language_id, None),
