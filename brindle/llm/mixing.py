@@ -93,9 +93,10 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n_chars: st
     """
     cols = docs.columns
     plan = (take_plan(docs, key=key, text=text, **options).groupBy(F.col(key).alias("__k"), F.col("tie").alias("__t"))
-            .agg(F.sum("taken").alias("__taken"), F.max("size").alias("__size")).where("__taken > 0"))
+            .agg(F.sum("taken").alias("__taken"), F.max("size").alias("__size"), F.count("*").alias("__rows")).where("__taken > 0"))
     one = docs.withColumn("__tie", F.xxhash64(text))
     joined = one.join(plan, one[key].eqNullSafe(F.col("__k")) & (F.col("__tie") == F.col("__t")))
+    joined = joined.where("__rows = 1").unionByName(joined.where("__rows > 1").dropDuplicates(["__k", "__t"]))
     pieces = F.expr("transform(sequence(1, cast(ceil(__taken / __size) as int)), i -> least(__size, __taken - (i - 1) * __size))")
     out = joined.withColumn("__words", F.explode(pieces))
     # each word with the white space before it, so that the first of them make up a prefix of the text
