@@ -8,6 +8,7 @@ from brindle.functions.missing import is_missing, strict_avg, strict_sum
 from brindle.functions.numbers import ratio, squared_error
 from brindle.operators.columns import unpivot_levels
 from brindle.operators.joins import null_safe_join
+from brindle.operators.ordering import ranged, running_sum
 from brindle.operators.quantiles import exact_quantiles
 from brindle.storage import write_out
 
@@ -79,7 +80,7 @@ def accuracy(df: DataFrame, y: str, yhat: str) -> DataFrame:
     return df.agg(F.avg((F.col(y) == F.col(yhat)).cast("double")).alias("accuracy"))
 
 
-def column_summary(df: DataFrame, numeric: list[str], text: list[str] = (), accuracy: int = 10000) -> DataFrame:
+def column_summary(df: DataFrame, numeric: list[str], text: list[str] = ()) -> DataFrame:
     """One row per column: extremes, quartiles, mean and nulls for numbers, length for text."""
     long = unpivot_levels(df.select(*[F.col(c).cast("double").alias(c) for c in numeric]),
                           [], numeric, "name", "value")
@@ -87,7 +88,7 @@ def column_summary(df: DataFrame, numeric: list[str], text: list[str] = (), accu
     moments = long.groupBy("name").agg(
         F.count(F.lit(1)).alias("length"), F.count_if(F.col("value").isNull()).alias("nulls"),
         F.min("value").alias("min"), F.avg("value").alias("mean"), F.max("value").alias("max"))
-    quartiles = exact_quantiles(long, ["name"], "value", [0.25, 0.5, 0.75], accuracy).select(
+    quartiles = exact_quantiles(long, ["name"], "value", [0.25, 0.5, 0.75]).select(
         "name", *[F.col("quantiles")[i].alias(q) for i, q in enumerate(("q1", "median", "q3"))])
     out = moments.join(quartiles, "name", "left")
     if text:
@@ -129,9 +130,9 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
     return frame.join(counted, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def boxplot_stats(df: DataFrame, by: list[str], value: str, accuracy: int = 10000) -> DataFrame:
+def boxplot_stats(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Quartiles, whiskers within 1.5 interquartile ranges, and outliers per group."""
-    boxes = exact_quantiles(df, by, value, [0.25, 0.5, 0.75], accuracy)
+    boxes = exact_quantiles(df, by, value, [0.25, 0.5, 0.75])
     boxes = write_out(boxes.select(*by, "n", *[F.col("quantiles")[i].alias(q)
                                               for i, q in enumerate(("q1", "median", "q3"))]), "boxes")
     v = F.col(value)
@@ -147,37 +148,37 @@ def mean_of_tuned(best: DataFrame, col: str) -> DataFrame:
     return best.agg(F.avg(col).alias("tuned"))
 
 
-def group_medians(df: DataFrame, group: str, cols: list[str], accuracy: int = 10000) -> DataFrame:
-    """(group, medians): a map from column name to the group's median, null-safe on the group."""
+def group_medians(df: DataFrame, group: str, cols: list[str]) -> DataFrame:
+    """One row per group: the group, and its median of every column in a column of the same name."""
     long = unpivot_levels(df, [group], cols, "name", "value")
-    medians = exact_quantiles(long, [group, "name"], "value", [0.5], accuracy)
-    return medians.groupBy(group).agg(F.map_from_entries(F.collect_list(
-        F.struct("name", F.col("quantiles")[0].alias("median")))).alias("__medians"))
+    medians = exact_quantiles(long, [group, "name"], "value", [0.5])
+    return medians.groupBy(group).agg(*[F.max(F.when(F.col("name") == c, F.col("quantiles")[0])).alias(c) for c in cols])
 
 
-def impute_group_median(df: DataFrame, group: str, cols: list[str], accuracy: int = 10000) -> DataFrame:
+def impute_group_median(df: DataFrame, group: str, cols: list[str]) -> DataFrame:
     """Fill missing cells by the median of the same group; a group without values stays as it is."""
-    medians = write_out(group_medians(df, group, cols, accuracy), "medians")
-    joined = null_safe_join(df, medians, [group])
-    filled = {c: F.expr(f"CASE WHEN `{c}` IS NULL OR isnan(`{c}`) THEN try_element_at(__medians, '{c}') ELSE `{c}` END")
-              for c in cols}
+    medians = write_out(group_medians(df, group, cols), "medians")
+    joined = null_safe_join(df, medians.select(group, F.struct(*cols).alias("__medians")), [group])
+    filled = {c: F.when(is_missing(F.col(c)), F.col("__medians")[c]).otherwise(F.col(c)) for c in cols}
     return joined.withColumns(filled).drop("__medians")
 
 
 def cumulative_share(df: DataFrame, order: str, value: str) -> DataFrame:
-    """Each row's share of the total and the running share; for tables with one row per column."""
+    """Each row's share of the total and the running share, for tables of any length."""
     total = df.agg(F.sum(value)).scalar()
-    running = W.orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return (df.withColumn("share", F.col(value) / total)
-            .withColumn("cumulative", F.sum("share").over(running)))
+    shares = ranged(df.withColumn("share", F.col(value) / total), [order], "shares")
+    return running_sum(shares, [], [order], F.col("share"), "cumulative").drop("__part")
 
 
-def arg_min_per_group(df: DataFrame, group: list[str], metric: str, pos: str, value: str) -> DataFrame:
-    """Value at the least metric per group: nulls ignored, the first position wins a tie."""
-    best = F.min(F.struct(F.col(metric), F.col(pos), F.col(value)))
+def arg_min_per_group(df: DataFrame, group: list[str], metric: str, pos: str, value: str, report: str | None = None) -> DataFrame:
+    """Value at the least metric per group: nulls ignored, the first position wins a tie.
+
+    ``report`` names another column to return in place of the metric.
+    """
+    best = F.min(F.struct(*[F.col(c) for c in dict.fromkeys([metric, pos, value, report or metric])]))
     return (df.filter(F.col(metric).isNotNull()).groupBy(*group).agg(best.alias("b"))
             .select(*group, F.col(f"b.{pos}").alias("best_pos"), F.col(f"b.{value}").alias("best"),
-                    F.col(f"b.{metric}").alias("best_metric")))
+                    F.col(f"b.{report or metric}").alias("best_metric")))
 
 
 def arg_max(df: DataFrame, metric: str, pos: str) -> DataFrame:

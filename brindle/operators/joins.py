@@ -10,8 +10,8 @@ from brindle.functions.numbers import double_array
 
 
 def join_fact_dim(facts: DataFrame, dim: DataFrame, key: str) -> DataFrame:
-    """Left equi-join. No hint: the optimizer broadcasts ``dim`` when its known size allows."""
-    return facts.join(dim, key, "left")
+    """Left equi-join, a null key matching a null key. No hint: ``dim`` is broadcast when its known size allows."""
+    return null_safe_join(facts, dim, [key])
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
@@ -35,9 +35,9 @@ def join_effects_chain(df: DataFrame, effects: list[tuple[DataFrame, str, bool]]
 
 
 def semi_join_keys(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose every key occurs in ``other``; the keys are tested one by one."""
+    """Rows whose every key, null included, occurs in ``other``; the keys are tested one by one."""
     for key in keys:
-        df = df.join(other.select(key).distinct(), key, "left_semi")
+        df = null_safe_join(df, other.select(key).distinct(), [key], "left_semi")
     return df
 
 
@@ -74,8 +74,8 @@ def append_rows(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def complement_rows(df: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
-    """Rows of ``df`` whose key is not among ``chosen``."""
-    return df.join(chosen.select(key), key, "left_anti")
+    """Rows of ``df`` whose key is not among ``chosen``; a null key is a key like any other."""
+    return null_safe_join(df, chosen.select(key), [key], "left_anti")
 
 
 def feature_overlap(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -2,25 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from brindle.operators.ordering import ranged, running_sum
 
-def category_levels(df: DataFrame, col: str, prefix: int = 2) -> DataFrame:
-    """(code 1.., level): sorted distinct non-null values.
 
-    The values are ranked within the block that shares a prefix (text) or a run of 1024 (integers)
-    and shifted by the size of the blocks before, so that no task sees all levels of a wide column.
+def category_levels(df: DataFrame, col: str) -> DataFrame:
+    """(code 1.., level): sorted distinct non-null values of any type that can be ordered.
+
+    The values are range-partitioned and numbered inside a partition, after the counts of those before.
     """
     values = df.select(F.col(col).alias("level")).filter(F.col("level").isNotNull()).distinct()
-    text = dict(values.dtypes)["level"] == "string"
-    block = F.substring("level", 1, prefix) if text else F.floor(F.col("level") / 1024)
-    values = values.withColumn("__block", block)
-    before = W.orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (values.groupBy("__block").agg(F.count(F.lit(1)).alias("__n"))
-               .withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0))))
-    within = F.row_number().over(W.partitionBy("__block").orderBy("level"))
-    return (values.join(offsets, "__block").withColumn("code", (within + F.col("__offset")).cast("bigint"))
-            .select("code", "level"))
+    return running_sum(ranged(values, ["level"], "levels"), [], ["level"], F.lit(1).cast("bigint"), "code").select("code", "level")
 
 
 def category_code(df: DataFrame, col: str, name: str = "code") -> DataFrame:

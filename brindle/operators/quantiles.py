@@ -1,102 +1,57 @@
-"""Exact quantiles with linear interpolation, without holding a large group's values in one task.
+"""Exact quantiles with linear interpolation, by one plan at every size.
 
-The built-in exact percentile keeps every distinct value of a group in one buffer. It is used where
-a first pass finds that no group has many distinct values. Beyond that, a sketch from the same pass
-proposes narrow brackets around each wanted rank, the rows are counted per bracket, and only the
-brackets that hold a wanted rank are looked at value by value. The sketch decides how much work is
-left, never the result.
+Rows are first reduced to (group, value, rows). These are range-partitioned by group and value, so a
+large group spreads over many partitions, and the ranks of a value follow from running counts.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from brindle.functions.numbers import double_array
 from brindle.operators.joins import null_safe_join
+from brindle.operators.ordering import ranged, running_sum
 from brindle.storage import write_out
 
 _ALL = "__all"
-# Distinct values per group up to which one buffer may hold them (about 5 MB).
-BUFFERED_VALUES = 100_000
 
 
-def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float],
-                    accuracy: int = 10000, name: str = "quantiles",
-                    buffered: int = BUFFERED_VALUES) -> DataFrame:
+def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float], name: str = "quantiles") -> DataFrame:
     """Per group: ``n`` non-null values and the array of quantiles at ``probs``.
 
     Groups without a value are absent. Null group keys form a group.
     """
-    whole = not by
     keys = by or [_ALL]
-    rows = df.select(*by, F.col(value).cast("double").alias("__v"))
+    rows = df.select(*(by or [F.lit(1).alias(_ALL)]), F.col(value).cast("double").alias("__v"))
     rows = rows.filter(F.col("__v").isNotNull() & ~F.isnan("__v"))
-    if whole:
-        rows = rows.withColumn(_ALL, F.lit(1))
-
-    margin = 2.0 / accuracy
-    marks = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-margin, margin)})
-    sketch = rows.groupBy(*keys).agg(
-        F.count("__v").alias("n"), F.approx_count_distinct("__v").alias("__distinct"),
-        F.array_distinct(F.percentile_approx("__v", marks, accuracy)).alias("__edges"))
-    one = sketch.first() if whole else None
-    sketch = sketch if whole else write_out(sketch, "sketch")
-    widest = one["__distinct"] if one else (None if whole else sketch.agg(F.max("__distinct")).first()[0])
-    if (widest or 0) <= buffered:
-        direct = rows.groupBy(*by) if by else rows.groupBy()
-        direct = direct.agg(F.count("__v").alias("n"), F.percentile("__v", [float(p) for p in probs]).alias(name))
-        return direct if by else direct.filter("n > 0")
-    if whole:
-        joined = rows.withColumns({"n": F.lit(one["n"]), "__edges": double_array(one["__edges"])})
-    else:
-        joined = null_safe_join(rows, sketch.drop("__distinct"), keys, "inner")
-    binned = joined.withColumn("__bin", F.size(F.filter("__edges", lambda e: e < F.col("__v"))))
-
-    # At most 2 * len(probs) + 1 brackets per group, so this window is short.
-    per_bin = binned.groupBy(*keys, "n", "__bin").agg(F.count(F.lit(1)).alias("__rows"))
-    upto = W.partitionBy(*keys).orderBy("__bin").rowsBetween(W.unboundedPreceding, W.currentRow)
-    wanted = F.array(*[r for p in probs for r in _ranks(p)])
-    per_bin = (per_bin.withColumn("__end", F.sum("__rows").over(upto))
-               .withColumn("__before", F.col("__end") - F.col("__rows"))
-               .filter(F.exists(wanted, lambda r: (r > F.col("__before")) & (r <= F.col("__end"))))
-               .select(*keys, "__bin", "__before"))
-
-    counted = (null_safe_join(binned, per_bin, keys + ["__bin"], "inner")
-               .groupBy(*keys, "n", "__bin", "__before", "__v").agg(F.count(F.lit(1)).alias("__rows")))
-    inside = (W.partitionBy(*keys, "__bin").orderBy("__v")
-              .rowsBetween(W.unboundedPreceding, W.currentRow))
-    placed = (counted.withColumn("__end", F.col("__before") + F.sum("__rows").over(inside))
-              .withColumn("__start", F.col("__end") - F.col("__rows")))
-    quantiles = [_interpolate(p) for p in probs]
-    out = placed.groupBy(*keys, "n").agg(F.array(*quantiles).alias(name))
-    return out.drop(_ALL) if whole else out
+    counted = rows.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__rows"))
+    placed = running_sum(ranged(counted, [*keys, "__v"], "values"), keys, ["__v"], F.col("__rows"), "__end")
+    placed = write_out(placed, "ranks")
+    sizes = placed.groupBy(*keys).agg(F.max("__end").alias("n"))
+    placed = null_safe_join(placed.withColumn("__start", F.col("__end") - F.col("__rows")), sizes, keys, "inner")
+    out = placed.groupBy(*keys, "n").agg(F.array(*[_interpolate(p) for p in probs]).alias(name))
+    return out if by else out.drop(_ALL)
 
 
 def _position(p: float) -> Column:
     return (F.col("n") - 1) * F.lit(float(p))
 
 
-def _ranks(p: float) -> tuple[Column, Column]:
-    below = F.floor(_position(p)) + 1
-    return below, F.least(below + 1, F.col("n"))
-
-
 def _interpolate(p: float) -> Column:
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("__start") < rank) & (rank <= F.col("__end")), F.col("__v")))
-    low, high = _ranks(p)
+    low = F.floor(_position(p)) + 1
+    high = F.least(low + 1, F.col("n"))
     share = _position(p) - F.floor(_position(p))
     return at(low) + (at(high) - at(low)) * share
 
 
-def group_median(df: DataFrame, by: list[str], value: str, accuracy: int = 10000) -> DataFrame:
-    return (exact_quantiles(df, by, value, [0.5], accuracy)
-            .select(*by, F.col("quantiles")[0].alias("median")))
+def group_median(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    return exact_quantiles(df, by, value, [0.5]).select(*by, F.col("quantiles")[0].alias("median"))
 
 
-def quantile_literals(df: DataFrame, value: str, probs: list[float], accuracy: int = 10000) -> list[float]:
+def quantile_literals(df: DataFrame, value: str, probs: list[float]) -> list[float]:
     """Quantiles of a whole column as Python numbers (as many as ``probs``)."""
-    row = exact_quantiles(df, [], value, probs, accuracy).first()
+    row = exact_quantiles(df, [], value, probs).first()
     return [] if row is None else [q for q in row["quantiles"] if not math.isnan(q)]

@@ -8,6 +8,7 @@ per (stratum, hash prefix) and ranking the one prefix that holds rank r.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -65,8 +66,12 @@ def hash_cuts(hashed: DataFrame, strata: list[str], ranks: Callable[[Column], Co
     wanted = wanted.drop("__rows")
     near = null_safe_join(rows, wanted.select(*strata, "__prefix").distinct(), [*strata, "__prefix"], "left_semi")
     place = F.row_number().over(W.partitionBy(*strata, "__prefix").orderBy("__h"))
-    ranked = near.withColumn("__pos", place.cast("bigint"))
+    copies = F.count(F.lit(1)).over(W.partitionBy(*strata, "__prefix", "__h"))
+    ranked = near.withColumn("__pos", place.cast("bigint")).withColumn("__copies", copies)
     hits = null_safe_join(ranked, wanted, [*strata, "__prefix", "__pos"], "inner")
+    # a cut through rows of one key would take all or none of them
+    unique = F.when(F.col("__copies") > 1, F.raise_error(F.lit("the key is not unique per row")).cast("string")).otherwise(F.col("__h"))
+    hits = hits.withColumn("__h", unique)
     return hits.groupBy(*strata).agg(F.sort_array(F.collect_list("__h")).alias("__cuts"))
 
 
@@ -146,19 +151,20 @@ def kfold_stratified(df: DataFrame, y: str, k: int, key: list[str], seed: int,
 
 def hash_split(df: DataFrame, p: float, key: list[str], seed: int, name: str = "held_out") -> DataFrame:
     """Approximate share ``p`` from one expression per row: no job before, no shuffle."""
-    limit = min(int(round(p * 16**8)), 16**8 - 1)
-    return df.withColumn(name, F.substring(row_hash(key, seed), 1, 8) < F.lit(f"{limit:08x}"))
+    return df.withColumn(name, hash_fraction(row_hash(key, seed)) < F.lit(float(p)))
 
 
 def known_key_flag(df: DataFrame, held_out: str, keys: list[str], name: str = "known") -> DataFrame:
-    """True where every key value of the row also occurs among the rows not held out."""
-    known = F.lit(True)
+    """True where every key value of the row, null included, also occurs among the rows not held out.
+
+    One aggregate per key, written so that a join knows its size.
+    """
+    known, rows = F.lit(True), df
     for key in keys:
-        seen = (df.filter(~F.col(held_out)).select(key).distinct()
-                .withColumnRenamed(key, f"__seen_{key}"))
-        df = df.join(seen, F.col(key) == F.col(f"__seen_{key}"), "left")
-        known = known & F.col(f"__seen_{key}").isNotNull()
-    return df.withColumn(name, known).drop(*[f"__seen_{k}" for k in keys])
+        seen = write_out(df.groupBy(key).agg((~F.min(held_out)).alias(f"__seen_{key}")), "seen")
+        rows = null_safe_join(rows, seen, [key])
+        known = known & F.col(f"__seen_{key}")
+    return rows.withColumn(name, known).drop(*[f"__seen_{k}" for k in keys])
 
 
 def holdout_known_keys(test: DataFrame, train: DataFrame, keys: list[str],
@@ -176,16 +182,20 @@ def holdout_known_keys(test: DataFrame, train: DataFrame, keys: list[str],
 def random_guess(df: DataFrame, levels: DataFrame, key: list[str], seed: int,
                  name: str = "guess") -> DataFrame:
     """A uniformly random label per row; ``levels`` has (code 1..n, level)."""
-    n = levels.agg(F.max("code")).scalar()
-    code = F.pmod(hash_integer(row_hash(key, seed)), n) + 1
-    renamed = levels.select(F.col("code").cast("bigint").alias("__code"), F.col("level").alias(name))
-    return df.withColumn("__code", code.cast("bigint")).join(renamed, "__code", "left").drop("__code")
+    ordered = levels.agg(F.sort_array(F.collect_list(F.struct("code", "level"))).alias("all")).select(F.col("all.level"))
+    every = ordered.scalar()  # the classes, one array for the whole job
+    code = F.pmod(hash_integer(row_hash(key, seed)), F.size(every).cast("bigint"))
+    return df.withColumn(name, F.get(every, code.cast("int")))
 
 
-# Cumulative Poisson(1) probabilities of 0, 1, 2, ... (fixed values, from exp(-1) / i!).
-_POISSON_1 = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
-              0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253,
-              0.9999988747974020]
+def poisson_cuts(digits: int = 8) -> list[float]:
+    """Cumulative Poisson(1) probabilities of 0, 1, 2, ... as far as a hash of ``digits`` hex digits can tell from 1."""
+    cuts, total, term = [], 0.0, math.exp(-1)
+    while 1 - total > 16.0 ** -digits:
+        total += term
+        cuts.append(total)
+        term /= len(cuts)
+    return cuts
 
 
 def bootstrap_weights(df: DataFrame, resamples: int, key: list[str], seed: int,
@@ -193,5 +203,5 @@ def bootstrap_weights(df: DataFrame, resamples: int, key: list[str], seed: int,
     """Every row once per resample with a Poisson(1) weight; weight 0 means held out there."""
     each = df.withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
     u = hash_fraction(F.md5(F.concat_ws("#", row_hash(key, seed), F.col("resample").cast("string"))))
-    weight = sum((F.when(u >= F.lit(c), 1).otherwise(0) for c in _POISSON_1), F.lit(0))
+    weight = sum((F.when(u >= F.lit(c), 1).otherwise(0) for c in poisson_cuts()), F.lit(0))
     return each.withColumn(name, weight.cast("double"))

@@ -21,13 +21,12 @@ from brindle.storage import write_out
 
 @dataclass(frozen=True)
 class Effect:
-    """``coarse`` marks keys with few values; ``null_safe`` keys whose null is a group."""
+    """``coarse`` marks keys with few values. A null key is a group like any other."""
 
     name: str
     key: str
     penalty: float
     coarse: bool = False
-    null_safe: bool = False
 
     def with_penalty(self, penalty: float) -> Effect:
         return replace(self, penalty=float(penalty))
@@ -35,11 +34,11 @@ class Effect:
 
 # Fixed penalties used when none are tuned.
 EFFECTS = (Effect("me", "movieId", 2.0), Effect("ue", "userId", 5.0),
-           Effect("ge", "genres", 4.0, coarse=True), Effect("ye", "year", 4.0, coarse=True, null_safe=True))
+           Effect("ge", "genres", 4.0, coarse=True), Effect("ye", "year", 4.0, coarse=True))
 
 
 def join_effect(df: DataFrame, effect: Effect, table: DataFrame) -> DataFrame:
-    return null_safe_join(df, table, [effect.key]) if effect.null_safe else df.join(table, effect.key, "left")
+    return null_safe_join(df, table, [effect.key])
 
 
 def row_cells(df: DataFrame, keys: list[str], target: str) -> DataFrame:

@@ -19,12 +19,12 @@ def drop_sparse_and_impute(df: DataFrame, cols: list[str], group: str, limit: in
     return impute_group_median(drop_listed(df, sparse), group, kept), kept
 
 
-def class_separation_profile(df: DataFrame, cols: list[str], factors: list[str], accuracy: int = 10000) -> DataFrame:
+def class_separation_profile(df: DataFrame, cols: list[str], factors: list[str]) -> DataFrame:
     """Box statistics (factor, level, protein) of every column against every factor, in one go."""
     long = unpivot_levels(df, factors, cols, "protein", "value")
     each = F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).cast("string").alias("level")) for f in factors])
     return boxplot_stats(long.select("protein", "value", F.inline(each)), ["factor", "level", "protein"],
-                         "value", accuracy)
+                         "value")
 
 
 def standardize(train: DataFrame, apply_to: DataFrame, cols: list[str]) -> DataFrame:

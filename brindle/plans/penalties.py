@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from brindle.functions.numbers import double_array, grid_values
+from brindle.functions.numbers import double_array, grid_values, ratio
 from brindle.operators.aggregates import arg_min_per_group
-from brindle.operators.joins import grid_cross
-from brindle.plans.effects import Effect, fit_effect, next_cells
+from brindle.operators.joins import grid_cross, null_safe_join
+from brindle.plans.effects import Effect, next_cells
 from brindle.storage import write_out
 
 # Fixed grids: start, stop and step per effect.
@@ -36,25 +36,43 @@ def tuning_rows(train: DataFrame, effects: list[Effect], fold: str, target: str)
     first = effects[0].key
     spread = write_out(train.groupBy(first).agg((F.min(fold) != F.max(fold)).alias("known")), "spread")
     y = F.col(target)
-    return (train.join(spread, first, "left")
+    return (null_safe_join(train, spread, [first])
             .select(*[e.key for e in effects], fold, "known", F.lit(1).cast("bigint").alias("rows"),
                     y.alias("total"), (y * y).alias("square")))
 
 
+def key_sums(cells: DataFrame, key: str, fold: str = "fold") -> DataFrame:
+    """One row per (key, fold): all that the errors of the folds and the fit of the effect need."""
+    scored = lambda c: F.sum(F.when(F.col("known"), F.col(c)).otherwise(0))
+    return cells.groupBy(key, fold).agg(
+        F.sum("rows").alias("n"), F.sum("total").alias("s"), F.count_if(F.col("total").isNull()).alias("missing"),
+        scored("rows").alias("hn"), scored("total").alias("hs"), scored("square").alias("hq"))
+
+
+def effect_from_sums(sums: DataFrame, effect: Effect, mu: float) -> DataFrame:
+    """(key, effect) over all folds, equal to the fit on the cells."""
+    total = F.when(F.sum("missing") == 0, F.sum("s") - F.lit(float(mu)) * F.sum("n"))
+    fitted = sums.groupBy(effect.key).agg(ratio(total, F.sum("n") + F.lit(effect.penalty)).alias(effect.name))
+    return write_out(fitted, f"effect-{effect.name}")
+
+
 def tune_penalty(cells: DataFrame, key: str, means: DataFrame, grid: list[float], fold: str = "fold",
                  on_unseen: str = "propagate", lookup_grid: list[float] | None = None) -> DataFrame:
-    """(fold, pos, lam, rmse) for every fold and grid value.
+    """``penalty_errors`` of cells that carry ``known``; rows that are not known train but are not scored."""
+    return penalty_errors(key_sums(cells, key, fold), key, means, grid, fold, on_unseen, lookup_grid)
+
 
-    ``cells`` carry ``known``; rows that are not known train but are not scored. A scored group
-    without rows outside the fold makes the error null, is left out, or counts as effect zero,
-    by ``on_unseen``. ``lookup_grid`` reports the value at the same position of another grid.
+def penalty_errors(sums: DataFrame, key: str, means: DataFrame, grid: list[float], fold: str = "fold",
+                   on_unseen: str = "propagate", lookup_grid: list[float] | None = None) -> DataFrame:
+    """(fold, pos, lam, rmse, part, unseen_key) for every fold and grid value.
+
+    ``part`` is the squared error without the sum of squares that no penalty changes; penalties are
+    compared by it, since the differences drown in the whole as groups grow. A scored group without
+    rows outside the fold makes the error null and is named in ``unseen_key``, is left out, or counts
+    as effect zero, by ``on_unseen``. ``lookup_grid`` reports the value at the same position of another grid.
     """
-    scored = lambda c: F.sum(F.when(F.col("known"), F.col(c)).otherwise(0))
-    per = cells.groupBy(key, fold).agg(
-        F.sum("rows").alias("n"), F.sum("total").alias("s"), scored("rows").alias("hn"),
-        scored("total").alias("hs"), scored("square").alias("hq"))
     group = W.partitionBy(key)  # at most one row per fold
-    per = (per.withColumn("cn", F.sum("n").over(group) - F.col("n"))
+    per = (sums.withColumn("cn", F.sum("n").over(group) - F.col("n"))
            .withColumn("cs", F.sum("s").over(group) - F.col("s"))
            .filter("hn > 0").join(F.broadcast(means), fold))
     unseen = F.col("cn") == 0
@@ -62,30 +80,35 @@ def tune_penalty(cells: DataFrame, key: str, means: DataFrame, grid: list[float]
         per = per.filter(~unseen)
     mu = F.col("mu")
     per = per.select(
-        fold, "hn", unseen.alias("unseen"), "cn", (F.col("cs") - F.col("cn") * mu).alias("cs"),
-        (F.col("hs") - F.col("hn") * mu).alias("hs"),
+        fold, "hn", unseen.alias("unseen"), F.when(unseen, F.coalesce(F.col(key).cast("string"), F.lit("null"))).alias("unseen_key"),
+        "cn", (F.col("cs") - F.col("cn") * mu).alias("cs"), (F.col("hs") - F.col("hn") * mu).alias("hs"),
         (F.col("hq") - 2 * mu * F.col("hs") + F.col("hn") * mu * mu).alias("hq"))
 
-    gap = F.col("hq") - 2 * F.col("b") * F.col("hs") + F.col("hn") * F.col("b") * F.col("b")
+    change = F.col("hn") * F.col("b") * F.col("b") - 2 * F.col("b") * F.col("hs")
     errors = (grid_cross(per, grid)
               .withColumn("b", F.when(F.col("unseen"), F.lit(0.0)).otherwise(F.col("cs") / (F.col("cn") + F.col("lam"))))
-              .groupBy(fold, "pos", "lam").agg(F.sum(gap).alias("sse"), F.sum("hn").alias("n"),
-                                               F.max("unseen").alias("unseen")))
-    value = F.sqrt(F.greatest(F.col("sse"), F.lit(0.0)) / F.col("n"))
-    if on_unseen == "propagate":
-        value = F.when(~F.col("unseen"), value)
+              .groupBy(fold, "pos", "lam").agg(F.sum(change).alias("part"), F.sum("hq").alias("hq"), F.sum("hn").alias("n"),
+                                               F.max("unseen").alias("unseen"), F.min("unseen_key").alias("unseen_key")))
+    complete = ~F.col("unseen") if on_unseen == "propagate" else F.lit(True)
+    value = F.when(complete, F.sqrt(F.greatest(F.col("hq") + F.col("part"), F.lit(0.0)) / F.col("n")))
     lam = F.element_at(double_array(lookup_grid), F.col("pos").cast("int")) if lookup_grid else F.col("lam")
-    return errors.select(fold, F.col("pos").cast("bigint").alias("pos"), lam.alias("lam"), value.alias("rmse"))
+    return errors.select(fold, F.col("pos").cast("bigint").alias("pos"), lam.alias("lam"), value.alias("rmse"),
+                         F.when(complete, F.col("part")).alias("part"), "unseen_key")
 
 
 def best_penalties(errors: DataFrame, fold: str = "fold") -> DataFrame:
-    """(fold, best_pos, best, best_metric): least error per fold, rounded so that ties are ties."""
-    return arg_min_per_group(errors.withColumn("rmse", F.round("rmse", 9)), [fold], "rmse", "pos", "lam")
+    """(fold, best_pos, best, best_metric): the first of the least errors per fold, compared unrounded."""
+    return arg_min_per_group(errors, [fold], "part", "pos", "lam", "rmse")
 
 
 def tuned_penalty(errors: DataFrame, fold: str = "fold") -> float:
-    """Mean over folds of the best value."""
-    return best_penalties(errors, fold).agg(F.avg("best")).first()[0]
+    """Mean over all folds of the best value; a fold without an error stops the tuning."""
+    whole = errors.groupBy(fold).agg(F.count("part").alias("scored"), F.min("unseen_key").alias("key"))
+    rows = whole.join(best_penalties(errors, fold), fold, "left").collect()  # one row per fold
+    for row in rows:
+        if not row["scored"]:
+            raise ValueError(f"fold {row[fold]} has no error: key {row['key']} occurs in that fold only; choose on_unseen")
+    return sum(row["best"] for row in rows) / len(rows)
 
 
 def tune_effects(train: DataFrame, effects: list[Effect], mu: float, fold: str = "fold",
@@ -98,10 +121,11 @@ def tune_effects(train: DataFrame, effects: list[Effect], mu: float, fold: str =
     cells = tuning_rows(train, effects, fold, target)
     fitted = []
     for i, effect in enumerate(effects):
-        errors = tune_penalty(cells, effect.key, means, grids[effect.name], fold, on_unseen,
-                              (lookup_grids or {}).get(effect.name))
+        sums = write_out(key_sums(cells, effect.key, fold), "key-sums")
+        errors = penalty_errors(sums, effect.key, means, grids[effect.name], fold, on_unseen,
+                                (lookup_grids or {}).get(effect.name))
         effect = effect.with_penalty(tuned_penalty(errors, fold))
-        table = fit_effect(cells, effect, mu)
+        table = effect_from_sums(sums, effect, mu)
         fitted.append((effect, table))
         later = list(effects[i + 1:])
         if later:

@@ -24,7 +24,7 @@ def with_year(ratings: DataFrame) -> DataFrame:
 
 
 def prepare(ratings: DataFrame) -> DataFrame:
-    """Only the columns the models need, written once.
+    """Only the columns the models need, written once: the only copy of the rows that the study makes.
 
     The year is read from the title unless the input has it. On a large table derive it on the items
     before they are joined to the ratings.
@@ -36,17 +36,15 @@ def prepare(ratings: DataFrame) -> DataFrame:
 def train_and_test(df: DataFrame, p: float = 0.2, seed: int = 2) -> tuple[DataFrame, DataFrame]:
     """Hold out a share of every rating bin; held-out rows with an unseen movie or user are dropped."""
     flagged = known_key_flag(split_stratified_numeric(df, "rating", p, ["row_id"], seed), "held_out", KEYS)
-    parts = write_out(flagged.filter(~F.col("held_out") | F.col("known")), "parts").drop("known")
-    return (parts.filter(~F.col("held_out")).drop("held_out"), parts.filter("held_out").drop("held_out"))
+    return (flagged.filter(~F.col("held_out")).drop("held_out", "known"),
+            flagged.filter(F.col("held_out") & F.col("known")).drop("held_out", "known"))
 
 
 def model_and_validation(df: DataFrame, p: float = 0.1, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """As above, but rows with an unseen movie or user return to the modelling set."""
     flagged = known_key_flag(split_stratified_numeric(df, "rating", p, ["row_id"], seed), "held_out", KEYS)
-    parts = write_out(flagged.withColumn("validation", F.col("held_out") & F.col("known"))
-                      .drop("held_out", "known"), "parts")
-    return (parts.filter(~F.col("validation")).drop("validation"),
-            parts.filter("validation").drop("validation"))
+    validation = F.col("held_out") & F.col("known")
+    return flagged.filter(~validation).drop("held_out", "known"), flagged.filter(validation).drop("held_out", "known")
 
 
 def mean_rating(df: DataFrame) -> float:
@@ -71,8 +69,8 @@ def folded_training(ratings: DataFrame, seed: int = 2, fold_seed: int = 3, k: in
 
 
 def with_folds(train: DataFrame, seed: int = 3, k: int = 10) -> DataFrame:
-    """Training rows with their fold, written because each tuned effect reads them twice."""
-    return write_out(kfold_stratified(train, "rating", k, ["row_id"], seed), "folds")
+    """Training rows with their fold, an expression of the row's hash like the splits before it."""
+    return kfold_stratified(train, "rating", k, ["row_id"], seed)
 
 
 def tuned_effects(ratings: DataFrame, **options) -> list[tuple[Effect, DataFrame]]:

@@ -16,12 +16,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt over the task slots when the input has fewer files than there are slots."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if len(df.inputFiles()) < slots else df
-
-
 def items(spark: SparkSession, folder: str) -> DataFrame:
     """movieId, title, genres: the dimension behind the ratings."""
     key = F.col("p_partkey")
@@ -40,7 +34,7 @@ def ratings(spark: SparkSession, folder: str, dim: DataFrame | None = None) -> D
                                       ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")],
                                F.col("l_quantity").cast("int").cast("string"),
                                F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string")))
-    facts = (spread(lines).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    facts = (lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
              .select(row_id.alias("row_id"), F.col("o_custkey").alias("userId"), F.col("l_partkey").alias("movieId"),
                      (F.ceil(F.col("l_quantity") / 5) / 2).alias("rating")))
     dim = items(spark, folder) if dim is None else dim
@@ -54,8 +48,8 @@ def rated(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def movies(spark: SparkSession, folder: str) -> DataFrame:
-    """The items that have ratings."""
-    return ratings(spark, folder).select("movieId", "title", "genres").distinct()
+    """The dimension: every item, rated or not."""
+    return items(spark, folder)
 
 
 def proteins(spark: SparkSession, folder: str) -> DataFrame:

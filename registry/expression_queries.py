@@ -238,7 +238,7 @@ def _(spark, folder):
     return agg.accuracy(views.proteins(spark, folder), "Genotype", "Treatment")
 
 
-_WEIGHT = " + ".join(f"(u >= {c!r})::int" for c in split._POISSON_1)
+_WEIGHT = " + ".join(f"(u >= {c!r})::int" for c in split.poisson_cuts())
 
 
 def _drawn_sql(source: str, key: str, resamples: int, seed: int) -> str:

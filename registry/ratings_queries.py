@@ -200,10 +200,10 @@ MOVIES = "movies AS (SELECT DISTINCT movieId, title, genres FROM ratings)"
 
 
 @query("join_fact_dim", with_(RATINGS, MOVIES) + """SELECT r.row_id, r.userId, r.movieId, r.rating, m.title, m.genres
-FROM ratings r LEFT JOIN movies m ON r.movieId = m.movieId AND m.movieId % 7 <> 0""")
+FROM ratings r LEFT JOIN movies m ON r.movieId = m.movieId""")
 def _(spark, folder):
     facts = views.ratings(spark, folder).select("row_id", "userId", "movieId", "rating")
-    return joins.join_fact_dim(facts, views.movies(spark, folder).filter("movieId % 7 <> 0"), "movieId")
+    return joins.join_fact_dim(facts, views.items(spark, folder), "movieId")
 
 
 GROUP_MEANS = """m AS (SELECT movieId, avg(rating) AS m FROM ratings GROUP BY movieId),
@@ -498,17 +498,18 @@ def _tuned(spark, folder, upto: int, errors_of: str):
     means = penalties.fold_means(train, "fold", "rating")
     cells = penalties.tuning_rows(train, chosen, "fold", "rating")
     for i, effect in enumerate(chosen):
-        errors = penalties.tune_penalty(cells, effect.key, means, penalties.GRIDS[effect.name])
+        sums = write_out(penalties.key_sums(cells, effect.key), "key-sums")
+        errors = penalties.penalty_errors(sums, effect.key, means, penalties.GRIDS[effect.name])
         if effect.name == errors_of:
             return errors
         effect = effect.with_penalty(penalties.tuned_penalty(errors))
-        table = effects.fit_effect(cells, effect, mu)
+        table = penalties.effect_from_sums(sums, effect, mu)
         cells = effects.next_cells(cells, effect, table, chosen[i + 1:], ["fold", "known"])
 
 
 for _i, _e in enumerate(ORDER, start=1):
     def _tune(spark, folder, upto=_i, name=_e):
-        return _tuned(spark, folder, upto, name)
+        return _tuned(spark, folder, upto, name).drop("part", "unseen_key")
     query(f"tune_penalty_{ {'me': 'item', 'ue': 'user', 'ge': 'category', 'ye': 'year'}[_e] }",
           with_(RATED, sql.train_test("rated"), FOLDED, _tuning_sql(ORDER[:_i]))
           + f"SELECT fold, cast(pos AS bigint) AS pos, {r6('lam')} AS lam, {r6('rmse')} AS rmse FROM tune_{_e}")(_tune)

@@ -6,7 +6,7 @@ from pyspark.sql.types import LongType, StringType, StructType
 
 from brindle.functions import text
 from brindle.functions.numbers import grid_values
-from brindle.operators import aggregates as agg, columns, joins, split, statistics
+from brindle.operators import aggregates as agg, columns, joins, levels, split, statistics
 from brindle.operators.quantiles import exact_quantiles
 from brindle.plans import classifiers as cls, effects, penalties
 from brindle.plans.expression_study import standardize
@@ -116,10 +116,9 @@ def test_vote(spark):
     assert got == cases
 
 
-@pytest.mark.parametrize("buffered", [0, 100000])
-def test_median_interpolates(spark, buffered):
+def test_median_interpolates(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (10.0,), (None,)], "v double")
-    row = exact_quantiles(df, [], "v", [0.0, 0.25, 0.5, 1.0], buffered=buffered).first()
+    row = exact_quantiles(df, [], "v", [0.0, 0.25, 0.5, 1.0]).first()
     assert row["n"] == 4 and row["quantiles"] == [1.0, 1.75, 2.5, 10.0]
 
 
@@ -186,3 +185,76 @@ def test_derived_attribute_must_be_unique(spark):
     df = spark.createDataFrame([(1, "A (1990)"), (1, "A (1991)")], "m int, t string")
     with pytest.raises(Exception, match="not unique"):
         joins.join_derived_attr(df, "m", "year", text.extract_year(F.col("t"))).collect()
+
+
+def _cells(spark, per_cell, keys=200, folds=10, seed=4):
+    """Sums of simulated ratings: per (key, fold) ``per_cell`` rows with a small effect per key."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    effect = rng.normal(0, 0.4, keys)
+    mean = 3.5 + effect[:, None] + rng.normal(0, 1 / np.sqrt(per_cell), (keys, folds))
+    total = np.round(mean * per_cell)
+    square = np.round(per_cell * (mean ** 2 + 1))
+    rows = [(k, f + 1, True, per_cell, float(total[k, f]), float(square[k, f])) for k in range(keys) for f in range(folds)]
+    df = spark.createDataFrame(rows, "k long, fold int, known boolean, rows long, total double, square double")
+    n, s = float(per_cell * keys * (folds - 1)), total.sum()
+    return df, total, spark.createDataFrame([(f + 1, float((s - total[:, f].sum()) / n)) for f in range(folds)], "fold int, mu double")
+
+
+@pytest.mark.parametrize("per_cell", [50, 10_000, 1_000_000])
+def test_penalty_choice_is_exact_at_any_size(spark, per_cell):
+    from fractions import Fraction
+
+    cells, total, means = _cells(spark, per_cell)
+    grid = penalties.GRIDS["ue"]
+    got = {r["fold"]: r["best_pos"] for r in penalties.best_penalties(penalties.tune_penalty(cells, "k", means, grid)).collect()}
+    for row in means.collect():
+        f, mu = row["fold"] - 1, Fraction(row["mu"])
+        n_out, best = per_cell * (total.shape[1] - 1), None
+        for pos, lam in enumerate(grid, start=1):
+            part = Fraction(0)
+            for k in range(len(total)):
+                b = (Fraction(int(total[k].sum() - total[k, f])) - n_out * mu) / (n_out + Fraction(lam))
+                part += per_cell * b * b - 2 * b * (Fraction(int(total[k, f])) - per_cell * mu)
+            best = (part, pos) if best is None or part < best[0] else best
+        assert got[row["fold"]] == best[1]
+
+
+def test_a_fold_without_error_stops_the_tuning(spark):
+    cells = spark.createDataFrame([("a", 1, True, 1, 3.0, 9.0), ("a", 2, True, 1, 4.0, 16.0), ("single", 2, True, 1, 5.0, 25.0)],
+                                  "k string, fold int, known boolean, rows long, total double, square double")
+    means = spark.createDataFrame([(1, 4.5), (2, 3.0)], "fold int, mu double")
+    errors = penalties.tune_penalty(cells, "k", means, [1.0, 2.0])
+    with pytest.raises(ValueError, match="fold 2 has no error: key single"):
+        penalties.tuned_penalty(errors)
+    assert penalties.tuned_penalty(penalties.tune_penalty(cells, "k", means, [1.0, 2.0], on_unseen="drop")) in (1.0, 1.5, 2.0)
+
+
+def test_null_keys_match(spark):
+    rows_ = [(1, None, 1, False), (2, None, 1, True), (3, 7, None, True), (4, 8, 1, True)]
+    df = spark.createDataFrame(rows_, "id int, movieId int, userId int, held_out boolean")
+    got = {r["id"]: r["known"] for r in split.known_key_flag(df, "held_out", ["movieId", "userId"]).collect()}
+    assert got == {1: True, 2: True, 3: False, 4: False}
+    other = df.filter("not held_out")
+    assert [r["id"] for r in joins.semi_join_keys(df, other, ["movieId", "userId"]).orderBy("id").collect()] == [1, 2]
+    assert [r["id"] for r in joins.complement_rows(df, other, "movieId").orderBy("id").collect()] == [3, 4]
+    named = joins.join_fact_dim(df, spark.createDataFrame([(None, "none"), (7, "seven")], "movieId int, title string"), "movieId")
+    assert {r["id"]: r["title"] for r in named.collect()} == {1: "none", 2: "none", 3: "seven", 4: None}
+
+
+def test_levels_of_dates_and_hash_split_at_the_ends(spark):
+    import datetime as dt
+
+    days = [dt.date(2024, 1, d) for d in (3, 1, 2, 1)]
+    df = spark.createDataFrame([(d,) for d in days] + [(None,)], "d date")
+    assert [r["level"].day for r in levels.category_levels(df, "d").orderBy("code").collect()] == [1, 2, 3]
+    many = spark.range(1000)
+    assert split.hash_split(many, 1.0, ["id"], 1).filter("held_out").count() == 1000
+    assert split.hash_split(many, 0.0, ["id"], 1).filter("held_out").count() == 0
+
+
+def test_a_repeated_key_stops_the_split(spark):
+    df = spark.createDataFrame([(1, "a")] * 10, "k int, c string")
+    with pytest.raises(Exception, match="not unique"):
+        split.split_stratified_class(df, "c", 0.5, ["k"], 1).collect()
