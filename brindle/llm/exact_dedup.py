@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from brindle.llm.tables import hash_mod, join_spread, stage
+from brindle.llm.tables import hash_mod, join_spread, stage, workers_import
 from brindle.llm.words import mix as mix64
 
 SHARD_KEYS = 200_000
@@ -144,6 +144,7 @@ def _with_text(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataF
 
 def exact_dedup(snapshot: DataFrame, batch: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``snapshot`` and ``batch``: key, keep_id, group_size, kept, text_sha256."""
+    workers_import(batch.sparkSession)
     old_rows, new_rows = stage(digests(snapshot, key, text), "dedup-old-rows"), stage(digests(batch, key, text), "dedup-new-rows")
     old, new = groups(old_rows, "dedup-old"), groups(new_rows, "dedup-new")
     shards = 1 + old.count() // SHARD_KEYS

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from brindle.llm.linear import hinge_fit
+from brindle.llm.tables import workers_import
 from brindle.llm.words import buffer
 
 BITS = 14
@@ -193,6 +194,7 @@ def fit(docs: DataFrame, held_out: Column, *, key: str, text: str, lang: str, pe
 def identify(docs: DataFrame, held_out: Column, *, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 400,
              whole_rows: bool = False) -> DataFrame:
     """One row per document: key, held_out, lang_pred, score; with ``whole_rows`` also ``row``, a struct of all columns."""
+    workers_import(docs.sparkSession)
     held = F.coalesce(held_out, F.lit(False))
     machines = fit(docs, held, key=key, text=text, lang=lang, per_language=per_language)
     out = T.StructType().add("id", "long").add("held_out", "boolean").add("lang_pred", "string").add("score", "double")

@@ -23,6 +23,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from brindle.llm.tables import workers_import
+
 # --- fixed values ---------------------------------------------------------------------------------
 
 BLOCK_TAGS = frozenset("""address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure
@@ -233,6 +235,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract_main_text(pages: DataFrame, *, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """One row per page: key, url, text, n_chars (code points)."""
+    workers_import(pages.sparkSession)
     rows = pages.select(F.col(key).cast("long").alias("id"), F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("page"))
     return (rows.mapInArrow(_extract, "id long, url string, text string, n_chars long")
             .select(F.col("id").alias(key), F.col("url").alias(url), "text", "n_chars"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from brindle.llm.tables import stage
+from brindle.llm.tables import stage, workers_import
 from brindle.llm.words import buffer, words
 
 DIMENSIONS, BITS = 4, 10
@@ -232,6 +232,7 @@ def pack(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "t
     """One row per piece: key, start, length, ids (little-endian 32-bit), doc_tokens, sequence_id, offset, sequence_tokens."""
     if length < 1 or length & (length - 1):
         raise ValueError("the sequence length must be a power of two")
+    workers_import(docs.sparkSession)
     # written once: drawing the range bounds reads the rows a second time
     keyed = stage(docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("body"))
                   .mapInArrow(_keys, "id long, body string, curve long"), "pack-keys")

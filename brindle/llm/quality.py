@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from brindle.llm.linear import hinge_fit, logistic_scale
-from brindle.llm.tables import stage
+from brindle.llm.tables import stage, workers_import
 from brindle.llm.words import buffer, chained, mix, words
 
 BITS = 16
@@ -168,6 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str, text: str, label: str,
 def score_quality(docs: DataFrame, labels: DataFrame, held_out: Column, *, key: str = "doc_id", text: str = "text", label: str = "quality",
                   sample: int = 8000, threshold: float = 0.3) -> DataFrame:
     """One row per document: key, held_out, score (higher: label 1 likelier), predicted (score >= threshold)."""
+    workers_import(docs.sparkSession)
     held = F.coalesce(held_out, F.lit(False))
     scorer = fit(docs.where(~held), labels, key=key, text=text, label=label, sample=sample)
     rows = docs.select(F.col(key).cast("long").alias("id"), held.alias("held_out"), F.col(text).cast("string").alias("body"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from brindle.storage import scratch_path
@@ -11,6 +14,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def workers_import(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver found it, if that path exists for them.
+
+    On a cluster the package is installed or sent along (``--py-files``) as for any PySpark program.
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which also ends its lineage there."""
     path = scratch_path(df.sparkSession, label)
@@ -30,3 +44,12 @@ def join_spread(rows: DataFrame, table: DataFrame, keys: list[str], by: str, sal
     """
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)))
     return salted.join(salted.select(*keys, "__salt").distinct().join(table, keys), [*keys, "__salt"]).drop("__salt")
+
+
+def stage_bucketed(df: DataFrame, label: str, column: str) -> DataFrame:
+    """Like ``stage``, as an external table bucketed by ``column``: grouping by it later moves no rows."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
+    name = path.rsplit("/", 1)[-1].replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, column).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+    return spark.table(name)
