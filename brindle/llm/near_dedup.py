@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from brindle.llm.components import components
-from brindle.llm.tables import join_spread, stage
+from brindle.llm.tables import join_spread, stage, workers_import
 from brindle.llm.words import BASE, buffer, chained, mix, words
 
 TABLES, WIDTH = 12, 4
@@ -141,6 +141,7 @@ def _ties(nodes: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: key, n_shingles, component_id, kept."""
+    workers_import(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).cast("string").alias("body"))
     signed = stage(rows.mapInArrow(_signatures(size), "id long, n long, d1 long, d2 long, a array<long>, b array<long>"), "near-signatures")
     same = ["n", "d1", "d2"]
@@ -150,7 +151,8 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     weight = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     placed = (members.join(weight, "root").select(F.col("node").alias("member"), F.col("root").alias("family"), "blocks",
                                                   F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")).distinct())
-    sets = (rows.join(placed, rows["id"] == placed["member"]).select("id", "body", "family", "blocks", "block")
+    # the members grow with the corpus, so texts meet them in a sorted merge at every size
+    sets = (rows.join(placed.hint("merge"), rows["id"] == placed["member"]).select("id", "body", "family", "blocks", "block")
             .mapInArrow(_with_sets(size), "id long, family long, blocks int, block int, shingles binary"))
     other = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = other.select("id", "family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "shingles")
