@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from brindle.operators.joins import null_safe_join
 from brindle.operators.ordering import ranged, running_sum
-from brindle.storage import write_out
 
 _ALL = "__all"
 
@@ -26,9 +25,9 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float]
     rows = df.select(*(by or [F.lit(1).alias(_ALL)]), F.col(value).cast("double").alias("__v"))
     rows = rows.filter(F.col("__v").isNotNull() & ~F.isnan("__v"))
     counted = rows.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__rows"))
-    placed = running_sum(ranged(counted, [*keys, "__v"], "values"), keys, ["__v"], F.col("__rows"), "__end")
-    placed = write_out(placed, "ranks")
-    sizes = placed.groupBy(*keys).agg(F.max("__end").alias("n"))
+    parts = ranged(counted, [*keys, "__v"], "values")
+    placed = running_sum(parts, keys, ["__v"], F.col("__rows"), "__end")
+    sizes = parts.groupBy(*keys).agg(F.sum("__rows").alias("n"))
     placed = null_safe_join(placed.withColumn("__start", F.col("__end") - F.col("__rows")), sizes, keys, "inner")
     out = placed.groupBy(*keys, "n").agg(F.array(*[_interpolate(p) for p in probs]).alias(name))
     return out if by else out.drop(_ALL)

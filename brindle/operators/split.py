@@ -198,10 +198,15 @@ def poisson_cuts(digits: int = 8) -> list[float]:
     return cuts
 
 
+def resample_weight(key: list[str], seed: int, resample: int | Column) -> Column:
+    """A Poisson(1) weight of the row in one resample, from its key alone; 0 means held out there."""
+    number = F.lit(resample) if isinstance(resample, int) else resample
+    u = hash_fraction(F.md5(F.concat_ws("#", row_hash(key, seed), number.cast("string"))))
+    return sum((F.when(u >= F.lit(c), 1).otherwise(0) for c in poisson_cuts()), F.lit(0)).cast("double")
+
+
 def bootstrap_weights(df: DataFrame, resamples: int, key: list[str], seed: int,
                       name: str = "weight") -> DataFrame:
-    """Every row once per resample with a Poisson(1) weight; weight 0 means held out there."""
+    """Every row once per resample with its weight."""
     each = df.withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-    u = hash_fraction(F.md5(F.concat_ws("#", row_hash(key, seed), F.col("resample").cast("string"))))
-    weight = sum((F.when(u >= F.lit(c), 1).otherwise(0) for c in poisson_cuts()), F.lit(0))
-    return each.withColumn(name, weight.cast("double"))
+    return each.withColumn(name, resample_weight(key, seed, F.col("resample")))

@@ -18,7 +18,7 @@ QUERIES: dict[str, tuple] = {}
 # Hand-picked columns of the small models.
 CHOSEN = ["p00", "p03", "p08", "p14", "p20", "p27", "p33", "p40", "p52", "p63"]
 P = with_(sql.proteins())
-SPLIT = sql.hold_out("complete", "parts", 0.4, "MouseID", 1986, "class")
+SPLIT = sql.hold_out("complete", "parts", 0.4, "MouseID", 4021, "class")
 C = with_(sql.proteins(), complete())
 CS = with_(sql.proteins(), complete(), SPLIT)
 
@@ -36,7 +36,7 @@ def clean(spark, folder) -> DataFrame:
 
 def parts(spark, folder) -> tuple[DataFrame, DataFrame]:
     """Training and test rows."""
-    flagged = split.split_stratified_class(clean(spark, folder), "class", 0.4, ["MouseID"], 1986)
+    flagged = split.split_stratified_class(clean(spark, folder), "class", 0.4, ["MouseID"], 4021)
     flagged = write_out(flagged, "parts")
     return flagged.filter("not held_out").drop("held_out"), flagged.filter("held_out").drop("held_out")
 
@@ -48,8 +48,9 @@ def long_sql(source: str, cols: list[str], ids: str = "MouseID, class") -> str:
 @query("scan_wide", P + "SELECT MouseID, " + ", ".join(f"{r6(c)} AS {c}" for c in PROTEINS) + ", Genotype, Treatment, Behavior, class FROM proteins")
 def _(spark, folder):
     path = scratch_path(spark, "wide")
-    views.proteins(spark, folder).write.csv(path, header=True)
-    return delimited.scan_wide(spark, path)
+    df = views.proteins(spark, folder)
+    df.write.csv(path, header=True)
+    return delimited.scan_wide(spark, path, df.schema)
 
 
 @query("drop_listed", P + f"SELECT MouseID, {', '.join(f'{r6(c)} AS {c}' for c in KEPT[:10])}, class FROM proteins")
@@ -109,9 +110,17 @@ def _(spark, folder):
 
 
 @query("scatter_projection", P + "\nUNION ALL ".join(
-    f"SELECT class, '{x}/{y}' AS pair, {r6(x)} AS x, {r6(y)} AS y FROM proteins" for x, y in (("p00", "p01"), ("p01", "p02"))))
+    f"SELECT class, '{x}/{y}' AS pair, {r6(x)} AS x, {r6(y)} AS y FROM proteins" for x, y in zip(PROTEINS[:3], PROTEINS[1:4])))
 def _(spark, folder):
-    return columns.scatter_projection(views.proteins(spark, folder), [("p00", "p01"), ("p01", "p02")], "class")
+    return columns.scatter_projection(views.proteins(spark, folder), list(zip(PROTEINS[:3], PROTEINS[1:4])), "class")
+
+
+@query("scatter_components", None)
+def _(spark, folder):
+    found, train, _ = _components(spark, folder)
+    scores = cls.scores_array(found.project(train))
+    named = scores.select("class", *[F.col("features")[i].alias(f"PC{i + 1}") for i in range(4)])
+    return columns.scatter_projection(named, [("PC1", "PC2"), ("PC2", "PC3"), ("PC3", "PC4")], "class")
 
 
 @query("count_by", P + "SELECT class, count(*) AS n FROM proteins GROUP BY class")
@@ -146,7 +155,7 @@ def _(spark, folder):
     return agg.moment_range(views.proteins(spark, folder), PROTEINS)
 
 
-_NZV = PROTEINS[:6] + ["Genotype", "Treatment", "Behavior", "class", "rare"]
+_NZV = PROTEINS + ["Genotype", "Treatment", "Behavior", "class", "rare"]
 
 
 @query("near_zero_variance", with_(sql.proteins(), "w AS (SELECT *, CASE WHEN MouseID % 100 = 0 THEN 1 ELSE 0 END AS rare FROM proteins)",
@@ -206,10 +215,10 @@ def _(spark, folder):
     return levels.category_levels(views.proteins(spark, folder), "class")
 
 
-@query("split_stratified_class", with_(sql.proteins(), sql.hold_out("proteins", "s", 0.4, "MouseID", 1986, "class"))
+@query("split_stratified_class", with_(sql.proteins(), sql.hold_out("proteins", "s", 0.4, "MouseID", 4021, "class"))
        + "SELECT MouseID, class, held_out FROM s")
 def _(spark, folder):
-    return split.split_stratified_class(views.proteins(spark, folder), "class", 0.4, ["MouseID"], 1986).select(
+    return split.split_stratified_class(views.proteins(spark, folder), "class", 0.4, ["MouseID"], 4021).select(
         "MouseID", "class", "held_out")
 
 
@@ -249,10 +258,10 @@ SELECT s.*, b::bigint AS resample, ('0x' || substr({digest}, 1, 8))::bigint / 42
 FROM {source} s, (SELECT unnest(range(1, {resamples + 1})) AS b)))"""
 
 
-@query("bootstrap_weights", with_(sql.proteins(), _drawn_sql("proteins", "MouseID", 25, 1986))
+@query("bootstrap_weights", with_(sql.proteins(), _drawn_sql("proteins", "MouseID", 25, 4021))
        + "SELECT MouseID, class, resample, weight FROM drawn")
 def _(spark, folder):
-    return split.bootstrap_weights(views.proteins(spark, folder).select("MouseID", "class"), 25, ["MouseID"], 1986)
+    return split.bootstrap_weights(views.proteins(spark, folder).select("MouseID", "class"), 25, ["MouseID"], 4021)
 
 
 @query("class_separation_profile", with_(sql.proteins(), complete(),
@@ -304,8 +313,19 @@ def _(spark, folder):
     return agg.accuracy(_knn(spark, folder, KEPT, 3), "class", "predicted")
 
 
-def _tree(rows: DataFrame):
-    return cls.fit_tree(rows)
+# The complexity grid of the study: 40 equal steps from 0, here of the least gain of a split.
+GAINS = [i / 400 for i in range(40)]
+KS = list(range(2, 21))
+
+
+def _tuned_tree(train: DataFrame, test: DataFrame, cols: list[str]) -> cls.Tuned:
+    return cls.tune_refit_score(train, test, cols, "MouseID", "class", lambda rows: cls.tune_tree(rows, "MouseID", GAINS),
+                                lambda rows, gain: cls.fit_tree(rows, gain))
+
+
+def _tuned_knn(train: DataFrame, test: DataFrame, cols: list[str]) -> cls.Tuned:
+    a, b = (columns.features_to_array(d, cols) if cols else cls.scores_array(d) for d in (train, test))
+    return cls.tune_refit_score_knn(a, b, "MouseID", "class", KS)
 
 
 def _forest(trees: int, mtry: int = 6):
@@ -315,13 +335,13 @@ def _forest(trees: int, mtry: int = 6):
 @query("classify_tree", None)
 def _(spark, folder):
     train, test = parts(spark, folder)
-    return cls.classify(train, test, KEPT, "class", _tree)[0].select("MouseID", "class", "predicted")
+    return _tuned_tree(train, test, KEPT).predictions
 
 
 @query("classify_tree_chosen", None)
 def _(spark, folder):
     train, test = parts(spark, folder)
-    return cls.classify(train, test, CHOSEN, "class", _tree)[0].select("MouseID", "class", "predicted")
+    return _tuned_tree(train, test, CHOSEN).predictions
 
 
 @query("classify_forest", None)
@@ -367,15 +387,14 @@ def _indexed(train: DataFrame, cols: list[str]) -> DataFrame:
 @query("tune_classifier_tree", None)
 def _(spark, folder):
     train, _ = parts(spark, folder)
-    return cls.tune_classifier(_indexed(train, CHOSEN), "MouseID",
-                               lambda rows, gain: cls.fit_tree(rows, gain, "weight", 10), [0.0, 0.02, 0.05], resamples=3)
+    return cls.tune_tree(_indexed(train, KEPT), "MouseID", GAINS)
 
 
 def _tune_knn_sql(cols: list[str], ks: list[int], resamples: int) -> str:
     gap = " + ".join(f"power(a.{c} - b.{c}, 2)" for c in cols)
     grid_k = ", ".join(f"({k})" for k in ks)
     return with_(sql.proteins(), complete(), SPLIT, "train AS (SELECT * FROM parts WHERE NOT held_out)",
-                 _drawn_sql("train", "MouseID", resamples, 1986), f"grid_k(k) AS (VALUES {grid_k})", f"""ends AS MATERIALIZED (
+                 _drawn_sql("train", "MouseID", resamples, 4021), f"grid_k(k) AS (VALUES {grid_k})", f"""ends AS MATERIALIZED (
 SELECT *, sum(weight) OVER (PARTITION BY resample, MouseID ORDER BY gap, near) AS fin FROM (
 SELECT a.resample, a.MouseID, a.class AS truth, b.class AS label, b.MouseID AS near, b.weight, {gap} AS gap
 FROM drawn a JOIN drawn b ON a.resample = b.resample AND a.weight = 0 AND b.weight > 0)),
@@ -424,6 +443,61 @@ def _(spark, folder):
     return found.explained(train)
 
 
+_CORR_TRAIN = "one AS MATERIALIZED (SELECT " + ", ".join(f"corr({a}, {b}) AS {a}_{b}" for a, b in _PAIRS) + " FROM parts WHERE NOT held_out)"
+
+
+@query("pca_rebuilt", with_(sql.proteins(), complete(), SPLIT, _CORR_TRAIN, _CORR_LONG) + f"SELECT col_i, col_j, {r6('r')} AS r FROM pairs")
+def _(spark, folder):
+    """The correlations, put together again from loadings and variances."""
+    found, train, _ = _components(spark, folder)
+    loadings, shares = found.loadings(train), found.explained(train).select("component", "variance_share")
+    weighted = loadings.join(shares, "component").withColumn("w", F.col("loading") * F.col("variance_share") * len(KEPT))
+    a, b = weighted.alias("a"), loadings.alias("b")
+    pairs = a.join(b, (F.col("a.component") == F.col("b.component")) & (F.col("a.feature") < F.col("b.feature")))
+    return pairs.groupBy(F.col("a.feature").alias("col_i"), F.col("b.feature").alias("col_j")).agg(
+        F.sum(F.col("a.w") * F.col("b.loading")).alias("r"))
+
+
+_Z2 = " + ".join(f"power(({c} - (SELECT avg({c}) FROM parts WHERE NOT held_out)) / (SELECT stddev_samp({c}) FROM parts WHERE NOT held_out), 2)" for c in KEPT)
+
+
+@query("pca_lengths", with_(sql.proteins(), complete(), SPLIT) + f"SELECT MouseID, {r6(_Z2)} AS squared FROM parts WHERE held_out")
+def _(spark, folder):
+    """Squared length of each projected row over all components: that of its z-scores."""
+    found, _, test = _components(spark, folder)
+    scores = cls.scores_array(found.project(test))
+    squares = F.aggregate(F.transform("features", lambda v: v * v), F.lit(0.0), lambda s, v: s + v)
+    return scores.select("MouseID", squares.alias("squared"))
+
+
+_VARIANCES = "v AS (" + "\nUNION ALL ".join(f"SELECT '{c}' AS name, var_samp({c}) AS variance FROM proteins" for c in PROTEINS) + ")"
+
+
+@query("top_k_variances", with_(sql.proteins(), _VARIANCES) + f"SELECT name, {r6('variance')} AS variance FROM v ORDER BY variance DESC, name LIMIT 20")
+def _(spark, folder):
+    moments = agg.column_moments(views.proteins(spark, folder), PROTEINS).select("name", "variance")
+    return agg.top_k_features(moments, "variance", "name", 20)
+
+
+@query("overlap_variances", with_(sql.proteins(), _VARIANCES)
+       + f"SELECT count(*) AS shared FROM (SELECT name FROM v ORDER BY variance DESC, name LIMIT 20) WHERE name IN {tuple(CHOSEN)}")
+def _(spark, folder):
+    moments = agg.column_moments(views.proteins(spark, folder), PROTEINS).select("name", "variance")
+    top = agg.top_k_features(moments, "variance", "name", 20).select(F.col("name").alias("feature"))
+    return joins.feature_overlap(top, reports.literal_table(spark, [(c,) for c in CHOSEN], "feature string"))
+
+
+@query("training_moments", CS + "\nUNION ALL ".join(
+    f"SELECT '{c}' AS name, {r6(f'avg({c})')} AS mean, {r6(f'stddev_samp({c})')} AS sd, {r6(f'var_samp({c})')} AS variance FROM parts WHERE NOT held_out" for c in KEPT))
+def _(spark, folder):
+    return agg.column_moments(parts(spark, folder)[0], KEPT)
+
+
+@query("training_correlations", with_(sql.proteins(), complete(), SPLIT, _CORR_TRAIN, _CORR_LONG) + f"SELECT col_i, col_j, {r6('r')} AS r FROM pairs")
+def _(spark, folder):
+    return statistics.correlation_pairs(parts(spark, folder)[0], KEPT)
+
+
 @query("cumulative_share", with_(sql.proteins(), "v AS (" + "\nUNION ALL ".join(
     f"SELECT '{c}' AS name, var_samp({c}) AS variance FROM proteins" for c in PROTEINS) + ")")
     + f"SELECT name, {r6('variance')} AS variance, {r6('variance / sum(variance) OVER ()')} AS share, "
@@ -437,7 +511,7 @@ def _(spark, folder):
 def _(spark, folder):
     found, train, _ = _components(spark, folder)
     scores = cls.scores_array(found.project(train))
-    return cls.tune_knn(scores, "MouseID", "class", list(range(2, 21, 2)), resamples=5, sizes=list(range(2, len(KEPT) + 1)))
+    return cls.tune_knn(scores, "MouseID", "class", KS, resamples=25, sizes=list(range(2, len(KEPT) + 1)))
 
 
 @query("tune_components_tree", None)
@@ -486,41 +560,42 @@ def _(spark, folder):
     return cls.vote_ensemble(fixed, "a", "b", "c").select("MouseID", "class", "ensemble")
 
 
-def _all_models(spark, folder, trees: int = 20) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """Test truth and (MouseID, predicted) as text per model, in ladder order."""
-    train, test = parts(spark, folder)
-    found, scaled_train, scaled_test = _components(spark, folder)
-    pcs = found.project(scaled_train), found.project(scaled_test)
-    index = cls.with_label_index(train, "class")
-    pc_rows = index.transform(cls.leading(pcs[0], 20)), cls.leading(pcs[1], 20)
-    level_table = levels.category_levels(train, "class")
-    out = {"Guessing Model": split.random_guess(test, level_table, ["MouseID"], 7).select("MouseID", F.col("guess").alias("predicted"))}
-    for title, cols in (("Manual", CHOSEN), ("Regular", KEPT)):
-        out[f"{title} Cls. Tree Model"] = cls.classify(train, test, cols, "class", _tree)[0]
-        a, b = (columns.features_to_array(d, cols) for d in (train, test))
-        out[f"{title} KNN Model"] = neighbours.classify_knn(a, b, "MouseID", "class", 2)
-        out[f"{title} Random Forest Model"] = cls.classify(train, test, cols, "class", _forest(trees))[0]
-    out["PCA Cls. Tree Model"] = cls.predict_labels(cls.fit_tree(pc_rows[0]), pc_rows[1], index.labels)
-    out["PCA KNN Model"] = neighbours.classify_knn(cls.scores_array(pc_rows[0]), cls.scores_array(pc_rows[1]), "MouseID", "class", 2)
-    out["PCA Random Forest Model"] = cls.predict_labels(cls.fit_forest(pc_rows[0], 2, trees), pc_rows[1], index.labels)
-    truth = test.select("MouseID", F.col("class").cast("string").alias("truth"))
-    return truth, {m: d.select("MouseID", F.col("predicted").cast("string").alias("predicted")) for m, d in out.items()}
+# All values of the study's grids; fewer trees and resamples of forests than it has (see README).
+EFFORT = study.Effort(trees=50, forest_resamples=1)
+
+
+def _models(spark, folder, names: list[str]) -> dict[str, DataFrame]:
+    inputs = study.model_inputs(clean(spark, folder), KEPT, "MouseID", "class", 0.4, 4021)
+    return {name: study.model_predictions(inputs, name, KEPT, CHOSEN, "MouseID", "class", EFFORT) for name in names}
 
 
 @query("accuracy_ladder", None)
 def _(spark, folder):
-    truth, models = _all_models(spark, folder)
-    metrics = [(m, agg.accuracy(d.join(truth, "MouseID"), "truth", "predicted")) for m, d in models.items()]
-    return agg.sort_desc(reports.stack_metrics(metrics, "accuracy"), "accuracy", "pos")
+    return study.accuracy_ladder(_models(spark, folder, study.LADDER), "class")
 
 
 @query("ensemble_accuracy", None)
 def _(spark, folder):
-    truth, models = _all_models(spark, folder)
-    df = truth
-    for name, model in (("rf", "Regular Random Forest Model"), ("pca_rf", "PCA Random Forest Model"), ("pca_knn", "PCA KNN Model")):
-        df = df.join(models[model].withColumnRenamed("predicted", name), "MouseID")
-    return agg.accuracy(cls.vote_ensemble(df, "rf", "pca_rf", "pca_knn"), "truth", "ensemble")
+    return agg.accuracy(study.ensemble(_models(spark, folder, study.VOTERS), "MouseID", "class"), "class", "ensemble")
+
+
+# Tuning included: the accuracies at the best number of neighbours, against SQL for the whole chain.
+_BEST_K = "(SELECT k FROM tuned ORDER BY accuracy DESC, k LIMIT 1)"
+
+
+def _tuned_knn_sql() -> str:
+    return (_tune_knn_sql(CHOSEN, KS, 25).replace(" SELECT resample, k, avg((truth", " SELECT resample, k, avg((truth")
+            .rsplit("SELECT", 1)[0].rstrip() + ",\ntuned AS (SELECT k, avg(a) AS accuracy FROM per GROUP BY k),\n"
+            + _knn_sql(CHOSEN, 0).replace("near AS", "test_near AS").replace("FROM near", "FROM test_near").replace("place <= 0", f"place <= {_BEST_K}")
+            + f"\nSELECT {_BEST_K}::bigint AS best, {r6('avg((class = predicted)::int)')} AS accuracy FROM voted")
+
+
+@query("tune_refit_score_knn", _tuned_knn_sql())
+def _(spark, folder):
+    train, test = parts(spark, folder)
+    done = _tuned_knn(train, test, CHOSEN)
+    right = done.predictions.withColumn("class", F.col("class").cast("string"))
+    return agg.accuracy(right, "class", "predicted").select(F.lit(int(done.best)).cast("bigint").alias("best"), "accuracy")
 
 
 @query("sort_desc", P + f"""SELECT class, {r6('avg(p00)')} AS avg_level, row_number() OVER (ORDER BY avg(p00) DESC, class) AS place

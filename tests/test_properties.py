@@ -240,3 +240,67 @@ def test_imputation_leaves_known_cells(spark, small):
     both = df.join(full.withColumnsRenamed({"p00": "q00", "p05": "q05"}), "MouseID")
     r = both.agg(F.count_if(F.col("p00") != F.col("q00")), F.count_if(F.col("q00").isNull()), F.count_if(F.col("q05").isNull())).first()
     assert tuple(r) == (0, 0, 0)
+
+
+def test_a_pruned_tree_equals_a_refitted_one(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (300, 4))
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(0, 0.5, 300) > 0).astype(int)
+    df = spark.createDataFrame([(i, *map(float, v), int(c)) for i, (v, c) in enumerate(zip(x, y))], "id long, a double, b double, c double, d double, y int")
+    ready = cls.with_label_index(df, "y").transform(columns.features_to_vector(df, ["a", "b", "c", "d"]))
+    gains = [0.0, 0.005, 0.02, 0.1, 1.0]
+    found = cls.pruned_predictions(cls.fit_tree(ready), ready, gains, ["id"])
+    for pos, gain in enumerate(gains, start=1):
+        want = {r["id"]: r["prediction"] for r in cls.fit_tree(ready, gain).transform(ready).collect()}
+        assert {r["id"]: r["prediction"] for r in found.filter(F.col("pos") == pos).collect()} == want
+
+
+def test_doornik_hansen_statistic_against_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    x = rng.gamma(2.0, 1.0, (400, 3)) @ np.array([[1, .3, 0], [0, 1, .2], [.1, 0, 1]])
+    df = spark.createDataFrame([tuple(map(float, v)) for v in x], "a double, b double, c double")
+    row = normality.mvn_doornik_hansen(df, ["a", "b", "c"]).first().asDict()
+    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    values, vectors = np.linalg.eigh(np.corrcoef(x.T))
+    r = z @ vectors @ np.diag(values ** -0.5) @ vectors.T
+    n, d = len(x), r - r.mean(0)
+    m2, m3, m4 = (np.mean(d ** k, 0) for k in (2, 3, 4))
+    s, k = m3 / m2 ** 1.5, m4 / m2 ** 2
+    # skewness after D'Agostino, kurtosis after Wilson and Hilferty (Doornik and Hansen 2008)
+    beta = 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
+    w2 = -1 + np.sqrt(2 * (beta - 1))
+    delta, y = 1 / np.sqrt(np.log(np.sqrt(w2))), s * np.sqrt((w2 - 1) / 2 * (n + 1) * (n + 3) / (6 * (n - 2)))
+    z1 = delta * np.log(y + np.sqrt(y * y + 1))
+    dd = (n - 3) * (n + 1) * (n * n + 15 * n - 4)
+    a = (n - 2) * (n + 5) * (n + 7) * (n * n + 27 * n - 70) / (6 * dd)
+    c = (n - 7) * (n + 5) * (n + 7) * (n * n + 2 * n - 5) / (6 * dd)
+    kk = (n + 5) * (n + 7) * (n ** 3 + 37 * n * n + 11 * n - 313) / (12 * dd)
+    alpha = a + s * s * c
+    chi = np.maximum(k - 1 - s * s, 0) * 2 * kk
+    z2 = ((chi / (2 * alpha)) ** (1 / 3) - 1 + 1 / (9 * alpha)) * np.sqrt(9 * alpha)
+    statistic = next(v for name, v in row.items() if "stat" in name.lower() or name.lower() in ("e", "ep"))
+    assert statistic == pytest.approx(float((z1 ** 2 + z2 ** 2).sum()), rel=1e-6)
+
+
+def test_expression_report_has_every_table(spark):
+    rng = np.random.default_rng(11)
+    names = [f"v{i}" for i in range(6)]
+    data = []
+    for i in range(120):
+        c = i % 3
+        x = rng.normal(0, 1, 6) + np.array([c, -c, 0, 2 * c, 0, 1])
+        data.append((i, *[None if (i * 7 + j) % 29 == 0 else float(v) for j, v in enumerate(x)], i % 2, c))
+    schema = "id long, " + ", ".join(f"{n} double" for n in names) + ", f long, c long"
+    from brindle.plans.expression_study import LADDER, Effort, expression_report
+    report = expression_report(spark.createDataFrame(data, schema), names, names[:3], "id", "c", ["f", "c"],
+                               effort=Effort([0.0, 0.05], [2, 3], [1, 2], 5, 2, 1))
+    ladder = {r["model"]: r["accuracy"] for r in report["ladder"].collect()}
+    assert len(ladder) == len(LADDER) and report["ensemble_accuracy"].first()[0] > 0.6
+    assert report["scatter"].select("pair").distinct().count() == 3 and report["top_features"].count() == 6
+    assert report["clean"].filter(" OR ".join(f"{n} IS NULL" for n in names)).count() == 0
+    for name, table in report.items():
+        assert table.columns, name
