@@ -23,6 +23,25 @@ def _dealt(df: DataFrame, key: str, blocks: int, other: int, mine: str, theirs:
             .withColumn(theirs, F.explode(F.sequence(F.lit(0), F.lit(other - 1)))))
 
 
+def _blocks(df: DataFrame, by: list[str], block_rows: int) -> int:
+    """Blocks that the largest ``by`` group needs."""
+    sizes = df.groupBy(*by).count() if by else df.agg(F.count(F.lit(1)).alias("count"))
+    return max(1, math.ceil((sizes.agg(F.max("count")).first()[0] or 0) / block_rows))
+
+
+def smallest(values: np.ndarray, take: int) -> np.ndarray:
+    """Columns of the ``take`` smallest values per row in order, the smaller column first among equal values."""
+    if take >= values.shape[1]:
+        return np.argsort(values, axis=1, kind="stable")
+    found = np.sort(np.argpartition(values, take - 1, axis=1)[:, :take], axis=1)
+    held = np.take_along_axis(values, found, axis=1)
+    out = np.take_along_axis(found, np.argsort(held, axis=1, kind="stable"), axis=1)
+    # rows in which values equal to the last one were left out
+    tied = (values <= held.max(axis=1)[:, None]).sum(axis=1) > take
+    out[tied] = np.argsort(values[tied], axis=1, kind="stable")[:, :take]
+    return out
+
+
 def nearest_neighbours(train: DataFrame, test: DataFrame, key: str, label: str, k: int,
                        features: str = "features", by: list[str] | None = None,
                        sizes: list[int] | None = None, weight: str | None = None,
@@ -33,9 +52,7 @@ def nearest_neighbours(train: DataFrame, test: DataFrame, key: str, label: str,
     the leading 2, 3, ... features in one go. Ties in distance go to the smaller training key.
     """
     by = by or []
-    # Block sizes count rows of all ``by`` groups together: too many blocks at worst, never too few.
-    test_blocks = max(1, math.ceil(test.count() / block_rows))
-    train_blocks = max(1, math.ceil(train.count() / block_rows))
+    test_blocks, train_blocks = (_blocks(d, by, block_rows) for d in (test, train))
     weight_col = F.col(weight).cast("double") if weight else F.lit(1.0)
     left = _dealt(test.select(*by, key, F.col(features).alias("x")),
                   key, test_blocks, train_blocks, "tb", "rb")
@@ -56,8 +73,7 @@ def nearest_neighbours(train: DataFrame, test: DataFrame, key: str, label: str,
             for j in range(done, size):
                 squared += (a[:, j][:, None] - b[:, j][None, :]) ** 2
             done = size
-            # A stable sort over key order keeps the smaller key first among equal distances.
-            order = np.argsort(squared, axis=1, kind="stable")[:, :take]
+            order = smallest(squared, take)
             at = order.ravel()
             part = {c: np.repeat(scored[c].to_numpy(), take) for c in [*by, key]}
             part |= {"size": size, "near": known[key].to_numpy()[at], "label": known["label"].to_numpy()[at],

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SCRATCH: dict[str, str] = {}
+_WRITTEN: dict[str, list[str]] = {}  # paths handed out, by application
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -24,7 +25,22 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.conf.get("spark.app.id", "local"), []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Remove the intermediate tables of this application; call it once its results have been taken.
+
+    The caller owns these tables: results are read lazily, so nothing here can tell when they are done.
+    """
+    paths = _WRITTEN.pop(spark.conf.get("spark.app.id", "local"), [])
+    jvm = spark.sparkContext._jvm
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
 
 
 def write_out(df: DataFrame, label: str) -> DataFrame:

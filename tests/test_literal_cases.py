@@ -258,3 +258,27 @@ def test_a_repeated_key_stops_the_split(spark):
     df = spark.createDataFrame([(1, "a")] * 10, "k int, c string")
     with pytest.raises(Exception, match="not unique"):
         split.split_stratified_class(df, "c", 0.5, ["k"], 1).collect()
+
+
+def test_smallest_keeps_the_order_of_equal_values():
+    import numpy as np
+
+    from brindle.operators.neighbours import smallest
+
+    rng = np.random.default_rng(1)
+    for take in (1, 3, 7, 12):
+        values = rng.integers(0, 4, (50, 12)).astype(float)
+        assert (smallest(values, take) == np.argsort(values, axis=1, kind="stable")[:, :take]).all()
+
+
+def test_release_removes_what_was_written(spark):
+    from brindle import storage
+
+    held, storage._WRITTEN = storage._WRITTEN, {}  # tables of other tests stay
+    try:
+        df = storage.write_out(spark.range(3), "released")
+        assert df.count() == 3 and storage.release(spark) == 1 and storage.release(spark) == 0
+        with pytest.raises(Exception):
+            df.count()
+    finally:
+        storage._WRITTEN = held
