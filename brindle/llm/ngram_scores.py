@@ -8,19 +8,22 @@ state's probabilities sum to one. The mass m = a c(h)^b grows with the context a
 different continuations does (Heaps' law), so no such number has to be gathered. Counts are exact
 over all training texts; nothing is pruned.
 
-No model is held whole anywhere. Texts are cut into blocks of about a million words. A block sends the
+No model is held whole anywhere. Texts are cut into blocks of about two million words. A block sends the
 distinct n-grams it holds, with its own training counts, to buckets by their hash; a bucket adds them
-up and answers each block only where the total differs from the block's own count. A block thus has
+up and answers each block with a bit per n-gram, and a total where it differs from the block's own count.
+A block thus has
 the part of the automaton that its texts can reach, and is traversed left to right with the state
 carried as the longest known context; all words of a block take the same hop at once.
 
 Defined results: a null text is empty and has the end as its only token; repeated rows are scored and
 counted each; a null id keeps its row; empty input gives no rows; other columns are not read. Words
-are compared by 61 bits of a 64-bit hash.
+are compared by 63 bits of a hash; longer n-grams by at least 48 bits and by 20 more than it takes to number
+the corpus' words, so one in a million is mistaken for another at any size.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,14 +31,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from brindle.llm.tables import stage
+from brindle.llm.tables import stage, stage_bucketed, workers_import
 from brindle.llm.words import buffer, chained, words
 
-BLOCK_WORDS = 1_000_000
+BLOCK_TOKENS = 2_000_000
 BUCKET_KEYS = 3_000_000
+ORDER = 3
 _U = np.uint64
 _END = _U(0x5EED0FDECAFBAD11)
-_BLOCK = "block long, ids array<long>, held array<boolean>, train_tokens long, n long, sizes binary, vocab binary, tokens binary"
+_BLOCK = "block long, ids array<long>, held array<boolean>, train_tokens long, n long, sizes binary, vocab binary, ranks binary, tokens binary"
 
 
 # --- packing of sorted keys and counts ----------------------------------------------------------
@@ -66,97 +70,124 @@ def _unpack_keys(data: bytes) -> np.ndarray:
 # --- one block ----------------------------------------------------------------------------------
 
 def _row(block: int, ids: list, held: list, hashes: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
-    vocab, tokens = np.unique(hashes, return_inverse=True)
+    vocab, tokens, often = np.unique(hashes, return_inverse=True, return_counts=True)
+    # frequent words get small numbers, which pack into fewer bytes
+    rank = np.empty(len(vocab), np.int64)
+    rank[np.argsort(-often, kind="stable")] = np.arange(len(vocab))
     trained = ~np.array([bool(h) for h in held], bool)
     return pa.RecordBatch.from_pydict({
         "block": pa.array([block], pa.int64()), "ids": pa.array([ids], pa.list_(pa.int64())), "held": pa.array([held], pa.list_(pa.bool_())),
         "train_tokens": pa.array([int((sizes[trained] + 1).sum())], pa.int64()), "n": pa.array([int(len(tokens) + len(sizes))], pa.int64()),
-        "sizes": pa.array([sizes.astype(np.int32).tobytes()], pa.binary()), "vocab": pa.array([vocab.tobytes()], pa.binary()),
-        "tokens": pa.array([tokens.astype(np.int32).tobytes()], pa.binary())})
+        "sizes": pa.array([_pack(sizes)], pa.binary()), "vocab": pa.array([_pack_keys(vocab)], pa.binary()),
+        "ranks": pa.array([_pack(rank)], pa.binary()), "tokens": pa.array([_pack(rank[tokens])], pa.binary())})
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as blocks of word numbers; a block's name is unique among the tasks that commit."""
     block = TaskContext.get().partitionId() << 32
-    ids, held, hashes, sizes, held_words = [], [], [], [], 0
+    ids, held, hashes, sizes, held_tokens = [], [], [], [], 0
     for batch in batches:
         h, _, first = words(*buffer(batch.column(2)))
         keys, flags, at = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0
+        tokens = first + np.arange(len(first))  # words and ends
         while at < len(keys):
-            upto = int(np.searchsorted(first, first[at] + BLOCK_WORDS - held_words, side="left"))
+            upto = int(np.searchsorted(tokens, tokens[at] + BLOCK_TOKENS - held_tokens, side="left"))
             upto = min(max(upto, at + 1), len(keys))
             ids += keys[at:upto]
             held += flags[at:upto]
             hashes.append(h[first[at]:first[upto]])
             sizes.append(np.diff(first[at:upto + 1]))
-            held_words += int(first[upto] - first[at])
+            held_tokens += int(tokens[upto] - tokens[at])
             at = upto
-            if held_words >= BLOCK_WORDS:
+            if held_tokens >= BLOCK_TOKENS:
                 yield _row(block, ids, held, np.concatenate(hashes), np.concatenate(sizes))
-                block, ids, held, hashes, sizes, held_words = block + 1, [], [], [], [], 0
+                block, ids, held, hashes, sizes, held_tokens = block + 1, [], [], [], [], 0
     if ids:
         yield _row(block, ids, held, np.concatenate(hashes), np.concatenate(sizes))
 
 
 class _Block:
-    """The n-grams of one block: a key per token and order, the distinct keys, their training counts."""
+    """The n-grams of one block, by order: a key per token, the distinct keys, their training counts."""
 
-    def __init__(self, row: dict):
-        self.row, sizes = row, np.frombuffer(row["sizes"], np.int32).astype(np.int64)
-        h = np.frombuffer(row["vocab"], np.uint64)[np.frombuffer(row["tokens"], np.int32)]
-        h = np.insert(h, np.cumsum(sizes), _END)
+    def __init__(self, row: dict, bits: int):
+        self.row, sizes = row, _unpack(row["sizes"]).astype(np.int64)
+        word = np.zeros(len(_unpack(row["ranks"])), np.uint64)
+        word[_unpack(row["ranks"]).astype(np.int64)] = _unpack_keys(row["vocab"])
+        h = np.insert(word[_unpack(row["tokens"]).astype(np.int64)], np.cumsum(sizes), _END)
         self.starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]).astype(np.int64)
         self.sizes = sizes + 1
         self.place = np.arange(len(h)) - np.repeat(self.starts, self.sizes)
         trained = ~np.array([bool(x) for x in row["held"]], bool)
         flag = np.repeat(trained, self.sizes).astype(np.uint64)
         # order n: one key for each token that ends an n-gram inside its text
-        self.at = [np.flatnonzero(self.place >= n) for n in range(3)]
-        self.keys = [(chained(h, n + 1)[self.at[n] - n] & ~_U(7)) | _U(2 * n + 2) for n in range(3)]
-        every = np.concatenate([k | flag[a] for k, a in zip(self.keys, self.at)])
-        every.sort()
-        key = every & ~_U(1)
-        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        self.distinct, self.counts = key[edge], np.add.reduceat(every & _U(1), edge)
+        self.at = [np.flatnonzero(self.place >= n) for n in range(ORDER)]
+        self.keys, self.distinct, self.counts = [], [], []
+        for n, at in enumerate(self.at):
+            key = chained(h, n + 1)[at - n] >> _U(64 - key_width(n, bits))
+            every = np.sort(key << _U(1) | flag[at])
+            distinct = every >> _U(1)
+            edge = np.flatnonzero(np.concatenate([np.ones(min(1, len(every)), bool), distinct[1:] != distinct[:-1]]))
+            self.keys.append(key)
+            self.distinct.append(distinct[edge])
+            self.counts.append(np.add.reduceat(every & _U(1), edge) if len(edge) else edge.astype(np.uint64))
 
 
-def _send(bits: int):
+def key_width(n: int, bits: int) -> int:
+    """Bits of a key: words have all but the one that marks training tokens."""
+    return 63 if n == 0 else bits
+
+
+def bucket_edges(distinct: np.ndarray, n: int, buckets: int, bits: int) -> np.ndarray:
+    """Where each of the 2^buckets ranges of the sorted keys begins, and the end of the last."""
+    bucket = (distinct >> _U(key_width(n, bits) - buckets)).astype(np.int64)
+    return np.searchsorted(bucket, np.arange((1 << buckets) + 1))
+
+
+def _send(buckets: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                b = _Block(batch.slice(i, 1).to_pylist()[0])
-                bucket = (b.distinct >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(b.distinct), np.int64)
-                edges = np.searchsorted(bucket, np.arange((1 << bits) + 1))
-                full = [k for k in range(1 << bits) if edges[k] < edges[k + 1]]
-                yield pa.RecordBatch.from_pydict({
-                    "bucket": pa.array(full, pa.int64()), "block": pa.array([b.row["block"]] * len(full), pa.int64()),
-                    "keys": pa.array([_pack_keys(b.distinct[edges[k]:edges[k + 1]]) for k in full], pa.binary()),
-                    "counts": pa.array([_pack(b.counts[edges[k]:edges[k + 1]]) for k in full], pa.binary())})
+                b = _Block(batch.slice(i, 1).to_pylist()[0], bits)
+                for n in range(ORDER):
+                    edges = bucket_edges(b.distinct[n], n, buckets, bits)
+                    full = [k for k in range(1 << buckets) if edges[k] < edges[k + 1]]
+                    yield pa.RecordBatch.from_pydict({
+                        "bucket": pa.array(full, pa.int64()), "block": pa.array([b.row["block"]] * len(full), pa.int64()),
+                        "n": pa.array([n] * len(full), pa.int32()),
+                        "keys": pa.array([_pack_keys(b.distinct[n][edges[k]:edges[k + 1]]) for k in full], pa.binary()),
+                        "counts": pa.array([_pack(b.counts[n][edges[k]:edges[k + 1]]) for k in full], pa.binary())})
     return run
 
 
 def _total(group: pa.Table) -> pa.Table:
     """Totals of one bucket: to each block those that differ from its own, to block -1 the words seen."""
-    keys = [_unpack_keys(k) for k in group["keys"].to_pylist()]
-    counts = [_unpack(c) for c in group["counts"].to_pylist()]
-    every, place = np.unique(np.concatenate(keys), return_inverse=True)
-    totals = np.bincount(place, weights=np.concatenate(counts).astype(np.float64), minlength=len(every)).astype(np.uint64)
-    seen = int(((every & _U(6)) == _U(2))[totals > 0].sum())
-    blocks, out_keys, out_totals, begin = [], [], [], 0
-    for block, k, c in zip(group["block"].to_pylist(), keys, counts):
-        t = totals[place[begin:begin + len(k)]]
-        begin += len(k)
-        more = t > c
-        if more.any():
-            blocks.append(block)
-            out_keys.append(_pack_keys(k[more]))
-            out_totals.append(_pack(t[more]))
+    seen, blocks, orders, out_bits, out_totals = 0, [], [], [], []
+    rows = group.select(["n", "block", "keys", "counts"]).to_pylist()
+    for n in range(ORDER):
+        some = [r for r in rows if r["n"] == n]
+        if not some:
+            continue
+        keys, counts = [_unpack_keys(r["keys"]) for r in some], [_unpack(r["counts"]) for r in some]
+        every, place = np.unique(np.concatenate(keys), return_inverse=True)
+        totals = np.bincount(place, weights=np.concatenate(counts).astype(np.float64), minlength=len(every)).astype(np.uint64)
+        seen += int((totals > 0).sum()) if n == 0 else 0
+        begin = 0
+        for r, k, c in zip(some, keys, counts):
+            t = totals[place[begin:begin + len(k)]]
+            begin += len(k)
+            more = t > c
+            if more.any():
+                blocks.append(r["block"])
+                orders.append(n)
+                out_bits.append(np.packbits(more).tobytes())
+                out_totals.append(_pack(t[more]))
     return pa.table({"block": pa.array([-1, *blocks], pa.int64()), "seen": pa.array([seen, *[0] * len(blocks)], pa.int64()),
-                     "keys": pa.array([_pack_keys(every[:0]), *out_keys], pa.binary()),
-                     "totals": pa.array([_pack(totals[:0]), *out_totals], pa.binary())})
+                     "bucket": pa.array(group["bucket"].to_pylist()[:1] * (1 + len(blocks)), pa.int64()),
+                     "n": pa.array([0, *orders], pa.int32()), "bits": pa.array([b"", *out_bits], pa.binary()),
+                     "totals": pa.array([b"", *out_totals], pa.binary())})
 
 
-def _traverse(n_train: int, n_words: int, prior: tuple[float, float]):
+def _traverse(n_train: int, n_words: int, prior: tuple[float, float], buckets: int, bits: int):
     """Scores of the texts of one block, from its own counts and the totals that were sent back."""
 
     def sums(b: _Block, values: np.ndarray) -> np.ndarray:
@@ -165,14 +196,16 @@ def _traverse(n_train: int, n_words: int, prior: tuple[float, float]):
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
         for row in rows.to_pylist():
-            b = _Block(row)
-            totals = b.counts.copy()
-            for k, t in zip(answers["keys"].to_pylist(), answers["totals"].to_pylist()):
-                totals[np.searchsorted(b.distinct, _unpack_keys(k))] = _unpack(t)
+            b = _Block(row, bits)
+            totals = [c.copy() for c in b.counts]
+            edges = [bucket_edges(d, order, buckets, bits) for order, d in enumerate(b.distinct)]
+            for order, bucket, more, t in zip(*(answers[c].to_pylist() for c in ("n", "bucket", "bits", "totals"))):
+                begin, end = edges[order][bucket:bucket + 2]
+                totals[order][begin:end][np.unpackbits(np.frombuffer(more, np.uint8), count=end - begin).astype(bool)] = _unpack(t)
             n = len(b.place)
-            count = [np.zeros(n) for _ in range(3)]  # of the n-gram that ends at each token
-            for c, k, a in zip(count, b.keys, b.at):
-                c[a] = totals[np.searchsorted(b.distinct, k)]
+            count = [np.zeros(n) for _ in range(ORDER)]  # of the n-gram that ends at each token
+            for order, c in enumerate(count):
+                c[b.at[order]] = totals[order][np.searchsorted(b.distinct[order], b.keys[order])]
             base = np.log10((count[0] + 0.5) / (n_train + 0.5 * (n_words + 1)))
             # arc weights of the three orders; a context is the n-gram that ends one token before
             arcs, fails = [base], [np.zeros(n)]
@@ -214,15 +247,18 @@ _RESULT = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens",
 def score_texts(docs: DataFrame, held_out: Column, *, key: str = "doc_id", text: str = "text",
                 prior: tuple[float, float] = (4.0, 0.9)) -> DataFrame:
     """Score every text; those where ``held_out`` is not true are also learned from. ``prior`` holds a and b."""
-    blocks = stage(docs.select(F.col(key).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text).alias("body"))
-                   .mapInArrow(_blocks, _BLOCK), "scores-blocks")
+    workers_import(docs.sparkSession)
+    blocks = stage_bucketed(docs.select(F.col(key).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text).alias("body"))
+                            .mapInArrow(_blocks, _BLOCK), "scores-blocks", "block")
     n_train, tokens = blocks.agg(F.sum("train_tokens"), F.sum("n")).first()
-    # up to three n-grams per token, so that many buckets hold about BUCKET_KEYS each
-    bits = max(4, int(np.ceil(np.log2(max(1, 2 * (tokens or 0)) / BUCKET_KEYS)))) if tokens else 4
-    sent = blocks.mapInArrow(_send(bits), "bucket long, block long, keys binary, counts binary")
-    answers = stage(sent.groupBy("bucket").applyInArrow(_total, "block long, seen long, keys binary, totals binary"), "scores-totals")
+    tokens = max(tokens or 0, 1)
+    bits = min(63, max(48, math.ceil(math.log2(tokens)) + 20))
+    # nearly two distinct n-grams per token and block, so that buckets hold about BUCKET_KEYS each
+    buckets = max(4, math.ceil(math.log2(2 * tokens / BUCKET_KEYS)))
+    sent = blocks.mapInArrow(_send(buckets, bits), "bucket long, block long, n int, keys binary, counts binary")
+    answers = stage(sent.groupBy("bucket").applyInArrow(_total, "block long, seen long, bucket long, n int, bits binary, totals binary"), "scores-totals")
     n_words = answers.where("block = -1").agg(F.sum("seen")).first()[0] or 0
     scored = (blocks.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block"))
-              .applyInArrow(_traverse(n_train or 0, n_words, prior),
+              .applyInArrow(_traverse(n_train or 0, n_words, prior, buckets, bits),
                             "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
     return scored.withColumnRenamed("id", key)
