@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from brindle.llm.tables import stage
+from brindle.llm.tables import join_spread, stage
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (columns a, b); root is the component's smallest node.
 
     Alternating stars (Kiveris et al., SoCC 2014): every node hands its smallest neighbour to its larger,
-    then to its smaller neighbours, until each component is one star. The edges never leave the cluster;
+    then to its smaller neighbours, until each component is one star. A node with very many neighbours is
+    spread over many tasks in the joins. The edges never leave the cluster;
     each turn is written to the shared folder, and only a count and a checksum reach the driver.
     """
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
@@ -24,8 +25,8 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = join_spread(both, least, ["u"], "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = (join_spread(large, smallest, ["u"], "v").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(smallest.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         current = stage(small, "stars")
