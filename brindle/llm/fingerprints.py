@@ -20,10 +20,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from brindle.llm.tables import stage
+from brindle.llm.tables import stage, workers_import
 from brindle.llm.words import BASE, buffer, mix, units
 
 _U = np.uint64
@@ -121,8 +120,9 @@ def differing(a: str, b: str) -> list[tuple[int, int]]:
 # --- Spark --------------------------------------------------------------------------------------
 
 _SCHEMA = ("id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-           "near_edited double, near_next double, part int, edge string, body string")
-_FIELDS = [c.split()[0] for c in _SCHEMA.split(", ")]
+           "near_edited double, near_next double")
+_KINDS = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
+_FIELDS = [c.split() for c in _SCHEMA.split(", ")]
 
 
 def edited_text(text: str, following: str) -> str:
@@ -145,50 +145,59 @@ def _compared(rows: list[tuple[int, str, str]]) -> list[tuple]:
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "int": pa.int32()}
-    columns = list(zip(*rows))
-    return pa.RecordBatch.from_arrays([pa.array(v, kinds[c.split()[1]]) for v, c in zip(columns, _SCHEMA.split(", "))], names=_FIELDS)
+    return pa.RecordBatch.from_arrays([pa.array(v, _KINDS[kind]) for v, (_, kind) in zip(zip(*rows), _FIELDS)], names=[name for name, _ in _FIELDS])
+
+
+def _placed(bounds: np.ndarray):
+    """Add ``part``, the place of the id among the bounds in descending order; a null id is in the last part."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0)
+            part = len(bounds) - np.searchsorted(bounds, ids.fill_null(0).to_numpy(zero_copy_only=False), side="right")
+            part = np.where(ids.is_null().to_numpy(zero_copy_only=False), len(bounds), part)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part, pa.int32())], names=[*batch.schema.names, "part"])
+    return run
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compare each row of a sorted partition with the next; hand on the partition's two edge texts."""
-    part, held, size, first = TaskContext.get().partitionId(), [], 0, True
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py() or "")
-            if first:
-                yield _batch([(row[0], *[None] * 6, part, "head", row[1])])
-                first = False
-            held.append(row)
-            size += len(row[1])
-            if size > 1_000_000 and len(held) > 1:
-                yield _batch([(*r, part, None, None) for r in _compared([(*a, b[1]) for a, b in zip(held, held[1:])])])
-                held, size = held[-1:], len(held[-1][1])
-    if len(held) > 1:
-        yield _batch([(*r, part, None, None) for r in _compared([(*a, b[1]) for a, b in zip(held, held[1:])])])
-    if held:
-        yield _batch([(held[-1][0], *[None] * 6, part, "tail", held[-1][1])])
-
-
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compare each row of a part with the next; a part ends with a guest, the text that follows it."""
+    held, size = [], 0
+
+    def pairs() -> list[tuple]:
+        return [(*a, b[1]) for a, b in zip(held, held[1:])]
+
     for batch in batches:
-        for row in batch.to_pylist():
-            yield _batch([(*_compared([(row["id"], row["body"] or "", row["following"] or "")])[0], None, None, None)])
+        for row, body, guest in zip(batch.column(0), batch.column(1), batch.column(2)):
+            held.append((row.as_py(), body.as_py() or ""))
+            size += len(held[-1][1])
+            if (size > 1_000_000 or guest.as_py()) and len(held) > 1:
+                yield _batch(_compared(pairs()))
+                held, size = ([], 0) if guest.as_py() else (held[-1:], len(held[-1][1]))
 
 
 def fingerprint_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: its fingerprint, its edited text's, and their likeness.
 
-    The order is by descending key, dealt over range partitions; only the first and last text of a
-    partition leave it to be compared across the boundary.
+    The order is by descending key, cut into parts by quantiles of the key. The text that opens a part
+    also goes, as a guest, to the end of the part before, so a part can be walked on its own.
     """
-    order = [F.col("id").desc_nulls_last(), F.col("body")]
+    workers_import(docs.sparkSession)
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("body"))
-    walked = stage(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_walk, _SCHEMA), "fingerprints")
-    edges = walked.where("edge IS NOT NULL").select("id", "part", "edge", "body")
-    # as many rows as partitions: each non-empty partition's successor, the first after the last
-    heads = edges.where("edge = 'head'").select("part", "body")
-    turn = heads.select("part", F.coalesce(F.lead("part").over(W.orderBy("part")), F.min("part").over(W.partitionBy())).alias("next_part"))
-    following = heads.select(F.col("part").alias("next_part"), F.col("body").alias("following")).join(turn, "next_part")
-    across = (edges.where("edge = 'tail'").join(following, "part").select("id", "body", "following").mapInArrow(_joined, _SCHEMA))
-    return (walked.where("edge IS NULL").unionByName(across).drop("part", "edge", "body").withColumnRenamed("id", key))
+    rows = rows.withColumn("tie", F.xxhash64("body"))
+    marks = [i / parts for i in range(1, parts)]
+    found = rows.agg(F.percentile_approx("id", marks, max(10_000, 20 * parts))).first()[0] if marks else None
+    bounds = np.unique(np.array(found or [], np.int64))
+    narrow = rows.select("id", "tie").mapInArrow(_placed(bounds), "id long, tie long, part int")
+    # as many rows as parts: the first row of each, and the part before it (before the first comes the last)
+    opening = narrow.groupBy("part").agg(F.max(F.struct("id", F.bitwise_not("tie").alias("tie"))).alias("first"))
+    order = W.orderBy("part")
+    heads = stage(opening.select(F.col("first.id").alias("hid"), F.bitwise_not("first.tie").alias("htie"),
+                                 F.coalesce(F.lag("part").over(order), F.max("part").over(W.partitionBy())).alias("part")), "fingerprint-heads")
+    guests = (rows.join(F.broadcast(heads), rows["id"].eqNullSafe(heads["hid"]) & (rows["tie"] == heads["htie"]))
+              .select("id", "body", "tie", "part").dropDuplicates(["part"]))
+    placed = rows.mapInArrow(_placed(bounds), "id long, body string, tie long, part int")
+    every = placed.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True)))
+    walked = (every.repartitionByRange(parts, "part").sortWithinPartitions("part", "guest", F.col("id").desc_nulls_last(), "tie")
+              .select("id", "body", "guest").mapInArrow(_walk, _SCHEMA))
+    return walked.withColumnRenamed("id", key)
