@@ -149,7 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str, text: str, label: str,
     number = marked.count()
     drawn = F.pmod(F.xxhash64("lid", F.lit("quality sample")), F.lit(1 << 40)) < F.lit(int(min(1.0, sample / max(number, 1)) * (1 << 40)))
     rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("body"))
-    found = stage(rows.join(marked, rows["id"] == marked["lid"]).select("label", drawn.alias("drawn"), "body")
+    # the labels grow with the corpus, so texts meet them in a sorted merge at every size
+    found = stage(rows.join(marked.hint("merge"), rows["id"] == marked["lid"]).select("label", drawn.alias("drawn"), "body")
                   .mapInArrow(_featurised, "label int, drawn boolean, features binary"), "quality-features")
     counts = (found.select("label", "features").mapInArrow(_counted, "feature long, zero long, one long")
               .groupBy("feature").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one")).collect())
