@@ -114,8 +114,12 @@ def tuned_penalty(errors: DataFrame, fold: str = "fold") -> float:
 def tune_effects(train: DataFrame, effects: list[Effect], mu: float, fold: str = "fold",
                  target: str = "rating", grids: dict[str, list[float]] | None = None,
                  lookup_grids: dict[str, list[float]] | None = None,
-                 on_unseen: str = "propagate") -> list[tuple[Effect, DataFrame]]:
-    """Tune and fit the effects in order; each is tuned with the earlier ones fitted on all of ``train``."""
+                 on_unseen: str = "drop") -> list[tuple[Effect, DataFrame]]:
+    """Tune and fit the effects in order; each is tuned with the earlier ones fitted on all of ``train``.
+
+    A key whose rows all lie in one fold has no effect outside it. Such rows are not scored unless
+    ``on_unseen`` says otherwise: with "propagate" the first such fold stops the tuning.
+    """
     grids = grids or GRIDS
     means = fold_means(train, fold, target)
     cells = tuning_rows(train, effects, fold, target)

@@ -24,7 +24,7 @@ def with_year(ratings: DataFrame) -> DataFrame:
 
 
 def prepare(ratings: DataFrame) -> DataFrame:
-    """Only the columns the models need, written once: the only copy of the rows that the study makes.
+    """Only the columns the models need, written once. The study's only other copy is that of the folds.
 
     The year is read from the title unless the input has it. On a large table derive it on the items
     before they are joined to the ratings.
@@ -69,8 +69,8 @@ def folded_training(ratings: DataFrame, seed: int = 2, fold_seed: int = 3, k: in
 
 
 def with_folds(train: DataFrame, seed: int = 3, k: int = 10) -> DataFrame:
-    """Training rows with their fold, an expression of the row's hash like the splits before it."""
-    return kfold_stratified(train, "rating", k, ["row_id"], seed)
+    """Training rows with their fold, written since every tuned effect reads them."""
+    return write_out(kfold_stratified(train, "rating", k, ["row_id"], seed), "folds")
 
 
 def tuned_effects(ratings: DataFrame, **options) -> list[tuple[Effect, DataFrame]]:

@@ -508,7 +508,7 @@ def _tuned(spark, folder, upto: int, errors_of: str):
     cells = penalties.tuning_rows(train, chosen, "fold", "rating")
     for i, effect in enumerate(chosen):
         sums = write_out(penalties.key_sums(cells, effect.key), "key-sums")
-        errors = penalties.penalty_errors(sums, effect.key, means, penalties.GRIDS[effect.name])
+        errors = penalties.penalty_errors(sums, effect.key, means, penalties.GRIDS[effect.name], on_unseen="drop")
         if effect.name == errors_of:
             return errors
         effect = effect.with_penalty(penalties.tuned_penalty(errors))

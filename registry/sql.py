@@ -129,7 +129,7 @@ out_{name} AS MATERIALIZED (SELECT m.fold, b.k, sum(b.y - m.mu) AS s, count(*) A
   FROM mu_{name} m JOIN base_{name} b ON b.fold <> m.fold GROUP BY m.fold, b.k),
 seen_{name} AS MATERIALIZED (SELECT DISTINCT f.fold, b.movieId FROM mu_{name} f JOIN base_{name} b ON b.fold <> f.fold),
 tune_{name} AS MATERIALIZED (SELECT b.fold, g.pos, g.lam,
-  CASE WHEN count(o.s) = count(*) THEN sqrt(avg(power(b.y - m.mu - o.s / (o.n + g.lam), 2))) END AS rmse,
+  sqrt(avg(power(b.y - m.mu - o.s / (o.n + g.lam), 2))) AS rmse,
   sum(power(o.s / (o.n + g.lam), 2) - 2 * o.s / (o.n + g.lam) * (b.y - m.mu)) AS part
   FROM base_{name} b JOIN mu_{name} m ON b.fold = m.fold
   SEMI JOIN seen_{name} w ON w.fold = b.fold AND w.movieId = b.movieId
