@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Row groups small enough that what few tasks wrote is read by many: a scan splits files by row group.
+ROW_GROUP_BYTES = 4 * 1024 * 1024
+
 _LOCAL_SCRATCH: dict[str, str] = {}
 _WRITTEN: dict[str, list[str]] = {}  # paths handed out, by application
 
@@ -51,6 +54,6 @@ def write_out(df: DataFrame, label: str) -> DataFrame:
     went through here is broadcast only if that size is below the session's broadcast threshold.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
