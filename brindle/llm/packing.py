@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -85,6 +86,9 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # --- token ids ----------------------------------------------------------------------------------
 
+# Words with one space or line break between any two, and no other white space.
+PLAIN = re.compile(r"\S++(?:[ \n]\S++)*+")
+
 # The pre-tokenizer's published pattern (byte-level BPE of 50,257 ids): a fixed value.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -135,8 +139,7 @@ class Encoder:
         for at in range(0, len(texts), 200):
             lines: list[list[list[str]] | str] = []
             for t in texts[at:at + 200]:
-                # as many words as separators and one: no white space but single spaces and line breaks
-                plain = len(t.split()) == t.count(" ") + t.count("\n") + 1 and not any(s in t for s in self.special)
+                plain = PLAIN.fullmatch(t) and not any(s in t for s in self.special)
                 lines.append([line.split(" ") for line in t.split("\n")] if plain else t)
             if len(self.spaced) > CACHED or len(self.bare) > CACHED:
                 self.spaced.clear(), self.bare.clear()

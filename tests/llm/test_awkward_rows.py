@@ -122,6 +122,14 @@ def test_encoder_equals_the_tokenizer():
     assert list(encoder.encode(texts)) == want
 
 
+def test_encoder_sends_other_white_space_whole():
+    """Texts whose words and separators count up although their white space is not single blanks between words."""
+    encoder = packing.Encoder(tokenizer_path())
+    texts = ["a\n\xa0\xa0b", "a\tb\tc\n\n\nd", "a\tb\tc\n\n", " a\tb", "a\u2003b  c", "a\x85b \nc", "a b\nc d", "a\x1cb  c", "a\u180eb c\u200bd"]
+    want = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert list(encoder.encode(texts)) == want
+
+
 def test_hilbert_curve_visits_neighbours():
     points = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij")).reshape(3, -1)
     place = packing.hilbert_index(points, 3)
