@@ -7,7 +7,9 @@ blocks of the same parent element are tied by edges that weigh less the farther
 document tree. The maximum flow separates the two sides; the source's side is the text.
 
 Defined results: a null or empty page has the empty text; unclosed elements end where their parent does,
-an unclosed comment, script or style at the page's end; a broken character reference stays as written;
+a head at the first thing that can't stand in it, a title at the next tag, an unclosed comment, script, style,
+textarea or iframe at the page's end; a self-closed svg or math is empty, as is another self-closed element
+without an end tag of its own; a broken character reference stays as written;
 repeated rows are extracted each; empty input gives no rows; other columns are not read. Pages are
 worked on one by one, whole.
 """
@@ -29,7 +31,11 @@ from brindle.llm.tables import workers_import
 
 BLOCK_TAGS = frozenset("""address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure
 footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul""".split())
-SKIPPED_TAGS = frozenset("script style noscript template iframe object svg math textarea select button title head canvas audio video".split())
+RAW_TAGS = frozenset("script style textarea iframe title".split())  # without elements inside: skipped up to the end tag
+SKIPPED_TAGS = frozenset("noscript template object svg math select button head canvas audio video".split())
+HEAD_TAGS = frozenset("base link meta noscript template".split())  # may stand in a head, besides raw ones
+FOREIGN_TAGS = frozenset("svg math".split())  # a block tag right inside ends them
+ISLAND_TAGS = frozenset("foreignobject annotation-xml".split())  # but not in these
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # a tag that ends an open element of the same group
 CLOSED_BY_SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -107,26 +113,84 @@ def blocks_of(page: str) -> list[Block]:
             if link:
                 linked += len(text)
 
+    def leave(place: int) -> None:
+        """Ends the elements from this place of the stack on, of which one at least is skipped."""
+        nonlocal skipped
+        del stack[place:]
+        if place <= skipped:
+            skipped = 0
+
+    def ended_by(tag: str) -> int:
+        """Place of the open element that this tag ends as its sibling; 0: none."""
+        ends = CLOSED_BY_SIBLING.get(tag, ())
+        for i in range(len(stack) - 1, 0, -1) if ends else ():
+            if stack[i][0] in ends:
+                return i
+            if stack[i][0] in LISTS:
+                break
+        return 0
+
+    def place_of(tag: str) -> int:
+        return next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
+
     size = len(page)
+    skipped, has_end = 0, False  # place of the outermost open skipped element, 0: none; whether its end tag follows
     while at < size:
         token = _TOKEN.search(page, at)
+        raw = page[at:token.start()] if token else page[at:]
+        if skipped and stack[-1][0] == "head" and not raw.isspace() and raw:
+            leave(skipped)
+        if not skipped:
+            add(raw)
         if token is None:
-            add(page[at:])
             break
-        add(page[at:token.start()])
         at = token.end()
         if token[2] is None:  # a comment or a declaration
             continue
         closing, tag, attributes = token[1], token[2].lower(), token[3]
-        if tag in SKIPPED_TAGS:
-            if not closing and not (attributes.endswith("/") and tag == "svg"):
+        if tag in RAW_TAGS:
+            if not closing and not (attributes.endswith("/") and stack[-1][0] in FOREIGN_TAGS):
                 end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
-                # a head without an end ends where the body begins
-                if end is None and tag in ("head", "title"):
-                    end = re.compile(r"(?=<body\b)", re.I).search(page, at)
+                if end is None and tag == "title":
+                    end = re.compile(r"(?=</?[a-zA-Z])").search(page, at)
                 at = end.end() if end else size
-                if tag == "head":
-                    flush()
+            continue
+        if skipped and not closing:  # what ends skipped elements without their end tag
+            if stack[-1][0] == "head" and tag not in HEAD_TAGS or tag == "body" and stack[skipped][0] == "head":
+                leave(skipped)
+            elif tag in ("button", "select") and (i := place_of(tag)) >= skipped:
+                leave(i)
+            elif tag in BLOCK_TAGS:
+                while skipped and stack[-1][0] in FOREIGN_TAGS:
+                    leave(len(stack) - 1)
+                if skipped and not has_end and (stack[skipped - 1][0] == "p" or 0 < ended_by(tag) < skipped):
+                    leave(skipped)
+        if tag in SKIPPED_TAGS and not closing:
+            after = re.compile(rf"<(/?){tag}\b", re.I).search(page, at)
+            own_end = after is not None and after[1] == "/"
+            if attributes.endswith("/") and (tag in FOREIGN_TAGS or not own_end) or tag == "noscript" and stack[-1][0] == "head" and not own_end:
+                continue
+            if tag == "head":
+                flush()
+            stack.append((tag, stack[-1][1], stack[-1][2]))
+            if not skipped:
+                skipped, has_end = len(stack) - 1, own_end
+            continue
+        if skipped:
+            if not closing:
+                if tag in BLOCK_TAGS and stack[-1][0] == "p":
+                    stack.pop()
+                if tag in ISLAND_TAGS or tag in BLOCK_TAGS and tag not in VOID_TAGS:
+                    stack.append((tag, 0.0, 0))
+                continue
+            link = link and tag != "a"
+            place = place_of(tag) if tag in BLOCK_TAGS or tag in SKIPPED_TAGS or tag in ISLAND_TAGS else 0
+            if not place or place >= skipped:
+                if place:
+                    leave(place)
+                continue
+            leave(skipped)  # the parent's end
+        if tag in SKIPPED_TAGS:
             continue
         if tag not in BLOCK_TAGS:
             if tag == "a":
@@ -137,21 +201,13 @@ def blocks_of(page: str) -> list[Block]:
         flush()
         link = False
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if place := place_of(tag):
+                del stack[place:]
             continue
         if stack[-1][0] == "p":
             stack.pop()
-        ends = CLOSED_BY_SIBLING.get(tag)
-        if ends:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in ends:
-                    del stack[i:]
-                    break
-                if stack[i][0] in LISTS:
-                    break
+        if place := ended_by(tag):
+            del stack[place:]
         if tag in VOID_TAGS:
             continue
         number += 1
@@ -159,6 +215,8 @@ def blocks_of(page: str) -> list[Block]:
         if tag == "header" and any(t in ("article", "main") for t, _, _ in stack):
             cost = 0.0
         stack.append((tag, stack[-1][1] + cost + (_mark_cost(attributes) if tag not in ("html", "body") else 0.0), number))
+    if skipped:
+        leave(skipped)
     flush()
     return out
 

@@ -168,6 +168,28 @@ def test_main_text(spark):
     assert main_text.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_main_text_after_unclosed_elements():
+    """An element that is left out and has no end tag takes its parent's rest with it, not the page's."""
+    first, second = "The first paragraph of the text, of a dozen words or so.", "The second paragraph is a little longer than the first one was."
+    both = f"{first}\n\n{second}"
+    for tag in "button select object canvas video audio math svg noscript template".split():
+        for opened in (f"<div><{tag}>no</div>", f"<div><{tag} a='1'>no<b>no</div>", f"<div><{tag}><div>no</div></div>" if tag not in ("svg", "math") else ""):
+            assert main_text.main_text(f"<article><p>{first}</p>{opened}<p>{second}</p></article>") == both, opened
+            later = f"<article><p>{first}</p>{opened}<p>{second}</p><div><{tag}>no</{tag}></div></article>"
+            assert main_text.main_text(later) == both, later
+        assert main_text.main_text(f"<article><p>{first}</p><{tag} x='1'/><p>{second}</p></article>") == both, tag
+        assert main_text.main_text(f"<article><p>{first} <{tag}>no<p>{second}</article>") == both, tag
+        assert main_text.main_text(f"<article><p>The first <{tag}><b>no</b></{tag}>paragraph, whole.</p></article>") == "The first paragraph, whole.", tag
+        if tag not in ("svg", "math"):
+            assert main_text.main_text(f"<article><p>{first}<{tag}><div>no</div></{tag}></p><p>{second}</p></article>") == both, tag
+    for head in ("<head><title>T</title>", "<title>T</title>", "<head><title>T", "<head><meta a=b><noscript><style>p{}</style></noscript>",
+                 "<html><head><noscript><link a=b>", "<head><script>'<p>'</script></head>", "<head><title>T</title><body>"):
+        assert main_text.main_text(f"{head}<article><p>{first}</p><p>{second}</p></article>") == both, head
+    assert main_text.main_text(f"<head><title>T</title>{first}<p>{second}</p>") == both
+    assert main_text.main_text(f"<article><p>{first}</p><svg><foreignObject><div>no</div></foreignObject></svg><p>{second}</p></article>") == both
+    assert main_text.main_text(f"<article><p>{first}</p><script>if (a) <p>no</p>") == first
+
+
 def test_minimum_cut_by_brute_force():
     rng = np.random.default_rng(0)
     for _ in range(40):
