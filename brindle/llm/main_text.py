@@ -47,12 +47,14 @@ cookies copyright disclaimer discussion disqus dropdown footer form gdpr hidden
 notices pager pagination paywall popup privacy promo promoted promotion recommended related replies reply respond response responses search share sharing
 sidebar sidebars signup skip social sponsor sponsored subscribe tags toolbar topbar widget widgets complementary contentinfo alert warning""".split())
 GOOD_MARKS = frozenset("article articlebody body content entry main maincontent post posts story text".split())
+MODIFIERS = frozenset("has no not with without".split())  # what follows them in a class is said of the element, not its kind
+LAYOUT_WORDS = frozenset("area block body box buttons container content form inner items links list section text unit wrap wrapper".split())
 BAD_COST, GOOD_COST = -6.0, 1.5
 BAD_WORDS = re.compile(r"©|\b(?:cookies?|copyright|all rights reserved|subscribe|newsletter|sign up|log in|privacy policy|terms of use|advertisement|sponsored)\b", re.I)
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+|[^>]*)>""", re.S)
-_MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 _END = tuple(".!?…:;\"'”»)")
 
@@ -67,15 +69,32 @@ class Block:
 
 # --- blocks of a page -----------------------------------------------------------------------------
 
+def _mark(token: str) -> float:
+    """What one class, id or role says of its element: by the whole of it or its last word, without what a modifier adds."""
+    words = [w.lower() for w in _SPLIT.split(token) if w]
+    words = words[:next((i for i, w in enumerate(words) if w in MODIFIERS), len(words))]
+    if not words:
+        return 0.0
+    if words[-1] in BAD_MARKS or len(words) == 2 and words[0] in BAD_MARKS and words[1] in LAYOUT_WORDS:
+        return BAD_COST
+    good = words[-1] in GOOD_MARKS or "".join(words) in GOOD_MARKS
+    return GOOD_COST if good and BAD_MARKS.isdisjoint(words) else 0.0
+
+
 def _mark_cost(attributes: str) -> float:
+    """Good and bad marks of one element offset each other."""
     if not attributes or attributes.isspace():
         return 0.0
-    if _HIDDEN.search(attributes):
-        return BAD_COST
-    words = {w.lower() for m in _MARKS.finditer(attributes) for w in _SPLIT.split(m[1] or m[2] or m[3] or "")}
-    if words & BAD_MARKS:
-        return BAD_COST
-    return GOOD_COST if words & GOOD_MARKS else 0.0
+    marks = set()
+    for found in _ATTRIBUTE.finditer(attributes):
+        name, value = found[1].lower(), found[2] or found[3] or found[4] or ""
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _NO_DISPLAY.search(value):
+            return BAD_COST
+        if name in ("class", "id", "role"):
+            marks.update(map(_mark, value.split()))
+    if BAD_COST in marks:
+        return 0.0 if GOOD_COST in marks else BAD_COST
+    return GOOD_COST if GOOD_COST in marks else 0.0
 
 
 def _own_cost(text: str, tag: str, linked: int) -> float:

@@ -190,6 +190,19 @@ def test_main_text_after_unclosed_elements():
     assert main_text.main_text(f"<article><p>{first}</p><script>if (a) <p>no</p>") == first
 
 
+def test_marks_that_only_mention_boilerplate():
+    paragraphs = "<p>The first paragraph of the text, of a dozen words or so.</p><p>The second paragraph is a little longer than the first one was.</p>"
+    whole = "The first paragraph of the text, of a dozen words or so.\n\nThe second paragraph is a little longer than the first one was."
+    for opened in ("div class='content no-sidebar'", "div id='article-with-comments'", "article class='post comments-open'", "article title='The hidden valley'",
+                   "div class=hasSidebar", "div class='content-sidebar-wrap'", "div data-note='display: none'", "main id=main class='has-nav post search'",
+                   "section aria-label='hidden = yes'", "div data-role=navigation", "div class='without_ads'", "div aria-hidden='false'"):
+        assert main_text.main_text(f"<{opened}>{paragraphs}</{opened.split()[0]}>") == whole, opened
+    for opened in ("div class=sidebar", "div id='page-footer'", "div class='ad-container'", "div class='comments-area no-avatars'", "div role=navigation", "div hidden",
+                   "section class='post-comments'", "div style='color:red; display : none'", "div aria-hidden=true", "div class='widget widget_text'", "div hidden=''",
+                   "div class=cookieNotice", "div class='comment-body'"):
+        assert main_text.main_text(f"<{opened}>{paragraphs}</{opened.split()[0]}>") == "", opened
+
+
 def test_minimum_cut_by_brute_force():
     rng = np.random.default_rng(0)
     for _ in range(40):
