@@ -266,15 +266,13 @@ def leading(df: DataFrame, size: int, source: str = "features", name: str = "fea
     return cut.drop(source).withColumnRenamed("__cut", name)
 
 
-def tune_components(scores: DataFrame, key: str, fit: Callable[[DataFrame, float], Model], sizes: list[int],
-                    grid: list[float], resamples: int = 25, parallelism: int = 4) -> DataFrame:
-    """(size, accuracy): best mean held-out accuracy over the grid for each number of components."""
-    parts = [tune_classifier(leading(scores, size), key, fit, grid, resamples, parallelism=parallelism)
-             .agg(F.lit(size).cast("bigint").alias("size"), F.max("accuracy").alias("accuracy")) for size in sizes]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+def tune_components(scores: DataFrame, sizes: list[int], tune: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(size, accuracy): the best accuracy that ``tune`` finds over its grid with each number of leading components.
+
+    ``tune`` is given rows with ``features`` and ``label_index`` and returns a table with ``accuracy``.
+    """
+    rows = [(size, tune(leading(scores, size)).agg(F.max("accuracy")).first()[0]) for size in sizes]
+    return scores.sparkSession.createDataFrame(rows, "size bigint, accuracy double")
 
 
 def vote_ensemble(df: DataFrame, first: str, second: str, third: str, name: str = "ensemble") -> DataFrame:

@@ -316,6 +316,8 @@ def _(spark, folder):
 # The complexity grid of the study: 40 equal steps from 0, here of the least gain of a split.
 GAINS = [i / 400 for i in range(40)]
 KS = list(range(2, 21))
+MTRY = list(range(1, 9))
+SIZES = list(range(2, len(KEPT) + 1))
 
 
 def _tuned_tree(train: DataFrame, test: DataFrame, cols: list[str]) -> cls.Tuned:
@@ -332,6 +334,11 @@ def _forest(trees: int, mtry: int = 6):
     return lambda rows: cls.fit_forest(rows, mtry, trees)
 
 
+def _tune_forest(rows: DataFrame, trees: int) -> DataFrame:
+    """All values of mtry and all resamples of the study."""
+    return cls.tune_classifier(rows, "MouseID", lambda r, mtry: cls.fit_forest(r, int(mtry), trees, "weight"), MTRY, resamples=25)
+
+
 @query("classify_tree", None)
 def _(spark, folder):
     train, test = parts(spark, folder)
@@ -414,8 +421,7 @@ def _(spark, folder):
 @query("tune_classifier_forest", None)
 def _(spark, folder):
     train, _ = parts(spark, folder)
-    return cls.tune_classifier(_indexed(train, CHOSEN), "MouseID",
-                               lambda rows, mtry: cls.fit_forest(rows, int(mtry), 10, "weight", 8), [2, 6], resamples=2)
+    return _tune_forest(_indexed(train, KEPT), 500)
 
 
 def _components(spark, folder):
@@ -511,23 +517,21 @@ def _(spark, folder):
 def _(spark, folder):
     found, train, _ = _components(spark, folder)
     scores = cls.scores_array(found.project(train))
-    return cls.tune_knn(scores, "MouseID", "class", KS, resamples=25, sizes=list(range(2, len(KEPT) + 1)))
+    return cls.tune_knn(scores, "MouseID", "class", KS, resamples=25, sizes=SIZES)
 
 
 @query("tune_components_tree", None)
 def _(spark, folder):
     found, train, _ = _components(spark, folder)
     scores = cls.with_label_index(train, "class").transform(found.project(train))
-    return cls.tune_components(scores, "MouseID", lambda rows, gain: cls.fit_tree(rows, gain, "weight", 10),
-                               [2, 10, 30], [0.0], resamples=2)
+    return cls.tune_components(scores, SIZES, lambda rows: cls.tune_tree(rows, "MouseID", GAINS))
 
 
 @query("tune_components_forest", None)
 def _(spark, folder):
     found, train, _ = _components(spark, folder)
     scores = cls.with_label_index(train, "class").transform(found.project(train))
-    return cls.tune_components(scores, "MouseID", lambda rows, mtry: cls.fit_forest(rows, int(mtry), 10, "weight", 8),
-                               [5, 20], [2], resamples=1)
+    return cls.tune_components(scores, SIZES, lambda rows: _tune_forest(rows, 100))
 
 
 _KS = (2, 3, 5)

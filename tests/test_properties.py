@@ -234,6 +234,42 @@ def test_tuning_of_classifiers(spark, points):
     assert knn.filter("size = 4").agg(F.min("accuracy")).first()[0] > 0.85
 
 
+def test_component_sizes_have_the_best_of_each_grid(spark, points):
+    ready = cls.with_label_index(points, "c").transform(columns.features_to_vector(points, COLS))
+    tune = lambda rows: cls.tune_tree(rows, "id", [0.0, 0.1], resamples=2)
+    got = {r["size"]: r["accuracy"] for r in cls.tune_components(ready, [2, 3, 4], tune).collect()}
+    assert got == {n: tune(cls.leading(ready, n)).agg(F.max("accuracy")).first()[0] for n in (2, 3, 4)}
+
+
+def test_tuning_queries_cover_the_whole_grids(spark, small, monkeypatch):
+    """Fits are only counted here: 40 gains or 8 mtry, 25 resamples, all sizes, the study's numbers of trees."""
+    from registry import expression_queries as registered
+
+    seen = []
+
+    def tree(rows, key, gains, resamples=25, seed=cls.SEED, max_depth=30, parallelism=4):
+        seen.append((None, tuple(gains), resamples, max_depth))
+        return spark.createDataFrame([(0.5,)], "accuracy double")
+
+    def grid(rows, key, fit, values, resamples=25, seed=cls.SEED, parallelism=4):
+        seen.append((len(rows.first()["features"]) if len(seen) < 2 else None, fit(rows, values[-1]), tuple(values), resamples))
+        return spark.createDataFrame([(0.5,)], "accuracy double")
+
+    monkeypatch.setattr(cls, "tune_tree", tree)
+    monkeypatch.setattr(cls, "tune_classifier", grid)
+    monkeypatch.setattr(cls, "fit_forest", lambda rows, mtry, trees=500, weight=None, max_depth=20, features="features": (mtry, trees, weight, max_depth))
+    sizes = [r["size"] for r in registered.QUERIES["tune_components_tree"][0](spark, small).orderBy("size").collect()]
+    assert sizes == list(range(2, len(registered.KEPT) + 1)) == registered.SIZES and len(seen) == len(sizes)
+    assert {s[1:] for s in seen} == {(tuple(i / 400 for i in range(40)), 25, 30)}
+    seen.clear()
+    sizes = [r["size"] for r in registered.QUERIES["tune_components_forest"][0](spark, small).orderBy("size").collect()]
+    assert sizes == registered.SIZES and len(seen) == len(sizes) and [s[0] for s in seen[:2]] == [2, 3]
+    assert {s[1:] for s in seen} == {((8, 100, "weight", 20), tuple(range(1, 9)), 25)}
+    seen.clear()
+    registered.QUERIES["tune_classifier_forest"][0](spark, small)
+    assert seen == [(len(registered.KEPT), (8, 500, "weight", 20), tuple(range(1, 9)), 25)]
+
+
 def test_imputation_leaves_known_cells(spark, small):
     df = views.proteins(spark, small).select("MouseID", "class", "p00", "p05")
     full = agg.impute_group_median(df, "class", ["p00", "p05"])
