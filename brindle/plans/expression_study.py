@@ -73,6 +73,7 @@ class Effort:
     trees: int = 500
     resamples: int = 25
     forest_resamples: int = 25
+    size_trees: int = 100  # of a forest while the number of components is tuned
 
 
 @dataclass(frozen=True)
@@ -95,23 +96,47 @@ def model_inputs(clean: DataFrame, cols: list[str], key: str, label: str, p: flo
     return Inputs(train, test, scaled, found, scores)
 
 
+def _tune(kind: str, key: str, effort: Effort, trees: int):
+    """The tuning of a tree or forest on rows with ``features`` and ``label_index``."""
+    if kind == "tree":
+        return lambda rows: cls.tune_tree(rows, key, effort.gains, effort.resamples)
+    return lambda rows: cls.tune_classifier(rows, key, lambda r, m: cls.fit_forest(r, int(m), trees, "weight"), effort.tried,
+                                            effort.forest_resamples)
+
+
+def component_sizes(inputs: Inputs, kind: str, key: str, label: str, effort: Effort) -> DataFrame:
+    """(size, accuracy) for every number of leading components from 2 on: the best over the grid of this kind of model."""
+    train, most = inputs.scores[0], len(inputs.components.cols)
+    sizes = list(range(min(2, most), most + 1))
+    if kind == "neighbours":
+        tuned = cls.tune_knn(cls.scores_array(train), key, label, effort.neighbours, effort.resamples, sizes=sizes)
+        return tuned.groupBy("size").agg(F.max("accuracy").alias("accuracy"))
+    ready = write_out(cls.with_label_index(train, label).transform(train).select(key, "features", "label_index"), "ready")
+    return cls.tune_components(ready, sizes, _tune(kind, key, effort, effort.size_trees))
+
+
 def model_predictions(inputs: Inputs, name: str, cols: list[str], chosen: list[str], key: str, label: str, effort: Effort) -> DataFrame:
-    """(key, label, predicted) of one model of the ladder: tuned, refitted on all training rows, applied to the test rows."""
+    """(key, label, predicted) of one model of the ladder: tuned, refitted on all training rows, applied to the test rows.
+
+    On components their number is tuned first; the model is then tuned and fitted on that many.
+    """
     if name == "random guess":
         guessed = random_guess(inputs.test, category_levels(inputs.train, label), [key], 7)
         return guessed.select(key, label, F.col("guess").cast("string").alias("predicted"))
     kind, on = name.split(", ")
-    train, test = inputs.scores if on == "components" else (inputs.train, inputs.test)
+    train, test = inputs.train, inputs.test
+    if on == "components":
+        size = int(cls.best_value(component_sizes(inputs, kind, key, label, effort), "size", None))
+        train, test = (cls.leading(d, size) for d in inputs.scores)
     used = {"chosen columns": chosen, "all columns": cols, "components": []}[on]
     if kind == "neighbours":
         arrays = [features_to_array(d, used) if used else cls.scores_array(d) for d in (train, test)]
         return cls.tune_refit_score_knn(*arrays, key, label, effort.neighbours, effort.resamples).predictions
     if kind == "tree":
-        return cls.tune_refit_score(train, test, used, key, label, lambda rows: cls.tune_tree(rows, key, effort.gains, effort.resamples),
-                                    lambda rows, gain: cls.fit_tree(rows, gain)).predictions
-    tune = lambda rows: cls.tune_classifier(rows, key, lambda r, m: cls.fit_forest(r, int(m), effort.trees, "weight"), effort.tried,
-                                            effort.forest_resamples)
-    return cls.tune_refit_score(train, test, used, key, label, tune, lambda rows, m: cls.fit_forest(rows, int(m), effort.trees)).predictions
+        fit = lambda rows, gain: cls.fit_tree(rows, gain)
+    else:
+        fit = lambda rows, m: cls.fit_forest(rows, int(m), effort.trees)
+    return cls.tune_refit_score(train, test, used, key, label, _tune(kind, key, effort, effort.trees), fit).predictions
 
 
 def as_text(predictions: DataFrame, label: str) -> DataFrame:

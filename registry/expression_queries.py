@@ -564,8 +564,8 @@ def _(spark, folder):
     return cls.vote_ensemble(fixed, "a", "b", "c").select("MouseID", "class", "ensemble")
 
 
-# All values of the study's grids; fewer trees and resamples of forests than it has (see README).
-EFFORT = study.Effort(trees=50, forest_resamples=1)
+# The study's grids, trees and resamples.
+EFFORT = study.Effort()
 
 
 def _models(spark, folder, names: list[str]) -> dict[str, DataFrame]:

@@ -270,6 +270,42 @@ def test_tuning_queries_cover_the_whole_grids(spark, small, monkeypatch):
     assert seen == [(len(registered.KEPT), (8, 500, "weight", 20), tuple(range(1, 9)), 25)]
 
 
+def test_models_on_components_use_the_best_number_of_them(spark, monkeypatch):
+    """Two components carry the class, the others are noise: the models must not be fitted on all."""
+    from brindle.plans import expression_study as study
+
+    rng = np.random.default_rng(5)
+    data = []
+    for i in range(160):
+        c = i % 4
+        x = rng.normal(0, 0.3, 6) + np.repeat([c % 2, c // 2 * 1.5], 3) * 3
+        data.append((i, *map(float, x), c))
+    names = [f"v{j}" for j in range(6)]
+    df = spark.createDataFrame(data, "id long, " + ", ".join(f"{n} double" for n in names) + ", c long")
+    effort = study.Effort([0.0], [2, 3], [1], 5, 2, 1, 3)
+    inputs = study.model_inputs(df, names, "id", "c", 0.4, 4021)
+    widths = []
+    for act in ("tune_refit_score", "tune_refit_score_knn"):
+        def spy(train, test, *rest, real=getattr(cls, act), **named):
+            widths.append({len(d.first()["features"]) for d in (train, test)})
+            return real(train, test, *rest, **named)
+        monkeypatch.setattr(cls, act, spy)
+    for kind in ("neighbours", "tree", "forest"):
+        tuned = {r["size"]: r["accuracy"] for r in study.component_sizes(inputs, kind, "id", "c", effort).collect()}
+        best = min(tuned, key=lambda n: (-tuned[n], n))
+        assert set(tuned) == {2, 3, 4, 5, 6} and best < 6
+        found = study.model_predictions(inputs, f"{kind}, components", names, names[:3], "id", "c", effort)
+        assert widths.pop() == {best} and not widths
+        assert found.filter(F.col("predicted") == F.col("c").cast("string")).count() > 0.9 * inputs.test.count()
+
+
+def test_registered_studies_are_tuned_in_full():
+    from brindle.plans.expression_study import Effort
+    from registry import expression_queries as registered
+
+    assert registered.EFFORT == Effort() and (Effort().trees, Effort().resamples, Effort().forest_resamples, Effort().size_trees) == (500, 25, 25, 100)
+
+
 def test_imputation_leaves_known_cells(spark, small):
     df = views.proteins(spark, small).select("MouseID", "class", "p00", "p05")
     full = agg.impute_group_median(df, "class", ["p00", "p05"])
