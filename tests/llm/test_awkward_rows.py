@@ -147,6 +147,12 @@ def test_cut_stream_needs_no_padding():
     assert sorted(sizes.values()) == [2, 8, *[16] * 5] and list(packing.cut_stream(iter([]), 16, 0)) == []
 
 
+def test_language_stage_keeps_letters_without_a_language(spark, awkward, source):
+    lettered = ids_of(r for r in source if any(c.isalpha() for c in r["text"] or ""))
+    for docs in (awkward, awkward.selectExpr("* except (lang)", "cast(null as string) as lang")):
+        assert ids_of(rows_of(pipeline.identify_language(spark, docs, ""))) == lettered
+
+
 def test_quality(spark, awkward, empty, source):
     labels = spark.createDataFrame([(i, i % 2) for i in range(1, 18)] + [(1, None), (None, 1), (99, 0), (2, 7)], "doc_id long, quality int")
     got = rows_of(quality.score_quality(awkward, labels, hash_mod("doc_id", 5) == 0))
