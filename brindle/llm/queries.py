@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brindle.llm import exact_dedup as dedup, fingerprints, language_id, main_text, mixing, near_dedup, ngram_scores, packing, quality, secret_scan as secrets
+from brindle.llm import (decontaminate, exact_dedup as dedup, fill_middle, fingerprints, language_id, main_text, mixing, near_dedup, ngram_scores, packing, quality,
+                         secret_scan as secrets, spelling)
 from brindle.llm.tables import hash_mod, table
 
 # crc32 of an id as text, which the SQL engine lacks: fold its bytes bit by bit.
@@ -150,6 +151,75 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
             + greatest(0, least(budget % source_size - earlier, size)) END AS BIGINT) AS taken FROM placed
 """
 
+
+def op11_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, folder, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+OP11_SQL = r"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+    list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), i, 8) AS BIGINT)) AS h FROM documents),
+cuts AS (SELECT *, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b,
+    CASE WHEN body = '' OR contains(body, '<P>') OR contains(body, '<S>') OR contains(body, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+         WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM docs),
+parts AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM cuts)
+SELECT doc_id, len(u) AS n, form, CASE WHEN form <> 'plain' THEN len(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN len(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN body WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(body) AS restored_sha256 FROM parts
+"""
+
+
+def op12_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"), size=10)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+_LEAK_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP12_SQL = rf"""
+WITH docs AS (SELECT doc_id, {_LEAK_WORDS} AS w FROM documents),
+items AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_LEAK_WORDS} AS w FROM benchmark),
+windows AS (SELECT DISTINCT item, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS body
+            FROM (SELECT *, least(len(w), 10) AS size FROM items WHERE len(w) > 0)),
+runs AS (SELECT doc_id, size, unnest(range(1, len(w) - size + 2)) AS i, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS body
+         FROM docs, (SELECT DISTINCT size FROM windows) WHERE len(w) >= size),
+found AS (SELECT doc_id, i, r.size, item FROM runs r JOIN windows USING (body)),
+hit AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS place FROM found) GROUP BY doc_id),
+named AS (SELECT doc_id, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS items FROM found GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variant_forms(spelling.vocabulary(table(spark, folder, "documents")))
+
+
+# crc32 by a table of the 256 byte values, itself folded bit by bit; letters up to U+00FF take two bytes at most.
+OP13_SQL = r"""
+WITH RECURSIVE crc AS MATERIALIZED (SELECT list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY b) AS t
+    FROM (SELECT unnest(range(256)) AS b)),
+runs AS (SELECT doc_id, run, count(*) AS times FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents) WHERE len(run) >= 7 GROUP BY ALL),
+hashed AS (SELECT run, times, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || run, ''),
+    lambda ch: CASE WHEN unicode(ch) < 128 THEN [unicode(ch)::BIGINT] ELSE [192 + unicode(ch)::BIGINT // 64, 128 + unicode(ch)::BIGINT % 64] END))),
+    lambda c, b: xor(c // 256, t[1 + xor(c % 256, b)]))) AS h FROM runs, crc),
+words AS MATERIALIZED (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM (SELECT times, CASE WHEN h % 31 <> 0 THEN run
+    ELSE substr(run, 1, h % len(run)) || substr(run, h % len(run) + 2) END AS word FROM hashed) WHERE len(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, len(word) + 1)) AS i FROM words)),
+near AS (SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+    UNION SELECT c.word, w.word, w.n FROM cut c JOIN words w ON w.word = c.rest
+    UNION SELECT w.word, c.word, c.n FROM cut c JOIN words w ON w.word = c.rest),
+best AS (SELECT word, count(*) AS n_near, max(n) AS most, arg_min(other, (-n, other)) AS other FROM near GROUP BY word),
+forms AS MATERIALIZED (SELECT w.word, CASE WHEN most >= 10 * w.n THEN other END AS form, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 10 * w.n THEN most END AS form_n
+    FROM words w LEFT JOIN best b ON b.word = w.word),
+steps(word, root) AS (SELECT word, word FROM forms UNION ALL SELECT s.word, f.form FROM steps s JOIN forms f ON f.word = s.root WHERE f.form IS NOT NULL),
+roots AS (SELECT s.word, s.root FROM steps s JOIN forms f ON f.word = s.root WHERE f.form IS NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM forms f JOIN roots r ON r.word = f.word
+"""
+
 QUERIES = {
     "op1_ngram_scores": (op1_ngram_scores, OP1_SQL),
     "op2_fingerprints": (op2_fingerprints, None),
@@ -161,4 +231,7 @@ QUERIES = {
     "op8_near_dedup": (op8_near_dedup, OP8_SQL),
     "op9_language_id": (op9_language_id, None),
     "op10_mixing": (op10_mixing, OP10_SQL),
+    "op11_fill_middle": (op11_fill_middle, OP11_SQL),
+    "op12_decontamination": (op12_decontamination, OP12_SQL),
+    "op13_spelling": (op13_spelling, OP13_SQL),
 }

@@ -71,26 +71,29 @@ def _span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, table: np
     return mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
 
 
-def _pieces(data: np.ndarray, offsets: np.ndarray):
-    """Ranges of about PIECE bytes that end at a text's end or after white space."""
+def _pieces(data: np.ndarray, gaps: np.ndarray):
+    """Ranges of about PIECE bytes that end at the end or after a byte of ``gaps``."""
     a, n = 0, len(data)
     while a < n:
         b = min(a + PIECE, n)
-        while b < n and not _SPACE[data[b - 1]]:
+        while b < n and not gaps[data[b - 1]]:
             step = data[b:b + 65536]
-            hit = np.flatnonzero(_SPACE[step])
+            hit = np.flatnonzero(gaps[step])
             b += int(hit[0]) + 1 if len(hit) else len(step)
         yield a, b
         a = b
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and end position of every word, and the index of each text's first word (n + 1 values)."""
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and end position of every word, and the index of each text's first word (n + 1 values).
+
+    ``gaps`` marks the byte values that lie between words.
+    """
     hashes, ends = [], []
     inner = offsets[1:-1]
-    for a, b in _pieces(data, offsets):
+    for a, b in _pieces(data, gaps):
         part = data[a:b]
-        full = ~_SPACE[part]
+        full = ~gaps[part]
         begin, end = full.copy(), full.copy()
         begin[1:] &= ~full[:-1]
         end[:-1] &= ~full[1:]

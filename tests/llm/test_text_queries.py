@@ -30,8 +30,8 @@ def test_matches_sql(spark, small, con, name):
     assert compare(fn(spark, small).toPandas(), con.sql(sql).df()).startswith("ok")
 
 
-def test_all_ten_are_registered():
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+def test_all_thirteen_are_registered():
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
     assert set(QUERIES) <= set(entry.queries())
 
 
