@@ -19,10 +19,11 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from brindle.functions.hashing import hash_integer, row_hash
 from brindle.operators.aggregates import cumulative_share
-from brindle.operators.columns import features_to_vector
+from brindle.operators.columns import features_to_array, features_to_vector
 from brindle.operators.neighbours import classify_knn, nearest_neighbours, vote
 from brindle.operators.split import bootstrap_weights, resample_weight
-from brindle.storage import scratch_path, write_out
+from brindle.plans import trees
+from brindle.storage import write_out
 
 SEED = 4021  # fixed seed of the fits
 
@@ -125,57 +126,18 @@ def tune_classifier(train: DataFrame, key: str, fit: Callable[[DataFrame, float]
     return table.groupBy("pos", "value").agg(F.avg("accuracy").alias("accuracy"))
 
 
-def pruned_predictions(model: Model, rows: DataFrame, gains: list[float], keep: list[str]) -> DataFrame:
-    """(keep, pos, prediction): what the tree predicts if splits of less than each gain are not made.
+def tune_tree(train: DataFrame, key: str, label: str, complexities: list[float], resamples: int = 25, seed: int = SEED,
+              sizes: list[int] | None = None, features: str = "features") -> DataFrame:
+    """(size, pos, value, accuracy) of trees pruned to every complexity, for every number of leading features, in one job."""
+    data = trees.binned(train, key, label, resamples, seed, features)
+    return trees.tune_trees(data, complexities, sizes or [len(data.edges)], resamples)
 
-    A tree grows from the root and a split does not depend on later ones, so the tree for a larger least
-    gain is the same tree cut where a gain falls below it. One fit thus serves the whole grid. The nodes
-    are read from the saved model; their number is bounded by the depth.
-    """
-    path = scratch_path(rows.sparkSession, "tree")
-    model.write().save(path)
-    nodes = {r["id"]: r for r in rows.sparkSession.read.parquet(f"{path}/data").collect()}
-    size = max(nodes) + 1
-    left, right, feature = (np.full(size, -1) for _ in range(3))
-    threshold, gain, prediction = np.zeros(size), np.full(size, -1.0), np.zeros(size)
-    for i, r in nodes.items():
-        left[i], right[i], prediction[i], gain[i] = r["leftChild"], r["rightChild"], r["prediction"], r["gain"]
-        if r["leftChild"] >= 0:
-            feature[i], threshold[i] = r["split"]["featureIndex"], r["split"]["leftCategoriesOrThreshold"][0]
-    grid = [float(g) for g in gains]
-    schema = ", ".join([*[f"`{c}` {dict(rows.dtypes)[c]}" for c in keep], "pos long, prediction double"])
-
-    def walk(batches):
-        for frame in batches:
-            x = np.vstack(frame["__x"].to_numpy()) if len(frame) else np.zeros((0, 1))
-            for pos, least in enumerate(grid, start=1):
-                at = np.zeros(len(x), np.int64)
-                while True:
-                    on = np.flatnonzero((left[at] >= 0) & (gain[at] >= least))
-                    if not len(on):
-                        break
-                    goes_left = x[on, feature[at[on]]] <= threshold[at[on]]
-                    at[on] = np.where(goes_left, left[at[on]], right[at[on]])
-                yield frame[keep].assign(pos=pos, prediction=prediction[at])
-
-    return rows.select(*keep, vector_to_array("features").alias("__x")).mapInPandas(walk, schema)
-
-
-def tune_tree(train: DataFrame, key: str, gains: list[float], resamples: int = 25, seed: int = SEED, max_depth: int = 30,
-              parallelism: int = 4) -> DataFrame:
-    """(pos, value, accuracy) like ``tune_classifier`` for the tree's least gain, from one fit per resample."""
-    whole = write_out(train.select(key, "features", "label_index"), "tuning")
 
-    def held_out(resample: int) -> list[tuple]:
-        rows = whole.withColumn("weight", resample_weight([key], seed, resample))
-        model = fit_tree(rows.filter("weight > 0"), min(gains), "weight", max_depth)
-        found = pruned_predictions(model, rows.filter("weight = 0"), gains, ["label_index"])
-        hits = F.avg((F.col("prediction") == F.col("label_index")).cast("double"))
-        return [(r["pos"], float(gains[r["pos"] - 1]), r["a"]) for r in found.groupBy("pos").agg(hits.alias("a")).collect()]
-
-    found = in_threads([lambda b=b: held_out(b) for b in range(1, resamples + 1)], parallelism)
-    table = train.sparkSession.createDataFrame([r for part in found for r in part], "pos bigint, value double, accuracy double")
-    return table.groupBy("pos", "value").agg(F.avg("accuracy").alias("accuracy"))
+def tune_forest(train: DataFrame, key: str, label: str, tried: list[int], number: int = 500, resamples: int = 25, seed: int = SEED,
+                sizes: list[int] | None = None, features: str = "features") -> DataFrame:
+    """(size, pos, value, accuracy) of forests for every number of tried features and of leading features, in one job."""
+    data = trees.binned(train, key, label, resamples, seed, features)
+    return trees.tune_forests(data, tried, sizes or [len(data.edges)], resamples, number)
 
 
 def best_value(tuned: DataFrame, value: str = "value", pos: str | None = "pos") -> float:
@@ -193,19 +155,39 @@ class Tuned:
     predictions: DataFrame  # key, label, predicted
 
 
-def tune_refit_score(train: DataFrame, test: DataFrame, cols: list[str], key: str, label: str,
-                     tune: Callable[[DataFrame], DataFrame], fit: Callable[[DataFrame, float], Model]) -> Tuned:
-    """Tune on the training rows, fit them all with the best value, predict the test rows.
+def classify_tree(train: DataFrame, test: DataFrame, key: str, label: str, complexity: float, seed: int = SEED, features: str = "features") -> DataFrame:
+    """(key, label, predicted) of one tree of all training rows, pruned by weakest links."""
+    data = trees.binned(train, key, label, 0, seed, features)
+    return trees.predict(data, trees.fit_tree(data, complexity), test, key, label, features)
 
-    ``tune`` gets rows with ``features`` and ``label_index``; with no ``cols`` the inputs have ``features`` already.
-    """
-    index = with_label_index(train, label)
-    vectors = (lambda d: features_to_vector(d, cols)) if cols else (lambda d: d)
-    ready = write_out(index.transform(vectors(train)).select(key, "features", "label_index"), "ready")
-    table = write_out(tune(ready), "tuned")
+
+def classify_forest(train: DataFrame, test: DataFrame, key: str, label: str, tried: int, number: int = 500, seed: int = SEED,
+                    features: str = "features") -> DataFrame:
+    """(key, label, predicted) of a forest of all training rows."""
+    data = trees.binned(train, key, label, 0, seed, features)
+    return trees.predict(data, trees.fit_forest(data, tried, number), test, key, label, features)
+
+
+def forest_importance(train: DataFrame, key: str, label: str, cols: list[str], tried: int, number: int = 500, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """(feature, importance) twice: the mean loss of out-of-bag accuracy, and that loss in standard errors, scaled to 0 to 100."""
+    found = write_out(trees.forest_importance(trees.binned(features_to_array(train, cols), key, label, 0, seed), tried, number), "importance")
+    return found.select(F.get(F.lit(cols), F.col("feature")).alias("feature"), "importance"), trees.named_importance(found, cols)
+
+
+def tune_refit_score_tree(train: DataFrame, test: DataFrame, key: str, label: str, complexities: list[float], resamples: int = 25,
+                          features: str = "features") -> Tuned:
+    """Tune the complexity on the training rows, fit them all with the best, predict the test rows."""
+    table = write_out(tune_tree(train, key, label, complexities, resamples, features=features), "tuned")
+    best = best_value(table)
+    return Tuned(table, best, classify_tree(train, test, key, label, best, features=features))
+
+
+def tune_refit_score_forest(train: DataFrame, test: DataFrame, key: str, label: str, tried: list[int], number: int = 500,
+                            resamples: int = 25, features: str = "features") -> Tuned:
+    """The same for the number of features that a split of a forest tries."""
+    table = write_out(tune_forest(train, key, label, tried, number, resamples, features=features), "tuned")
     best = best_value(table)
-    predicted = predict_labels(fit(ready, best), vectors(test), index.labels)
-    return Tuned(table, best, predicted.select(key, label, "predicted"))
+    return Tuned(table, best, classify_forest(train, test, key, label, int(best), number, features=features))
 
 
 def tune_refit_score_knn(train: DataFrame, test: DataFrame, key: str, label: str, ks: list[int], resamples: int = 25,
@@ -266,13 +248,9 @@ def leading(df: DataFrame, size: int, source: str = "features", name: str = "fea
     return cut.drop(source).withColumnRenamed("__cut", name)
 
 
-def tune_components(scores: DataFrame, sizes: list[int], tune: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(size, accuracy): the best accuracy that ``tune`` finds over its grid with each number of leading components.
-
-    ``tune`` is given rows with ``features`` and ``label_index`` and returns a table with ``accuracy``.
-    """
-    rows = [(size, tune(leading(scores, size)).agg(F.max("accuracy")).first()[0]) for size in sizes]
-    return scores.sparkSession.createDataFrame(rows, "size bigint, accuracy double")
+def tune_components(tuned: DataFrame) -> DataFrame:
+    """(size, accuracy): the best accuracy over the grid with each number of leading components."""
+    return tuned.groupBy("size").agg(F.max("accuracy").alias("accuracy"))
 
 
 def vote_ensemble(df: DataFrame, first: str, second: str, third: str, name: str = "ensemble") -> DataFrame:

@@ -63,16 +63,22 @@ def screen(df: DataFrame, cols: list[str], wanted: list[str], factors: list[str]
     return class_separation_profile(df, choose_features(cols, wanted), factors)
 
 
+def even_steps(end: float, n: int) -> list[float]:
+    """``n`` values from 0 to ``end``."""
+    return [end * i / (n - 1) for i in range(n)]
+
+
 @dataclass(frozen=True)
 class Effort:
     """Grids and repetitions of the tuning; the defaults are the study's."""
 
-    gains: list[float] = field(default_factory=lambda: [i / 400 for i in range(40)])
+    complexities: list[float] = field(default_factory=lambda: even_steps(0.05, 40))
     neighbours: list[int] = field(default_factory=lambda: list(range(2, 21)))
     tried: list[int] = field(default_factory=lambda: list(range(1, 9)))
+    component_complexities: list[float] = field(default_factory=lambda: even_steps(0.05, 20))  # of the last tree on components
+    component_neighbours: list[int] = field(default_factory=lambda: list(range(2, 21, 2)))
     trees: int = 500
     resamples: int = 25
-    forest_resamples: int = 25
     size_trees: int = 100  # of a forest while the number of components is tuned
 
 
@@ -96,23 +102,15 @@ def model_inputs(clean: DataFrame, cols: list[str], key: str, label: str, p: flo
     return Inputs(train, test, scaled, found, scores)
 
 
-def _tune(kind: str, key: str, effort: Effort, trees: int):
-    """The tuning of a tree or forest on rows with ``features`` and ``label_index``."""
-    if kind == "tree":
-        return lambda rows: cls.tune_tree(rows, key, effort.gains, effort.resamples)
-    return lambda rows: cls.tune_classifier(rows, key, lambda r, m: cls.fit_forest(r, int(m), trees, "weight"), effort.tried,
-                                            effort.forest_resamples)
-
-
 def component_sizes(inputs: Inputs, kind: str, key: str, label: str, effort: Effort) -> DataFrame:
     """(size, accuracy) for every number of leading components from 2 on: the best over the grid of this kind of model."""
-    train, most = inputs.scores[0], len(inputs.components.cols)
+    train, most = cls.scores_array(inputs.scores[0]), len(inputs.components.cols)
     sizes = list(range(min(2, most), most + 1))
     if kind == "neighbours":
-        tuned = cls.tune_knn(cls.scores_array(train), key, label, effort.neighbours, effort.resamples, sizes=sizes)
-        return tuned.groupBy("size").agg(F.max("accuracy").alias("accuracy"))
-    ready = write_out(cls.with_label_index(train, label).transform(train).select(key, "features", "label_index"), "ready")
-    return cls.tune_components(ready, sizes, _tune(kind, key, effort, effort.size_trees))
+        return cls.tune_components(cls.tune_knn(train, key, label, effort.component_neighbours, effort.resamples, sizes=sizes))
+    if kind == "tree":
+        return cls.tune_components(cls.tune_tree(train, key, label, effort.complexities, effort.resamples, sizes=sizes))
+    return cls.tune_components(cls.tune_forest(train, key, label, effort.tried, effort.size_trees, effort.resamples, sizes=sizes))
 
 
 def model_predictions(inputs: Inputs, name: str, cols: list[str], chosen: list[str], key: str, label: str, effort: Effort) -> DataFrame:
@@ -124,19 +122,16 @@ def model_predictions(inputs: Inputs, name: str, cols: list[str], chosen: list[s
         guessed = random_guess(inputs.test, category_levels(inputs.train, label), [key], 7)
         return guessed.select(key, label, F.col("guess").cast("string").alias("predicted"))
     kind, on = name.split(", ")
-    train, test = inputs.train, inputs.test
     if on == "components":
         size = int(cls.best_value(component_sizes(inputs, kind, key, label, effort), "size", None))
-        train, test = (cls.leading(d, size) for d in inputs.scores)
-    used = {"chosen columns": chosen, "all columns": cols, "components": []}[on]
+        train, test = (cls.scores_array(cls.leading(d, size)) for d in inputs.scores)
+    else:
+        train, test = (features_to_array(d, {"chosen columns": chosen, "all columns": cols}[on]) for d in (inputs.train, inputs.test))
     if kind == "neighbours":
-        arrays = [features_to_array(d, used) if used else cls.scores_array(d) for d in (train, test)]
-        return cls.tune_refit_score_knn(*arrays, key, label, effort.neighbours, effort.resamples).predictions
+        return cls.tune_refit_score_knn(train, test, key, label, effort.component_neighbours if on == "components" else effort.neighbours, effort.resamples).predictions
     if kind == "tree":
-        fit = lambda rows, gain: cls.fit_tree(rows, gain)
-    else:
-        fit = lambda rows, m: cls.fit_forest(rows, int(m), effort.trees)
-    return cls.tune_refit_score(train, test, used, key, label, _tune(kind, key, effort, effort.trees), fit).predictions
+        return cls.tune_refit_score_tree(train, test, key, label, effort.component_complexities if on == "components" else effort.complexities, effort.resamples).predictions
+    return cls.tune_refit_score_forest(train, test, key, label, effort.tried, effort.trees, effort.resamples).predictions
 
 
 def as_text(predictions: DataFrame, label: str) -> DataFrame:
@@ -166,8 +161,7 @@ def expression_report(df: DataFrame, cols: list[str], chosen: list[str], key: st
     pairs = write_out(statistics.correlation_pairs(train, kept), "pairs")
     scores = cls.scores_array(inputs.scores[0])
     named = scores.select(label, *[F.col("features")[i].alias(f"PC{i + 1}") for i in range(min(4, len(kept)))])
-    forest = cls.fit_forest(cls.with_label_index(train, label).transform(cls.features_to_vector(train, kept)), 6, effort.trees)
-    importance = write_out(cls.gini_importance(forest, kept, train), "importance")
+    importance = write_out(cls.forest_importance(train, key, label, kept, 6, effort.trees)[1], "importance")
     models = {name: write_out(model_predictions(inputs, name, kept, chosen, key, label, effort), "predictions") for name in LADDER}
     voted = ensemble(models, key, label)
     return {

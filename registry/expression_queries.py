@@ -313,16 +313,14 @@ def _(spark, folder):
     return agg.accuracy(_knn(spark, folder, KEPT, 3), "class", "predicted")
 
 
-# The complexity grid of the study: 40 equal steps from 0, here of the least gain of a split.
-GAINS = [i / 400 for i in range(40)]
-KS = list(range(2, 21))
-MTRY = list(range(1, 9))
+# The grids of the study.
+EFFORT = study.Effort()
+KS, MTRY = EFFORT.neighbours, EFFORT.tried
 SIZES = list(range(2, len(KEPT) + 1))
 
 
-def _tuned_tree(train: DataFrame, test: DataFrame, cols: list[str]) -> cls.Tuned:
-    return cls.tune_refit_score(train, test, cols, "MouseID", "class", lambda rows: cls.tune_tree(rows, "MouseID", GAINS),
-                                lambda rows, gain: cls.fit_tree(rows, gain))
+def _arrays(spark, folder, cols: list[str]) -> list[DataFrame]:
+    return [columns.features_to_array(d, cols) for d in parts(spark, folder)]
 
 
 def _tuned_knn(train: DataFrame, test: DataFrame, cols: list[str]) -> cls.Tuned:
@@ -330,71 +328,53 @@ def _tuned_knn(train: DataFrame, test: DataFrame, cols: list[str]) -> cls.Tuned:
     return cls.tune_refit_score_knn(a, b, "MouseID", "class", KS)
 
 
-def _forest(trees: int, mtry: int = 6):
-    return lambda rows: cls.fit_forest(rows, mtry, trees)
-
-
-def _tune_forest(rows: DataFrame, trees: int) -> DataFrame:
-    """All values of mtry and all resamples of the study."""
-    return cls.tune_classifier(rows, "MouseID", lambda r, mtry: cls.fit_forest(r, int(mtry), trees, "weight"), MTRY, resamples=25)
-
-
 @query("classify_tree", None)
 def _(spark, folder):
-    train, test = parts(spark, folder)
-    return _tuned_tree(train, test, KEPT).predictions
+    return cls.tune_refit_score_tree(*_arrays(spark, folder, KEPT), "MouseID", "class", EFFORT.complexities).predictions
 
 
 @query("classify_tree_chosen", None)
 def _(spark, folder):
-    train, test = parts(spark, folder)
-    return _tuned_tree(train, test, CHOSEN).predictions
+    return cls.tune_refit_score_tree(*_arrays(spark, folder, CHOSEN), "MouseID", "class", EFFORT.complexities).predictions
 
 
 @query("classify_forest", None)
 def _(spark, folder):
-    train, test = parts(spark, folder)
-    return cls.classify(train, test, KEPT, "class", _forest(100))[0].select("MouseID", "class", "predicted")
+    return cls.tune_refit_score_forest(*_arrays(spark, folder, KEPT), "MouseID", "class", MTRY, EFFORT.trees).predictions
 
 
-def _importance(spark, folder) -> DataFrame:
-    train, test = parts(spark, folder)
-    return cls.gini_importance(cls.classify(train, test, KEPT, "class", _forest(50))[1], KEPT, train)
+def _importance(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """Of the forest on all columns at the number of tried columns that its tuning finds best."""
+    train, _ = parts(spark, folder)
+    best = cls.best_value(cls.tune_forest(columns.features_to_array(train, KEPT), "MouseID", "class", MTRY, EFFORT.trees))
+    return cls.forest_importance(train, "MouseID", "class", KEPT, int(best), EFFORT.trees)
 
 
 @query("feature_importance", None)
 def _(spark, folder):
-    return _importance(spark, folder)
+    return _importance(spark, folder)[1]
 
 
 @query("permutation_importance", None)
 def _(spark, folder):
-    train, test = parts(spark, folder)
-    index = cls.with_label_index(train, "class")
-    ready = index.transform(columns.features_to_vector(train, KEPT))
-    scored = index.transform(columns.features_to_vector(test, KEPT))
-    return cls.permutation_importance(cls.fit_forest(ready, 6, 30), scored, KEPT, "MouseID")
+    return _importance(spark, folder)[0]
 
 
 @query("top_k_features", None)
 def _(spark, folder):
-    return agg.top_k_features(_importance(spark, folder), "importance", "feature", 20)
+    return agg.top_k_features(_importance(spark, folder)[1], "importance", "feature", 20)
 
 
 @query("feature_overlap", None)
 def _(spark, folder):
-    top = agg.top_k_features(_importance(spark, folder), "importance", "feature", 20).select("feature")
+    top = agg.top_k_features(_importance(spark, folder)[1], "importance", "feature", 20).select("feature")
     return joins.feature_overlap(top, reports.literal_table(spark, [(c,) for c in CHOSEN], "feature string"))
 
 
-def _indexed(train: DataFrame, cols: list[str]) -> DataFrame:
-    return cls.with_label_index(train, "class").transform(columns.features_to_vector(train, cols))
-
-
 @query("tune_classifier_tree", None)
 def _(spark, folder):
-    train, _ = parts(spark, folder)
-    return cls.tune_tree(_indexed(train, KEPT), "MouseID", GAINS)
+    train, _ = _arrays(spark, folder, KEPT)
+    return cls.tune_tree(train, "MouseID", "class", EFFORT.complexities).drop("size")
 
 
 def _tune_knn_sql(cols: list[str], ks: list[int], resamples: int) -> str:
@@ -420,8 +400,8 @@ def _(spark, folder):
 
 @query("tune_classifier_forest", None)
 def _(spark, folder):
-    train, _ = parts(spark, folder)
-    return _tune_forest(_indexed(train, KEPT), 500)
+    train, _ = _arrays(spark, folder, KEPT)
+    return cls.tune_forest(train, "MouseID", "class", MTRY, EFFORT.trees).drop("size")
 
 
 def _components(spark, folder):
@@ -520,18 +500,19 @@ def _(spark, folder):
     return cls.tune_knn(scores, "MouseID", "class", KS, resamples=25, sizes=SIZES)
 
 
+def _scores(spark, folder) -> DataFrame:
+    found, train, _ = _components(spark, folder)
+    return write_out(cls.scores_array(found.project(train)).select("MouseID", "class", "features"), "scores")
+
+
 @query("tune_components_tree", None)
 def _(spark, folder):
-    found, train, _ = _components(spark, folder)
-    scores = cls.with_label_index(train, "class").transform(found.project(train))
-    return cls.tune_components(scores, SIZES, lambda rows: cls.tune_tree(rows, "MouseID", GAINS))
+    return cls.tune_components(cls.tune_tree(_scores(spark, folder), "MouseID", "class", EFFORT.complexities, sizes=SIZES))
 
 
 @query("tune_components_forest", None)
 def _(spark, folder):
-    found, train, _ = _components(spark, folder)
-    scores = cls.with_label_index(train, "class").transform(found.project(train))
-    return cls.tune_components(scores, SIZES, lambda rows: _tune_forest(rows, 100))
+    return cls.tune_components(cls.tune_forest(_scores(spark, folder), "MouseID", "class", MTRY, EFFORT.size_trees, sizes=SIZES))
 
 
 _KS = (2, 3, 5)
@@ -564,10 +545,6 @@ def _(spark, folder):
     return cls.vote_ensemble(fixed, "a", "b", "c").select("MouseID", "class", "ensemble")
 
 
-# The study's grids, trees and resamples.
-EFFORT = study.Effort()
-
-
 def _models(spark, folder, names: list[str]) -> dict[str, DataFrame]:
     inputs = study.model_inputs(clean(spark, folder), KEPT, "MouseID", "class", 0.4, 4021)
     return {name: study.model_predictions(inputs, name, KEPT, CHOSEN, "MouseID", "class", EFFORT) for name in names}

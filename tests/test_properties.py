@@ -234,40 +234,20 @@ def test_tuning_of_classifiers(spark, points):
     assert knn.filter("size = 4").agg(F.min("accuracy")).first()[0] > 0.85
 
 
-def test_component_sizes_have_the_best_of_each_grid(spark, points):
-    ready = cls.with_label_index(points, "c").transform(columns.features_to_vector(points, COLS))
-    tune = lambda rows: cls.tune_tree(rows, "id", [0.0, 0.1], resamples=2)
-    got = {r["size"]: r["accuracy"] for r in cls.tune_components(ready, [2, 3, 4], tune).collect()}
-    assert got == {n: tune(cls.leading(ready, n)).agg(F.max("accuracy")).first()[0] for n in (2, 3, 4)}
-
-
 def test_tuning_queries_cover_the_whole_grids(spark, small, monkeypatch):
-    """Fits are only counted here: 40 gains or 8 mtry, 25 resamples, all sizes, the study's numbers of trees."""
+    """The grower is only asked here: 40 complexities or 8 mtry, 25 resamples, all sizes, the study's numbers of trees."""
+    from brindle.plans import trees
     from registry import expression_queries as registered
 
     seen = []
-
-    def tree(rows, key, gains, resamples=25, seed=cls.SEED, max_depth=30, parallelism=4):
-        seen.append((None, tuple(gains), resamples, max_depth))
-        return spark.createDataFrame([(0.5,)], "accuracy double")
-
-    def grid(rows, key, fit, values, resamples=25, seed=cls.SEED, parallelism=4):
-        seen.append((len(rows.first()["features"]) if len(seen) < 2 else None, fit(rows, values[-1]), tuple(values), resamples))
-        return spark.createDataFrame([(0.5,)], "accuracy double")
-
-    monkeypatch.setattr(cls, "tune_tree", tree)
-    monkeypatch.setattr(cls, "tune_classifier", grid)
-    monkeypatch.setattr(cls, "fit_forest", lambda rows, mtry, trees=500, weight=None, max_depth=20, features="features": (mtry, trees, weight, max_depth))
-    sizes = [r["size"] for r in registered.QUERIES["tune_components_tree"][0](spark, small).orderBy("size").collect()]
-    assert sizes == list(range(2, len(registered.KEPT) + 1)) == registered.SIZES and len(seen) == len(sizes)
-    assert {s[1:] for s in seen} == {(tuple(i / 400 for i in range(40)), 25, 30)}
-    seen.clear()
-    sizes = [r["size"] for r in registered.QUERIES["tune_components_forest"][0](spark, small).orderBy("size").collect()]
-    assert sizes == registered.SIZES and len(seen) == len(sizes) and [s[0] for s in seen[:2]] == [2, 3]
-    assert {s[1:] for s in seen} == {((8, 100, "weight", 20), tuple(range(1, 9)), 25)}
-    seen.clear()
-    registered.QUERIES["tune_classifier_forest"][0](spark, small)
-    assert seen == [(len(registered.KEPT), (8, 500, "weight", 20), tuple(range(1, 9)), 25)]
+    answer = spark.createDataFrame([(2, 1, 1.0, 0.5)], "size long, pos long, value double, accuracy double")
+    monkeypatch.setattr(trees, "tune_trees", lambda data, grid, sizes, resamples: seen.append((grid, sizes, resamples)) or answer)
+    monkeypatch.setattr(trees, "tune_forests", lambda data, grid, sizes, resamples, number: seen.append((grid, sizes, resamples, number)) or answer)
+    every, all_columns = list(range(2, len(registered.KEPT) + 1)), [len(registered.KEPT)]
+    complexities = [0.05 * i / 39 for i in range(40)]
+    for name in ("tune_components_tree", "tune_classifier_tree", "tune_components_forest", "tune_classifier_forest"):
+        registered.QUERIES[name][0](spark, small)
+    assert seen == [(complexities, every, 25), (complexities, all_columns, 25), (list(range(1, 9)), every, 25, 100), (list(range(1, 9)), all_columns, 25, 500)]
 
 
 def test_models_on_components_use_the_best_number_of_them(spark, monkeypatch):
@@ -282,10 +262,10 @@ def test_models_on_components_use_the_best_number_of_them(spark, monkeypatch):
         data.append((i, *map(float, x), c))
     names = [f"v{j}" for j in range(6)]
     df = spark.createDataFrame(data, "id long, " + ", ".join(f"{n} double" for n in names) + ", c long")
-    effort = study.Effort([0.0], [2, 3], [1], 5, 2, 1, 3)
+    effort = study.Effort([0.0], [2, 3], [1], [0.0], [2, 3], 5, 2, 3)
     inputs = study.model_inputs(df, names, "id", "c", 0.4, 4021)
     widths = []
-    for act in ("tune_refit_score", "tune_refit_score_knn"):
+    for act in ("tune_refit_score_tree", "tune_refit_score_forest", "tune_refit_score_knn"):
         def spy(train, test, *rest, real=getattr(cls, act), **named):
             widths.append({len(d.first()["features"]) for d in (train, test)})
             return real(train, test, *rest, **named)
@@ -303,7 +283,9 @@ def test_registered_studies_are_tuned_in_full():
     from brindle.plans.expression_study import Effort
     from registry import expression_queries as registered
 
-    assert registered.EFFORT == Effort() and (Effort().trees, Effort().resamples, Effort().forest_resamples, Effort().size_trees) == (500, 25, 25, 100)
+    assert registered.EFFORT == Effort() and (Effort().trees, Effort().resamples, Effort().size_trees) == (500, 25, 100)
+    assert len(Effort().complexities) == 40 and len(Effort().component_complexities) == 20 and Effort().complexities[-1] == Effort().component_complexities[-1] == 0.05
+    assert Effort().component_neighbours == [2, 4, 6, 8, 10, 12, 14, 16, 18, 20]
 
 
 def test_imputation_leaves_known_cells(spark, small):
@@ -314,21 +296,6 @@ def test_imputation_leaves_known_cells(spark, small):
     assert tuple(r) == (0, 0, 0)
 
 
-def test_a_pruned_tree_equals_a_refitted_one(spark):
-    import numpy as np
-
-    rng = np.random.default_rng(3)
-    x = rng.normal(0, 1, (300, 4))
-    y = (x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(0, 0.5, 300) > 0).astype(int)
-    df = spark.createDataFrame([(i, *map(float, v), int(c)) for i, (v, c) in enumerate(zip(x, y))], "id long, a double, b double, c double, d double, y int")
-    ready = cls.with_label_index(df, "y").transform(columns.features_to_vector(df, ["a", "b", "c", "d"]))
-    gains = [0.0, 0.005, 0.02, 0.1, 1.0]
-    found = cls.pruned_predictions(cls.fit_tree(ready), ready, gains, ["id"])
-    for pos, gain in enumerate(gains, start=1):
-        want = {r["id"]: r["prediction"] for r in cls.fit_tree(ready, gain).transform(ready).collect()}
-        assert {r["id"]: r["prediction"] for r in found.filter(F.col("pos") == pos).collect()} == want
-
-
 def test_doornik_hansen_statistic_against_numpy(spark):
     import numpy as np
 
@@ -369,7 +336,7 @@ def test_expression_report_has_every_table(spark):
     schema = "id long, " + ", ".join(f"{n} double" for n in names) + ", f long, c long"
     from brindle.plans.expression_study import LADDER, Effort, expression_report
     report = expression_report(spark.createDataFrame(data, schema), names, names[:3], "id", "c", ["f", "c"],
-                               effort=Effort([0.0, 0.05], [2, 3], [1, 2], 5, 2, 1))
+                               effort=Effort([0.0, 0.05], [2, 3], [1, 2], [0.0], [2], 5, 2, 3))
     ladder = {r["model"]: r["accuracy"] for r in report["ladder"].collect()}
     assert len(ladder) == len(LADDER) and report["ensemble_accuracy"].first()[0] > 0.6
     assert report["scatter"].select("pair").distinct().count() == 3 and report["top_features"].count() == 6
