@@ -170,7 +170,8 @@ def _listed_pairs(vocabulary: DataFrame, segments: int, backwards: bool) -> Data
     cut = stage(words.repartitionByRange(segments, "listed").withColumn("segment", F.spark_partition_id()), "spelling-list")
     bounds = [tuple(r) for r in cut.groupBy("segment").agg(F.min("listed"), F.max("listed")).collect()]
     visits = cut.select("listed").mapInArrow(_visits(bounds), "segment int, listed string, n long")
-    return (cut.select("segment", "listed", "n").unionByName(visits).groupBy("segment")
+    # a segment is much work for few bytes, so segments are dealt by number
+    return (cut.select("segment", "listed", "n").unionByName(visits).repartition(segments, "segment").groupBy("segment")
             .applyInArrow(_pairs(backwards), "word string, near string, near_n long"))
 
 
