@@ -1,14 +1,16 @@
 """Exact duplicates against an immutable snapshot and inside a new batch.
 
-The snapshot's distinct digests are dealt over shards by their first bits; each shard gets a static
-3-wise binary fuse filter (Graf and Lemire 2022) of 16-bit fingerprints, written once. A new batch is
-first grouped by digest, so each digest is screened once however often it occurs. A digest that the
-filter rejects is certainly new; one that passes joins the snapshot's exact buckets, and the bytes of
-one text of either side are compared. Rows of a hot digest are spread by a salt in the last join.
+``build_snapshot`` writes a snapshot once: its exact buckets (digest, smallest id, rows, text) and its filters. The
+distinct digests are dealt over shards by their first bits; each shard gets a static 3-wise binary fuse filter (Graf
+and Lemire 2022) of 16-bit fingerprints. ``dedup_batch`` reads only these, for as many batches as come. A batch is
+first grouped by digest, so each digest is screened once however often it occurs; the digests of a shard are dealt to as many tasks
+as they need, each with a copy of the shard's filter. A digest that the filter rejects is certainly new; one that passes joins
+the snapshot's buckets, and the bytes of one text of either side are compared. Rows of a hot digest are spread by a salt in the last join.
 
 Defined results: a null text is the empty text; a null id is never the smallest unless the group has
 no other; rows that repeat the smallest id all count as the row that stays; an empty snapshot or
-batch gives only the other's groups; columns other than key and text are not read.
+batch gives only the other's groups; a very long text is digested and compared as one string, by the engine's own functions; columns
+other than key and text are not read.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from brindle.llm.tables import hash_mod, join_spread, stage, workers_import
+from brindle.storage import scratch_path
 from brindle.llm.words import mix as mix64
 
 SHARD_KEYS = 200_000
@@ -125,49 +128,80 @@ def _sharded(buckets: DataFrame, shards: int) -> DataFrame:
 
 def build_filters(buckets: DataFrame, shards: int) -> DataFrame:
     """One static filter per shard of the snapshot's digests."""
-    return stage(_sharded(buckets, shards).groupBy("shard")
-                 .applyInArrow(_build, "shard long, seed long, length long, segments long, slots binary"), "dedup-filters")
+    return (_sharded(buckets, shards).groupBy("shard")
+            .applyInArrow(_build, "shard long, seed long, length long, segments long, slots binary").withColumn("shards", F.lit(shards)))
 
 
-def screen(batch: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
-    """Digests of the batch that the snapshot's filters let pass."""
-    return (_sharded(batch, shards).groupBy("shard").cogroup(filters.groupBy("shard"))
+def screen(batch: DataFrame, filters: DataFrame, shards: int, parts: int = 1) -> DataFrame:
+    """Digests of the batch that the snapshot's filters let pass; a shard's digests go to ``parts`` tasks."""
+    dealt = _sharded(batch, shards).withColumn("part", F.pmod(F.xxhash64("digest"), F.lit(parts)).cast("int"))
+    copies = filters.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return (dealt.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part"))
             .applyInArrow(_screen, "digest binary"))
 
 
-def _with_text(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """digest and normalised text of the rows that stay for the wanted digests."""
-    rows = docs.select(F.col(key).alias("id"), normalised(F.col(text)).alias("body"))
-    return (rows.join(wanted, rows["id"].eqNullSafe(wanted["keep"]))
-            .where(F.unhex(F.sha2("body", 256)) == F.col("digest")).select("digest", "body"))
-
-
-def exact_dedup(snapshot: DataFrame, batch: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``snapshot`` and ``batch``: key, keep_id, group_size, kept, text_sha256."""
-    workers_import(batch.sparkSession)
-    old_rows, new_rows = stage(digests(snapshot, key, text), "dedup-old-rows"), stage(digests(batch, key, text), "dedup-new-rows")
-    old, new = groups(old_rows, "dedup-old"), groups(new_rows, "dedup-new")
-    shards = 1 + old.count() // SHARD_KEYS
-    hits = stage(screen(new, build_filters(old, shards), shards).join(new, "digest"), "dedup-hits")
-    exact = hits.select("digest", F.col("keep").alias("new_keep")).join(old.select("digest", "keep"), "digest")
-    old_text = _with_text(snapshot, exact.select("digest", "keep"), key, text)
-    new_text = _with_text(batch, exact.select("digest", F.col("new_keep").alias("keep")), key, text)
-    same = (old_text.withColumnRenamed("body", "old_body").join(new_text, "digest")
-            .where(F.col("old_body") == F.col("body")).select("digest").distinct())
+def build_snapshot(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text") -> None:
+    """Write the buckets, with one text each, and the filters of ``docs`` to ``path``."""
+    workers_import(docs.sparkSession)
+    spark, body = docs.sparkSession, normalised(F.col(text))
+    rows = docs.select(F.col(key).alias("id"), body.alias("body")).withColumn("digest", F.unhex(F.sha2("body", 256)))
+    buckets = rows.groupBy("digest").agg(F.min("id").alias("keep"), F.count("*").alias("n"), F.first("body").alias("body"))
+    buckets.write.option("compression", "zstd").parquet(f"{path}/buckets")
+    old = spark.read.parquet(f"{path}/buckets")
+    build_filters(old, 1 + old.count() // SHARD_KEYS).write.parquet(f"{path}/filters")
+
+
+def _marked(path: str, batch: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The snapshot's and the batch's buckets, and the batch's rows; ``apart`` is 1 where equal digests have unequal bytes."""
+    spark = batch.sparkSession
+    old, filters = spark.read.parquet(f"{path}/buckets"), spark.read.parquet(f"{path}/filters")
+    rows = stage(digests(batch, key, text), "dedup-new-rows")
+    new = groups(rows, "dedup-new")
+    known = filters.agg(F.max("shards")).first()[0]
+    if known is None:  # an empty snapshot
+        hits = new.limit(0)
+    else:
+        parts = 1 + new.count() // (known * SHARD_KEYS)
+        hits = stage(screen(new, filters, known, parts).join(new, "digest"), "dedup-hits")
+    exact = hits.select("digest").join(old.select("digest", F.col("body").alias("old_body")), "digest")
+    texts = batch.select(F.col(key).alias("id"), normalised(F.col(text)).alias("body"))
+    one = (texts.join(hits.select("digest", "keep"), texts["id"].eqNullSafe(F.col("keep"))).where(F.unhex(F.sha2("body", 256)) == F.col("digest"))
+           .select("digest", "body"))
+    same = exact.join(one, "digest").where(F.col("old_body") == F.col("body")).select("digest").distinct()
     # a digest that both sides hold without equal bytes stays a group of its own
-    apart = stage(exact.select("digest").join(same, "digest", "left_anti").withColumn("apart", F.lit(1)), "dedup-apart")
+    apart = stage(exact.select("digest").join(same, "digest", "left_anti").distinct().withColumn("apart", F.lit(1)), "dedup-apart")
 
     def marked(df: DataFrame) -> DataFrame:
         return df.join(apart, "digest", "left").withColumn("apart", F.coalesce("apart", F.lit(0)))
 
-    whole = (old.withColumn("apart", F.lit(0)).unionByName(marked(new)).groupBy("digest", "apart")
-             .agg(F.min("keep").alias("keep_id"), F.sum("n").alias("group_size")))
-    rows = (old_rows.withColumn("apart", F.lit(0)).unionByName(marked(new_rows)))
+    return old.select("digest", "keep", "n").withColumn("apart", F.lit(0)), marked(new), marked(rows)
+
+
+def _verdict(rows: DataFrame, buckets: DataFrame, key: str) -> DataFrame:
+    whole = buckets.groupBy("digest", "apart").agg(F.min("keep").alias("keep_id"), F.sum("n").alias("group_size"))
     return (join_spread(rows, whole, ["digest", "apart"], "id")
             .select(F.col("id").alias(key), "keep_id", F.col("group_size").cast("long").alias("group_size"),
                     F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")))
 
 
+def dedup_batch(path: str, batch: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``batch``, against the snapshot at ``path`` and inside the batch."""
+    workers_import(batch.sparkSession)
+    old, new, rows = _marked(path, batch, key, text)
+    mine = new.select("digest").distinct()
+    return _verdict(rows, old.join(mine, "digest", "left_semi").unionByName(new), key)
+
+
+def exact_dedup(snapshot: DataFrame, batch: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``snapshot`` and ``batch``: key, keep_id, group_size, kept, text_sha256."""
+    workers_import(batch.sparkSession)
+    path = scratch_path(batch.sparkSession, "dedup-snapshot")
+    build_snapshot(snapshot, path, key=key, text=text)
+    old, new, rows = _marked(path, batch, key, text)
+    old_rows = stage(digests(snapshot, key, text), "dedup-old-rows").withColumn("apart", F.lit(0))
+    return _verdict(old_rows.unionByName(rows), old.unionByName(new), key)
+
+
 def split_by_hash(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """A table as a snapshot and a later batch, by a hash of the id."""
     part = hash_mod(key, 2)

@@ -2,9 +2,11 @@
 
 A text is a tree: sections hold paragraphs (lines), paragraphs hold leaves of a few words. Leaves and
 sections end where their content's hash says so, hence an edit moves no boundary elsewhere. Every byte,
-white space included, lies in exactly one leaf. A leaf's hash has 48 bits; a node's hash is taken of its
-children's, the root's of the sections'. The fingerprint is the root, a colon, and the leaves in 8 signs
-each, with ``,`` after a paragraph and ``;`` after a section, from which all inner nodes follow.
+white space included, lies in exactly one leaf. A paragraph's node is a 128-bit hash of its bytes, a section's of
+its paragraphs', the root's of the sections', so equal roots mean equal texts. Leaves, of 48 bits, tell which
+words of a paragraph differ. The fingerprint is the root, a colon, and the leaves in 8 signs
+each, with ``,`` after a paragraph and ``;`` after a section. Two trees are compared from the root down: equal
+branches are not entered, and only leaves of paragraphs that the other tree lacks are counted one by one.
 
 Defined results: a null text is empty, and the likeness of two empty texts is 1, of an empty and another
 text 0; repeated rows and ids are fingerprinted each, and follow one another in the order by text; a null
@@ -16,7 +18,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,16 +31,16 @@ from brindle.llm.words import BASE, buffer, mix, units
 
 _U = np.uint64
 LEAF_ODDS, SECTION_ODDS = 4, 8  # one word in 4 ends a leaf, one paragraph in 8 a section
-SIGNS = 8
+PART_BYTES = 64 * 1024 * 1024
 
 
 # --- the tree -----------------------------------------------------------------------------------
 
-def _leaves(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """48-bit hash of every leaf, its kind (0 inside, 1 ends a paragraph, 2 ends a section), first leaf per text."""
+def _leaves(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """48-bit hash of every leaf, its kind (0 inside, 1 ends a paragraph, 2 ends a section), first leaf per text, its last byte."""
     hashes, ends, first = units(data, offsets)
     if not len(hashes):
-        return hashes, np.zeros(0, np.int8), first
+        return hashes, np.zeros(0, np.int8), first, ends
     # a line break opens the next unit, so a unit before such a one ends its paragraph
     opens = np.zeros(len(ends), bool)
     begins = np.concatenate([[0], ends[:-1]])
@@ -56,47 +60,80 @@ def _leaves(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     leaf = mix(np.add.reduceat(spread, start) + length) >> _U(16)
     kind = paragraph[at].astype(np.int8)
     kind[paragraph[at] & ((hashes[at] >> _U(20)) % _U(SECTION_ODDS) == 0) | last[at]] = 2
-    return leaf, kind, np.searchsorted(at, first, side="left")
+    return leaf, kind, np.searchsorted(at, first, side="left"), ends[at]
 
 
 def _node(children: bytes) -> bytes:
     return hashlib.blake2b(children, digest_size=16).digest()
 
 
-def _written(leaf: np.ndarray, kind: np.ndarray) -> str:
-    """The fingerprint of one text from its leaves."""
-    raw = leaf.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
-    signs = base64.b64encode(raw, b"-_").decode()
-    body, sections, paragraphs, begin = [], [], [], 0
-    for end in (np.flatnonzero(kind) + 1).tolist():
-        paragraphs.append(_node(raw[6 * begin:6 * end]))
-        body.append(signs[SIGNS * begin:SIGNS * end])
-        if kind[end - 1] == 2:
-            sections.append(_node(b"".join(paragraphs)))
+@dataclass(frozen=True)
+class Tree:
+    """A text's nodes: sections of paragraphs, each with its leaves."""
+
+    root: bytes
+    sections: list[tuple[bytes, list[tuple[bytes, np.ndarray]]]]
+    leaves: int
+
+    def written(self) -> str:
+        out = []
+        for _, paragraphs in self.sections:
+            for i, (_, leaf) in enumerate(paragraphs, start=1):
+                raw = leaf.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+                out.append(base64.b64encode(raw, b"-_").decode() + (";" if i == len(paragraphs) else ","))
+        return f"{self.root.hex()}:{''.join(out)}"
+
+
+def _tree(data: bytes, begin: int, leaf: np.ndarray, kind: np.ndarray, end: np.ndarray) -> Tree:
+    """The tree of the text that begins at a byte of ``data``, from its leaves and the bytes where they end."""
+    sections, paragraphs, first = [], [], 0
+    for at in (np.flatnonzero(kind) + 1).tolist():
+        upto = int(end[at - 1])
+        paragraphs.append((_node(data[begin:upto]), leaf[first:at]))
+        first, begin = at, upto
+        if kind[at - 1] == 2:
+            sections.append((_node(b"".join(p for p, _ in paragraphs)), paragraphs))
             paragraphs = []
-            body.append(";")
+    return Tree(_node(b"".join(s for s, _ in sections)), sections, len(leaf))
+
+
+def trees(texts: list[str]) -> list[Tree]:
+    data, offsets = buffer(pa.array(texts, pa.large_string()))
+    leaf, kind, first, end = _leaves(data, offsets)
+    raw = data.tobytes()
+    return [_tree(raw, o, leaf[a:b], kind[a:b], end[a:b]) for o, a, b in zip(offsets.tolist(), first[:-1].tolist(), first[1:].tolist())]
+
+
+def _without(own: list[tuple], other: list[tuple]) -> list[tuple]:
+    """The branches of ``own`` that are left when each equal one of ``other`` has taken one away."""
+    spare, left = Counter(node for node, _ in other), []
+    for branch in own:
+        if spare[branch[0]]:
+            spare[branch[0]] -= 1
         else:
-            body.append(",")
-        begin = end
-    return f"{_node(b''.join(sections)).hex()}:{''.join(body)}"
+            left.append(branch)
+    return left
 
 
-def fingerprints(texts: list[str]) -> tuple[list[str], list[np.ndarray]]:
-    """Fingerprint and leaves, in ascending order, of every text."""
-    leaf, kind, first = _leaves(*buffer(pa.array(texts, pa.large_string())))
-    spans = list(zip(first[:-1].tolist(), first[1:].tolist()))
-    return [_written(leaf[a:b], kind[a:b]) for a, b in spans], [np.sort(leaf[a:b]) for a, b in spans]
+def descend(a: Tree, b: Tree) -> tuple[list[tuple], list[tuple]]:
+    """The paragraphs of either tree that the other lacks; only sections that differ are entered."""
+    if a.root == b.root:
+        return [], []
+    sections = _without(a.sections, b.sections), _without(b.sections, a.sections)
+    left, right = ([p for _, inner in some for p in inner] for some in sections)
+    return _without(left, right), _without(right, left)
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Dice coefficient of two ascending multisets of leaves; equal branches are equal leaves."""
-    if not len(a) or not len(b):
-        return 1.0 if len(a) == len(b) else 0.0
-    left, at = np.unique(a, return_counts=True)
-    right, bt = np.unique(b, return_counts=True)
-    place = np.minimum(np.searchsorted(right, left), len(right) - 1)
-    both = np.where(right[place] == left, np.minimum(at, bt[place]), 0).sum()
-    return float(2 * both / (len(a) + len(b)))
+def likeness(a: Tree, b: Tree) -> float:
+    """Share of leaves that both have: those of equal branches, and the common ones of the paragraphs that differ."""
+    if not a.leaves or not b.leaves:
+        return 1.0 if a.leaves == b.leaves else 0.0
+    left, right = descend(a, b)
+    x, y = (np.concatenate([leaf for _, leaf in some]) if some else np.zeros(0, np.uint64) for some in (left, right))
+    (x_leaf, x_count), (y_leaf, y_count) = (np.unique(v, return_counts=True) for v in (x, y))
+    _, i, j = np.intersect1d(x_leaf, y_leaf, assume_unique=True, return_indices=True)
+    common = a.leaves - len(x) + int(np.minimum(x_count[i], y_count[j]).sum())
+    return 2 * common / (a.leaves + b.leaves)
 
 
 def leaves_of(fingerprint: str) -> np.ndarray:
@@ -137,11 +174,10 @@ def _compared(rows: list[tuple[int, str, str]]) -> list[tuple]:
     following = [n for _, _, n in rows]
     # of a run in order each next text is the following row's own
     chain = following[:-1] == texts[1:]
-    marks, leaves = fingerprints(texts + edited + (following[-1:] if chain else following))
-    n = len(rows)
-    after = leaves[1:n] + leaves[2 * n:] if chain else leaves[2 * n:]
-    return [(rows[i][0], len(texts[i]), hashlib.sha256(edited[i].encode()).hexdigest(), marks[i], marks[n + i],
-             likeness(leaves[i], leaves[n + i]), likeness(leaves[i], after[i])) for i in range(n)]
+    n, made = len(rows), trees(texts + edited + (following[-1:] if chain else following))
+    after = made[1:n] + made[2 * n:] if chain else made[2 * n:]
+    return [(rows[i][0], len(texts[i]), hashlib.sha256(edited[i].encode()).hexdigest(), made[i].written(), made[n + i].written(),
+             likeness(made[i], made[n + i]), likeness(made[i], after[i])) for i in range(n)]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -182,8 +218,9 @@ def fingerprint_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "
     also goes, as a guest, to the end of the part before, so a part can be walked on its own.
     """
     workers_import(docs.sparkSession)
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("body"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0]
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     rows = rows.withColumn("tie", F.xxhash64("body"))
     marks = [i / parts for i in range(1, parts)]
     found = rows.agg(F.percentile_approx("id", marks, max(10_000, 20 * parts))).first()[0] if marks else None

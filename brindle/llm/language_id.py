@@ -196,8 +196,28 @@ def identify(docs: DataFrame, held_out: Column, *, key: str = "doc_id", text: st
     """One row per document: key, held_out, lang_pred, score; with ``whole_rows`` also ``row``, a struct of all columns."""
     workers_import(docs.sparkSession)
     held = F.coalesce(held_out, F.lit(False))
-    machines = fit(docs, held, key=key, text=text, lang=lang, per_language=per_language)
+    return _apply(fit(docs, held, key=key, text=text, lang=lang, per_language=per_language), docs, held, key, text, whole_rows)
+
+
+def _apply(machines: Machines | None, docs: DataFrame, held: Column, key: str, text: str, whole_rows: bool) -> DataFrame:
     out = T.StructType().add("id", "long").add("held_out", "boolean").add("lang_pred", "string").add("score", "double")
     rows = docs.select(F.col(key).cast("long").alias("id"), held.alias("held_out"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("lettered"),
                        F.col(text).cast("string").alias("body"), *([F.struct(*docs.columns).alias("row")] if whole_rows else []))
     return rows.mapInArrow(_predict(machines), out.add("row", docs.schema) if whole_rows else out).withColumnRenamed("id", key)
+
+
+def of_known_language(docs: DataFrame, held_out: Column, *, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 400,
+                      share: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose language is told by the machines, a missing ``lang`` filled with the prediction.
+
+    A row goes if it has no letter, or if its score is below ``share`` of the least score that a held-out row of a known and
+    rightly predicted language has. Without a language to learn, or such a row, only the letters decide.
+    """
+    workers_import(docs.sparkSession)
+    held = F.coalesce(held_out, F.lit(False))
+    machines = fit(docs, held, key=key, text=text, lang=lang, per_language=per_language)
+    known = _apply(machines, docs.where(held & F.col(lang).isNotNull()), held, key, text, True)
+    least = known.where(F.col("lang_pred") == F.col("row")[lang]).agg(F.min("score")).first()[0]
+    found = _apply(machines, docs, held, key, text, True).where(F.col("row")[text].rlike(r"\p{L}") & (F.col("score") >= F.lit(share * (least or 0.0))))
+    told = F.when(F.col("lang_pred") != "und", F.col("lang_pred"))
+    return found.select(*[F.coalesce(F.col("row")[c], told).alias(c) if c == lang else F.col("row")[c].alias(c) for c in docs.columns])

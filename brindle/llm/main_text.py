@@ -48,6 +48,8 @@ notices pager pagination paywall popup privacy promo promoted promotion recommen
 sidebar sidebars signup skip social sponsor sponsored subscribe tags toolbar topbar widget widgets complementary contentinfo alert warning""".split())
 GOOD_MARKS = frozenset("article articlebody body content entry main maincontent post posts story text".split())
 MODIFIERS = frozenset("has no not with without".split())  # what follows them in a class is said of the element, not its kind
+# of these an article may tell, so after a word of GOOD_MARKS they say nothing
+TOPICS = frozenset("alert cookie cookies copyright disclaimer login notice notices paywall popup privacy search signup subscribe warning".split())
 LAYOUT_WORDS = frozenset("area block body box buttons container content form inner items links list section text unit wrap wrapper".split())
 BAD_COST, GOOD_COST = -6.0, 1.5
 BAD_WORDS = re.compile(r"©|\b(?:cookies?|copyright|all rights reserved|subscribe|newsletter|sign up|log in|privacy policy|terms of use|advertisement|sponsored)\b", re.I)
@@ -73,7 +75,7 @@ def _mark(token: str) -> float:
     """What one class, id or role says of its element: by the whole of it or its last word, without what a modifier adds."""
     words = [w.lower() for w in _SPLIT.split(token) if w]
     words = words[:next((i for i, w in enumerate(words) if w in MODIFIERS), len(words))]
-    if not words:
+    if not words or words[-1] in TOPICS and not GOOD_MARKS.isdisjoint(words[:-1]):
         return 0.0
     if words[-1] in BAD_MARKS or len(words) == 2 and words[0] in BAD_MARKS and words[1] in LAYOUT_WORDS:
         return BAD_COST
@@ -81,28 +83,35 @@ def _mark(token: str) -> float:
     return GOOD_COST if good and BAD_MARKS.isdisjoint(words) else 0.0
 
 
-def _mark_cost(attributes: str) -> float:
-    """Good and bad marks of one element offset each other."""
-    if not attributes or attributes.isspace():
-        return 0.0
-    marks = set()
-    for found in _ATTRIBUTE.finditer(attributes):
-        name, value = found[1].lower(), found[2] or found[3] or found[4] or ""
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _NO_DISPLAY.search(value):
-            return BAD_COST
-        if name in ("class", "id", "role"):
-            marks.update(map(_mark, value.split()))
+def _attributes(written: str) -> list[tuple[str, str]]:
+    return [(a[1].lower(), a[2] or a[3] or a[4] or "") for a in _ATTRIBUTE.finditer(written)] if written and not written.isspace() else []
+
+
+def _hidden(attributes: list[tuple[str, str]]) -> bool:
+    return any(name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _NO_DISPLAY.search(value) for name, value in attributes)
+
+
+def _mark_cost(written: str, tag: str) -> float:
+    """Good and bad marks of one element offset each other; a bad one says nothing of an article or main element."""
+    attributes = _attributes(written)
+    if _hidden(attributes):
+        return BAD_COST
+    marks = {_mark(token) for name, value in attributes if name in ("class", "id", "role") for token in value.split()}
+    if tag in ("article", "main"):
+        marks.discard(BAD_COST)
     if BAD_COST in marks:
         return 0.0 if GOOD_COST in marks else BAD_COST
     return GOOD_COST if GOOD_COST in marks else 0.0
 
 
-def _own_cost(text: str, tag: str, linked: int) -> float:
-    words = text.count(" ") + 1
-    cost = min(2.0, 0.5 * words ** 0.5) - 1.0 - 4.0 * linked / len(text)
-    cost += 0.8 if text.endswith(_END) else 0.0
+def _own_cost(text: str, tag: str, linked: int, marked: float, inside: bool) -> float:
+    """The block's own cost; ``inside`` an article or main element links are references, and words say less."""
+    words, ended = text.count(" ") + 1, text.endswith(_END)
+    cost = min(2.0, 0.5 * words ** 0.5) - 1.0 - (1.0 if inside else 4.0) * linked / len(text)
+    cost += 0.8 if ended else 0.0
     cost += {"h1": 1.0, "h2": 0.5, "h3": 0.5, "p": 0.5, "li": -0.5}.get(tag, 0.0)
-    if words < 40 and BAD_WORDS.search(text):
+    # a word of notices needs a second sign: a link, no sentence, the mark of an element around, or where notices stand
+    if words < 40 and tag != "h1" and BAD_WORDS.search(text) and (linked or not ended or marked < 0 or not (tag == "p" or inside)):
         cost -= 2.0
     return cost
 
@@ -121,7 +130,8 @@ def blocks_of(page: str) -> list[Block]:
             tag, cost, parent = stack[-1]
             # the element around a paragraph or list item is what its siblings share
             home = stack[-2] if len(stack) > 1 and tag in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "dd", "dt") else stack[-1]
-            out.append(Block(text, cost + _own_cost(text, tag, min(linked, len(text))), home[2], len(stack)))
+            inside = any(t in ("article", "main") for t, _, _ in stack)
+            out.append(Block(text, cost + _own_cost(text, tag, min(linked, len(text)), cost, inside), home[2], len(stack)))
         held, linked = [], 0
 
     def add(raw: str) -> None:
@@ -233,7 +243,7 @@ def blocks_of(page: str) -> list[Block]:
         cost = TAG_COST.get(tag, 0.0)
         if tag == "header" and any(t in ("article", "main") for t, _, _ in stack):
             cost = 0.0
-        stack.append((tag, stack[-1][1] + cost + (_mark_cost(attributes) if tag not in ("html", "body") else 0.0), number))
+        stack.append((tag, stack[-1][1] + cost + (_mark_cost(attributes, tag) if tag not in ("html", "body") else 0.0), number))
     if skipped:
         leave(skipped)
     flush()
@@ -256,12 +266,57 @@ def _ties(blocks: list[Block]) -> list[tuple[int, int, float]]:
 
 
 def minimum_cut(costs: list[float], ties: list[tuple[int, int, float]]) -> list[bool]:
-    """For every node whether it is on the source's side of a minimum cut.
+    """For every node whether it is on the source's side of a minimum cut, the smallest such side.
 
     A positive cost is the capacity from the source, a negative one that to the sink; a tie's weight is
-    its capacity in both directions. Shortest augmenting paths, from nodes that the source still feeds
-    to nodes that still drain.
+    its capacity in both directions. A node with at most two ties is taken out first: the least cut of what hangs on it, for
+    either side of its neighbours, is a capacity of theirs and a tie between them, so the minimum stays the same. Blocks of a page
+    follow one another inside nested elements, so nearly all go this way, in linear time; the maximum flow decides the rest, and the nodes
+    taken out are decided backwards from their neighbours.
     """
+    near: list[dict[int, float]] = [{} for _ in costs]
+    for a, b, w in ties:
+        near[a][b] = near[a].get(b, 0.0) + w
+        near[b][a] = near[b].get(a, 0.0) + w
+    gain, taken, kept = list(costs), [], [False] * len(costs)
+    queue, out = [i for i, n in enumerate(near) if len(n) <= 2], [False] * len(costs)
+    while queue:
+        x = queue.pop()
+        if out[x] or len(near[x]) > 2:
+            continue
+        out[x] = True
+        taken.append((x, gain[x], tuple(near[x].items())))
+        around = list(near[x].items())
+        for y, _ in around:
+            del near[y][x]
+        if len(around) == 1:
+            (y, w), = around
+            # what y's side saves or loses through x
+            gain[y] += max(-w, min(w, gain[x]))
+        elif around:
+            (y, v), (z, w) = around
+            least = lambda a, b: min(gain[x] + (v if a else 0.0) + (w if b else 0.0), (0.0 if a else v) + (0.0 if b else w))
+            f00, f01, f10, f11 = least(0, 0), least(0, 1), least(1, 0), least(1, 1)
+            tie = max(0.0, (f01 + f10 - f00 - f11) / 2)
+            gain[y] += f00 - f10 + tie
+            gain[z] += f00 - f01 + tie
+            if tie > 1e-12:
+                near[y][z] = near[y].get(z, 0.0) + tie
+                near[z][y] = near[z].get(y, 0.0) + tie
+        queue += [y for y, _ in around if len(near[y]) <= 2]
+    core = [i for i in range(len(costs)) if not out[i]]
+    if core:
+        place = {i: n for n, i in enumerate(core)}
+        side = _flow([gain[i] for i in core], [(place[i], place[j], w) for i in core for j, w in near[i].items() if i < j])
+        for i in core:
+            kept[i] = side[place[i]]
+    for x, own, around in reversed(taken):
+        kept[x] = own + sum(w if kept[y] else -w for y, w in around) > 1e-9
+    return kept
+
+
+def _flow(costs: list[float], ties: list[tuple[int, int, float]]) -> list[bool]:
+    """Shortest augmenting paths, from nodes that the source still feeds to nodes that still drain."""
     room: list[dict[int, float]] = [{} for _ in costs]
     for a, b, w in ties:
         room[a][b] = room[a].get(b, 0.0) + w

@@ -129,21 +129,26 @@ def intersect(index: DataFrame, queries: dict[str, frozenset]) -> DataFrame:
 
 
 def _spans(text: Column, rule: Rule, order: int) -> Column:
-    """All matches of a rule in order: the gaps between them and their own lengths add up to positions."""
+    """All matches of a rule in order: running sums of the gaps between them and their own lengths are positions."""
     pattern = F.lit(rule.pattern)
     gaps = F.transform(F.split(text, rule.pattern, -1), lambda s: F.length(s))
     found = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda s: F.length(s))
     valued = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), lambda s: F.length(s))
-    matches = F.arrays_zip(found.alias("found"), F.slice(gaps, 1, F.size(found)).alias("gap"), valued.alias("valued"))
+    ends = _running(F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda gap, own: gap + own))
+    matches = F.arrays_zip(found.alias("found"), ends.alias("end"), valued.alias("valued"))
+    long_enough = F.filter(matches, lambda m: m["valued"] >= rule.least)
+    return F.transform(long_enough, lambda m: F.struct((m["end"] - m["found"]).alias("begin"), F.lit(order).alias("order"), F.lit(rule.kind).alias("kind"), m["end"].alias("end")))
 
-    def add(acc, m):
-        begin = acc["at"] + m["gap"]
-        end = begin + m["found"]
-        span = F.struct(begin.alias("begin"), F.lit(order).alias("order"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(m["valued"] >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), _no_spans().alias("out"))
-    return F.aggregate(matches, start, add, lambda acc: acc["out"])
+def _running(steps: Column) -> Column:
+    """Running sums of an array: each turn adds the value 1, 2, 4, ... places before, so n values take log n passes."""
+    def add(sums: Column, turn: Column) -> Column:
+        shift = F.pow(F.lit(2), turn).cast("int")
+        before = F.slice(F.concat(F.array_repeat(F.lit(0), shift), sums), 1, F.size(sums))
+        return F.zip_with(sums, before, lambda own, earlier: own + earlier)
+
+    turns = F.ceil(F.log2(F.greatest(F.size(steps), F.lit(1)))).cast("int")
+    return F.when(F.size(steps) < 2, steps).otherwise(F.aggregate(F.sequence(F.lit(0), turns - 1), steps, add))
 
 
 def _no_spans() -> Column:

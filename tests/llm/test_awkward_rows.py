@@ -75,11 +75,48 @@ def test_differing_branches_locate_an_edit():
     lines = [f"line {i} has some words of its own {i * 7} and {i * 13}" for i in range(60)]
     changed = list(lines)
     changed[30] = "this line is another one"
-    (a, b), leaves = fingerprints.fingerprints(["\n".join(lines), "\n".join(changed)])
+    one, two = fingerprints.trees(["\n".join(lines), "\n".join(changed)])
+    a, b = one.written(), two.written()
     places = fingerprints.differing(a, b)
     assert 1 <= len(places) <= 2 and fingerprints.differing(a, a) == []
-    assert 0.9 < fingerprints.likeness(*leaves) < 1
-    assert np.array_equal(fingerprints.leaves_of(a), leaves[0])
+    left, right = fingerprints.descend(one, two)
+    assert len(left) == len(right) == len(places) and fingerprints.descend(one, one) == ([], [])
+    assert 0.9 < fingerprints.likeness(one, two) < 1
+    assert np.array_equal(fingerprints.leaves_of(a), np.sort(np.concatenate([leaf for _, inner in one.sections for _, leaf in inner])))
+
+
+def test_roots_tell_texts_apart_whose_leaves_collide():
+    one, two = fingerprints.trees(["01039105", "15835569"])
+    assert fingerprints.leaves_of(one.written()).tolist() == fingerprints.leaves_of(two.written()).tolist()
+    assert one.root != two.root and one.written() != two.written()
+
+
+def test_nodes_and_likeness_by_brute_force():
+    """Nodes from the bytes of the paragraphs; the likeness of the descent is the Dice coefficient over all leaves."""
+    rng = __import__("random").Random(4)
+    say = lambda n: "\n".join(" ".join(rng.choice("abcdefgh") * rng.randrange(1, 4) for _ in range(rng.randrange(0, 30))) for _ in range(n))
+    texts = ["", "a", "\n", "  \n\n x"] + [say(rng.randrange(1, 40)) for _ in range(30)]
+    texts += [t[:len(t) // 2] + u[:len(t) // 3] for t, u in zip(texts, texts[1:])]
+    made = fingerprints.trees(texts)
+    for text, tree in zip(texts, made):
+        nodes = [p for _, inner in tree.sections for p, _ in inner]
+        assert b"".join(nodes) == b"".join(hashlib.blake2b(b.encode(), digest_size=16).digest() for b in _paragraphs(text, tree))
+        assert "".join(_paragraphs(text, tree)) == text
+        assert all(s == hashlib.blake2b(b"".join(p for p, _ in inner), digest_size=16).digest() for s, inner in tree.sections)
+        assert tree.root == hashlib.blake2b(b"".join(s for s, _ in tree.sections), digest_size=16).digest()
+    leaves = [Counter(fingerprints.leaves_of(t.written()).tolist()) for t in made]
+    for i in range(0, len(made), 3):
+        for j in range(len(made)):
+            both = sum(leaves[i].values()) + sum(leaves[j].values())
+            want = (2 * sum((leaves[i] & leaves[j]).values()) / both) if leaves[i] and leaves[j] else float(not leaves[i] and not leaves[j])
+            assert fingerprints.likeness(made[i], made[j]) == want
+
+
+def _paragraphs(text, tree):
+    """The text cut where a run of white space that holds a line break begins, as often as the tree has paragraphs."""
+    cuts = [m.start() for m in re.finditer(r"[\x20\x09-\x0D]+", text) if "\n" in m[0] and m.start() > 0]
+    ends = [*cuts, len(text)] if text else []
+    return [text[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
 
 def test_secrets(spark, empty, awkward, source):
@@ -99,6 +136,18 @@ def test_secrets(spark, empty, awkward, source):
     assert "github:0:40" in got[6]["spans"] and got[9]["spans"] == "private_key:0:31"
 
 
+def test_a_text_of_many_spans_takes_linear_time(spark):
+    """20,000 spans in one text; a list that grows by copying would take minutes."""
+    import time
+
+    text = " ".join(f"token=abcdef{i}" for i in range(20_000))
+    begin = time.time()
+    row = secret_scan.find_secrets(spark.createDataFrame([(1, text), (2, "token=abcdefg")], "doc_id long, text string")).where("doc_id = 1").first()
+    assert row["n_assign"] == 20_000 and time.time() - begin < 60
+    want = [f"assign:{m.start()}:{m.end()}" for m in re.finditer(r"token=[a-z0-9]+", text)]
+    assert row["spans"].split(",") == want
+
+
 def test_trigram_queries_hold_for_every_match():
     assert secret_scan.trigram_query(r"[0-9a-f]{24,}") is None
     assert secret_scan.trigram_query(r"abcd") == {frozenset({"abc", "bcd"})}
@@ -303,3 +352,80 @@ def test_stages(spark, awkward, empty):
                 assert not seen or (set(seen.values()) == {1} and (1, awkward.where("doc_id = 1").first()["text"]) in seen)
             docs = out
         assert (docs.count() > 0) == (first is awkward)
+
+
+PROSE = ("<p>The river rises in the hills and runs north for many miles, past old mills and farms.</p>"
+         "<p>In spring it floods the meadows, and boats are moored higher up.</p>")
+RIVER = ["The river rises in the hills and runs north for many miles, past old mills and farms.", "In spring it floods the meadows, and boats are moored higher up."]
+
+
+@pytest.mark.parametrize("body, before, after", [
+    (f'<article class="login"><h1>How to log in</h1>{PROSE}</article>', ["How to log in"], []),
+    (f'<div class="article-alert">{PROSE}</div>', [], []),
+    (f'<div id="post-search">{PROSE}</div>', [], []),
+    (f"<article>{PROSE}<ul>" + "".join(f'<li><a href="/{i}">Reference number {i}, a title of a work</a></li>' for i in range(10)) + "</ul></article>",
+     [], [f"Reference number {i}, a title of a work" for i in range(10)]),
+    ('<main><p><a href="/x">The river rises in the hills and runs north for many miles, past old mills and farms.</a></p>'
+     '<p><a href="/y">In spring it floods the meadows, and boats are moored higher up.</a></p></main>', [], []),
+    (f"<div class=page><h1>Cookies</h1><p>Cookies are small files.</p>{PROSE}</div>", ["Cookies", "Cookies are small files."], [])])
+def test_marks_and_links_do_not_empty_an_article(body, before, after):
+    page = f'<html><body><nav><a href="/">Home</a> <a href="/a">About</a></nav>{body}<footer>© 2020 All rights reserved</footer></body></html>'
+    assert main_text.main_text(page).split("\n\n") == before + RIVER + after
+
+
+def test_boilerplate_of_the_same_words_goes():
+    for body in (f'<div class="post-comments">{PROSE}</div>', '<div class="cookie-banner"><p>We use cookies to improve things.</p></div>',
+                 '<div><p>Subscribe to our <a href="/n">newsletter</a></p></div>'):
+        assert main_text.main_text(f"<html><body>{body}</body></html>") == ""
+
+
+def test_the_cut_is_least_smallest_and_near_linear():
+    import itertools
+    import random
+    import time
+
+    rng = random.Random(1)
+    for _ in range(300):
+        n = rng.randint(1, 8)
+        costs = [round(rng.uniform(-3, 3), 1) for _ in range(n)]
+        ties = [(a, b, round(rng.uniform(0.1, 2), 1)) for a in range(n) for b in range(a + 1, n) if rng.random() < rng.choice([0.2, 0.5])]
+
+        def cost(kept):
+            return sum(abs(c) for c, k in zip(costs, kept) if (c > 0) != bool(k) and c) + sum(w for a, b, w in ties if kept[a] != kept[b])
+
+        every = [(round(cost(k), 6), sum(k)) for k in itertools.product((0, 1), repeat=n)]
+        got = main_text.minimum_cut(costs, ties)
+        assert (round(cost(got), 6), sum(got)) == min(every) and got == main_text._flow(costs, ties)
+    begin = time.time()
+    for block in ("<p>w %d</p>", "<li><a href=x>w %d</a></li>", "<div>t %d.<p>a b c.</p></div>"):
+        blocks = main_text.blocks_of("".join(block % i for i in range(100_000)))
+        main_text.minimum_cut([b.cost for b in blocks], main_text._ties(blocks))
+    assert time.time() - begin < 60
+
+
+def test_a_kept_snapshot_serves_several_batches(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(exact_dedup, "SHARD_KEYS", 7)  # several shards, and several tasks for one shard of a large batch
+    say = lambda ids, n: spark.createDataFrame([(i, f"text  {i % n}") for i in ids], "doc_id long, text string")
+    path = str(tmp_path / "snapshot")
+    exact_dedup.build_snapshot(say(range(40), 20), path)
+    for batch, n in ((range(100, 150), 50), (range(1000, 1200), 90), (range(5), 20)):
+        got = {r["doc_id"]: r for r in rows_of(exact_dedup.dedup_batch(path, say(batch, n)))}
+        assert sorted(got) == list(batch)
+        for i in batch:
+            same = [j for j in range(40) if j % 20 == i % n] + [j for j in batch if j % n == i % n]
+            assert (got[i]["keep_id"], got[i]["group_size"], got[i]["kept"]) == (min(same), len(same), i == min(same))
+            assert got[i]["text_sha256"] == hashlib.sha256(f"text {i % n}".encode()).hexdigest()
+    exact_dedup.build_snapshot(say([], 1), str(tmp_path / "none"))
+    assert exact_dedup.dedup_batch(str(tmp_path / "none"), say([3, 4], 1)).agg(F.max("group_size")).first()[0] == 2
+
+
+def test_language_stage_drops_what_no_machine_tells_and_fills_gaps(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang")
+    gaps = docs.selectExpr("doc_id", "text", "CASE WHEN doc_id % 7 = 0 THEN NULL ELSE lang END AS lang")
+    junk = spark.createDataFrame([(10_000 + i, "\u10d0\u10d1\u10d2 \u0531\u0532 " * (i + 1), None) for i in range(3)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang"] for r in rows_of(pipeline.identify_language(spark, gaps.unionByName(junk), ""))}
+    truth = {r["doc_id"]: r["lang"] for r in rows_of(docs)}
+    assert set(got) == set(truth)  # clean documents stay, and only those
+    assert np.mean([got[i] == truth[i] for i in truth]) > 0.99
