@@ -207,7 +207,7 @@ def _apply(machines: Machines | None, docs: DataFrame, held: Column, key: str, t
 
 
 def of_known_language(docs: DataFrame, held_out: Column, *, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 400,
-                      share: float = 0.5) -> DataFrame:
+                      share: float = 0.7) -> DataFrame:
     """The rows of ``docs`` whose language is told by the machines, a missing ``lang`` filled with the prediction.
 
     A row goes if it has no letter, or if its score is below ``share`` of the least score that a held-out row of a known and

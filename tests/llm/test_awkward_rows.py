@@ -421,11 +421,16 @@ def test_a_kept_snapshot_serves_several_batches(spark, tmp_path, monkeypatch):
     assert exact_dedup.dedup_batch(str(tmp_path / "none"), say([3, 4], 1)).agg(F.max("group_size")).first()[0] == 2
 
 
-def test_language_stage_drops_what_no_machine_tells_and_fills_gaps(spark, small):
+def test_language_stage_drops_what_scores_below_all_known_rows_and_fills_gaps(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang")
     gaps = docs.selectExpr("doc_id", "text", "CASE WHEN doc_id % 7 = 0 THEN NULL ELSE lang END AS lang")
-    junk = spark.createDataFrame([(10_000 + i, "\u10d0\u10d1\u10d2 \u0531\u0532 " * (i + 1), None) for i in range(3)], "doc_id long, text string, lang string")
+    junk = spark.createDataFrame([(10_000, "\u6f22\u5b57\u4eee\u540d\u4ea4", None), (10_001, "0x7f 0x3a 9b 4c 7d " * 8, None), (10_002, "12 34", None)], "doc_id long, text string, lang string")
     got = {r["doc_id"]: r["lang"] for r in rows_of(pipeline.identify_language(spark, gaps.unionByName(junk), ""))}
     truth = {r["doc_id"]: r["lang"] for r in rows_of(docs)}
     assert set(got) == set(truth)  # clean documents stay, and only those
     assert np.mean([got[i] == truth[i] for i in truth]) > 0.99
+    told = language_id.identify(gaps.unionByName(junk), hash_mod("doc_id", 3) == 1).where("doc_id < 10000 AND held_out")
+    least = told.join(gaps, "doc_id").where("lang = lang_pred").agg({"score": "min"}).first()[0]
+    strict = language_id.of_known_language(gaps.unionByName(junk), hash_mod("doc_id", 3) == 1, share=1.05)
+    scores = {r["doc_id"]: r["score"] for r in rows_of(language_id.identify(gaps.unionByName(junk), hash_mod("doc_id", 3) == 1))}
+    assert {r["doc_id"] for r in rows_of(strict)} == {i for i, s in scores.items() if s >= 1.05 * least and i != 10_002}
