@@ -3,7 +3,8 @@
 A stage takes (spark, docs, folder) and returns a DataFrame; all but the last return the columns of
 ``docs``. Every stage works on all rows that the one before kept.
 
-Defined results: a document without a letter (also an empty or null text) is no language and goes; of
+Defined results: a document without a letter (also an empty or null text) is no language and goes, and so does one whose
+score is below 0.7 of the least of all held-out documents of known, rightly predicted language; of
 rows that repeat an id and a text one stays; a null id is an id of its own, and its rows are never
 near-duplicates that go; an empty table passes through as an empty table; extra columns are carried along.
 """
@@ -17,12 +18,8 @@ from brindle.llm.tables import hash_mod, stage, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a letter; their languages are learned from the rows that are not held out.
-
-    Rejection is the letter test alone: no low score drops a document, nor does a table without a language to learn.
-    """
-    found = language_id.identify(docs, hash_mod("doc_id", 3) == 1, whole_rows=True)
-    return found.where(F.col("row.text").rlike(r"\p{L}")).select("row.*")
+    """Documents in a language that the machines tell: with a letter, and not far below all held-out rows in score. A missing ``lang`` is filled."""
+    return language_id.of_known_language(docs, hash_mod("doc_id", 3) == 1)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
