@@ -4,7 +4,7 @@ A stage takes (spark, docs, folder) and returns a DataFrame; all but the last re
 ``docs``. Every stage works on all rows that the one before kept.
 
 Defined results: a document without a letter (also an empty or null text) is no language and goes, and so does one whose
-score is below 0.7 of the least of all held-out documents of known, rightly predicted language; of
+score is below half of the least of all held-out documents of known, rightly predicted language; of
 rows that repeat an id and a text one stays; a null id is an id of its own, and its rows are never
 near-duplicates that go; an empty table passes through as an empty table; extra columns are carried along.
 """
