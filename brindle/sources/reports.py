@@ -29,11 +29,12 @@ def report_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def markdown(df: DataFrame, limit: int = MAX_PRINTED_ROWS) -> str:
-    """The first rows as a Markdown table; more than ``MAX_PRINTED_ROWS`` are refused."""
-    if limit > MAX_PRINTED_ROWS:
+    """The rows, in the frame's order, as a Markdown table; a frame of more than ``limit`` rows is refused, not cut."""
+    rows = df.limit(min(limit, MAX_PRINTED_ROWS) + 1).collect()
+    if len(rows) > min(limit, MAX_PRINTED_ROWS):
         raise ValueError("use report_table for large results")
     lines = [df.columns, ["---"] * len(df.columns)]
-    lines += [[str(v) for v in row] for row in df.limit(limit).collect()]
+    lines += [[str(v) for v in row] for row in rows]
     return "\n".join("| " + " | ".join(line) + " |" for line in lines)
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from brindle.operators import aggregates as agg, columns, joins, split
+from brindle.operators import aggregates as agg, columns, joins, quantiles, split
 from brindle.plans import effects, penalties
 from brindle.sources import views
 
@@ -48,3 +48,17 @@ def test_predictions_stay_in_the_jvm(spark, small):
     fitted = effects.fit_effects(rated, list(effects.EFFECTS), 3.0)
     text = plan(effects.predict_ratings(rated, fitted, 3.0))
     assert "Python" not in text and "BroadcastHashJoin" in text
+
+
+def test_quantiles_move_only_values_near_them(spark):
+    """Of 200,000 distinct values per group, those inside the brackets and one row per gap leave the tasks."""
+    rows = spark.range(400_000).select((F.col("id") % 2).alias("g"), F.hash("id").cast("double").alias("v"))
+    kept = quantiles.bracketed(rows, ["g"], "v", [0.25, 0.5, 0.75])
+    assert kept.count() < 400_000 * 3 * 8 / quantiles.ACCURACY + 8
+    text = plan(quantiles.exact_quantiles(rows, ["g"], "v", [0.25, 0.5, 0.75]))
+    assert "rangepartitioning" not in text and "Python" not in text and "Cartesian" not in text
+    # rows meet the brackets where they are, and are counted before they move
+    assert text.count("Exchange hashpartitioning") == 2 and "BroadcastHashJoin" in text
+    steps = [line.strip(" :+-*") for line in text.splitlines()]
+    exchanges = [i for i, s in enumerate(steps) if "Exchange hashpartitioning" in s]
+    assert all(any("HashAggregate" in s for s in steps[i + 1:i + 4]) for i in exchanges)

@@ -343,3 +343,31 @@ def test_expression_report_has_every_table(spark):
     assert report["clean"].filter(" OR ".join(f"{n} IS NULL" for n in names)).count() == 0
     for name, table in report.items():
         assert table.columns, name
+
+
+def test_quantiles_of_groups_of_all_shapes(spark):
+    from brindle.operators import quantiles
+
+    rng = np.random.default_rng(1)
+    n, probs = 24_000, [0.0, 0.25, 0.5, 0.75, 1.0, 0.333, 0.999]
+    group = rng.integers(0, 4, n)
+    value = np.select([group == 0, group == 1, group == 2], [rng.integers(0, 5, n), rng.normal(0, 1, n), rng.exponential(1, n) ** 8], 1.0)
+    names = np.where(group == 3, None, group.astype(str)).tolist() + [f"few{i % 7}" for i in range(40)] + ["one", "gap", "gap"]
+    values = value.tolist() + rng.normal(size=40).tolist() + [7.0, None, float("nan")]
+    df = spark.createDataFrame(list(zip(names, values)), "g string, v double").repartition(5)
+    got = {r["g"]: r for r in quantiles.exact_quantiles(df, ["g"], "v", probs).collect()}
+    assert set(got) == set(names) - {"gap"}
+    for name in got:
+        own = [v for g, v in zip(names, values) if g == name and v is not None and v == v]
+        assert got[name]["n"] == len(own) and np.allclose(got[name]["quantiles"], np.quantile(own, probs), rtol=1e-12, atol=0)
+    known = [v for v in values if v is not None and v == v]
+    assert np.allclose(quantiles.quantile_literals(df, "v", probs), np.quantile(known, probs), rtol=1e-12, atol=0)
+    assert quantiles.exact_quantiles(df.limit(0), ["g"], "v", probs).count() == 0
+
+
+def test_a_report_is_refused_not_cut(spark):
+    from brindle.sources.reports import markdown
+
+    assert markdown(spark.range(2)).splitlines() == ["| id |", "| --- |", "| 0 |", "| 1 |"]
+    with pytest.raises(ValueError):
+        markdown(spark.range(3), limit=2)
