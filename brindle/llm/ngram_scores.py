@@ -12,8 +12,10 @@ No model is held whole anywhere. Texts are cut into blocks of about two million
 distinct n-grams it holds, with its own training counts, to buckets by their hash; a bucket adds them
 up and answers each block with a bit per n-gram, and a total where it differs from the block's own count.
 A block thus has
-the part of the automaton that its texts can reach, and is traversed left to right with the state
-carried as the longest known context; all words of a block take the same hop at once.
+the part of the automaton that its texts can reach, as arrays of states, arcs and failure links, and walks it from
+left to right: the state, the longest known context, is carried from word to word, and a state without an arc for the next word adds its
+failure weight and falls back. All texts of a block take a step together; a long one is walked in stretches of STRETCH
+words, each from the state of the two words before it.
 
 Defined results: a null text is empty and has the end as its only token; repeated rows are scored and
 counted each; a null id keeps its row; empty input gives no rows; other columns are not read. Words
@@ -37,6 +39,7 @@ from brindle.llm.words import buffer, chained, words
 BLOCK_TOKENS = 2_000_000
 BUCKET_KEYS = 3_000_000
 ORDER = 3
+STRETCH = 512
 _U = np.uint64
 _END = _U(0x5EED0FDECAFBAD11)
 _BLOCK = "block long, ids array<long>, held array<boolean>, train_tokens long, n long, sizes binary, vocab binary, ranks binary, tokens binary"
@@ -107,9 +110,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Block:
-    """The n-grams of one block, by order: a key per token, the distinct keys, their training counts."""
+    """The n-grams of one block, by order: the distinct keys, their training counts, and, to walk it, which ends at each token."""
 
-    def __init__(self, row: dict, bits: int):
+    def __init__(self, row: dict, bits: int, walked: bool = False):
         self.row, sizes = row, _unpack(row["sizes"]).astype(np.int64)
         word = np.zeros(len(_unpack(row["ranks"])), np.uint64)
         word[_unpack(row["ranks"]).astype(np.int64)] = _unpack_keys(row["vocab"])
@@ -120,16 +123,26 @@ class _Block:
         trained = ~np.array([bool(x) for x in row["held"]], bool)
         flag = np.repeat(trained, self.sizes).astype(np.uint64)
         # order n: one key for each token that ends an n-gram inside its text
-        self.at = [np.flatnonzero(self.place >= n) for n in range(ORDER)]
-        self.keys, self.distinct, self.counts = [], [], []
-        for n, at in enumerate(self.at):
+        self.distinct, self.counts, self.ends, self.somewhere = [], [], [], []
+        for n in range(ORDER):
+            at = np.flatnonzero(self.place >= n)
             key = chained(h, n + 1)[at - n] >> _U(64 - key_width(n, bits))
-            every = np.sort(key << _U(1) | flag[at])
-            distinct = every >> _U(1)
-            edge = np.flatnonzero(np.concatenate([np.ones(min(1, len(every)), bool), distinct[1:] != distinct[:-1]]))
-            self.keys.append(key)
-            self.distinct.append(distinct[edge])
-            self.counts.append(np.add.reduceat(every & _U(1), edge) if len(edge) else edge.astype(np.uint64))
+            if walked:
+                order = np.argsort(key)
+                sorted_keys, own = key[order], flag[at[order]]
+            else:
+                every = np.sort(key << _U(1) | flag[at])
+                sorted_keys, own = every >> _U(1), every & _U(1)
+            fresh = np.ones(len(at), bool)
+            fresh[1:] = sorted_keys[1:] != sorted_keys[:-1]
+            edge = np.flatnonzero(fresh)
+            self.distinct.append(sorted_keys[edge])
+            self.counts.append(np.add.reduceat(own, edge) if len(edge) else edge.astype(np.uint64))
+            if walked:
+                ends = np.full(len(h), -1)
+                ends[at[order]] = np.cumsum(fresh) - 1
+                self.ends.append(ends)
+                self.somewhere.append(at[order[edge]])
 
 
 def key_width(n: int, bits: int) -> int:
@@ -137,10 +150,9 @@ def key_width(n: int, bits: int) -> int:
     return 63 if n == 0 else bits
 
 
-def bucket_edges(distinct: np.ndarray, n: int, buckets: int, bits: int) -> np.ndarray:
-    """Where each of the 2^buckets ranges of the sorted keys begins, and the end of the last."""
-    bucket = (distinct >> _U(key_width(n, bits) - buckets)).astype(np.int64)
-    return np.searchsorted(bucket, np.arange((1 << buckets) + 1))
+def bucket_of(distinct: np.ndarray, n: int, buckets: int, bits: int) -> np.ndarray:
+    """The range of the sorted keys, of 2^buckets, that each key lies in."""
+    return (distinct >> _U(key_width(n, bits) - buckets)).astype(np.int64)
 
 
 def _send(buckets: int, bits: int):
@@ -149,13 +161,13 @@ def _send(buckets: int, bits: int):
             for i in range(batch.num_rows):
                 b = _Block(batch.slice(i, 1).to_pylist()[0], bits)
                 for n in range(ORDER):
-                    edges = bucket_edges(b.distinct[n], n, buckets, bits)
-                    full = [k for k in range(1 << buckets) if edges[k] < edges[k + 1]]
+                    full, begin = np.unique(bucket_of(b.distinct[n], n, buckets, bits), return_index=True)
+                    parts = list(zip(begin.tolist(), [*begin[1:].tolist(), len(b.distinct[n])]))
                     yield pa.RecordBatch.from_pydict({
                         "bucket": pa.array(full, pa.int64()), "block": pa.array([b.row["block"]] * len(full), pa.int64()),
                         "n": pa.array([n] * len(full), pa.int32()),
-                        "keys": pa.array([_pack_keys(b.distinct[n][edges[k]:edges[k + 1]]) for k in full], pa.binary()),
-                        "counts": pa.array([_pack(b.counts[n][edges[k]:edges[k + 1]]) for k in full], pa.binary())})
+                        "keys": pa.array([_pack_keys(b.distinct[n][x:y]) for x, y in parts], pa.binary()),
+                        "counts": pa.array([_pack(b.counts[n][x:y]) for x, y in parts], pa.binary())})
     return run
 
 
@@ -187,6 +199,82 @@ def _total(group: pa.Table) -> pa.Table:
                      "totals": pa.array([b"", *out_totals], pa.binary())})
 
 
+class Automaton:
+    """States, arcs and failure links that the texts of one block can reach.
+
+    State 0 is the empty context, 1 + i that of word i, 1 + words + j that of bigram j. ``totals`` are the corpus' counts of the
+    block's distinct n-grams; an n-gram that was never learned from has no state and no arc.
+    """
+
+    def __init__(self, b: _Block, totals: list[np.ndarray], n_train: int, n_words: int, prior: tuple[float, float]):
+        total = [t.astype(float) for t in totals]
+        self.words = len(total[0])
+        # which word, bigram and trigram ends at each token, and one place of each
+        ends, place = b.ends, b.somewhere
+        self.word, two, three = ends[0], place[1], place[2]
+        last, second = self.word[two], ends[1][three]  # of each bigram its last word; of each trigram its last two words
+        # the state that a word or bigram leads to is its longest suffix that is known
+        self.of_word = np.where(total[0] > 0, 1 + np.arange(self.words), 0)
+        self.of_bigram = np.where(total[1] > 0, 1 + self.words + np.arange(len(last)), self.of_word[last])
+        seen = np.concatenate([[0.0], total[0], total[1]])
+        mass = prior[0] * seen ** prior[1]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            self.fall = np.log10(mass / (seen + mass))  # never read for the empty context or an unknown one
+        self.link = np.concatenate([np.zeros(1 + self.words, np.int64), self.of_word[last]])
+        self.root = np.log10((total[0] + 0.5) / (n_train + 0.5 * (n_words + 1)))
+        # arcs of words, then of bigrams: p(w|h) = (c(hw) + m p(w|h')) / (c(h) + m)
+        known, deep = np.flatnonzero(total[1] > 0), np.flatnonzero(total[2] > 0)
+        source = np.concatenate([1 + self.word[two[known] - 1], 1 + self.words + ends[1][three[deep] - 1]])
+        symbol = np.concatenate([last[known], self.word[three[deep]]])
+        lower = np.zeros(len(last))
+        lower[known] = (total[1][known] + mass[source[:len(known)]] * 10.0 ** self.root[last[known]]) / (seen[source[:len(known)]] + mass[source[:len(known)]])
+        above = source[len(known):]
+        weight = np.concatenate([lower[known], (total[2][deep] + mass[above] * lower[second[deep]]) / (seen[above] + mass[above])])
+        arcs = source * self.words + symbol
+        order = np.argsort(arcs)
+        self.arc = arcs[order]
+        self.weight = np.log10(weight)[order]
+        self.target = np.concatenate([self.of_bigram[known], self.of_bigram[second[deep]]])[order]
+        self.before = np.zeros(len(b.place), np.int64)  # of the two words before a token, for a walk that begins there
+        inner = np.flatnonzero(b.place >= 2)
+        self.before[inner] = self.of_bigram[ends[1][inner - 1]]
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next state, log10 probability) of reading ``word`` in ``state``."""
+        score, after, on = np.zeros(len(state)), self.of_word[word], np.arange(len(state))
+        state = state.copy()
+        while len(on := on[state[on] > 0]):
+            wanted = state[on] * self.words + word[on]
+            place = np.minimum(np.searchsorted(self.arc, wanted), max(len(self.arc) - 1, 0))
+            found = self.arc[place] == wanted if len(self.arc) else np.zeros(len(on), bool)
+            hit, miss = on[found], on[~found]
+            score[hit] += self.weight[place[found]]
+            after[hit] = self.target[place[found]]
+            score[miss] += self.fall[state[miss]]
+            state[miss] = self.link[state[miss]]
+            state[hit] = -1  # arrived
+            on = miss
+        at_root = state == 0
+        score[at_root] += self.root[word[at_root]]
+        return after, score
+
+    def walk(self, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The score of every token of the texts, read from left to right."""
+        out = np.zeros(len(self.word))
+        parts = -(-sizes // STRETCH)
+        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        begin = np.repeat(starts, parts) + nth * STRETCH
+        length = np.minimum(np.repeat(sizes, parts) - nth * STRETCH, STRETCH)
+        order = np.argsort(-length, kind="stable")
+        begin, length = begin[order], length[order]
+        state = np.where(nth[order] > 0, self.before[begin], 0) if len(begin) else begin
+        for t in range(int(length.max(initial=0))):
+            reading = int(np.searchsorted(-length, -t))  # those longer than t
+            at = begin[:reading] + t
+            state, out[at] = self.step(state[:reading], self.word[at])
+        return out
+
+
 def _traverse(n_train: int, n_words: int, prior: tuple[float, float], buckets: int, bits: int):
     """Scores of the texts of one block, from its own counts and the totals that were sent back."""
 
@@ -196,46 +284,20 @@ def _traverse(n_train: int, n_words: int, prior: tuple[float, float], buckets: i
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
         for row in rows.to_pylist():
-            b = _Block(row, bits)
+            b = _Block(row, bits, walked=True)
             totals = [c.copy() for c in b.counts]
-            edges = [bucket_edges(d, order, buckets, bits) for order, d in enumerate(b.distinct)]
+            places = [bucket_of(d, order, buckets, bits) for order, d in enumerate(b.distinct)]
             for order, bucket, more, t in zip(*(answers[c].to_pylist() for c in ("n", "bucket", "bits", "totals"))):
-                begin, end = edges[order][bucket:bucket + 2]
+                begin, end = np.searchsorted(places[order], [bucket, bucket + 1])
                 totals[order][begin:end][np.unpackbits(np.frombuffer(more, np.uint8), count=end - begin).astype(bool)] = _unpack(t)
-            n = len(b.place)
-            count = [np.zeros(n) for _ in range(ORDER)]  # of the n-gram that ends at each token
-            for order, c in enumerate(count):
-                c[b.at[order]] = totals[order][np.searchsorted(b.distinct[order], b.keys[order])]
-            base = np.log10((count[0] + 0.5) / (n_train + 0.5 * (n_words + 1)))
-            # arc weights of the three orders; a context is the n-gram that ends one token before
-            arcs, fails = [base], [np.zeros(n)]
-            for order in (1, 2):
-                context = np.zeros(n)
-                context[1:] = count[order - 1][:-1]
-                context[b.place < order] = 0
-                known = context > 0
-                arc, fail = arcs[-1].copy(), np.zeros(n)
-                mass = prior[0] * context[known] ** prior[1]
-                arc[known] = np.log10((count[order][known] + mass * 10.0 ** arcs[-1][known]) / (context[known] + mass))
-                fail[known] = np.log10(mass / (context[known] + mass))
-                arcs.append(arc)
-                fails.append(fail)
-            state = np.where(fails[2] < 0, 2, np.where(fails[1] < 0, 1, 0))
-            score = np.zeros(n)
-            for order in (2, 1, 0):
-                here = state == order
-                arc = here & ((count[order] > 0) if order else True)
-                score[arc] += arcs[order][arc]
-                down = here & ~arc
-                score[down] += fails[order][down]
-                state[down] = np.where(fails[1][down] < 0, 1, 0) if order == 2 else 0
-                state[arc] = -1
+            machine = Automaton(b, totals, n_train, n_words, prior)
+            score = machine.walk(b.starts, b.sizes)
             out.append(pa.table({
                 "id": pa.array(row["ids"], pa.int64()), "held_out": pa.array([bool(x) for x in row["held"]], pa.bool_()),
                 "n_tokens": pa.array(b.sizes, pa.int64()),
-                "n_known": pa.array(np.add.reduceat((count[0] > 0).astype(np.int64), b.starts), pa.int64()),
+                "n_known": pa.array(np.add.reduceat((totals[0][machine.word] > 0).astype(np.int64), b.starts), pa.int64()),
                 "train_tokens": pa.array(np.full(len(b.sizes), n_train), pa.int64()),
-                "base_score": pa.array(sums(b, base)), "score": pa.array(sums(b, score))}))
+                "base_score": pa.array(sums(b, machine.root[machine.word])), "score": pa.array(sums(b, score))}))
         return pa.concat_tables(out) if out else pa.table({f.name: pa.array([], f.type) for f in _RESULT})
     return run
 

@@ -42,18 +42,70 @@ def test_scores(awkward, empty, source):
     assert ngram_scores.score_texts(empty, hash_mod("doc_id", 5) == 1).count() == 0
 
 
-def test_states_sum_to_one(spark):
-    """Over all words and the unknown one, a state's probabilities sum to one."""
-    train = [(1, "a b a b c"), (2, "a b c c a")]
-    words = ["a", "b", "c", "unseen"]
-    probes = [(100 + i, f"a b {w}") for i, w in enumerate(words)] + [(200, "a b")]
-    df = spark.createDataFrame(train + probes, "doc_id long, text string")
-    got = {r["doc_id"]: 10 ** r["score"] for r in rows_of(ngram_scores.score_texts(df, df["doc_id"] >= 100))}
-    # score(a b w end) and score(a b end) share score(a b); the end after an unseen word is the plain estimate
-    end_plain = (2 + 0.5) / (12 + 0.5 * 5)
-    total = got[200] + got[103] / end_plain
-    c = {r["doc_id"]: r for r in rows_of(ngram_scores.score_texts(df, df["doc_id"] >= 100))}
-    assert c[103]["n_known"] == 3 and 0 < got[103] < got[102] < 1 and total < 1
+def one_block(texts: list[str], held: list[bool]):
+    import pyarrow as pa
+
+    from brindle.llm.words import buffer, words
+
+    hashes, _, first = words(*buffer(pa.array(texts)))
+    row = ngram_scores._row(0, list(range(len(texts))), held, hashes, np.diff(first)).to_pylist()[0]
+    return ngram_scores._Block(row, 48, walked=True)
+
+
+def test_states_sum_to_one():
+    """Over all learned words and the unknown one, the probabilities of every state's arcs and falls sum to one."""
+    texts = ["a b a b c", "a b c c a", "b a c", "unseen"]
+    b = one_block(texts, [False, False, False, True])
+    n_train, n_words = 3 + sum(len(t.split()) for t in texts[:3]), 4
+    machine = ngram_scores.Automaton(b, b.counts, n_train, n_words, (4.0, 0.9))
+    # the words a, b, c and end, and one for all that was never learned, which has its base probability
+    symbols = np.arange(machine.words)
+    assert machine.words == 5 and (machine.of_word > 0).sum() == 4
+    # a text stops at its end, so nothing follows what an end leads to
+    inner = np.flatnonzero(np.append(b.place[1:], 0) > 0)
+    states = {0} | {int(machine.of_word[machine.word[i]]) for i in inner} | {int(machine.of_bigram[b.ends[1][i]]) for i in inner if b.place[i] > 0}
+    assert len(states) > 8
+    for state in states:
+        _, score = machine.step(np.full(len(symbols), state), symbols)
+        assert (10.0 ** score).sum() == pytest.approx(1)
+
+
+def test_the_walk_carries_the_longest_known_context(monkeypatch):
+    """Against the formula over counts of n-grams, with long texts walked in stretches."""
+    monkeypatch.setattr(ngram_scores, "STRETCH", 7)
+    rng = __import__("random").Random(2)
+    texts = [" ".join(rng.choice("abcdefg") for _ in range(n)) for n in (0, 1, 2, 5, 40, 7, 14, 15, 90)]
+    held = [i % 3 == 1 for i in range(len(texts))]
+    b = one_block(texts, held)
+    tokens = [t.split() + ["</s>"] for t in texts]
+    counts = [Counter(tuple(t[i - n:i + 1]) for t, h in zip(tokens, held) if not h for i in range(n, len(t))) for n in range(3)]
+    n_train, n_words = sum(len(t) for t, h in zip(tokens, held) if not h), len(counts[0])
+
+    def p(gram):
+        if len(gram) == 1:
+            return (counts[0][gram] + 0.5) / (n_train + 0.5 * (n_words + 1))
+        c = counts[len(gram) - 2][gram[:-1]]
+        mass = 4.0 * c ** 0.9
+        return (counts[len(gram) - 1][gram] + mass * p(gram[1:])) / (c + mass) if c else p(gram[1:])
+
+    machine = ngram_scores.Automaton(b, b.counts, n_train, n_words, (4.0, 0.9))
+    want = [np.log10(p(tuple(t[max(0, i - 2):i + 1]))) for t in tokens for i in range(len(t))]
+    assert machine.walk(b.starts, b.sizes) == pytest.approx(want)
+
+
+def test_rows_sent_to_buckets_follow_the_keys(monkeypatch):
+    """Four times as many buckets send no more rows than there are keys, however many buckets stay empty."""
+    import pyarrow as pa
+
+    b = one_block(["a b c d e f g h", "a b c"], [False, True])
+    batch = pa.RecordBatch.from_pylist([b.row], schema=pa.schema([
+        ("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("train_tokens", pa.int64()), ("n", pa.int64()),
+        *[(c, pa.binary()) for c in ("sizes", "vocab", "ranks", "tokens")]]))
+    keys = sum(len(d) for d in b.distinct)
+    for buckets in (4, 16, 40):
+        sent = [r for out in ngram_scores._send(buckets, 48)(iter([batch])) for r in out.to_pylist()]
+        assert len(sent) <= keys and sum(len(ngram_scores._unpack_keys(r["keys"])) for r in sent) == keys
+        assert len({(r["bucket"], r["n"]) for r in sent}) == len(sent)
 
 
 def test_fingerprints(awkward, empty, source):
