@@ -11,6 +11,9 @@ over all training texts; nothing is pruned.
 No model is held whole anywhere. Texts are cut into blocks of about two million words. A block sends the
 distinct n-grams it holds, with its own training counts, to buckets by their hash; a bucket adds them
 up and answers each block with a bit per n-gram, and a total where it differs from the block's own count.
+Blocks and buckets both grow with the corpus, so where a block would send each bucket few n-grams, the root of the blocks
+are merged on the way: a block sends to groups of buckets, a chunk of blocks adds up what it has for a group and asks the
+buckets as one, and hands the answers back. Rows then grow with the corpus to the power of 1.5, and stay long.
 A block thus has
 the part of the automaton that its texts can reach, as arrays of states, arcs and failure links, and walks it from
 left to right: the state, the longest known context, is carried from word to word, and a state without an arc for the next word adds its
@@ -38,6 +41,7 @@ from brindle.llm.words import buffer, chained, words
 
 BLOCK_TOKENS = 2_000_000
 BUCKET_KEYS = 3_000_000
+LEAST_KEYS = 100  # n-grams of a row on average, below which the exchange takes two hops
 ORDER = 3
 STRETCH = 512
 _U = np.uint64
@@ -199,6 +203,68 @@ def _total(group: pa.Table) -> pa.Table:
                      "totals": pa.array([b"", *out_totals], pa.binary())})
 
 
+def _added(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The distinct keys of rows of one order, their summed counts, and the place of each row's keys among them."""
+    keys = [_unpack_keys(r["keys"]) for r in rows]
+    every, place = np.unique(np.concatenate(keys), return_inverse=True)
+    counts = np.bincount(place, weights=np.concatenate([_unpack(r["counts"]) for r in rows]).astype(np.float64), minlength=len(every)).astype(np.uint64)
+    return every, counts, np.split(place, np.cumsum([len(k) for k in keys])[:-1])
+
+
+def _ask(buckets: int, bits: int):
+    """What a chunk of blocks has for a group of buckets, as from one block."""
+    def run(rows: pa.Table) -> pa.Table:
+        out, chunk = [], rows["chunk"][0].as_py()
+        for n in range(ORDER):
+            if some := [r for r in rows.to_pylist() if r["n"] == n]:
+                every, counts, _ = _added(some)
+                full, begin = np.unique(bucket_of(every, n, buckets, bits), return_index=True)
+                out += [(int(k), chunk, n, _pack_keys(every[x:y]), _pack(counts[x:y])) for k, x, y in zip(full, begin, [*begin[1:], len(every)])]
+        return pa.table({c: pa.array(v, t) for (c, t), v in zip(_SENT, zip(*out))})
+    return run
+
+
+def _hand_back(buckets: int, bits: int):
+    """The totals of a group of buckets, for each block of a chunk on its own keys."""
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        out, given = [], answers.to_pylist()
+        for n in range(ORDER):
+            if some := [r for r in rows.to_pylist() if r["n"] == n]:
+                every, totals, places = _added(some)
+                bucket = bucket_of(every, n, buckets, bits)
+                for a in given:
+                    if a["n"] == n:
+                        begin, end = np.searchsorted(bucket, [a["bucket"], a["bucket"] + 1])
+                        totals[begin:end][np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=end - begin).astype(bool)] = _unpack(a["totals"])
+                for r, place in zip(some, places):
+                    t = totals[place]
+                    more = t > _unpack(r["counts"])
+                    if more.any():
+                        out.append((r["block"], 0, r["bucket"], n, np.packbits(more).tobytes(), _pack(t[more])))
+        return pa.table({c: pa.array(v, t) for (c, t), v in zip(_ANSWER, zip(*out) if out else [[]] * len(_ANSWER))})
+    return run
+
+
+_SENT = [("bucket", pa.int64()), ("block", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]
+_ANSWER = [("block", pa.int64()), ("seen", pa.int64()), ("bucket", pa.int64()), ("n", pa.int32()), ("bits", pa.binary()), ("totals", pa.binary())]
+_SENT_SQL, _ANSWER_SQL = "bucket long, block long, n int, keys binary, counts binary", "block long, seen long, bucket long, n int, bits binary, totals binary"
+
+
+def _exchange(blocks: DataFrame, buckets: int, bits: int, many: int, tokens: int) -> tuple[DataFrame, DataFrame, int]:
+    """(answers to blocks, words seen per bucket, the number of ranges that answers refer to)."""
+    if 2 * tokens >= LEAST_KEYS * ORDER * many * 2 ** buckets:
+        sent = blocks.mapInArrow(_send(buckets, bits), _SENT_SQL)
+        answers = stage(sent.groupBy("bucket").applyInArrow(_total, _ANSWER_SQL), "scores-totals")
+        return answers.where("block >= 0"), answers.where("block = -1"), buckets
+    groups, chunks = (buckets + 1) // 2, math.ceil(math.sqrt(many))
+    sent = stage(blocks.mapInArrow(_send(groups, bits), _SENT_SQL).withColumn("chunk", F.pmod(F.xxhash64("block"), F.lit(chunks))), "scores-sent")
+    asked = sent.groupBy("bucket", "chunk").applyInArrow(_ask(buckets, bits), _SENT_SQL)
+    totals = stage(asked.groupBy("bucket").applyInArrow(_total, _ANSWER_SQL), "scores-totals")
+    back = totals.where("block >= 0").withColumn("group", F.shiftright("bucket", buckets - groups)).withColumnRenamed("block", "chunk")
+    answers = (sent.groupBy("bucket", "chunk").cogroup(back.groupBy("group", "chunk")).applyInArrow(_hand_back(buckets, bits), _ANSWER_SQL))
+    return answers, totals.where("block = -1"), groups
+
+
 class Automaton:
     """States, arcs and failure links that the texts of one block can reach.
 
@@ -312,15 +378,14 @@ def score_texts(docs: DataFrame, held_out: Column, *, key: str = "doc_id", text:
     workers_import(docs.sparkSession)
     blocks = stage_bucketed(docs.select(F.col(key).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text).alias("body"))
                             .mapInArrow(_blocks, _BLOCK), "scores-blocks", "block")
-    n_train, tokens = blocks.agg(F.sum("train_tokens"), F.sum("n")).first()
+    n_train, tokens, many = blocks.agg(F.sum("train_tokens"), F.sum("n"), F.count("*")).first()
     tokens = max(tokens or 0, 1)
     bits = min(63, max(48, math.ceil(math.log2(tokens)) + 20))
     # nearly two distinct n-grams per token and block, so that buckets hold about BUCKET_KEYS each
     buckets = max(4, math.ceil(math.log2(2 * tokens / BUCKET_KEYS)))
-    sent = blocks.mapInArrow(_send(buckets, bits), "bucket long, block long, n int, keys binary, counts binary")
-    answers = stage(sent.groupBy("bucket").applyInArrow(_total, "block long, seen long, bucket long, n int, bits binary, totals binary"), "scores-totals")
-    n_words = answers.where("block = -1").agg(F.sum("seen")).first()[0] or 0
-    scored = (blocks.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block"))
-              .applyInArrow(_traverse(n_train or 0, n_words, prior, buckets, bits),
+    answers, words_seen, ranges = _exchange(blocks, buckets, bits, many or 0, tokens)
+    n_words = words_seen.agg(F.sum("seen")).first()[0] or 0
+    scored = (blocks.groupBy("block").cogroup(answers.groupBy("block"))
+              .applyInArrow(_traverse(n_train or 0, n_words, prior, ranges, bits),
                             "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
     return scored.withColumnRenamed("id", key)

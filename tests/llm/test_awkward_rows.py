@@ -93,6 +93,17 @@ def test_the_walk_carries_the_longest_known_context(monkeypatch):
     assert machine.walk(b.starts, b.sizes) == pytest.approx(want)
 
 
+def test_two_hops_give_the_same_scores(spark, awkward, empty, monkeypatch):
+    monkeypatch.setattr(ngram_scores, "BLOCK_TOKENS", 400)
+    monkeypatch.setattr(ngram_scores, "LEAST_KEYS", 0)
+    key = lambda r: (str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6))
+    one = Counter(map(key, rows_of(ngram_scores.score_texts(awkward, hash_mod("doc_id", 5) == 1))))
+    monkeypatch.setattr(ngram_scores, "LEAST_KEYS", 10**9)
+    two = Counter(map(key, rows_of(ngram_scores.score_texts(awkward, hash_mod("doc_id", 5) == 1))))
+    assert one == two and sum(one.values()) == awkward.count()
+    assert ngram_scores.score_texts(empty, hash_mod("doc_id", 5) == 1).count() == 0
+
+
 def test_rows_sent_to_buckets_follow_the_keys(monkeypatch):
     """Four times as many buckets send no more rows than there are keys, however many buckets stay empty."""
     import pyarrow as pa
