@@ -12,6 +12,7 @@ ROW_GROUP_BYTES = 4 * 1024 * 1024
 
 _LOCAL_SCRATCH: dict[str, str] = {}
 _WRITTEN: dict[str, list[str]] = {}  # paths handed out, by application
+_NAMED: dict[str, list[str]] = {}  # tables entered in the session's catalog, by application
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -33,12 +34,19 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def note_table(spark: SparkSession, name: str) -> None:
+    """Remember a catalog entry of an intermediate table, so that ``release`` takes it back."""
+    _NAMED.setdefault(spark.conf.get("spark.app.id", "local"), []).append(name)
+
+
 def release(spark: SparkSession) -> int:
-    """Remove the intermediate tables of this application; call it once its results have been taken.
+    """Remove the intermediate tables of this application and their catalog entries; call it once its results have been taken.
 
     The caller owns these tables: results are read lazily, so nothing here can tell when they are done.
     """
     paths = _WRITTEN.pop(spark.conf.get("spark.app.id", "local"), [])
+    for name in _NAMED.pop(spark.conf.get("spark.app.id", "local"), []):
+        spark.sql(f"DROP TABLE IF EXISTS `{name}`")
     jvm = spark.sparkContext._jvm
     for name in paths:
         path = jvm.org.apache.hadoop.fs.Path(name)
