@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from brindle.storage import scratch_path
+from brindle.storage import note_table, scratch_path
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -47,9 +47,10 @@ def join_spread(rows: DataFrame, table: DataFrame, keys: list[str], by: str, sal
 
 
 def stage_bucketed(df: DataFrame, label: str, column: str) -> DataFrame:
-    """Like ``stage``, as an external table bucketed by ``column``: grouping by it later moves no rows."""
+    """Like ``stage``, as an external table bucketed by ``column``: grouping by it later moves no rows. ``release`` drops its name."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
     name = path.rsplit("/", 1)[-1].replace("-", "_")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.bucketBy(buckets, column).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+    note_table(spark, name)
     return spark.table(name)

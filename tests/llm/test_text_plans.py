@@ -27,3 +27,19 @@ def test_index_reads_each_text_once(spark, small):
 def test_mixing_stays_in_the_jvm(spark, small):
     text = plan(mixing.take_plan(spark.read.parquet(f"{small}/documents.parquet")))
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", text)
+
+
+def test_release_leaves_no_catalog_entry(spark):
+    from brindle.llm.tables import stage_bucketed
+
+    kept = stage_bucketed(spark.range(10), "catalog", "id")
+    assert kept.count() == 10 and any(t.name.startswith("catalog_") for t in spark.catalog.listTables())
+    # only this table's entry and files: other tests still read theirs
+    from brindle import storage
+
+    app = spark.conf.get("spark.app.id")
+    paths, names = storage._WRITTEN[app], storage._NAMED[app]
+    storage._WRITTEN[app], storage._NAMED[app] = paths[-1:], names[-1:]
+    assert storage.release(spark) == 1
+    storage._WRITTEN[app], storage._NAMED[app] = paths[:-1], names[:-1]
+    assert not any(t.name.startswith("catalog_") for t in spark.catalog.listTables())
