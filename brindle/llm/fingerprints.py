@@ -10,8 +10,8 @@ branches are not entered, and only leaves of paragraphs that the other tree lack
 
 Defined results: a null text is empty, and the likeness of two empty texts is 1, of an empty and another
 text 0; repeated rows and ids are fingerprinted each, and follow one another in the order by text; a null
-id comes last in descending order; the only row is its own next; empty input gives no rows; other
-columns are not read.
+id comes last in descending order; the only row is its own next; a very long text is one tree, whose words are hashed in
+pieces; empty input gives no rows; other columns are not read.
 """
 
 from __future__ import annotations

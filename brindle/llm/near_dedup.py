@@ -13,7 +13,10 @@ memory. The components of the spanning edges are the result. Two texts with a Ja
 miss each other in all tables with a probability below 0.4 %, less above, and a family also finds them
 through others.
 
-Defined results: a text without words (or null) has an empty set and is linked with nothing; a text with
+Shingles are compared by 64-bit hashes, and texts are one class if their sets have equal sizes and two equal 64-bit sums of
+mixed hashes; their sets are not compared again. Work inside a family grows with the square of its blocks.
+
+Defined results: a very long text's set is built whole, from pieces; a text without words (or null) has an empty set and is linked with nothing; a text with
 fewer words than ``size`` has its whole sequence as its set; rows that repeat an id are one node, and all
 are kept that carry the component's id; a null id is an id of its own, ordered first; empty input gives
 no rows; other columns are not read.

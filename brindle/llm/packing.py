@@ -7,7 +7,8 @@ with one key still spreads over partitions. Each partition is one stream of toke
 ``length`` ids, and what remains at its end is cut into sequences whose sizes are powers of two,
 which need no padding. No sequence is padded at all, and partitions need not know of each other.
 
-Defined results: a null or empty text is its end token alone; repeated rows are packed each; a null
+Defined results: a null or empty text is its end token alone; repeated rows are packed each, and of rows with one
+key and id either may come first; a very long text is cut wherever a sequence ends; a null
 id sorts first; empty input gives no rows; other columns are not read. A partition's rows stream
 through memory: beyond one batch only an unfinished sequence is kept.
 """

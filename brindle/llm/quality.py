@@ -9,7 +9,8 @@ into probabilities by a logistic curve.
 
 Defined results: a null or empty text has no features and scores by the constant alone; labels that are
 null, not 0 or 1, or without a document are not learned from; an id with several label rows counts once
-for each; without both labels every score is 0.5; repeated rows are scored each; empty input gives no
+for each; without both labels every score is 0.5; repeated rows are scored each; a very long text is one set of indicators, gathered in
+pieces of PIECE bytes; rows that share an id are drawn for the fit together, so their order does not matter; empty input gives no
 rows; other columns are not read.
 """
 

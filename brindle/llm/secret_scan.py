@@ -8,7 +8,8 @@ mandatory trigrams has no query and scans every text.
 
 Defined results: a null text is empty and has no spans; rows that repeat an id are each verified, on
 the union of their candidates; a null id is an id of its own; empty input gives no rows; other columns
-are not read. Positions count code points, ends are exclusive.
+are not read; a very long text is matched whole, and its n spans are placed in n log n steps; spans of different kinds that
+begin alike are listed in the order of the rules. Positions count code points, ends are exclusive.
 """
 
 from __future__ import annotations

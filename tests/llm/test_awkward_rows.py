@@ -497,3 +497,23 @@ def test_language_stage_drops_what_scores_below_all_known_rows_and_fills_gaps(sp
     strict = language_id.of_known_language(gaps.unionByName(junk), hash_mod("doc_id", 3) == 1, share=1.05)
     scores = {r["doc_id"]: r["score"] for r in rows_of(language_id.identify(gaps.unionByName(junk), hash_mod("doc_id", 3) == 1))}
     assert {r["doc_id"] for r in rows_of(strict)} == {i for i, s in scores.items() if s >= 1.05 * least and i != 10_002}
+
+
+def test_very_long_texts(spark):
+    """One text of 300,000 words beside a copy with one word changed and a short one."""
+    words = [f"w{i * 7919 % 100_003}" for i in range(300_000)]
+    edited = words[:150_000] + ["changed"] + words[150_001:]
+    df = spark.createDataFrame([(1, " ".join(words), "en"), (2, " ".join(edited), "en"), (3, "short text", "en"), (4, " ".join(words), "en")], "doc_id long, text string, lang string")
+    near = {r["doc_id"]: r for r in rows_of(near_dedup.near_duplicates(df))}
+    assert [near[i]["component_id"] for i in (1, 2, 3, 4)] == [1, 1, 3, 1] and near[1]["n_shingles"] > 100_000
+    exact = {r["doc_id"]: r["keep_id"] for r in rows_of(exact_dedup.exact_dedup(df.where("doc_id <= 2"), df.where("doc_id > 2")))}
+    assert exact == {1: 1, 2: 2, 3: 3, 4: 1}
+    marks = {r["doc_id"]: r for r in rows_of(fingerprints.fingerprint_documents(df))}
+    assert marks[1]["fingerprint"] == marks[4]["fingerprint"] != marks[2]["fingerprint"] and marks[2]["near_next"] > 0.99
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")
+    scored = {r["doc_id"]: r["score"] for r in rows_of(quality.score_quality(df, labels, hash_mod("doc_id", 5) == 9))}
+    assert scored[1] == scored[4] and 0 <= scored[3] <= 1
+    pieces = [p for p in rows_of(packing.pack(df, tokenizer_path())) if p["doc_id"] == 1]
+    assert sum(p["length"] for p in pieces) == pieces[0]["doc_tokens"] > 300_000
+    spans = {r["doc_id"]: r["spans"] for r in rows_of(secret_scan.find_secrets(df.selectExpr("doc_id", "concat(text, ' token=abcdefgh') AS text")))}
+    assert spans[1] == f"assign:{len(' '.join(words)) + 1}:{len(' '.join(words)) + 15}"
