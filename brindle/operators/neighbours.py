@@ -1,8 +1,12 @@
-"""Exact k nearest neighbours by blocks.
+"""Exact k nearest neighbours by blocks, behind an index of cells for large tables.
 
-Training and scored rows are dealt into blocks by a hash of their key. A task compares one block
+``nearest_neighbours`` deals training and scored rows into blocks by a hash of their key. A task compares one block
 with one block and returns at most ``k`` candidates per scored row; the candidates are then merged.
 No task sees more than two blocks and no table of pairs exists.
+
+``indexed_neighbours`` first puts every row into the cell of its nearest pivot, a training row; a cell's radius is its farthest
+training row. A scored row is compared with its own cell, which bounds its k-th distance, and then only with cells whose pivot is
+not farther away than that bound and the radius together: by the triangle inequality no other cell can hold a neighbour.
 """
 
 from __future__ import annotations
@@ -15,6 +19,10 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from brindle.storage import write_out
+
+MOST_PIVOTS = 1000
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
@@ -59,6 +67,16 @@ def nearest_neighbours(train: DataFrame, test: DataFrame, key: str, label: str,
     right = _dealt(train.select(*by, key, F.col(features).alias("x"), F.col(label).alias("label"),
                                 weight_col.alias("weight")),
                    key, train_blocks, test_blocks, "rb", "tb")
+    return _merged(_candidates(left, right, [*by, "tb", "rb"], by, key, k, sizes), [*by, "size", key], k)
+
+
+def _merged(candidates: DataFrame, keys: list[str], k: int) -> DataFrame:
+    place = F.row_number().over(W.partitionBy(*keys).orderBy("distance", "near"))
+    return candidates.withColumn("place", place).filter(F.col("place") <= k)
+
+
+def _candidates(left: DataFrame, right: DataFrame, groups: list[str], by: list[str], key: str, k: int, sizes: list[int] | None) -> DataFrame:
+    """At most ``k`` candidates of every scored row from each pair of blocks, a pair being rows of equal ``groups``."""
     wanted = sorted(sizes) if sizes else None
 
     def compare(scored: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
@@ -82,13 +100,86 @@ def nearest_neighbours(train: DataFrame, test: DataFrame, key: str, label: str,
             parts.append(pd.DataFrame(part))
         return pd.concat(parts)[columns]
 
-    types = {**dict(test.dtypes), "label": dict(train.dtypes)[label]}
+    types = {**dict(left.dtypes), "label": dict(right.dtypes)["label"]}
     schema = ", ".join([*[f"`{c}` {types[c]}" for c in by], "size int", f"`{key}` {types[key]}",
                         f"near {types[key]}", f"label {types['label']}", "weight double", "distance double"])
-    groups = [*by, "tb", "rb"]
-    candidates = left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInPandas(compare, schema)
-    place = F.row_number().over(W.partitionBy(*by, "size", key).orderBy("distance", "near"))
-    return candidates.withColumn("place", place).filter(F.col("place") <= k)
+    return left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInPandas(compare, schema)
+
+
+def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((x ** 2).sum(1)[:, None] + (pivots ** 2).sum(1)[None, :] - 2 * x @ pivots.T, 0.0))
+
+
+def _in_cells(df: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Add ``cell``, the nearest pivot, and ``away``, its distance, to rows with an array ``x``."""
+    def place(batches):
+        for frame in batches:
+            gaps = _distances(np.vstack(frame["x"].to_numpy()), pivots) if len(frame) else np.zeros((0, 1))
+            yield frame.assign(cell=gaps.argmin(axis=1), away=gaps.min(axis=1)) if len(frame) else frame.assign(cell=0, away=0.0)
+
+    return df.mapInPandas(place, ", ".join([*[f"`{c}` {t}" for c, t in df.dtypes], "cell int", "away double"]))
+
+
+def _within_reach(scored: DataFrame, pivots: np.ndarray, radii: dict[int, float]) -> DataFrame:
+    """(row, cell) for the cells besides a scored row's own that may hold one of its neighbours; ``bound`` is null if none is known."""
+    reach = np.full(len(pivots), -np.inf)  # a cell without training rows is out of reach
+    for cell, radius in radii.items():
+        reach[cell] = radius
+
+    def route(batches):
+        for frame in batches:
+            if not len(frame):
+                yield frame
+                continue
+            gaps = _distances(np.vstack(frame["x"].to_numpy()), pivots)
+            bound = frame["bound"].fillna(np.inf).to_numpy(float)
+            # room for rounding, so that a neighbour at the very edge is not lost
+            near = (gaps - reach[None, :] <= bound[:, None] + 1e-6 * (1 + gaps)) & np.isfinite(reach)[None, :]
+            near[np.arange(len(frame)), frame["cell"].to_numpy()] = False
+            row, cell = np.nonzero(near)
+            yield frame.iloc[row].assign(cell=cell)
+
+    return scored.mapInPandas(route, ", ".join(f"`{c}` {t}" for c, t in scored.dtypes))
+
+
+def _dealt_by_cell(df: DataFrame, sizes: DataFrame, key: str, mine: str, theirs: str, own: str, other: str) -> DataFrame:
+    """Blocks inside cells, as many as each cell needs; ``sizes`` has a row per cell."""
+    return (df.join(F.broadcast(sizes), "cell").withColumn(mine, F.pmod(F.xxhash64(key), F.col(own)).cast("int"))
+            .withColumn(theirs, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop(own, other))
+
+
+def _by_cell(scored: DataFrame, known: DataFrame, key: str, k: int, block_rows: int) -> DataFrame:
+    """Candidates of scored rows from the training rows of their cell."""
+    blocks = lambda d, name: d.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
+    sizes = write_out(blocks(scored, "tn").join(blocks(known, "rn"), "cell"), "cells")
+    left = _dealt_by_cell(scored.select(key, "x", "cell"), sizes, key, "tb", "rb", "tn", "rn")
+    right = _dealt_by_cell(known.select(key, "x", "label", "weight", "cell"), sizes, key, "rb", "tb", "rn", "tn")
+    return _candidates(left, right, ["cell", "tb", "rb"], [], key, k, None)
+
+
+def routed_rows(train: DataFrame, test: DataFrame, key: str, label: str, k: int, features: str = "features", block_rows: int = 2048,
+                pivots: int = MOST_PIVOTS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(training rows in cells, scored rows in the other cells within reach, candidates from the own cells)."""
+    known = train.select(key, F.col(features).alias("x"), F.col(label).alias("label"), F.lit(1.0).alias("weight"))
+    # at most MOST_PIVOTS rows, the first by hash, reach the driver and the tasks
+    many = min(pivots, max(1, math.ceil(train.count() / block_rows)))
+    rows = known.orderBy(F.xxhash64(F.col(key), F.lit("pivot")), key).limit(many).select("x").collect()
+    centres = np.array([r["x"] for r in rows], float)
+    known = write_out(_in_cells(known, centres), "known")
+    scored = write_out(_in_cells(test.select(key, F.col(features).alias("x")), centres), "scored")
+    radii = {r["cell"]: r["radius"] for r in known.groupBy("cell").agg(F.max("away").alias("radius")).collect()}
+    own = write_out(_merged(_by_cell(scored, known, key, k, block_rows), ["size", key], k), "own-cell")
+    bounds = own.filter(F.col("place") == k).select(key, F.col("distance").alias("bound"))
+    other = write_out(_within_reach(scored.join(bounds, key, "left"), centres, radii), "other-cells")
+    return known, other.select(key, "x", "cell"), own
+
+
+def indexed_neighbours(train: DataFrame, test: DataFrame, key: str, label: str, k: int, features: str = "features", block_rows: int = 2048) -> DataFrame:
+    """What ``nearest_neighbours`` gives, without comparing cells that are too far apart. A table of one block has one cell."""
+    if train.limit(block_rows + 1).count() <= block_rows:
+        return nearest_neighbours(train, test, key, label, k, features, block_rows=block_rows)
+    known, other, own = routed_rows(train, test, key, label, k, features, block_rows)
+    return _merged(own.drop("place").unionByName(_by_cell(other, known, key, k, block_rows)), ["size", key], k)
 
 
 def vote(neighbours: DataFrame, keys: list[str], k: int | Column) -> DataFrame:
@@ -109,5 +200,5 @@ def vote(neighbours: DataFrame, keys: list[str], k: int | Column) -> DataFrame:
 def classify_knn(train: DataFrame, test: DataFrame, key: str, label: str, k: int,
                  features: str = "features", block_rows: int = 2048) -> DataFrame:
     """(key, predicted) for every test row."""
-    near = nearest_neighbours(train, test, key, label, k, features, block_rows=block_rows)
+    near = indexed_neighbours(train, test, key, label, k, features, block_rows)
     return vote(near, [key], k)

@@ -158,6 +158,24 @@ def test_neighbours_match_brute_force_over_many_blocks(spark, points):
         assert [got[(int(row[0]), p)] for p in (1, 2, 3, 4)] == [int(x[i, 0]) for i in order]
 
 
+def test_indexed_neighbours_are_exact_and_compare_a_share_of_the_pairs(spark):
+    """Clustered rows, with ties at equal places, rows far off, and cells without scored rows."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(0, 20, (12, 5))
+    x = np.concatenate([centres[rng.integers(0, 12, 700)] + rng.normal(0, 0.5, (700, 5)), rng.normal(0, 60, (20, 5)), np.zeros((30, 5))])
+    rows = [(i, [float(t) for t in v], int(i % 3)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, features array<double>, c long")
+    train, test = df.filter("id % 4 <> 0"), df.filter("id % 4 = 0")
+    plain = neighbours.nearest_neighbours(train, test, "id", "c", 5, block_rows=2000)
+    indexed = neighbours.indexed_neighbours(train, test, "id", "c", 5, block_rows=25)
+    as_rows = lambda d: sorted((r["id"], r["place"], r["near"], r["label"], round(r["distance"], 9)) for r in d.collect())
+    assert as_rows(indexed) == as_rows(plain)
+    known, other, own = neighbours.routed_rows(train, test, "id", "c", 5, block_rows=25)
+    per_cell = {r["cell"]: r["count"] for r in known.groupBy("cell").count().collect()}
+    compared = sum(per_cell.get(r["cell"], 0) for r in other.collect())
+    assert len(per_cell) > 5 and compared < 0.45 * train.count() * test.count()  # the 20 far rows have wide cells
+
+
 def test_weighted_votes(spark):
     near = spark.createDataFrame([(1, 1, "b", 2.0), (1, 2, "a", 3.0), (2, 1, "b", 1.0), (2, 2, "a", 1.0)],
                                  "id int, place int, label string, weight double")
