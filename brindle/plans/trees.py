@@ -31,7 +31,7 @@ BINS = 32
 BLOCK_ROWS = 100_000
 CELLS = 100_000  # of one array of sums in a task, to stay in its cache
 ENTRIES = 200_000  # (tree, row) pairs that grow together
-FEW = (4, 8, 16)  # rows of a node for which pairs of rows are cheaper than a histogram
+FEW = (4, 8)  # rows of a node for which pairs of rows are cheaper than a histogram
 GROUPS = 64  # of units; each meets every block of rows in a task of its own
 OPEN = -2  # feature of a node that is not decided yet
 _U = np.uint64
