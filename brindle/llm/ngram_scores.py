@@ -123,30 +123,34 @@ class _Block:
         h = np.insert(word[_unpack(row["tokens"]).astype(np.int64)], np.cumsum(sizes), _END)
         self.starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]).astype(np.int64)
         self.sizes = sizes + 1
-        self.place = np.arange(len(h)) - np.repeat(self.starts, self.sizes)
+        self.place = (np.arange(len(h)) - np.repeat(self.starts, self.sizes)).astype(np.int32)
         trained = ~np.array([bool(x) for x in row["held"]], bool)
-        flag = np.repeat(trained, self.sizes).astype(np.uint64)
+        flag = np.repeat(trained, self.sizes)
         # order n: one key for each token that ends an n-gram inside its text
         self.distinct, self.counts, self.ends, self.somewhere = [], [], [], []
         for n in range(ORDER):
             at = np.flatnonzero(self.place >= n)
             key = chained(h, n + 1)[at - n] >> _U(64 - key_width(n, bits))
             if walked:
-                order = np.argsort(key)
-                sorted_keys, own = key[order], flag[at[order]]
+                order = np.argsort(key).astype(np.int32)
+                sorted_keys = key[order]
+                own = flag[at[order]]
             else:
                 every = np.sort(key << _U(1) | flag[at])
-                sorted_keys, own = every >> _U(1), every & _U(1)
+                sorted_keys, own = every >> _U(1), (every & _U(1)).astype(bool)
+                del every
+            del key
             fresh = np.ones(len(at), bool)
             fresh[1:] = sorted_keys[1:] != sorted_keys[:-1]
             edge = np.flatnonzero(fresh)
             self.distinct.append(sorted_keys[edge])
-            self.counts.append(np.add.reduceat(own, edge) if len(edge) else edge.astype(np.uint64))
+            del sorted_keys
+            self.counts.append(np.add.reduceat(own, edge, dtype=np.uint32) if len(edge) else edge.astype(np.uint32))
             if walked:
-                ends = np.full(len(h), -1)
-                ends[at[order]] = np.cumsum(fresh) - 1
+                ends = np.full(len(h), -1, np.int32)
+                ends[at[order]] = np.cumsum(fresh, dtype=np.int32) - 1
                 self.ends.append(ends)
-                self.somewhere.append(at[order[edge]])
+                self.somewhere.append(at[order[edge]].astype(np.int32))
 
 
 def key_width(n: int, bits: int) -> int:
@@ -273,35 +277,36 @@ class Automaton:
     """
 
     def __init__(self, b: _Block, totals: list[np.ndarray], n_train: int, n_words: int, prior: tuple[float, float]):
-        total = [t.astype(float) for t in totals]
-        self.words = len(total[0])
+        self.words = len(totals[0])
         # which word, bigram and trigram ends at each token, and one place of each
-        ends, place = b.ends, b.somewhere
-        self.word, two, three = ends[0], place[1], place[2]
+        ends, (_, two, three) = b.ends, b.somewhere
+        self.word = ends[0]
         last, second = self.word[two], ends[1][three]  # of each bigram its last word; of each trigram its last two words
         # the state that a word or bigram leads to is its longest suffix that is known
-        self.of_word = np.where(total[0] > 0, 1 + np.arange(self.words), 0)
-        self.of_bigram = np.where(total[1] > 0, 1 + self.words + np.arange(len(last)), self.of_word[last])
-        seen = np.concatenate([[0.0], total[0], total[1]])
+        self.of_word = np.where(totals[0] > 0, 1 + np.arange(self.words, dtype=np.int32), 0).astype(np.int32)
+        self.of_bigram = np.where(totals[1] > 0, 1 + self.words + np.arange(len(last), dtype=np.int32), self.of_word[last]).astype(np.int32)
+        seen = np.concatenate([[0.0], totals[0], totals[1]])
         mass = prior[0] * seen ** prior[1]
         with np.errstate(divide="ignore", invalid="ignore"):
             self.fall = np.log10(mass / (seen + mass))  # never read for the empty context or an unknown one
-        self.link = np.concatenate([np.zeros(1 + self.words, np.int64), self.of_word[last]])
-        self.root = np.log10((total[0] + 0.5) / (n_train + 0.5 * (n_words + 1)))
+        self.link = np.concatenate([np.zeros(1 + self.words, np.int32), self.of_word[last]])
+        self.root = np.log10((totals[0] + 0.5) / (n_train + 0.5 * (n_words + 1)))
         # arcs of words, then of bigrams: p(w|h) = (c(hw) + m p(w|h')) / (c(h) + m)
-        known, deep = np.flatnonzero(total[1] > 0), np.flatnonzero(total[2] > 0)
-        source = np.concatenate([1 + self.word[two[known] - 1], 1 + self.words + ends[1][three[deep] - 1]])
-        symbol = np.concatenate([last[known], self.word[three[deep]]])
+        known, deep = np.flatnonzero(totals[1] > 0).astype(np.int32), np.flatnonzero(totals[2] > 0).astype(np.int32)
+        own, above = 1 + self.word[two[known] - 1], 1 + self.words + ends[1][three[deep] - 1]
         lower = np.zeros(len(last))
-        lower[known] = (total[1][known] + mass[source[:len(known)]] * 10.0 ** self.root[last[known]]) / (seen[source[:len(known)]] + mass[source[:len(known)]])
-        above = source[len(known):]
-        weight = np.concatenate([lower[known], (total[2][deep] + mass[above] * lower[second[deep]]) / (seen[above] + mass[above])])
-        arcs = source * self.words + symbol
-        order = np.argsort(arcs)
+        lower[known] = (totals[1][known] + mass[own] * 10.0 ** self.root[last[known]]) / (seen[own] + mass[own])
+        weight = np.concatenate([lower[known], (totals[2][deep] + mass[above] * lower[second[deep]]) / (seen[above] + mass[above])])
+        del lower, mass, seen
+        arcs = np.concatenate([own.astype(np.int64) * self.words + last[known], above.astype(np.int64) * self.words + self.word[three[deep]]])
+        del own, above
+        order = np.argsort(arcs).astype(np.int32)
         self.arc = arcs[order]
-        self.weight = np.log10(weight)[order]
+        del arcs
+        self.weight = np.log10(weight[order])
+        del weight
         self.target = np.concatenate([self.of_bigram[known], self.of_bigram[second[deep]]])[order]
-        self.before = np.zeros(len(b.place), np.int64)  # of the two words before a token, for a walk that begins there
+        self.before = np.zeros(len(b.place), np.int32)  # of the two words before a token, for a walk that begins there
         inner = np.flatnonzero(b.place >= 2)
         self.before[inner] = self.of_bigram[ends[1][inner - 1]]
 
@@ -310,7 +315,7 @@ class Automaton:
         score, after, on = np.zeros(len(state)), self.of_word[word], np.arange(len(state))
         state = state.copy()
         while len(on := on[state[on] > 0]):
-            wanted = state[on] * self.words + word[on]
+            wanted = state[on].astype(np.int64) * self.words + word[on]
             place = np.minimum(np.searchsorted(self.arc, wanted), max(len(self.arc) - 1, 0))
             found = self.arc[place] == wanted if len(self.arc) else np.zeros(len(on), bool)
             hit, miss = on[found], on[~found]
@@ -351,12 +356,16 @@ def _traverse(n_train: int, n_words: int, prior: tuple[float, float], buckets: i
         out = []
         for row in rows.to_pylist():
             b = _Block(row, bits, walked=True)
-            totals = [c.copy() for c in b.counts]
-            places = [bucket_of(d, order, buckets, bits) for order, d in enumerate(b.distinct)]
+            totals = [c.astype(np.int64) for c in b.counts]
+            b.counts = []
             for order, bucket, more, t in zip(*(answers[c].to_pylist() for c in ("n", "bucket", "bits", "totals"))):
-                begin, end = np.searchsorted(places[order], [bucket, bucket + 1])
+                edge = np.array([bucket, bucket + 1], np.uint64) << _U(key_width(order, bits) - buckets)
+                begin = int(np.searchsorted(b.distinct[order], edge[0]))
+                end = int(np.searchsorted(b.distinct[order], edge[1])) if bucket + 1 < 1 << buckets else len(b.distinct[order])
                 totals[order][begin:end][np.unpackbits(np.frombuffer(more, np.uint8), count=end - begin).astype(bool)] = _unpack(t)
+            b.distinct = []
             machine = Automaton(b, totals, n_train, n_words, prior)
+            b.ends, b.somewhere = [], []
             score = machine.walk(b.starts, b.sizes)
             out.append(pa.table({
                 "id": pa.array(row["ids"], pa.int64()), "held_out": pa.array([bool(x) for x in row["held"]], pa.bool_()),
