@@ -32,7 +32,8 @@ BLOCK_ROWS = 100_000
 CELLS = 100_000  # of one array of sums in a task, to stay in its cache
 ENTRIES = 200_000  # (tree, row) pairs that grow together
 FEW = (4, 8)  # rows of a node for which pairs of rows are cheaper than a histogram
-GROUPS = 64  # of units; each meets every block of rows in a task of its own
+GROUPS = 256  # of units at most; each meets every block of rows in a task of its own
+MOST_PARTS = 4096  # tasks of a pass over all pairs of blocks and groups
 OPEN = -2  # feature of a node that is not decided yet
 _U = np.uint64
 
@@ -356,11 +357,15 @@ def _units(table: pa.Table) -> list[Unit]:
     return [Unit(**{k: int(v) for k, v in r.items() if k in Unit.__dataclass_fields__}) for r in table.to_pylist()]
 
 
-def _meet(rows: DataFrame, others: DataFrame, blocks: int, fn, schema: str) -> DataFrame:
-    """Every block of ``rows`` with every group of ``others``, each pair in a task of its own."""
-    groups, keys = F.sequence(F.lit(0), F.lit(GROUPS - 1)), ["block", "group"]
-    left = rows.withColumn("group", F.explode(groups)).repartition(GROUPS, *keys)
-    right = others.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(GROUPS, *keys)
+def _groups(units: list[Unit]) -> int:
+    return max(1, min(GROUPS, len(units)))
+
+
+def _meet(rows: DataFrame, others: DataFrame, blocks: int, groups: int, fn, schema: str) -> DataFrame:
+    """Every block of ``rows`` with every group of ``others``, one pair after the other in at most MOST_PARTS tasks."""
+    keys, parts = ["block", "group"], min(groups * blocks, MOST_PARTS)
+    left = rows.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).repartition(parts, *keys)
+    right = others.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(parts, *keys)
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(fn, schema)
 
 
@@ -380,7 +385,7 @@ def _joined(schema: str, parts: list[list]) -> pa.Table:
 
 def unit_table(data: Binned, units: list[Unit]) -> DataFrame:
     """One row per unit, dealt to the groups."""
-    rows = [(u.model, u.resample, u.size, u.mtry, u.first, u.trees, i % GROUPS) for i, u in enumerate(units)]
+    rows = [(u.model, u.resample, u.size, u.mtry, u.first, u.trees, i % _groups(units)) for i, u in enumerate(units)]
     return data.rows.sparkSession.createDataFrame(rows, f"{UNIT}, group int")
 
 
@@ -392,8 +397,8 @@ def grown(data: Binned, units: list[Unit], shape: Shape) -> DataFrame:
             block = _Block(rows, seed)
             return _joined(NODE, [_node_columns(u.model, numbers, t) for u in _units(given) for numbers, _, t in block.grown(u, classes, shape)])
 
-        return write_out(_meet(data.rows, table, 1, run, NODE), "trees")
-    return _grown_by_levels(data, table, shape)
+        return write_out(_meet(data.rows, table, 1, _groups(units), run, NODE), "trees")
+    return _grown_by_levels(data, table, _groups(units), shape)
 
 
 PLACED = f"{NODE}, resample int, size int, mtry int, first int, trees int, group int"
@@ -423,7 +428,7 @@ def _at_open_nodes(block: _Block, unit: Unit, numbers: np.ndarray, trees: Trees)
     return end[on], row[on], weights[tree[on], row[on]]
 
 
-def _grown_by_levels(data: Binned, table: DataFrame, shape: Shape) -> DataFrame:
+def _grown_by_levels(data: Binned, table: DataFrame, groups: int, shape: Shape) -> DataFrame:
     classes, seed, blocks = len(data.levels), data.seed, data.blocks
     params = table.select("model", "resample", "size", "mtry", "first", "trees", "group")
 
@@ -484,7 +489,7 @@ def _grown_by_levels(data: Binned, table: DataFrame, shape: Shape) -> DataFrame:
         others = large if closed is None else large.unionByName(closed)
         for s in small:
             others = others.unionByName(s.withColumn("feature", F.lit(-1)))  # rows that end there wait for the last step
-        sums = _meet(data.rows, placed(others), blocks, partial, hists).withColumn("block", F.col("block") % 32)
+        sums = _meet(data.rows, placed(others), blocks, groups, partial, hists).withColumn("block", F.col("block") % 32)
         keys = ["model", "tree", "heap"]
         fresh = write_out(sums.groupBy(*keys, "block").applyInArrow(sum_up, hists).groupBy(*keys).applyInArrow(decide, decided), "level")
         done = fresh.where(F.col("feature") != OPEN).drop("weight")
@@ -515,7 +520,7 @@ def _grown_by_levels(data: Binned, table: DataFrame, shape: Shape) -> DataFrame:
     waiting = closed
     for s in small:
         waiting = waiting.unionByName(s)
-    rest = _meet(data.rows, placed(waiting), blocks, route, routed).groupBy("model", "tree", "heap").applyInArrow(finish, NODE)
+    rest = _meet(data.rows, placed(waiting), blocks, groups, route, routed).groupBy("model", "tree", "heap").applyInArrow(finish, NODE)
     return write_out(closed.unionByName(rest), "trees")
 
 
@@ -534,7 +539,7 @@ def _scored(data: Binned, units: list[Unit], shape: Shape, score, schema: str) -
             block = _Block(rows, seed)
             return _joined(schema, [score(block, u, block.grown(u, classes, shape)) for u in _units(given)])
 
-        return write_out(_meet(data.rows, unit_table(data, units), 1, grow_and_score, schema), "scored")
+        return write_out(_meet(data.rows, unit_table(data, units), 1, _groups(units), grow_and_score, schema), "scored")
 
     def only_score(rows: pa.Table, nodes: pa.Table) -> pa.Table:
         if not rows.num_rows or not nodes.num_rows:
@@ -542,7 +547,7 @@ def _scored(data: Binned, units: list[Unit], shape: Shape, score, schema: str) -
         block = _Block(rows, seed)
         return _joined(schema, [score(block, u, [(numbers, block.weights(u, numbers), t)]) for u, numbers, t in _trees_of(nodes)])
 
-    return write_out(_meet(data.rows, _placed(data, grown(data, units, shape), units), data.blocks, only_score, schema), "scored")
+    return write_out(_meet(data.rows, _placed(data, grown(data, units, shape), units), data.blocks, _groups(units), only_score, schema), "scored")
 
 
 def tune_trees(data: Binned, complexities: list[float], sizes: list[int], resamples: int, shape: Shape = TREE) -> DataFrame:
@@ -638,7 +643,7 @@ def predict(data: Binned, model: tuple[DataFrame, list[Unit]], df: DataFrame, ke
             out.append([at[row], label_at, votes[row, label_at]])
         return _joined("at long, code int, votes double", out)
 
-    votes = _meet(rows.select("at", "block", "x"), _placed(data, nodes, units), blocks, run, "at long, code int, votes double")
+    votes = _meet(rows.select("at", "block", "x"), _placed(data, nodes, units), blocks, _groups(units), run, "at long, code int, votes double")
     best = (votes.groupBy("at", "code").agg(F.sum("votes").alias("votes")).groupBy("at")
             .agg(F.max(F.struct("votes", (-F.col("code")).alias("less"))).alias("best")).select("at", (-F.col("best.less")).alias("code")))
     named = F.get(F.lit(data.levels).cast("array<string>"), F.col("code"))
