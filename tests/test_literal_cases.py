@@ -9,7 +9,7 @@ from brindle.functions.numbers import grid_values
 from brindle.operators import aggregates as agg, columns, joins, levels, split, statistics
 from brindle.operators.quantiles import exact_quantiles
 from brindle.plans import classifiers as cls, effects, penalties
-from brindle.plans.expression_study import standardize
+from brindle.plans.expression_study import drop_sparse_and_impute, standardize
 from brindle.sources import delimited
 
 
@@ -282,3 +282,13 @@ def test_release_removes_what_was_written(spark):
             df.count()
     finally:
         storage._WRITTEN = held
+
+
+def test_limit_of_missing_cells_grows_with_the_rows(spark):
+    df = spark.range(4320).selectExpr("id", "id % 2 AS c", "if(id % 50 = 0, null, double(id)) AS few", "if(id % 3 = 0, null, double(id)) AS many",
+                                      "if(id < 200, null, double(id)) AS most", "if(id < 201, null, double(id)) AS over")
+    clean, kept = drop_sparse_and_impute(df, ["few", "many", "most", "over"], "c")
+    assert kept == ["few", "most"] and clean.columns == ["id", "c", "few", "most"]
+    assert clean.filter("few IS NULL OR most IS NULL").count() == 0
+    small = df.limit(1000).selectExpr("id", "c", "if(id < 50, null, double(id)) AS even", "if(id < 51, null, double(id)) AS over")
+    assert drop_sparse_and_impute(small, ["even", "over"], "c")[1] == ["even"]
