@@ -22,8 +22,13 @@ def split_fixed(col: Column, sep: str, n: int) -> list[Column]:
     return [F.coalesce(F.get(pieces, F.lit(i)), F.lit("")) for i in range(n)]
 
 
+# All that a cast to an integer may take, and little else: digits, with a sign before and blanks around.
+_LIKE_INTEGER = r"^[^!-~]*[+-]?[0-9.]+[^!-~]*$"
+
+
 def to_integer(col: Column) -> Column:
-    return col.try_cast("bigint")
+    """Null where the text is no integer. Each failing cast costs an exception, so most of them are told by a pattern."""
+    return F.when(col.rlike(_LIKE_INTEGER), col.try_cast("bigint"))
 
 
 def to_number(col: Column) -> Column:
