@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from brindle.storage import write_out
+
 MAX_PRINTED_ROWS = 1000
 
 
@@ -44,10 +46,14 @@ def peek(df: DataFrame, key: str, n: int = 6) -> DataFrame:
 
 
 def schema_profile(df: DataFrame) -> DataFrame:
-    """(position, name, type, distinct, example): the example is the least non-null value as text."""
-    found = df.agg(
-        F.array(*[F.struct(F.lit(i).cast("bigint").alias("position"), F.lit(name).alias("name"),
-                           F.lit(kind).alias("type"), F.count_distinct(F.col(name)).alias("distinct"),
-                           F.min(F.col(name)).cast("string").alias("example"))
-                  for i, (name, kind) in enumerate(df.dtypes, start=1)]).alias("columns"))
-    return found.select(F.inline("columns"))
+    """(position, name, type, distinct, example): the example is the least non-null value as text.
+
+    The rows are written once and each column is read for itself: distinct values of all columns in one
+    aggregation would be rows as wide as the table, as many times as it has columns, sorted in every task.
+    """
+    rows = write_out(df, "profiled", compact=True)
+    parts = [rows.select(F.col(name).alias("value")).distinct()
+             .agg(F.count("value").alias("distinct"), F.min("value").cast("string").alias("example"))
+             .select(F.lit(i).cast("bigint").alias("position"), F.lit(name).alias("name"), F.lit(kind).alias("type"), "distinct", "example")
+             for i, (name, kind) in enumerate(df.dtypes, start=1)]
+    return reduce(DataFrame.unionAll, parts)
