@@ -42,12 +42,22 @@ def join_effect(df: DataFrame, effect: Effect, table: DataFrame) -> DataFrame:
 
 
 def row_cells(df: DataFrame, keys: list[str], target: str) -> DataFrame:
-    y = F.col(target)
-    return df.select(*keys, F.lit(1).cast("bigint").alias("rows"), y.alias("total"), (y * y).alias("square"))
+    """Raw rows as cells of one row each. Those carry no ``rows`` and no ``square``, which follow from ``total``."""
+    return df.select(*keys, F.col(target).alias("total"))
+
+
+def whole_cells(cells: DataFrame) -> DataFrame:
+    """Cells with ``rows`` and ``square``, added where they are left out."""
+    if "rows" in cells.columns:
+        return cells
+    y = F.col("total")
+    return cells.withColumns({"rows": F.lit(1).cast("bigint"), "square": y * y})
 
 
 def take_off(cells: DataFrame, effect: Effect, table: DataFrame) -> DataFrame:
     """Cells whose residual no longer holds the effect."""
+    if "rows" not in cells.columns:
+        return join_effect(cells, effect, table).withColumn("total", F.col("total") - F.col(effect.name)).drop(effect.name)
     b, n = F.col(effect.name), F.col("rows")
     return (join_effect(cells, effect, table)
             .withColumn("square", F.col("square") - 2 * b * F.col("total") + n * b * b)
@@ -55,25 +65,30 @@ def take_off(cells: DataFrame, effect: Effect, table: DataFrame) -> DataFrame:
 
 
 def reduce_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
-    return cells.groupBy(*keys).agg(F.sum("rows").alias("rows"), strict_sum(F.col("total")).alias("total"),
+    return whole_cells(cells).groupBy(*keys).agg(F.sum("rows").alias("rows"), strict_sum(F.col("total")).alias("total"),
                                     strict_sum(F.col("square")).alias("square"))
 
 
 def next_cells(cells: DataFrame, effect: Effect, table: DataFrame, later: list[Effect],
                carry: list[str]) -> DataFrame:
-    """Take an effect off, and reduce once every later key is coarse."""
+    """Take an effect off, and reduce once every later key is coarse.
+
+    Until then the cells are written if more than the fit of the next effect reads them, rather than joined again.
+    """
     cells = take_off(cells, effect, table)
     keys = [e.key for e in later] + carry
-    cells = cells.select(*keys, "rows", "total", "square")
+    cells = cells.select(*keys, *[c for c in ("rows", "total", "square") if c in cells.columns])
     if all(e.coarse for e in later) and not effect.coarse:
         cells = write_out(reduce_cells(cells, keys), "cells")
+    elif not effect.coarse and len(later) > 1:
+        cells = write_out(cells, "residuals", compact=True)
     return cells
 
 
 def fit_effect(cells: DataFrame, effect: Effect, mu: float) -> DataFrame:
     """(key, effect) around the mean ``mu``, written out so that joins know its size."""
     centred = F.col("total") - F.lit(float(mu)) * F.col("rows")
-    return write_out(shrunken_effect(cells, effect.key, centred, effect.penalty, effect.name, F.col("rows")),
+    return write_out(shrunken_effect(whole_cells(cells), effect.key, centred, effect.penalty, effect.name, F.col("rows")),
                      f"effect-{effect.name}")
 
 

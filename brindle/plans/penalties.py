@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from brindle.functions.numbers import double_array, grid_values, ratio
 from brindle.operators.aggregates import arg_min_per_group
 from brindle.operators.joins import grid_cross, null_safe_join
-from brindle.plans.effects import Effect, next_cells
+from brindle.plans.effects import Effect, next_cells, whole_cells
 from brindle.storage import write_out
 
 # Fixed grids: start, stop and step per effect.
@@ -31,20 +31,19 @@ def fold_means(train: DataFrame, fold: str, target: str) -> DataFrame:
 def tuning_rows(train: DataFrame, effects: list[Effect], fold: str, target: str) -> DataFrame:
     """Cells with the fold and whether the row's first key also occurs outside its fold.
 
-    A first key is unknown outside its fold exactly if all of its rows lie in one fold.
+    A first key is unknown outside its fold exactly if all of its rows lie in one fold. The cells are written,
+    since the sums and the residuals of the first effect read them.
     """
     first = effects[0].key
     spread = write_out(train.groupBy(first).agg((F.min(fold) != F.max(fold)).alias("known")), "spread")
-    y = F.col(target)
-    return (null_safe_join(train, spread, [first])
-            .select(*[e.key for e in effects], fold, "known", F.lit(1).cast("bigint").alias("rows"),
-                    y.alias("total"), (y * y).alias("square")))
+    rows = null_safe_join(train, spread, [first])
+    return write_out(rows.select(*[e.key for e in effects], fold, "known", F.col(target).alias("total")), "tuning-rows", compact=True)
 
 
 def key_sums(cells: DataFrame, key: str, fold: str = "fold") -> DataFrame:
     """One row per (key, fold): all that the errors of the folds and the fit of the effect need."""
     scored = lambda c: F.sum(F.when(F.col("known"), F.col(c)).otherwise(0))
-    return cells.groupBy(key, fold).agg(
+    return whole_cells(cells).groupBy(key, fold).agg(
         F.sum("rows").alias("n"), F.sum("total").alias("s"), F.count_if(F.col("total").isNull()).alias("missing"),
         scored("rows").alias("hn"), scored("total").alias("hs"), scored("square").alias("hq"))
 
@@ -84,11 +83,14 @@ def penalty_errors(sums: DataFrame, key: str, means: DataFrame, grid: list[float
         "cn", (F.col("cs") - F.col("cn") * mu).alias("cs"), (F.col("hs") - F.col("hn") * mu).alias("hs"),
         (F.col("hq") - 2 * mu * F.col("hs") + F.col("hn") * mu * mu).alias("hq"))
 
+    # the least text of a group can't be hashed on the way: every group at every grid value would be sorted
+    names = [] if on_unseen == "drop" else [F.max("unseen").alias("unseen"), F.min("unseen_key").alias("unseen_key")]
     change = F.col("hn") * F.col("b") * F.col("b") - 2 * F.col("b") * F.col("hs")
     errors = (grid_cross(per, grid)
               .withColumn("b", F.when(F.col("unseen"), F.lit(0.0)).otherwise(F.col("cs") / (F.col("cn") + F.col("lam"))))
-              .groupBy(fold, "pos", "lam").agg(F.sum(change).alias("part"), F.sum("hq").alias("hq"), F.sum("hn").alias("n"),
-                                               F.max("unseen").alias("unseen"), F.min("unseen_key").alias("unseen_key")))
+              .groupBy(fold, "pos", "lam").agg(F.sum(change).alias("part"), F.sum("hq").alias("hq"), F.sum("hn").alias("n"), *names))
+    if not names:
+        errors = errors.withColumn("unseen_key", F.lit(None).cast("string"))
     complete = ~F.col("unseen") if on_unseen == "propagate" else F.lit(True)
     value = F.when(complete, F.sqrt(F.greatest(F.col("hq") + F.col("part"), F.lit(0.0)) / F.col("n")))
     lam = F.element_at(double_array(lookup_grid), F.col("pos").cast("int")) if lookup_grid else F.col("lam")
@@ -125,7 +127,7 @@ def tune_effects(train: DataFrame, effects: list[Effect], mu: float, fold: str =
     cells = tuning_rows(train, effects, fold, target)
     fitted = []
     for i, effect in enumerate(effects):
-        sums = write_out(key_sums(cells, effect.key, fold), "key-sums")
+        sums = write_out(key_sums(cells, effect.key, fold), "key-sums", compact=True)
         errors = penalty_errors(sums, effect.key, means, grids[effect.name], fold, on_unseen,
                                 (lookup_grids or {}).get(effect.name))
         effect = effect.with_penalty(tuned_penalty(errors, fold))

@@ -507,7 +507,7 @@ def _tuned(spark, folder, upto: int, errors_of: str):
     means = penalties.fold_means(train, "fold", "rating")
     cells = penalties.tuning_rows(train, chosen, "fold", "rating")
     for i, effect in enumerate(chosen):
-        sums = write_out(penalties.key_sums(cells, effect.key), "key-sums")
+        sums = write_out(penalties.key_sums(cells, effect.key), "key-sums", compact=True)
         errors = penalties.penalty_errors(sums, effect.key, means, penalties.GRIDS[effect.name], on_unseen="drop")
         if effect.name == errors_of:
             return errors

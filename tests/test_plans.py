@@ -62,3 +62,11 @@ def test_quantiles_move_only_values_near_them(spark):
     steps = [line.strip(" :+-*") for line in text.splitlines()]
     exchanges = [i for i, s in enumerate(steps) if "Exchange hashpartitioning" in s]
     assert all(any("HashAggregate" in s for s in steps[i + 1:i + 4]) for i in exchanges)
+
+
+def test_errors_of_dropped_keys_are_hashed_not_sorted(spark):
+    """No text is aggregated where no unseen key can be left; the groups at every grid value are then never sorted."""
+    rows = spark.range(1000).select((F.col("id") % 50).alias("k"), (F.col("id") % 4 + 1).alias("fold"), F.lit(True).alias("known"), F.rand(1).alias("total"))
+    means = spark.createDataFrame([(i, 0.5) for i in range(1, 5)], "fold bigint, mu double")
+    errors = penalties.tune_penalty(rows, "k", means, penalties.GRIDS["ge"], on_unseen="drop")
+    assert "SortAggregate" not in plan(errors) and dict(errors.dtypes)["unseen_key"] == "string"
