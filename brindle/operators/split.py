@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from brindle.functions.hashing import hash_fraction, hash_integer, row_hash
-from brindle.operators.joins import null_safe_join
+from brindle.operators.joins import null_safe_join, semi_join_keys
 from brindle.operators.quantiles import quantile_literals
 from brindle.storage import write_out
 
@@ -154,29 +154,34 @@ def hash_split(df: DataFrame, p: float, key: list[str], seed: int, name: str = "
     return df.withColumn(name, hash_fraction(row_hash(key, seed)) < F.lit(float(p)))
 
 
+def _flagged(rows: DataFrame, train: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``rows`` with a flag: every key value, null included, also occurs in ``train``."""
+    known = F.lit(True)
+    for key in keys:
+        seen = train.select(key).distinct().withColumn(f"__seen_{key}", F.lit(True))
+        rows = null_safe_join(rows, seen, [key])
+        known = known & F.coalesce(F.col(f"__seen_{key}"), F.lit(False))
+    return rows.withColumn(name, known).drop(*[f"__seen_{k}" for k in keys])
+
+
 def known_key_flag(df: DataFrame, held_out: str, keys: list[str], name: str = "known") -> DataFrame:
     """True where every key value of the row, null included, also occurs among the rows not held out.
 
-    One aggregate per key, written so that a join knows its size.
+    That holds for the rows not held out themselves: only the others are moved and joined.
     """
-    known, rows = F.lit(True), df
-    for key in keys:
-        seen = write_out(df.groupBy(key).agg((~F.min(held_out)).alias(f"__seen_{key}")), "seen")
-        rows = null_safe_join(rows, seen, [key])
-        known = known & F.col(f"__seen_{key}")
-    return rows.withColumn(name, known).drop(*[f"__seen_{k}" for k in keys])
+    is_train = F.col(held_out).eqNullSafe(F.lit(False))
+    train = df.filter(is_train)
+    return train.withColumn(name, F.lit(True)).unionByName(_flagged(df.filter(~is_train), train, keys, name))
 
 
 def holdout_known_keys(test: DataFrame, train: DataFrame, keys: list[str],
                        return_removed: bool = False) -> tuple[DataFrame, DataFrame]:
     """Keep held-out rows whose keys all occur in ``train``; the others go back to it or are dropped."""
-    both = known_key_flag(
-        test.withColumn("__test", F.lit(True)).unionByName(train.withColumn("__test", F.lit(False))),
-        "__test", keys)
-    kept = both.filter(F.col("__test") & F.col("known")).drop("__test", "known")
     if not return_removed:
-        return kept, train
-    return kept, both.filter(~F.col("__test") | ~F.col("known")).drop("__test", "known")
+        return semi_join_keys(test, train, keys), train
+    flagged = write_out(_flagged(test, train, keys, "__known"), "flagged", compact=True)
+    return (flagged.filter("__known").drop("__known"),
+            flagged.filter("NOT __known").drop("__known").unionByName(train))
 
 
 def random_guess(df: DataFrame, levels: DataFrame, key: list[str], seed: int,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from brindle.functions.text import extract_year
-from brindle.operators.split import kfold_stratified, known_key_flag, split_stratified_numeric
+from brindle.operators.split import holdout_known_keys, kfold_stratified, split_stratified_numeric
 from brindle.plans.effects import EFFECTS, Effect, fit_effects, nested_rmses, predict_ratings
 from brindle.plans.penalties import tune_effects
 from brindle.operators.aggregates import rmse
@@ -30,21 +30,26 @@ def prepare(ratings: DataFrame) -> DataFrame:
     before they are joined to the ratings.
     """
     dated = ratings if "year" in ratings.columns else with_year(ratings)
-    return write_out(dated.select(*COLUMNS), "ratings")
+    return write_out(dated.select(*COLUMNS), "ratings", compact=True)
+
+
+def split_apart(df: DataFrame, p: float, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The rows not held out, which no key moves, and the held-out ones."""
+    flagged = split_stratified_numeric(df, "rating", p, ["row_id"], seed)
+    return flagged.filter(~F.col("held_out")).drop("held_out"), flagged.filter("held_out").drop("held_out")
 
 
 def train_and_test(df: DataFrame, p: float = 0.2, seed: int = 2) -> tuple[DataFrame, DataFrame]:
     """Hold out a share of every rating bin; held-out rows with an unseen movie or user are dropped."""
-    flagged = known_key_flag(split_stratified_numeric(df, "rating", p, ["row_id"], seed), "held_out", KEYS)
-    return (flagged.filter(~F.col("held_out")).drop("held_out", "known"),
-            flagged.filter(F.col("held_out") & F.col("known")).drop("held_out", "known"))
+    train, held_out = split_apart(df, p, seed)
+    return train, holdout_known_keys(held_out, train, KEYS)[0]
 
 
 def model_and_validation(df: DataFrame, p: float = 0.1, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """As above, but rows with an unseen movie or user return to the modelling set."""
-    flagged = known_key_flag(split_stratified_numeric(df, "rating", p, ["row_id"], seed), "held_out", KEYS)
-    validation = F.col("held_out") & F.col("known")
-    return flagged.filter(~validation).drop("held_out", "known"), flagged.filter(validation).drop("held_out", "known")
+    train, held_out = split_apart(df, p, seed)
+    validation, model = holdout_known_keys(held_out, train, KEYS, return_removed=True)
+    return model, validation
 
 
 def mean_rating(df: DataFrame) -> float:
@@ -69,8 +74,8 @@ def folded_training(ratings: DataFrame, seed: int = 2, fold_seed: int = 3, k: in
 
 
 def with_folds(train: DataFrame, seed: int = 3, k: int = 10) -> DataFrame:
-    """Training rows with their fold, written since every tuned effect reads them."""
-    return write_out(kfold_stratified(train, "rating", k, ["row_id"], seed), "folds")
+    """Training rows with their fold, without the id that dealt them; written since every tuned effect reads them."""
+    return write_out(kfold_stratified(train, "rating", k, ["row_id"], seed).drop("row_id"), "folds", compact=True)
 
 
 def tuned_effects(ratings: DataFrame, **options) -> list[tuple[Effect, DataFrame]]:

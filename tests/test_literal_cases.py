@@ -8,9 +8,10 @@ from brindle.functions import text
 from brindle.functions.numbers import grid_values
 from brindle.operators import aggregates as agg, columns, joins, levels, split, statistics
 from brindle.operators.quantiles import exact_quantiles
-from brindle.plans import classifiers as cls, effects, penalties
+from brindle.plans import classifiers as cls, effects, penalties, ratings_study as study
 from brindle.plans.expression_study import drop_sparse_and_impute, standardize
 from brindle.sources import delimited
+from brindle.sources.reports import schema_profile
 
 
 def rows(df):
@@ -292,3 +293,36 @@ def test_limit_of_missing_cells_grows_with_the_rows(spark):
     assert clean.filter("few IS NULL OR most IS NULL").count() == 0
     small = df.limit(1000).selectExpr("id", "c", "if(id < 50, null, double(id)) AS even", "if(id < 51, null, double(id)) AS over")
     assert drop_sparse_and_impute(small, ["even", "over"], "c")[1] == ["even"]
+
+
+def test_integers_in_text(spark):
+    cases = {"12": 12, " -7\t": -7, "+3": 3, "1.5": None, "12z": None, "": None, "z9": None, "(500)": None, "1-2": None, "9223372036854775808": None, "007": 7}
+    df = spark.createDataFrame([(t,) for t in [*cases, None]], "t string")
+    assert {r[0]: r[1] for r in df.select("t", text.to_integer(F.col("t"))).collect()} == cases | {None: None}
+    assert "RLIKE" in df.select(text.to_integer(F.col("t")))._jdf.queryExecution().executedPlan().toString()  # no exception per failing row
+
+
+def test_profile_reads_each_column_alone(spark):
+    df = spark.createDataFrame([(1, "b", None), (1, None, 2.5), (3, "a", 0.5)], "i int, s string, d double")
+    found = schema_profile(df)
+    assert [tuple(r) for r in found.orderBy("position").collect()] == [(1, "i", "int", 2, "1"), (2, "s", "string", 2, "a"), (3, "d", "double", 2, "0.5")]
+    assert "Expand" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_training_rows_are_not_joined_for_known_keys(spark):
+    """Only held-out rows move: the keys of the others are known by themselves."""
+    df = spark.range(400).selectExpr("string(id) AS row_id", "id % 7 AS userId", "if(id < 3, 100 + id, id % 5) AS movieId", "double(id % 10) / 2 AS rating")
+    train, test = study.train_and_test(df)
+    text_of = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in text_of(train) and "Exchange" not in text_of(train)
+    model, validation = study.model_and_validation(df, p=0.2, seed=2)
+    assert train.count() == 320 and model.count() + validation.count() == 400 and rows(validation) == rows(test)
+    seen = {r[0] for r in train.select("movieId").collect()}
+    assert {r["movieId"] for r in test.collect()} <= seen and model.exceptAll(train).filter(F.col("movieId").isin(*seen)).count() == 0
+
+
+def test_folds_and_cells_carry_no_more_than_the_tuning_reads(spark):
+    df = spark.range(200).selectExpr("string(id) AS row_id", "id % 9 AS movieId", "id % 11 AS userId", "double(id % 10) / 2 AS rating")
+    folded = study.with_folds(df, k=3)
+    assert folded.columns == ["movieId", "userId", "rating", "fold"]
+    assert penalties.tuning_rows(folded, list(effects.EFFECTS[:2]), "fold", "rating").columns == ["movieId", "userId", "fold", "known", "total"]
