@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from brindle.llm.tables import stage
 
@@ -24,8 +24,8 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        smallest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .unionByName(smallest.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # repeated pairs end in the one distinct below; the row of the smallest neighbour itself stands for its node
+        small = (large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+                 .select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct())
         current = stage(small, "stars")

@@ -129,7 +129,7 @@ def _verify(percent: int):
 
 
 def _ties(nodes: DataFrame) -> DataFrame:
-    """(a, b): a member of a bucket and the bucket's smallest member, over all table keys."""
+    """(a, b): a bucket's smallest member and another member, over all table keys; pairs may repeat."""
     half = stage(nodes.select("id", F.posexplode("a").alias("t", "h")).withColumn("side", F.lit(0))
                  .unionByName(nodes.select("id", F.posexplode("b").alias("t", "h")).withColumn("side", F.lit(1)))
                  .select("id", "side", F.xxhash64("side", "t", "h").alias("h")), "near-halves")
@@ -139,7 +139,7 @@ def _ties(nodes: DataFrame) -> DataFrame:
     # a text has at most TABLES halves per side, so TABLES^2 keys
     keys = stage(left.join(right, "id").select("id", F.xxhash64("l", "r").alias("key")), "near-keys")
     buckets = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("most")).where("a < most").select("key", "a")
-    return join_spread(keys, buckets, ["key"], "id").where("a < id").select("a", F.col("id").alias("b")).distinct()
+    return join_spread(keys, buckets, ["key"], "id").where("a < id").select("a", F.col("id").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:

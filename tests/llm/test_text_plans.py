@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 from brindle.llm import mixing, secret_scan
@@ -43,3 +44,31 @@ def test_release_leaves_no_catalog_entry(spark):
     assert storage.release(spark) == 1
     storage._WRITTEN[app], storage._NAMED[app] = paths[:-1], names[:-1]
     assert not any(t.name.startswith("catalog_") for t in spark.catalog.listTables())
+
+
+def test_a_turn_of_the_component_search_shuffles_four_times(spark, monkeypatch):
+    from brindle.llm import components as search
+
+    rng = random.Random(5)
+    edges = [(i, i + 1) for i in range(100, 140)] + [(200, i) for i in range(201, 240)] + [(i, 299) for i in range(260, 299)]
+    edges += [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(70)] + [(7, 7), (101, 100), (100, 101)]
+    turns = []
+
+    def held(df, label, put=search.stage):
+        turns.append(plan(df).count("Exchange hashpartitioning"))
+        return put(df, label)
+
+    monkeypatch.setattr(search, "stage", held)
+    wide = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = [tuple(r) for r in search.components(spark.createDataFrame(edges, "a long, b long")).collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", wide)
+    root = {i: i for e in edges if e[0] != e[1] for i in e}
+    for _ in root:
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    assert sorted(found) == sorted(root.items())
+    assert len(turns) > 2 and turns[0] == 1 and max(turns) <= 4
