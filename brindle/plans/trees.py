@@ -8,8 +8,8 @@ number of columns tried per split); all units of a grid are one table, grown and
 Growing follows two steps (as in PLANET, Panda et al., VLDB 2009). Nodes of more than BLOCK_ROWS rows are split level by level: each
 block of rows adds up the weights per (node, column, bin, class) for all trees of a group, the partial histograms are summed, and the
 best cut of each node is chosen from the sums. A node with fewer rows gets them into one task, which
-grows what is below. Both steps use the same integer histograms and the same choice, so they give the same
-trees. Rows that fit into one block are below the bound from the start.
+grows what is below. Both steps use the same whole sums and the same choice, so they give the same
+trees; where a node has few pairs of rows of one class, these are summed in place of a histogram per class. Rows that fit into one block are below the bound from the start.
 """
 
 from __future__ import annotations
@@ -29,9 +29,9 @@ from brindle.storage import write_out
 
 BINS = 32
 BLOCK_ROWS = 100_000
-CELLS = 100_000  # of one array of sums in a task, to stay in its cache
-ENTRIES = 200_000  # (tree, row) pairs that grow together
-FEW = (4, 8)  # rows of a node for which pairs of rows are cheaper than a histogram
+CELLS = 200_000  # of one array of sums in a task
+ENTRIES = 400_000  # (tree, row) pairs that grow together
+FEW = (64, 160)  # pairs of rows of one class in a node up to which these are cheaper than a histogram
 GROUPS = 256  # of units at most; each meets every block of rows in a task of its own
 MOST_PARTS = 4096  # tasks of a pass over all pairs of blocks and groups
 OPEN = -2  # feature of a node that is not decided yet
@@ -91,112 +91,145 @@ class Trees:
 
     def leaves(self, x: np.ndarray, tree: np.ndarray, row: np.ndarray) -> np.ndarray:
         """The place where each (tree, row) ends."""
-        at = self.root[tree]
-        while True:
-            on = np.flatnonzero(self.feature[at] >= 0)
-            if not len(on):
-                return at
-            node = at[on]
-            at[on] = self.left[node] + (x[row[on], self.feature[node]] > self.cut[node])
+        at, flat = self.root.take(tree), x.ravel()
+        begin, on = row * x.shape[1], np.flatnonzero(self.feature.take(at) >= 0)
+        node = at.take(on)
+        while len(on):
+            node = self.left.take(node) + (flat.take(begin.take(on) + self.feature.take(node)) > self.cut.take(node))
+            at[on] = node
+            further = np.flatnonzero(self.feature.take(node) >= 0)
+            on, node = on.take(further), node.take(further)
+        return at
 
 
 def tried(keys: np.ndarray, heap: np.ndarray, size: int, mtry: int) -> np.ndarray:
     """The columns that each node tries, in order; all if ``mtry`` is 0."""
     if not 0 < mtry < size:
         return np.tile(np.arange(size), (len(keys), 1))
-    node = mixed(keys ^ mixed(heap.astype(np.uint64)))
-    order = mixed(node[:, None] + np.arange(size, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
-    return np.sort(np.argpartition(order, mtry - 1, axis=1)[:, :mtry], axis=1)
+    node, found = mixed(keys ^ mixed(heap.astype(np.uint64))), np.empty((len(keys), mtry), np.int64)
+    for a in range(0, len(keys), step := max(1, CELLS // size)):
+        order = mixed(node[a:a + step, None] + np.arange(size, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
+        found[a:a + step] = order.argmin(axis=1)[:, None] if mtry == 1 else np.argpartition(order, mtry - 1, axis=1)[:, :mtry]
+    return np.sort(found, axis=1)
 
 
-def histograms(slot: np.ndarray, x: np.ndarray, row: np.ndarray, y: np.ndarray, w: np.ndarray, columns: np.ndarray, classes: int) -> np.ndarray:
-    """Weights per (slot, tried column, class, bin); ``slot``, ``row`` and ``w`` have one entry per (tree, row)."""
+def _bins_of(x: np.ndarray, row: np.ndarray, columns: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """(entry, tried column)."""
+    return x.ravel().take((row * x.shape[1])[:, None] + columns.take(slot, axis=0)).astype(np.int64)
+
+
+def _running(sums: np.ndarray) -> np.ndarray:
+    """Running sums along the first axis, in place: whole rows are added, which is faster than ``cumsum``."""
+    for b in range(1, len(sums)):
+        sums[b] += sums[b - 1]
+    return sums
+
+
+def histograms(slot: np.ndarray, x: np.ndarray, row: np.ndarray, label: np.ndarray, w: np.ndarray, columns: np.ndarray, classes: int) -> np.ndarray:
+    """Weights per (bin, class, slot, tried column); ``slot``, ``row``, ``label`` and ``w`` have one entry per (tree, row)."""
     slots, k = columns.shape
-    cell = ((slot[:, None] * k + np.arange(k)) * classes + y[row][:, None]) * BINS + x[row[:, None], columns[slot]]
-    return np.bincount(cell.ravel(), np.repeat(w, k), slots * k * BINS * classes).reshape(slots, k, classes, BINS)
+    cell = _bins_of(x, row, columns, slot)
+    cell *= classes * slots * k
+    cell += (label * (slots * k) + slot * k)[:, None] + np.arange(k)
+    return np.bincount(cell.ravel(), np.repeat(w, k), BINS * classes * slots * k).reshape(BINS, classes, slots, k)
 
 
-def _purity(squares: np.ndarray, dot: np.ndarray, n_left: np.ndarray, n: np.ndarray, whole: np.ndarray, least_rows: int) -> np.ndarray:
-    """Sum of squared class weights per weight of both sides; sums are whole numbers, so equal splits get equal values in any order."""
-    n_right = n[:, None, None] - n_left
+def _purest(squares: np.ndarray, dot: np.ndarray, n_left: np.ndarray, n: np.ndarray, whole: np.ndarray, columns: np.ndarray, least_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Column and bin with the largest sum of squared class weights per weight of both sides, from sums per (bin, slot and tried column); column -1
+    where none gains. Sums are whole numbers, so equal splits get equal values in any order; the first of equals is taken."""
+    n_right, (slots, k) = n - n_left, columns.shape
     with np.errstate(divide="ignore", invalid="ignore"):
-        found = squares / n_left + (whole[:, None, None] - 2 * dot + squares) / n_right
-        found[(n_left < least_rows) | (n_right < least_rows)] = -1
-    return found
+        found = squares / n_left + (whole - 2 * dot + squares) / n_right
+    found = np.where((n_left < least_rows) | (n_right < least_rows), -1, found)
+    tops, each = found.max(axis=0).reshape(slots, k), np.arange(slots)
+    best = tops.argmax(axis=1)
+    cut = found.take(each * k + best, axis=1).argmax(axis=0)
+    gains = tops[each, best] > (whole / n)[each * k] * (1 + 1e-12)
+    return np.where(gains, columns[each, best], -1), np.where(gains, cut, -1)
 
 
 def best_cuts(hist: np.ndarray, columns: np.ndarray, least_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Column and bin of the split with the largest gain of the Gini index; column -1 where none gains. First of equals."""
-    running = np.cumsum(hist, axis=3)
-    total, left = running[:, 0, :, -1], running[..., :-1]
-    n, whole = total.sum(axis=1), (total * total).sum(axis=1)
-    n_left, dot = np.moveaxis(np.matmul(np.stack([np.ones_like(total), total], axis=1)[:, None], left), 2, 0)
-    flat = _purity(np.einsum("skcb,skcb->skb", left, left), dot, n_left, n, whole, least_rows).reshape(len(hist), -1)
-    best, each = flat.argmax(axis=1), np.arange(len(flat))
-    gains = flat[each, best] > whole / n * (1 + 1e-12)
-    return np.where(gains, columns[each, best // (BINS - 1)], -1), np.where(gains, best % (BINS - 1), -1)
-
-
-def best_cuts_of_few(bins: np.ndarray, y: np.ndarray, w: np.ndarray, columns: np.ndarray, least_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """``best_cuts`` of nodes with few rows, from their pairs of rows; ``bins`` is (slot, tried column, row), unused rows have weight 0."""
-    same = (y[:, :, None] == y[:, None, :]).astype(np.float32)
-    own = np.matmul(same, w[:, :, None])[:, :, 0]  # weight of each row's class
-    n, whole = w.sum(axis=1, dtype=float), (w * own).sum(axis=1, dtype=float)
-    # (slot, column, row, cut at that row's bin); small whole numbers, exact in single precision
-    left = np.multiply(bins[..., :, None] <= bins[..., None, :], w[:, None, :, None], dtype=np.float32)
-    squares = np.einsum("skij,skij->skj", np.matmul(same[:, None], left), left).astype(float)
-    n_left, dot = np.moveaxis(np.matmul(np.stack([np.ones_like(own), own], axis=1)[:, None], left), 2, 0).astype(float)
-    found = _purity(squares, dot, n_left, n, whole, least_rows)
-    top = found.max(axis=(1, 2))
-    place = np.arange(bins.shape[1], dtype=np.int32)[None, :, None] * 256 + bins
-    best = np.where(found == top[:, None, None], place, 1 << 30).min(axis=(1, 2))
-    gains = top > whole / n * (1 + 1e-12)
-    return np.where(gains, columns[np.arange(len(w)), np.where(gains, best // 256, 0)], -1), np.where(gains, best % 256, -1)
+    """Column and bin of the split with the largest gain of the Gini index; column -1 where none gains. First of equals. ``hist`` is used up."""
+    running = _running(hist.reshape(BINS, hist.shape[1], -1))
+    total, left = running[-1], running[:-1]
+    n, whole = total.sum(axis=0), (total * total).sum(axis=0)
+    n_left, squares, dot = left.sum(axis=1), np.einsum("bcs,bcs->bs", left, left), np.einsum("bcs,cs->bs", left, total)
+    return _purest(squares, dot, n_left, n, whole, columns, least_rows)
+
+
+def pairs_of_class(node: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many entries of the same node and class come before each one, itself included; entries are in order of (node, class)."""
+    at, fresh = np.arange(len(node)), np.ones(len(node), bool)
+    fresh[1:] = (node[1:] != node[:-1]) | (y[1:] != y[:-1])
+    return at - np.maximum.accumulate(np.where(fresh, at, 0)) + 1
+
+
+def best_cuts_of_pairs(node: np.ndarray, bins: np.ndarray, w: np.ndarray, own: np.ndarray, pairs: np.ndarray, n: np.ndarray, whole: np.ndarray, columns: np.ndarray,
+                       least_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """``best_cuts`` of nodes with few pairs of rows of one class: the square of a class's weight left of a cut is the sum over its pairs that lie there.
+
+    ``bins`` is (entry, tried column), ``own`` the weight of the entry's class in its node, ``pairs`` as ``pairs_of_class`` gives it.
+    """
+    slots, k = columns.shape
+    cell = bins * (slots * k)
+    cell += (node * k)[:, None] + np.arange(k)
+    one = np.repeat(np.arange(len(node)), pairs)
+    other = one - (np.arange(len(one)) - np.repeat(np.cumsum(pairs) - pairs, pairs))
+    both = w.take(one) * w.take(other) * (1 + (one != other))
+    sums = lambda at, load: _running(np.bincount(at.ravel(), np.repeat(load, k), BINS * slots * k).reshape(BINS, -1)[:-1])
+    # a pair lies left of a cut when the larger of its bins does
+    squares = sums(np.maximum(cell.take(one, axis=0), cell.take(other, axis=0)), both)
+    return _purest(squares, sums(cell, w * own), sums(cell, w), np.repeat(n, k), np.repeat(whole, k), columns, least_rows)
 
 
 def grow(x: np.ndarray, y: np.ndarray, weight: np.ndarray, classes: int, mtry: int, keys: np.ndarray, shape: Shape,
          heap: int = 1) -> Trees:
     """One tree per row of ``weight`` (tree, row) over bins ``x``, level by level; ``heap`` is where they begin."""
-    tree, row = np.nonzero(weight)
-    w, slot, size = weight[tree, row].astype(float), tree, x.shape[1]
+    by_class = np.argsort(y, kind="stable")
+    x, label = x[by_class], y[by_class]
+    tree, row = np.nonzero(weight[:, by_class])
+    # entries (tree, row) stay in order of their node, and of their class within it
+    w, label, slot, size = weight[tree, by_class[row]].astype(float), label[row], tree, x.shape[1]
     owner, at = np.arange(len(weight)), np.full(len(weight), heap, np.int64)
     made: list[tuple] = []
+    placed = 0
     while len(owner):
-        counts = np.bincount(slot * classes + y[row], w, len(owner) * classes).reshape(-1, classes)
+        counts = np.bincount(slot * classes + label, w, len(owner) * classes).reshape(-1, classes)
         total = counts.sum(axis=1)
         feature, cut = np.full(len(owner), -1), np.full(len(owner), -1)
-        ready = np.flatnonzero((total >= shape.least_split) & (counts.max(axis=1) < total) & (at < 1 << shape.depth))
+        is_ready = (total >= shape.least_split) & (counts.max(axis=1) < total) & (at < 1 << shape.depth)
+        ready, on = np.flatnonzero(is_ready), np.flatnonzero(is_ready.take(slot))
+        row, w, label, slot = row.take(on), w.take(on), label.take(on), slot.take(on)
         if len(ready):
-            place = np.full(len(owner), -1)
-            place[ready] = np.arange(len(ready))
-            on = np.flatnonzero(place[slot] >= 0)
-            on = on[np.argsort(place[slot[on]], kind="stable")]
             columns = tried(keys[owner[ready]], at[ready], size, mtry)
-            rows = np.bincount(place[slot[on]], minlength=len(ready))
-            first = np.cumsum(rows) - rows
+            rows = np.bincount(slot, minlength=len(owner))[ready]
+            first, before = np.cumsum(rows) - rows, pairs_of_class(slot, label)
+            pairs = np.bincount(slot, before, len(owner))[ready]
             for few, most in zip((0, *FEW), (*FEW, None)):
-                tier = np.flatnonzero((rows > few) & (rows <= most)) if most else np.flatnonzero(rows > few)
-                step = max(1, CELLS // (columns.shape[1] * (most * most if most else BINS * classes)))
+                tier = np.flatnonzero((pairs > few) & (pairs <= most)) if most else np.flatnonzero(pairs > few)
+                step = max(1, CELLS // (columns.shape[1] * (max(most, 2 * BINS) if most else BINS * classes)))
                 for a in range(0, len(tier), step):
                     some = tier[a:a + step]
-                    nth = np.arange(rows[some].sum()) - np.repeat(np.cumsum(rows[some]) - rows[some], rows[some])
-                    entry, node = on[np.repeat(first[some], rows[some]) + nth], np.repeat(np.arange(len(some)), rows[some])
+                    node, own, tries = np.repeat(np.arange(len(some)), rows[some]), counts[ready[some]], columns[some]
+                    entry = np.arange(len(node)) + np.repeat(first[some] - (np.cumsum(rows[some]) - rows[some]), rows[some])
                     if most is None:
-                        found = best_cuts(histograms(node, x, row[entry], y, w[entry], columns[some], classes), columns[some], shape.least_rows)
+                        found = best_cuts(histograms(node, x, row[entry], label[entry], w[entry], tries, classes), tries, shape.least_rows)
                     else:
-                        label, load, bins = np.full((len(some), most), -1), np.zeros((len(some), most), np.float32), np.full((len(some), most, columns.shape[1]), 255, np.uint8)
-                        label[node, nth], load[node, nth] = y[row[entry]], w[entry]
-                        bins[node, nth] = x[row[entry][:, None], columns[some][node]]
-                        found = best_cuts_of_few(np.ascontiguousarray(bins.transpose(0, 2, 1)), label, load, columns[some], shape.least_rows)
+                        found = best_cuts_of_pairs(node, _bins_of(x, row[entry], tries, node), w[entry], own[node, label[entry]], before[entry],
+                                                   own.sum(axis=1), (own * own).sum(axis=1), tries, shape.least_rows)
                     feature[ready[some]], cut[ready[some]] = found
-        made.append((owner, at, feature, cut, counts))
         parts = feature >= 0
-        keep = parts[slot]
-        tree, row, w, slot = tree[keep], row[keep], w[keep], slot[keep]
-        goes_right = x[row, feature[slot]] > cut[slot]
-        slot = 2 * (np.cumsum(parts) - 1)[slot] + goes_right
+        child = 2 * (np.cumsum(parts) - 1)
+        placed += len(owner)
+        made.append((owner, at, feature, cut, counts, placed + child))  # the next level follows this one
+        on = np.flatnonzero(parts.take(slot))
+        old, moved = slot.take(on), row.take(on)
+        slot = child.take(old) + (x.ravel().take(moved * size + feature.take(old)) > cut.take(old))
         owner, at = np.repeat(owner[parts], 2), (2 * at[parts][:, None] + np.arange(2)).ravel()
-    return Trees.of(*(np.concatenate(c) for c in zip(*made)), len(weight))
+        order = np.argsort(slot.astype(np.uint16) if len(owner) <= 1 << 16 else slot, kind="stable")  # short numbers are dealt, not compared
+        slot, row, on = slot.take(order), moved.take(order), on.take(order)
+        w, label = w.take(on), label.take(on)
+    return Trees(*(np.concatenate(c) for c in zip(*made)), np.arange(len(weight)))
 
 
 def weakest_links(heap: np.ndarray, feature: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -449,10 +482,10 @@ def _grown_by_levels(data: Binned, table: DataFrame, groups: int, shape: Shape)
                 step = max(1, CELLS // (max(1, columns.shape[1]) * BINS * classes))
                 for a in range(0, len(places), step):
                     on = (slot >= a) & (slot < a + step)
-                    hist = histograms(slot[on] - a, block.x, row[on], block.y, w[on].astype(float), columns[a:a + step], classes)
-                    some, n = places[a:a + step], len(hist)
+                    hist = histograms(slot[on] - a, block.x, row[on], block.y[row[on]], w[on].astype(float), columns[a:a + step], classes)
+                    some, n = places[a:a + step], hist.shape[2]
                     out.append([np.full(n, unit.model), numbers[trees.tree[some]], trees.heap[some], np.full(n, unit.size), np.full(n, unit.mtry),
-                                np.full(n, unit.resample), np.full(n, rows["block"][0].as_py()), [x.tobytes() for x in hist]])
+                                np.full(n, unit.resample), np.full(n, rows["block"][0].as_py()), [hist[:, :, i].tobytes() for i in range(n)]])
         return _joined(hists, out)
 
     def added(part: pa.Table) -> np.ndarray:
@@ -471,14 +504,14 @@ def _grown_by_levels(data: Binned, table: DataFrame, groups: int, shape: Shape)
         r = part.drop_columns(["hist"]).slice(0, 1).to_pylist()[0]
         hist = added(part)
         columns = tried(tree_keys(seed, r["resample"], [r["tree"]]), np.array([r["heap"]]), r["size"], r["mtry"])
-        hist = hist.reshape(1, columns.shape[1], classes, BINS)
-        counts = hist[0, 0].sum(axis=1)
+        hist = hist.reshape(BINS, classes, 1, columns.shape[1])
+        counts = hist[:, :, 0, 0].sum(axis=0)
         feature, cut = -1, -1
         if counts.sum() >= shape.least_split and counts.max() < counts.sum() and r["heap"] < 1 << shape.depth:
-            feature, cut = (int(v[0]) for v in best_cuts(hist, columns, shape.least_rows))
+            feature, cut = (int(v[0]) for v in best_cuts(hist.copy(), columns, shape.least_rows))
         out = [(r["model"], r["tree"], r["heap"], feature, cut, list(counts), float(counts.sum()))]
         if feature >= 0:
-            left = float(hist[0, int(np.flatnonzero(columns[0] == feature)[0]), :, :cut + 1].sum())
+            left = float(hist[:cut + 1, :, 0, int(np.flatnonzero(columns[0] == feature)[0])].sum())
             out += [(r["model"], r["tree"], 2 * r["heap"] + side, OPEN, -1, None, n) for side, n in enumerate((left, float(counts.sum()) - left))]
         return _table(decided, list(zip(*out)))
 

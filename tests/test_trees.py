@@ -67,6 +67,27 @@ def test_few_rows_and_histograms_choose_alike(monkeypatch):
     assert all(np.array_equal(getattr(one, k), getattr(two, k)) for k in ("tree", "heap", "feature", "cut", "counts"))
 
 
+@pytest.mark.parametrize("classes", [1, 3, 9])
+def test_pairs_and_histograms_choose_alike(monkeypatch, classes):
+    """Nodes of any size by pairs of rows only, and by histograms only, one or many at a time; children are where ``left`` says."""
+    rng = np.random.default_rng(classes)
+    x, y = rng.integers(0, 32, (150, 6)).astype(np.uint8), rng.integers(0, classes, 150)
+    x[:, 5] = 7  # a column that cannot split, and rows that are alike
+    x[:30] = x[0]
+    weight, keys, found = rng.poisson(1, (12, 150)).astype(np.int64), trees.mixed(np.arange(12)), []
+    for pairs, cells in (((10**6,), 200_000), ((), 200_000), ((3, 20), 500)):
+        monkeypatch.setattr(trees, "FEW", pairs)
+        monkeypatch.setattr(trees, "CELLS", cells)
+        found.append(trees.grow(x, y, weight, classes, 3, keys, trees.FOREST))
+    for t in found[1:]:
+        assert all(np.array_equal(getattr(found[0], k), getattr(t, k)) for k in ("tree", "heap", "feature", "cut", "counts", "left", "root"))
+    inner = found[0].feature >= 0
+    for side in (0, 1):
+        child = found[0].left[inner] + side
+        assert np.array_equal(found[0].heap[child], 2 * found[0].heap[inner] + side) and np.array_equal(found[0].tree[child], found[0].tree[inner])
+    assert inner.any() == (classes > 1)
+
+
 def subtrees(nodes: dict, h: int = 1):
     """All prunings, as sets of the splits that stay."""
     yield frozenset()
