@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from brindle.operators import aggregates as agg, columns, joins, quantiles, split
+from brindle.operators import aggregates as agg, columns, joins, neighbours, quantiles, split
 from brindle.plans import effects, penalties
 from brindle.sources import views
 
@@ -64,6 +64,17 @@ def test_quantiles_move_only_values_near_them(spark):
     assert all(any("HashAggregate" in s for s in steps[i + 1:i + 4]) for i in exchanges)
 
 
+def test_votes_of_many_sizes_order_neighbours_once(spark):
+    """Neighbours move once for all numbers of neighbours, before they are repeated; the votes are those of each number alone."""
+    rows = [(t, p, f"c{(t * p) % 3}", float(1 + (t + p) % 2)) for t in range(6) for p in range(1, 8)]
+    near = spark.createDataFrame(rows, "id long, place long, label string, weight double")
+    found = neighbours.vote_each(near, ["id"], [5, 1, 3, 30])
+    text = plan(found)
+    assert text.count("Exchange") == 1 and text.index("Generate") < text.index("Exchange")
+    got = {(r["k"], r["id"]): r["predicted"] for r in found.collect()}
+    assert got == {(k, r["id"]): r["predicted"] for k in (1, 3, 5, 30) for r in neighbours.vote(near, ["id"], k).collect()}
+
+
 def test_errors_of_dropped_keys_are_hashed_not_sorted(spark):
     """No text is aggregated where no unseen key can be left; the groups at every grid value are then never sorted."""
     rows = spark.range(1000).select((F.col("id") % 50).alias("k"), (F.col("id") % 4 + 1).alias("fold"), F.lit(True).alias("known"), F.rand(1).alias("total"))
