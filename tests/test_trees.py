@@ -237,3 +237,28 @@ def test_rows_without_a_class_and_tables_of_one_class(spark, few_groups):
     df = spark.createDataFrame([(1, [1.0, 2.0], "a"), (2, [1.0, 2.0], "a"), (3, [0.0, 1.0], None)], "id long, features array<double>, c string")
     assert {r["predicted"] for r in cls.classify_forest(df, df, "id", "c", 1, 5).collect()} == {"a"}
     assert cls.tune_tree(df, "id", "c", [0.0], 2).count() == 1
+
+
+@pytest.mark.parametrize("seed, classes, shape", [(1, 3, trees.FOREST), (2, 2, trees.Shape(5, 2, 4)), (3, 12, trees.FOREST), (4, 1, trees.FOREST)])
+def test_forests_of_the_kernel_hit_what_grown_trees_hit(spark, seed, classes, shape):
+    """One tree kept over all numbers of columns votes as trees grown for each number by themselves; rows that are alike, columns that cannot split, nodes of all sizes."""
+    rng = np.random.default_rng(seed)
+    values, y = rng.integers(0, 40, (400, 6)).astype(float), rng.integers(0, classes, 400)
+    values[:, 3], values[:, 4] = 1.0, values[:, 0]
+    values[:40], y[100:] = values[0], np.where(rng.random(300) < 0.7, (values[100:, 0] + values[100:, 5]) % classes, y[100:])
+    table = spark.createDataFrame([(i, v.tolist(), f"c{c:02d}") for i, (v, c) in enumerate(zip(values, y))], "id long, features array<double>, c string")
+    data = trees.binned(table, "id", "c", 2)
+    units = [trees.Unit(i, b, s, m, 3 * (b - 1), 12) for i, (b, s, m) in enumerate((b, s, m) for b in (1, 2) for m in (1, 2, 4) for s in (2, 3, 5, 6) if m <= s)]
+    got = {(r["resample"], r["mtry"], r["size"]): (r["hits"], r["n"]) for r in trees._hits_of_forests(data, units, shape).collect()}
+    rows = sorted(data.rows.collect(), key=lambda r: r["h"] % 2**64)
+    x, y, h = np.array([list(r["x"]) for r in rows], np.uint8), np.array([r["y"] for r in rows]), np.array([r["h"] for r in rows], np.int64).view(np.uint64)
+    for u in units:
+        given = np.array([r["draws"][u.resample - 1] for r in rows], np.int64)
+        keys = trees.tree_keys(data.seed, u.resample, np.arange(u.first, u.first + u.trees))
+        drawn = np.stack([trees.poisson(given, (trees.mixed(h ^ k) >> np.uint64(11)) / float(1 << 53)) for k in keys])
+        made, held = trees.grow(x[:, :u.size], y, drawn, len(data.levels), u.mtry, keys, shape), np.flatnonzero(given == 0)
+        votes = np.zeros((len(held), len(data.levels)))
+        for t in range(u.trees):
+            votes[np.arange(len(held)), made.counts.argmax(axis=1)[made.leaves(x, np.full(len(held), t), held)]] += 1
+        assert got.pop((u.resample, u.mtry, u.size)) == ((votes.argmax(axis=1) == y[held]).sum(), len(held))
+    assert not got
