@@ -12,14 +12,14 @@ import threading
 import zipfile
 from collections.abc import Callable
 
-from pyspark.sql import Column, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _LOCK = threading.Lock()
 _LOADERS: dict[tuple[str, str], object] = {}  # class loaders, by application and source
 
 
-def function(spark: SparkSession, source: str, kind: str, returns: str) -> Callable[..., Column]:
-    """The class ``kind`` of ``source``.java as a function of columns."""
+def instance(spark: SparkSession, source: str, kind: str):
+    """A new object of the class ``kind`` of ``source``.java."""
     with _LOCK:
         place = spark.conf.get("spark.app.id", "local"), source
         if place not in _LOADERS:
@@ -32,8 +32,23 @@ def function(spark: SparkSession, source: str, kind: str, returns: str) -> Calla
                     out.writestr(name.replace(".", "/") + ".class", bytes(code))
             spark.sql(f"ADD JAR '{jar}'")
             _LOADERS[place] = compiler.getClassLoader()
-    made = _LOADERS[place].loadClass(f"brindle.{kind}").newInstance()
-    kinds = spark.sparkContext._jvm.org.apache.spark.sql.types.DataType
-    name = f"brindle_{kind.lower()}"
-    spark._jsparkSession.udf().register(name, made, kinds.fromDDL(returns))
+    return _LOADERS[place].loadClass(f"brindle.{kind}").newInstance()
+
+
+def function(spark: SparkSession, source: str, kind: str, returns: str) -> Callable[..., Column]:
+    """The class as a function of columns."""
+    made, name = instance(spark, source, kind), f"brindle_{kind.lower()}"
+    spark._jsparkSession.udf().register(name, made, _type(spark, returns))
     return lambda *columns: F.call_function(name, *columns)
+
+
+def over_partitions(df: DataFrame, made, schema: str) -> DataFrame:
+    """The rows of ``schema`` that an object of a class over whole partitions makes of those of ``df``."""
+    spark = df.sparkSession
+    encoder = spark.sparkContext._jvm.org.apache.spark.sql.Encoders.row(_type(spark, schema))
+    return DataFrame(df._jdf.mapPartitions(made, encoder), spark)
+
+
+def _type(spark: SparkSession, ddl: str):
+    types = spark.sparkContext._jvm.org.apache.spark.sql.types
+    return types.DataType.fromDDL(ddl)

@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from brindle.functions.hashing import hash_integer, row_hash
 from brindle.operators.aggregates import cumulative_share
 from brindle.operators.columns import features_to_array, features_to_vector
-from brindle.operators.neighbours import classify_knn, nearest_neighbours, vote_each
-from brindle.operators.split import bootstrap_weights, resample_weight
+from brindle.operators.neighbours import classify_knn, votes_of_resamples
+from brindle.operators.split import resample_weight
 from brindle.plans import trees
 from brindle.storage import write_out
 
@@ -202,15 +202,10 @@ def tune_refit_score_knn(train: DataFrame, test: DataFrame, key: str, label: str
 def tune_knn(train: DataFrame, key: str, label: str, ks: list[int], resamples: int = 25, seed: int = SEED,
              sizes: list[int] | None = None, features: str = "features") -> DataFrame:
     """(size, k, accuracy) for every k, and every number of leading features, from one pass of comparisons."""
-    drawn = write_out(bootstrap_weights(train.select(key, features, label), resamples, [key], seed), "resamples")
-    held = drawn.filter("weight = 0")
-    near = nearest_neighbours(drawn.filter("weight > 0"), held, key, label, max(ks), features,
-                              by=["resample"], sizes=sizes, weight="weight")
-    votes = vote_each(near, ["resample", "size", key], ks)
-    truth = held.select("resample", key, F.col(label).alias("truth"))
-    per = (votes.join(truth, ["resample", key]).groupBy("resample", "size", "k")
-           .agg(F.avg((F.col("predicted") == F.col("truth")).cast("double")).alias("accuracy")))
-    return per.groupBy("size", "k").agg(F.avg("accuracy").alias("accuracy"))
+    draws = F.transform(F.sequence(F.lit(1), F.lit(resamples)), lambda b: resample_weight([key], seed, b))
+    per = votes_of_resamples(train, key, label, ks, draws, features, sizes)
+    accuracy = F.when(F.col("n") > 0, F.col("hits") / F.col("n"))
+    return per.groupBy("size", "k").agg(F.avg(accuracy).alias("accuracy"))
 
 
 class Components:

@@ -389,3 +389,54 @@ def test_a_report_is_refused_not_cut(spark):
     assert markdown(spark.range(2)).splitlines() == ["| id |", "| --- |", "| 0 |", "| 1 |"]
     with pytest.raises(ValueError):
         markdown(spark.range(3), limit=2)
+
+
+def test_neighbours_by_the_index_and_by_the_kernel_are_alike(spark, monkeypatch):
+    """The index answers if it leaves few pairs, else all pairs are compared; both give the same rows, equal distances included."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 3, (300, 3)).astype(float)
+    df = spark.createDataFrame([(i, v.tolist(), int(i % 3)) for i, v in enumerate(x)], "id long, features array<double>, c long")
+    train, test = df.filter("id % 4 <> 0"), df.filter("id % 4 = 0")
+    found = []
+    for most in (2.0, -1.0):
+        monkeypatch.setattr(neighbours, "MOST_IN_REACH", most)
+        near = neighbours.indexed_neighbours(train, test, "id", "c", 5, block_rows=25)
+        found.append(sorted((r["id"], r["place"], r["near"], r["label"], round(r["distance"], 9)) for r in near.collect()))
+    assert found[0] == found[1] and len(found[0]) == 75 * 5
+    for i in range(0, 300, 4):
+        order = sorted((round(float(((x[i] - x[j]) ** 2).sum()), 9), j) for j in range(300) if j % 4)[:5]
+        assert [(r[2], r[4]) for r in found[0] if r[0] == i] == [(j, round(d ** 0.5, 9)) for d, j in order]
+
+
+def test_votes_of_resamples_by_hand(spark, monkeypatch):
+    """Blocks of few rows, equal distances, weights, keys that come twice or are null, rows without a class; the same if too few rows are kept at first."""
+    rng = np.random.default_rng(9)
+    x, key = rng.integers(0, 4, (120, 3)).astype(float), [*range(100), *range(15), *[None] * 5]
+    label = [None if i % 17 == 3 else f"c{int(v[0] + v[1]) % 3}" for i, v in enumerate(x)]
+    weights = {k: [int(w) for w in rng.poisson(1, 3)] for k in range(100)} | {None: [1, 1, 0]}
+    draws = [weights[k] for k in key]
+    df = spark.createDataFrame([(k, v.tolist(), c, d) for k, v, c, d in zip(key, x, label, draws)], "id long, features array<double>, c string, d array<int>")
+    expected = {}
+    for b, size, k in ((b, size, k) for b in range(3) for size in (2, 3) for k in (1, 2, 6)):
+        hits = n = 0
+        for one in range(100):
+            if weights[one][b]:
+                continue
+            rows = [i for i in range(120) if key[i] == one]
+            near = [sorted((((x[i, :size] - x[j, :size]) ** 2).sum(), -1 if key[j] is None else key[j], j) for j in range(120) if draws[j][b] > 0)[:6] for i in rows]
+            votes, left = {}, k
+            for d, _, j in sorted(sum(near, []))[:6]:
+                votes[label[j]], left = votes.get(label[j], 0) + min(left, draws[j][b]), max(0, left - draws[j][b])
+            found = min((-v, c or "", c) for c, v in votes.items() if v > 0)[2]
+            n += sum(label[i] is not None and found is not None for i in rows)
+            hits += sum(label[i] is not None and label[i] == found for i in rows)
+        expected[b + 1, size, k] = hits, n
+    unlike = {}
+    for kept in (4, 1):
+        monkeypatch.setattr(neighbours, "KEPT", kept)
+        monkeypatch.setattr(neighbours, "BLOCK_ROWS", 7)
+        got = neighbours.votes_of_resamples(df, "id", "c", [1, 2, 6], F.col("d"), sizes=[2, 3])
+        unlike[kept] = {(r["resample"], r["size"], r["k"]): (r["hits"], r["n"]) for r in got.collect()}
+    assert unlike[4] == unlike[1]
+    # rows of one key and equal distances have no order of their own
+    assert set(unlike[4]) == set(expected) and all(abs(unlike[4][c][0] - expected[c][0]) <= 3 and unlike[4][c][1] == pytest.approx(expected[c][1], abs=3) for c in expected)
